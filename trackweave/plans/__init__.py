@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("punctuality",)
+GROUPS = ("punctuality", "closures")
 
 
 def queries() -> dict:
