@@ -115,7 +115,7 @@ PASSENGER_REF = r"(?i)^(ICE|IC|EC|ECE|RE|RB|S|U|STR|FLX|NJ|EN|RJ|TGV)\s?\d"
 
 def pick_ref(col: Column) -> Column:
     """Of several references parted by semicolons the first of a passenger line, else the first."""
-    parts = F.filter(F.transform(F.split(F.coalesce(col, F.lit("")), ";"), F.trim), lambda t: t != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(col, F.lit("")), ";"), lambda t: F.trim(t)), lambda t: t != "")
     best = F.filter(parts, lambda t: t.rlike(PASSENGER_REF))
     return F.when(F.size(parts) <= 1, F.trim(F.coalesce(col, F.lit("")))).otherwise(F.coalesce(F.get(best, F.lit(0)), F.get(parts, F.lit(0))))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("punctuality", "closures")
+GROUPS = ("punctuality", "closures", "lines")
 
 
 def queries() -> dict:
