@@ -143,7 +143,7 @@ def badge(line: Column) -> Column:
 
 
 # The order of reference prefixes in an index of lines.
-PREFIX_ORDER = ("ICE", "IC", "EC", "RE", "RB", "S", "U", "STR")
+PREFIX_ORDER = ("ICE", "IC", "EC", "ECE", "FLX", "NJ", "EN", "RJ", "TGV", "RE", "RB", "S", "U", "STR")
 
 
 def ref_sort_columns(ref: Column) -> list[Column]:

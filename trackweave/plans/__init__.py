@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("punctuality", "closures", "lines")
+GROUPS = ("punctuality", "closures", "lines", "view")
 
 
 def queries() -> dict:
