@@ -60,18 +60,25 @@ def tokens_match(station: Column, candidate: Column) -> Column:
     found = F.lit(False)
     for skip in range(TOWN_TOKENS + 1):
         tail = F.slice(candidate, skip + 1, F.greatest(F.size(candidate) - skip, F.lit(0)))
-        same = (F.size(tail) == n) & F.forall(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i, t=tail: either_starts(F.get(t, i - 1), F.get(station, i - 1)))
+        found = found | F.coalesce(same_tokens(station, tail, n), F.lit(False)) | F.coalesce(split_tokens(station, tail, n), F.lit(False))
+    return found
 
-        def split_at(k: Column, t: Column = tail) -> Column:
-            first, second, word = F.get(t, k - 1), F.get(t, k), F.get(station, k - 1)
-            parts = (F.length(first) >= SPLIT_PART) & (F.length(second) >= SPLIT_PART) & (F.length(first) + F.length(second) <= F.length(word))
-            whole = word.startswith(first) & word.endswith(second)
-            rest = F.forall(F.sequence(F.lit(1), n), lambda i: (i == k) | either_starts(F.get(t, i - 1 + F.when(i > k, 1).otherwise(0)), F.get(station, i - 1)))
-            return parts & whole & rest
 
-        split = (F.size(tail) == n + 1) & (n > 0) & F.exists(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), split_at)
-        found = found | F.coalesce(same, F.lit(False)) | F.coalesce(split, F.lit(False))
-    return found
+def same_tokens(station: Column, tail: Column, n: Column) -> Column:
+    places = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    return (F.size(tail) == n) & F.forall(places, lambda i: either_starts(F.get(tail, i - 1), F.get(station, i - 1)))
+
+
+def split_tokens(station: Column, tail: Column, n: Column) -> Column:
+    places = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+
+    def split_at(k: Column) -> Column:
+        first, second, word = F.get(tail, k - 1), F.get(tail, k), F.get(station, k - 1)
+        parts = (F.length(first) >= SPLIT_PART) & (F.length(second) >= SPLIT_PART) & (F.length(first) + F.length(second) <= F.length(word))
+        rest = F.forall(places, lambda i: (i == k) | either_starts(F.get(tail, i - 1 + F.when(i > k, 1).otherwise(0)), F.get(station, i - 1)))
+        return parts & word.startswith(first) & word.endswith(second) & rest
+
+    return (F.size(tail) == n + 1) & (n > 0) & F.exists(places, split_at)
 
 
 def names_contain(a: Column, b: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("punctuality", "closures", "lines", "view")
+GROUPS = ("punctuality", "closures", "lines", "view", "resolution")
 
 
 def queries() -> dict:
