@@ -83,11 +83,12 @@ def visits(fp: np.ndarray, vantage: int, depth: int) -> tuple[np.ndarray, np.nda
 def forest(home: np.ndarray, asking: np.ndarray, near: int = NEAR) -> tuple[np.ndarray, np.ndarray]:
     """Spanning edges of the pairs (asking, home) that differ in at most `near` bits."""
     nodes = np.unique(np.concatenate([home, asking]))
+    bits = home.view(np.uint64)  # of signed numbers numpy counts the bits of the absolute value
     at, block = np.searchsorted(nodes, home), 256
     parent = np.arange(len(nodes))
     for a in range(0, len(asking), block):
         part = asking[a : a + block]
-        q, h = np.nonzero(np.bitwise_count(part[:, None] ^ home[None]) <= near)
+        q, h = np.nonzero(np.bitwise_count(part.view(np.uint64)[:, None] ^ bits[None]) <= near)
         x, y = np.searchsorted(nodes, part)[q], at[h]
         x, y = x[x != y], y[x != y]
         while len(x):
