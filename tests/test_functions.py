@@ -132,3 +132,25 @@ def test_fares_and_places(spark):
     assert ids("any") == ["a", "b", "c"] and ids("regional") == ["a", "c"] and ids("ticket") == ["a", "b", "c"]
     places = spark.createDataFrame([("A", "city", 9.0, 52.0, "12"), ("B", "town", 9.0, 95.0, "1"), (None, "city", 1.0, 1.0, "1"), ("C", "village", 1.0, 1.0, "1"), ("D", "town", 1.0, 1.0, "1e3")], "name string, kind string, lon double, lat double, population string")
     assert {(r["name"], r["population"]) for r in stations.places(places).collect()} == {("A", 12), ("D", 0)}
+
+
+def test_variants_and_slugs(spark):
+    forms = lambda raw: list(one(spark, text.search_variants(F.lit(raw)))[0])
+    assert forms("S-Bahn Berlin GmbH") == ["S-Bahn Berlin GmbH", "S-Bahn Berlin"]
+    assert forms("Bahn (BB) AG, Weg 1;Other") == ["Bahn (BB) AG, Weg 1", "Bahn (BB) AG", "Bahn AG", "Bahn"]
+    assert forms("DB") == []
+    name = "Ørsted Straße.logo.svg"
+    code = 0
+    for c in name:
+        code = (code * 31 + ord(c)) % 0xFFFFFF
+    digits = ""
+    while code:
+        digits, code = "0123456789abcdefghijklmnopqrstuvwxyz"[code % 36] + digits, code // 36
+    assert one(spark, text.slug(F.lit(name), F.lit("image/png"))) == (f"orsted-strasse-logo-{digits}.png",)
+
+
+def test_stored_records(spark):
+    rows = spark.createDataFrame([("1", "closed", "sideways", "2026-08-01", "2026-08-03", None, None, None), ("2", "odd", "both", "x", "y", 9, "weeks", 1)], "id string, effect string, direction string, begin string, end string, days int, band string, extended int")
+    got = {r["id"]: (r["effect"], r["direction"], r["days"], r["band"], r["extended"]) for r in closures.validated(rows).collect()}
+    assert got == {"1": ("closed", "both", 3, "days", 0), "2": ("other", "both", 9, "weeks", 1)}
+    assert one(spark, closures.local_day(F.lit("2026-08-01 22:30:00").cast("timestamp"))) == (dt.date(2026, 8, 2),)

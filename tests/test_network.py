@@ -78,3 +78,28 @@ def test_ambiguity_gives_none(spark):
     stops = spark.createDataFrame([("x", "STOP", 9.7005, 52.3, "Linden", ["BUS"]), ("y", "STOP", 9.7, 52.3006, "Linden", None), ("p", "STOP", 9.9, 52.3, "Linden", ["BUS"]), ("q", "STOP", 9.9003, 52.3, "Linden", ["REGIONAL_RAIL"]), ("z", "STOP", 9.9, 52.3, "Linden", [])], "id string, type string, lon double, lat double, name string, modes array<string>")
     got = {r["station_id"]: (r["state"], r["stop_id"]) for r in resolve.best_match(resolve.valid_candidates(stations, stops)).collect()}
     assert got == {1: ("ambiguous", None), 2: ("resolved", "q")}
+
+
+def test_features_are_trimmed(spark):
+    coords = [{"lon": float(x), "lat": float(y)} for x, y in way((0, 0), (100, 0), (200, 0))]
+    chains = spark.createDataFrame([(1, 0, coords)], "seg_id int, chain int, coords array<struct<lon:double,lat:double>>")
+    slots = spark.createDataFrame([(1, "a", -0.5), (1, "b", 0.5)], "seg_id int, line_id string, slot double")
+    trims = spark.createDataFrame([(1, 0, "a", 30.0, 0.0), (1, 0, "a", 0.0, 120.0)], "seg_id int, chain int, line_id string, start_m double, end_m double")
+    got = {r["line_id"]: [round((p["lon"] - 9.7) * K * math.cos(math.radians(52.26))) for p in r["coords"]] for r in network.route_features(chains, slots, trims).collect()}
+    assert got == {"a": [30, 80], "b": [0, 100, 200]}
+
+
+def test_anchor_is_the_nearest_vertex_of_a_line_that_calls(spark):
+    p = [[float(v) for v in x] for x in way((0, 0), (70, 0), (140, 0), (5000, 0))]
+    vertices = spark.createDataFrame([(1, 0, i, *x) for i, x in enumerate(p)], "seg_id int, chain int, pos int, lon double, lat double")
+    stations = spark.createDataFrame([(7, p[1][0], p[1][1] + 0.0001), (8, p[1][0], p[1][1])], "station_id int, lon double, lat double")
+    served = spark.createDataFrame([(7, "a"), (8, "z")], "station_id int, line_id string")
+    slots = spark.createDataFrame([(1, "a", 0, 0.0)], "seg_id int, line_id string, ordinal int, slot double")
+    got = [(r["station_id"], r["vertex"]["pos"]) for r in network.anchors(stations, vertices, served, slots).collect()]
+    assert got == [(7, 1)]
+
+
+def test_shortlist_stops_at_enough(spark):
+    rows = [(1, v, r, f"e{v}{r}") for v in range(3) for r in range(4)] + [(1, 0, 9, "e00")]
+    got = resolve.shortlist(spark.createDataFrame(rows, "operator_id int, variant int, rank int, entity string")).orderBy("n").collect()
+    assert [r["entity"] for r in got] == ["e00", "e01", "e02", "e03", "e10", "e11", "e12", "e13"]

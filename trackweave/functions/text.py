@@ -135,13 +135,38 @@ def clean_name(col: Column) -> Column:
     return F.trim(replaced(base, (r"\s*=>\s*", " – "), (r"\s+", " ")))
 
 
+# Legal forms in an operator's name.
+LEGAL_FORM = r"(?i)\b(GmbH|mbH|AG|KG|SE|e\.?\s?V\.?|Co\.?KG|Co\.?|&)\b"
+
+
 def search_variants(col: Column) -> Column:
-    """Up to four distinct search forms of an operator's name, of more than two characters: whole, first of several, without brackets, without the legal form."""
-    whole = F.trim(col)
-    first = F.trim(F.get(F.split(whole, ";"), F.lit(0)))
-    bare = F.trim(replaced(first, (r"\s*\([^)]*\)", ""), (r"\s+", " ")))
-    short = F.trim(replaced(bare, (r"(?i)[\s,]+(gmbh|ag|mbh|kg|se|e\.?\s?v\.?|co\.?|&)(?=[\s,.]|$)", ""), (r"\s+", " ")))
-    return F.array_distinct(F.filter(F.array(whole, first, bare, short), lambda v: F.length(v) > 2))
+    """Up to four distinct search forms of an operator's name, of more than two characters: the first of several, then without address, brackets and legal form."""
+    first = F.trim(F.get(F.split(col, ";"), F.lit(0)))
+    place = F.trim(F.regexp_replace(first, ",.*$", ""))
+    bare = F.trim(replaced(place, (r"\s*[(\[][^)\]]*[)\]]\s*", " "), (r"\s+", " ")))
+    short = F.trim(replaced(bare, (LEGAL_FORM, " "), (r"\s+", " ")))
+    return F.array_distinct(F.filter(F.array(first, place, bare, short), lambda v: F.length(v) > 2))
+
+
+# File extensions by type.
+EXTENSIONS = {"image/svg+xml": "svg", "image/png": "png", "image/jpeg": "jpg", "image/gif": "gif", "image/webp": "webp"}
+
+
+def slug(name: Column, kind: Column) -> Column:
+    """A file name of plain letters: the stem, at most 48 characters, a hash of the whole name in base 36, the type's extension."""
+    stem = F.when(F.length(F.regexp_extract(name, r"^(.+)\.[^.]*$", 1)) > 0, F.regexp_extract(name, r"^(.+)\.[^.]*$", 1)).otherwise(name)
+    plain = F.translate(replaced(F.lower(stem), ("ß", "ss"), ("ø", "o"), ("ł", "l")), MARKED + "äöü", PLAIN + "aou")
+    short = F.regexp_replace(F.substring(replaced(plain, ("[^a-z0-9]+", "-"), ("^-|-$", "")), 1, 48), "-$", "")
+    chars = F.filter(F.split(name, ""), lambda c: c != "")
+    code = F.aggregate(chars, F.lit(0).cast("long"), lambda h, c: (h * 31 + F.ascii(c)) % 0xFFFFFF)
+    extension = F.coalesce(*[F.when(kind == k, v) for k, v in EXTENSIONS.items()], F.lit("svg"))
+    return F.concat(F.when(short == "", "logo").otherwise(short), F.lit("-"), F.lower(F.conv(code.cast("string"), 10, 36)), F.lit("."), extension)
+
+
+def area_name(areas: Column, level: int = 8) -> Column:
+    """Of an array of areas (name, level, main) the main one's name, else that of the level, else the last one's."""
+    main, same = F.filter(areas, lambda a: a["main"]), F.filter(areas, lambda a: a["level"] == level)
+    return F.coalesce(F.get(main, F.lit(0))["name"], F.get(same, F.lit(0))["name"], F.get(areas, F.size(areas) - 1)["name"], F.lit(""))
 
 
 def badge(line: Column) -> Column:

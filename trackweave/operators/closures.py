@@ -190,6 +190,20 @@ def with_history(closures: DataFrame, state: DataFrame) -> DataFrame:
     return joined.withColumns({"revisions": F.coalesce("revisions", F.lit(0)), "moves": F.coalesce("moves", F.lit(""))})
 
 
+def validated(records: DataFrame) -> DataFrame:
+    """Stored records with defaults for what is missing or unknown; days and band are computed again where they are absent. Dates are text."""
+    text = [c for c, kind in records.dtypes if kind == "string"]
+    rows = records.withColumns({c: F.coalesce(c, F.lit("")) for c in text})
+    span = span_days(F.substring("begin", 1, 10).try_cast("date"), F.substring("end", 1, 10).try_cast("date")) if "begin" in text else F.lit(0)
+    known = lambda c, values, default: F.when(F.col(c).isin(*values), F.col(c)).otherwise(default)
+    return rows.withColumns({"effect": known("effect", EFFECT_RANK, "other"), "direction": known("direction", DIRECTIONS.values(), "both"), "days": F.coalesce("days", span), "band": known("band", ("days", "weeks", "months"), band(span)), "extended": F.coalesce("extended", F.lit(0))})
+
+
+def local_day(moment: Column, zone: str = "Europe/Berlin", offset: int = 0) -> Column:
+    """The date at a moment in the zone that the register writes its times in, some days on."""
+    return F.date_add(F.to_date(F.from_utc_timestamp(moment, zone)), offset)
+
+
 def effect_rank(effect: Column) -> Column:
     return lookup(effect, EFFECT_RANK)
 

@@ -306,6 +306,30 @@ def taper_candidates(ends: DataFrame, slots: DataFrame, lines: DataFrame) -> Dat
     return out.select("node", "line_id", outcome.alias("outcome"), F.when(clear, one["seg_id"]).alias("seg_a"), F.when(clear, two["seg_id"]).alias("seg_b"), "delta", "length")
 
 
+def route_features(chains: DataFrame, slots: DataFrame, trims: DataFrame) -> DataFrame:
+    """seg_id, chain, line_id, slot and coords of each line on each chain, shortened at its ends where a taper takes over.
+
+    chains: seg_id, chain, coords. trims: seg_id, chain, line_id, start_m, end_m (several add up). Points nearer to an
+    end than the trim go; the cut point is set on the segment that it falls on. What is trimmed away whole is left out.
+    """
+    cut = trims.groupBy("seg_id", "chain", "line_id").agg(F.sum("start_m").alias("start_m"), F.sum("end_m").alias("end_m"))
+    steps = F.transform("coords", lambda p, i: F.when(i == 0, 0.0).otherwise(metres(F.get(F.col("coords"), i - 1)["lon"], F.get(F.col("coords"), i - 1)["lat"], p["lon"], p["lat"])))
+    along = F.transform(steps, lambda _, i: F.aggregate(F.slice(steps, 1, i + 1), F.lit(0.0), lambda a, x: a + x))
+    measured = chains.withColumn("at", along).withColumn("total", F.element_at("at", -1))
+    rows = measured.join(slots.select("seg_id", "line_id", "slot"), "seg_id").join(cut, ["seg_id", "chain", "line_id"], "left")
+    rows = rows.withColumns({"a": F.coalesce("start_m", F.lit(0.0)), "b": F.col("total") - F.coalesce("end_m", F.lit(0.0))}).where("a < b")
+    zipped = F.arrays_zip("coords", "at")
+
+    def point(where: Column) -> Column:
+        i = F.greatest(F.size(F.filter("at", lambda x: x <= where)) - 1, F.lit(0))
+        p, q, d = F.get("coords", i), F.coalesce(F.get("coords", i + 1), F.get("coords", i)), F.coalesce(F.get("at", i + 1) - F.get("at", i), F.lit(1.0))
+        t = (where - F.get("at", i)) / F.when(d > 0, d).otherwise(1.0)
+        return F.struct((p["lon"] + (q["lon"] - p["lon"]) * t).alias("lon"), (p["lat"] + (q["lat"] - p["lat"]) * t).alias("lat"))
+
+    inner = F.transform(F.filter(zipped, lambda z: (z["at"] > F.col("a")) & (z["at"] < F.col("b"))), lambda z: F.struct(z["coords"]["lon"].alias("lon"), z["coords"]["lat"].alias("lat")))
+    return rows.select("seg_id", "chain", "line_id", "slot", F.concat(F.array(point(F.col("a"))), inner, F.array(point(F.col("b")))).alias("coords"))
+
+
 def mark_runs(calls: DataFrame, slots: DataFrame) -> DataFrame:
     """bundle, station, run, lo, hi and lines: unbroken runs of places whose lines call at the station. calls: seg_id, station_id, line_id. slots as by slot_ordinals."""
     hit = slots.join(calls, ["seg_id", "line_id"])

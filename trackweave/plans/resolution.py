@@ -153,7 +153,7 @@ SQL = {
         n AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY station_id) AS n FROM c WHERE class IS NOT NULL)
         SELECT station_id, class, CAST(n AS INTEGER) AS n FROM n WHERE class = 'new' AND n <= 540 OR class = 'backlog' AND n <= least(100, greatest(0, 540 - (SELECT count(*) FROM c WHERE class = 'new')))""",
     "operator_variants": """WITH o AS (SELECT s_suppkey AS operator_id, s_suppkey % 4 AS k, n_name AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-        v AS (SELECT operator_id, unnest(CASE k WHEN 0 THEN [n || ' Bahn GmbH', n || ' Bahn'] WHEN 1 THEN [n || ' Verkehr (' || n[1:2] || ') AG', n || ' Verkehr AG', n || ' Verkehr'] WHEN 2 THEN [n || ';' || n || ' Lines', n] ELSE [n] END) AS variant FROM o)
+        v AS (SELECT operator_id, unnest(CASE k WHEN 0 THEN [n || ' Bahn GmbH', n || ' Bahn'] WHEN 1 THEN [n || ' Verkehr (' || n[1:2] || ') AG', n || ' Verkehr AG', n || ' Verkehr'] ELSE [n] END) AS variant FROM o)
         SELECT operator_id, variant FROM v WHERE length(variant) > 2""",
     "operator_logo_choice": f"{_MARKS} SELECT operator_id, file FROM chosen",
     "logo_refusals": f"""{_MARKS} SELECT s_suppkey AS operator_id, coalesce(string_agg(DISTINCT reason, ',' ORDER BY reason), '') AS reasons FROM supplier LEFT JOIN pairs ON s_suppkey = operator_id
