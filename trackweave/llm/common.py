@@ -13,7 +13,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a worker holds as Python objects at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+
+
+#: Rows in an Arrow batch: whole batches are held on both sides of the pipe to a worker.
+BATCH_ROWS = 1_000
+
+
+def batched(df: DataFrame) -> DataFrame:
+    """df, to be mapped in Arrow batches of BATCH_ROWS rows, if the session doesn't ask for fewer. Sets that for the session."""
+    key, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return df
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -73,7 +86,7 @@ def map_text(df: DataFrame, column: str, fields: list[T.StructField], fn: Callab
                 arrays = [x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, t in zip(made, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *arrays], names=[*keep, *(f.name for f in fields)])
 
-    return df.select(*dict.fromkeys(f"`{c}`" for c in [*keep, column])).mapInArrow(run, schema)
+    return batched(df).select(*dict.fromkeys(f"`{c}`" for c in [*keep, column])).mapInArrow(run, schema)
 
 
 def to_arrow(kind: T.DataType) -> pa.DataType:

@@ -15,11 +15,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackweave.llm.common import map_text, packed, slices, texts
+from trackweave.llm.common import batched, map_text, packed, slices, texts
 
 LENGTH = 2048
 DIMENSIONS, BITS, FEATURES = 4, 10, 128
@@ -29,7 +30,10 @@ RANGE_BYTES = 16 << 20
 #: Ranges are cut at some of so many quantiles.
 QUANTILES = 2048
 #: Stretches without white space whose ids a worker remembers.
-MEMORY = 700_000
+MEMORY = 400_000
+#: Bytes of text that are split into words at a time.
+SLICE = 2 << 20
+LETTERS = "^[A-Za-z\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{12F}\\x{131}-\\x{17F}]+$"
 MARKS = ".,;:!?*$%&#"
 
 
@@ -73,6 +77,10 @@ def curve_keys(rows: list[bytes]) -> np.ndarray:
     return hilbert(np.minimum((unit * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS)
 
 
+def listed(values: pa.Array) -> list:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     """Ids of a whole text, looked up by stretches without white space.
 
@@ -83,47 +91,52 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.seen = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
 
     def __call__(self, rows: list[str]) -> list[bytes]:
         """Little-endian unsigned 16-bit ids (32-bit, if the vocabulary is larger)."""
         if len(self.seen) > MEMORY:
             self.seen.clear()
         seen = self.seen
-        parts = [t.replace("\n", " ").split(" ") for t in rows]
-        found = [list(map(seen.get, p)) for p in parts]
-        new = {w for p, f in zip(parts, found, strict=True) if None in f for w, x in zip(p, f, strict=True) if x is None}
-        self.add(new)
-        get = seen.__getitem__
-        return [b"".join(map(get, p) if None in f else f) for p, f in zip(parts, found, strict=True)]
-
-    def add(self, new: set[str]) -> None:
-        seen = self.seen
-        # Letters (below U+0180: normalisation leaves them in place, and case folds letter by letter) and marks after them are tokens apart.
-        split, rest = [], []
-        for w in new:
-            core = w.rstrip(MARKS)
-            low = core.lower()
-            if low.isalpha() and max(low) < "\u0180" and len(low) == len(core):
-                split.append((w, low, w[len(core) :]))
-            else:
-                rest.append(w)
-        rest += {tail for _, _, tail in split if tail not in seen}
+        lists = pc.split_pattern(pc.replace_substring(pa.array(rows, pa.large_string()), "\n", " "), " ")
+        coded = lists.values.dictionary_encode()
+        words, at = listed(coded.dictionary), coded.indices.to_numpy()
+        ids = list(map(seen.get, words))
+        if None in ids:
+            self.add([w for w, x in zip(words, ids, strict=True) if x is None])
+            ids = [seen[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+        flat = np.frombuffer(b"".join(ids), "<u2")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        begin, length = (np.cumsum(size) - size)[at], size[at]
+        end = np.concatenate([[0], np.cumsum(length)])
+        out = flat[np.repeat(begin - end[:-1], length) + np.arange(end[-1])]
+        cut = end[lists.offsets.to_numpy()].tolist()
+        return [out[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
+
+    def add(self, new: list[str]) -> None:
+        """Letters below U+0180 (normalisation leaves them in place, and case folds letter by letter) and marks after them are tokens apart."""
+        seen, words = self.seen, pa.array(new, pa.large_string())
+        core = pc.utf8_rtrim(words, MARKS)
+        plain = pc.match_substring_regex(core, LETTERS)
+        split = listed(words.filter(plain))
+        low, size = listed(pc.utf8_lower(core.filter(plain))), listed(pc.utf8_length(core.filter(plain)))
+        tails = [w[n:] for w, n in zip(split, size, strict=True)]
+        rest = [*listed(words.filter(pc.invert(plain))), *set(tails).difference(seen)]
         for a in range(0, len(rest), 20_000):
             made = self.tokenizer.encode_batch_fast(rest[a : a + 20_000], add_special_tokens=False)
             seen.update((w, np.array(e.ids, "<u2").tobytes()) for w, e in zip(rest[a : a + 20_000], made, strict=True))
-        fresh = list({low for _, low, _ in split if low not in seen})
+        fresh = list(set(low).difference(seen))
         for a in range(0, len(fresh), 2_000):
             self.learn(fresh[a : a + 2_000])
-        seen.update((w, seen[low] + seen[tail]) for w, low, tail in split)
+        seen.update((w, seen[x] + seen[t]) for w, x, t in zip(split, low, tails, strict=True))
 
     def learn(self, words: list[str]) -> None:
-        """Words of plain letters, which normalisation leaves in place: many in one call, told apart by offsets."""
-        made = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ids = np.array(made.ids, "<u2")
-        begin = np.fromiter((a for a, _ in made.offsets), np.int64, len(ids))
-        word_at = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])])
-        cut = np.searchsorted(begin, word_at).tolist()
-        self.seen.update((w, ids[a:b].tobytes()) for w, a, b in zip(words, cut, cut[1:], strict=False))
+        """Words of plain letters, which normalisation leaves in place: many in one call, told apart by the pieces that end a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u2")
+        cut = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
+        self.seen.update((w, ids[a:b].tobytes()) for w, a, b in zip(words, cut[:-1], cut[1:], strict=True))
 
 
 @lru_cache(maxsize=2)
@@ -158,14 +171,15 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = 1)
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_ = encoder(tokenizer)
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in slices(batch, "text", SLICE):
                 own = texts(rows, "text")
                 at = curve_keys(own) * (1 << TIE_BITS) + rows.column("salt").to_numpy()
                 ids = encode_([t.decode() for t in own])
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.searchsorted(bounds, at), pa.int32()), pa.array(at, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "range_id", "place", "ids"])
+        encode_.seen.clear()  # a worker that waits for other stages' tasks holds nothing
 
     coded = T.StructType([docs.schema["doc_id"], T.StructField("range_id", T.IntegerType()), T.StructField("place", T.LongType()), T.StructField("ids", T.BinaryType())])
-    dealt = docs.select("doc_id", "text", salt.alias("salt")).mapInArrow(encode, coded).repartitionById(ranges, "range_id").sortWithinPartitions("range_id", "place", "doc_id")
+    dealt = batched(docs).select("doc_id", "text", salt.alias("salt")).mapInArrow(encode, coded).repartitionById(ranges, "range_id").sortWithinPartitions("range_id", "place", "doc_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         range_id, at = None, 0
