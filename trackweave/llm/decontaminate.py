@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackweave.llm.common import slices, texts
+from trackweave.llm.common import batched, slices, texts
 
-#: Phrases of about so many bytes of benchmark text are broadcast at a time; a larger benchmark takes more passes.
-PHRASE_BYTES = 16 << 20
+#: Phrases of about so many bytes of benchmark text are one chunk; so many chunks are searched in one pass over the text.
+PHRASE_BYTES, PASS_CHUNKS = 16 << 20, 4
 SAMPLE = 8
 
 #: A-Z to lower case; of ASCII only digits and letters belong to words, all bytes from 0x80 do.
@@ -178,41 +178,68 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def find_overlaps(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def marked(batches: Iterator[pa.RecordBatch], phrases: Phrases, text_col: str) -> Iterator[pa.RecordBatch]:
+    """The batches with n_words, and with what the phrases hit added to hit_spans and items."""
+    for batch in batches:
+        for rows in slices(batch, text_col):
+            n, spans, found = shard_hits(texts(rows, text_col), phrases)
+            spans = [merged([*((s["start"], s["end"]) for s in old or ()), *new]) for old, new in zip(rows.column("hit_spans").to_pylist(), spans, strict=True)]
+            found = [sorted({*(old or ()), *new} - {""}) for old, new in zip(rows.column("items").to_pylist(), found, strict=True)]
+            for name, values in zip((f.name for f in FOUND), (n, [[{"start": a, "end": b} for a, b in x] for x in spans], found), strict=True):
+                at = rows.schema.get_field_index(name)
+                rows = rows.set_column(at, rows.schema.field(at), pa.array(values, type=rows.schema.field(at).type))
+            yield rows
+
+
+def cut_out(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+    """The batches with their hit words, and what stands between them, taken out of the texts."""
+
+    def cut(text: bytes, spans: list[dict]) -> bytes:
+        flat = np.frombuffer(b" " + text.translate(FOLDED) + b" ", np.uint8) != 32
+        edge = np.flatnonzero(np.diff(flat.view(np.int8)))
+        begin, end, out, at = edge[::2], edge[1::2], [], 0
+        for s in spans:
+            out.append(text[at : begin[s["start"]]])
+            at = int(end[s["end"] - 1])
+        return b"".join([*out, text[at:]])
+
+    for rows in batches:
+        spans = rows.column("hit_spans").to_pylist()
+        if any(spans):
+            at = rows.schema.get_field_index(text_col)
+            kept = [None if t is None else cut(t.encode(), s).decode(errors="replace") if s else t for t, s in zip(rows.column(text_col).to_pylist(), spans, strict=True)]
+            rows = rows.set_column(at, rows.schema.field(at), pa.array(kept, rows.schema.field(at).type))
+        yield rows
+
+
+def find_overlaps(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, cut: bool = False) -> DataFrame:
     """docs' columns `keep` (all, if None) with n_words, hit_spans (merged word ranges) and items (sorted ids found).
 
     A phrase is `window` consecutive words of an item, or a shorter item whole. Null or
     wordless texts and items have no words and no hits; repeated rows are reported each;
     items with a null id are found but not named; of an empty table nothing is found.
-    Columns of docs named like the three new ones are replaced.
+    Columns of docs named like the three new ones are replaced. cut: the texts come without what was hit.
     """
-    from trackweave.llm.common import to_arrow
-
     names = {f.name for f in FOUND}
     keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
     bytes_ = items.agg(F.coalesce(F.sum(F.octet_length(F.col(item_text))), F.lit(0))).first()[0]
     chunks = max(1, -(-int(bytes_) // PHRASE_BYTES))
-    out = docs.select(*{*keep, text_col}).withColumns({f.name: F.lit(None).cast(f.dataType) for f in FOUND})
-    schema = T.StructType([*(docs.schema[c] for c in dict.fromkeys([*keep, text_col])), *FOUND])
-    types = [to_arrow(f.dataType) for f in FOUND]
-    for k in range(chunks):
-        part = items if chunks == 1 else items.where(F.pmod(F.xxhash64(item_id), F.lit(chunks)) == k)
-        rows = [("" if r[0] is None else str(r[0]), (r[1] or "").encode()) for r in part.select(item_id, item_text).collect()]
-        sent = docs.sparkSession.sparkContext.broadcast(Phrases(rows, window))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for rows in slices(batch, text_col):
-                    n, spans, found = shard_hits(texts(rows, text_col), sent.value)
-                    spans = [merged([*((s["start"], s["end"]) for s in old or ()), *new]) for old, new in zip(rows.column("hit_spans").to_pylist(), spans, strict=True)]
-                    found = [sorted({*(old or ()), *new} - {""}) for old, new in zip(rows.column("items").to_pylist(), found, strict=True)]
-                    spans = [[{"start": a, "end": b} for a, b in x] for x in spans]
-                    made = [pa.array(x, type=t) for x, t in zip((n, spans, found), types, strict=True)]
-                    rest = [c for c in schema.names if c not in names]
-                    yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in rest), *made], names=[*rest, *names_])
-
-        names_ = [f.name for f in FOUND]
-        out = out.select(*schema.names).mapInArrow(run, schema)
+    out = batched(docs).select(*dict.fromkeys([*keep, text_col])).withColumns({f.name: F.lit(None).cast(f.dataType) for f in FOUND})
+    schema = out.schema
+    for first in range(0, chunks, PASS_CHUNKS):
+        sent = []
+        for k in range(first, min(chunks, first + PASS_CHUNKS)):
+            part = items if chunks == 1 else items.where(F.pmod(F.xxhash64(item_id), F.lit(chunks)) == k)
+            rows = [("" if r[0] is None else str(r[0]), (r[1] or "").encode()) for r in part.select(item_id, item_text).collect()]
+            sent.append(docs.sparkSession.sparkContext.broadcast(Phrases(rows, window)))
+        last = cut and first + PASS_CHUNKS >= chunks
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, last=last) -> Iterator[pa.RecordBatch]:
+            for phrases in sent:
+                batches = marked(batches, phrases.value, text_col)
+            return cut_out(batches, text_col) if last else batches
+
+        out = out.mapInArrow(run, schema)
     return out.select(*keep, *(f.name for f in FOUND))
 
 
@@ -228,30 +255,9 @@ def remove_overlaps(docs: DataFrame, items: DataFrame, window: int = 10) -> Data
     n_chars follows the text, if docs has it. Documents without hits stay as they are, null texts too.
     """
 
-    def cut(text: bytes, spans: list[dict]) -> bytes:
-        flat = np.frombuffer(b" " + text.translate(FOLDED) + b" ", np.uint8) != 32
-        edge = np.flatnonzero(np.diff(flat.view(np.int8)))
-        begin, end, out, at = edge[::2], edge[1::2], [], 0
-        for s in spans:
-            out.append(text[at : begin[s["start"]]])
-            at = int(end[s["end"] - 1])
-        return b"".join([*out, text[at:]])
-
-    found = find_overlaps(docs, items, window)
-    schema = found.schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = schema.names.index("text")
-        for batch in batches:
-            for rows in slices(batch, "text"):
-                spans = rows.column("hit_spans").to_pylist()
-                if any(spans):
-                    kept = [None if t is None else cut(t.encode(), s).decode(errors="replace") if s else t for t, s in zip(rows.column("text").to_pylist(), spans, strict=True)]
-                    rows = rows.set_column(at, rows.schema.field(at), pa.array(kept, rows.schema.field(at).type))
-                yield rows
-
+    found = find_overlaps(docs, items, window, cut=True)
     hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda s, x: s + (x["end"] - x["start"]))
-    cleaned = found.mapInArrow(run, schema).where((hit == 0) | (hit < F.col("n_words")))
+    cleaned = found.where((hit == 0) | (hit < F.col("n_words")))
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.when(F.size("hit_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return cleaned.select(*docs.columns)

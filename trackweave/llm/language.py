@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from trackweave.llm.common import fold, map_text, slices, texts
+from trackweave.llm.common import batched, fold, map_text, slices, texts
 
 LENGTH, WIDTHS, FILTERS = 128, (2, 3, 4), 16
 #: The most labelled rows that it is trained on, for a language and in all; windows of each row.
@@ -143,7 +143,7 @@ def fit(docs: DataFrame, folds: int = 5, held_out: int = 0) -> tuple[list[str],
                         parts.append(cuts[k].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(parts, pa.binary())], names=["lang", "window"])
 
-    rows = sorted((r[0], bytes(r[1])) for r in sample.mapInArrow(cut, "lang string, window binary").collect())
+    rows = sorted((r[0], bytes(r[1])) for r in batched(sample).mapInArrow(cut, "lang string, window binary").collect())
     if not rows:
         return None
     names = sorted({lang for lang, _ in rows})

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import slices, texts, written
+from trackweave.llm.common import batched, slices, texts, written
 
 #: The longer line of a near pair has so many words.
 LEAST = 5
@@ -63,7 +63,7 @@ def line_table(docs: DataFrame) -> DataFrame:
                 arrays = [rows.column("doc_id").take(pa.array(owner, pa.int64())), pa.array(number, pa.int32()), pa.array(sizes, pa.int32()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.ListArray.from_arrays(ends, pa.array(flat))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "line_no", "n", "h1", "h2", "halves"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, f"doc_id {doc}, line_no int, n int, h1 long, h2 long, halves array<long>")
+    return batched(docs).where("doc_id is not null").select("doc_id", "text").mapInArrow(run, f"doc_id {doc}, line_no int, n int, h1 long, h2 long, halves array<long>")
 
 
 def powers(base: int, n: int) -> np.ndarray:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackweave.llm.common import fold, map_text, slices, texts, written
+from trackweave.llm.common import batched, fold, map_text, slices, texts, written
 
 #: The most labelled rows that the dictionaries and the calibration are fitted on.
 TOXIC_ROWS, ORDINARY_ROWS = 3_000, 6_000
@@ -104,7 +104,7 @@ def contexts(sample: DataFrame) -> DataFrame:
                 columns = list(zip(*found, strict=True)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], names=["word", "toxic", "beside"])
 
-    return sample.select("text", "toxic").mapInArrow(run, "word binary, toxic int, beside binary").groupBy("word", "toxic", F.xxhash64("beside").alias("beside")).count().groupBy("word", "toxic").agg(F.count("*").alias("n"))
+    return batched(sample).select("text", "toxic").mapInArrow(run, "word binary, toxic int, beside binary").groupBy("word", "toxic", F.xxhash64("beside").alias("beside")).count().groupBy("word", "toxic").agg(F.count("*").alias("n"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
