@@ -103,3 +103,20 @@ def test_shortlist_stops_at_enough(spark):
     rows = [(1, v, r, f"e{v}{r}") for v in range(3) for r in range(4)] + [(1, 0, 9, "e00")]
     got = resolve.shortlist(spark.createDataFrame(rows, "operator_id int, variant int, rank int, entity string")).orderBy("n").collect()
     assert [r["entity"] for r in got] == ["e00", "e01", "e02", "e03", "e10", "e11", "e12", "e13"]
+
+
+def test_queries_take_whole_tables(spark, tmp_path):
+    from trackweave.plans import network as queries
+
+    spark.range(1, 1001).selectExpr("id AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(1, 91).selectExpr("id AS s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    ways = {2 * k for k in range(2, 1001, 2)} | {2 * k + 1 for k in range(5, 1001, 5)}
+    assert sorted(r["id"] for r in queries.closure_layer(spark, tmp_path).collect()) == list(range(1, 91))
+    assert {r["chain_id"] for r in queries.coorient(spark, tmp_path).collect()} == ways
+    points = [r for r in queries._network(spark, tmp_path).select("way_id", "coords").collect()]
+    assert {r["way_id"] for r in points} == ways and len({(p["lon"], p["lat"]) for r in points for p in r["coords"]}) > 900
+    chains = queries.chain_ways(spark, tmp_path).collect()
+    assert {r["seg_id"] for r in chains} == {i % 8 + 8 * (i // 800) for i in ways}
+    kept = [(r["line_id"], r["way_id"]) for r in queries.collapse_tracks(spark, tmp_path).collect()]
+    assert {line for line, _ in kept} == {i % 6 + 6 * (i // 800) for i in ways} and len(kept) == len(set(kept)) and {i for _, i in kept if i < 10_000} <= ways
+    assert max(i for _, i in kept if i < 10_000) > 1900

@@ -17,15 +17,37 @@ LON = "9.5e0 + ({0} * 7919 % 9973) / 400000.0e0"
 LAT = "52.1e0 + ({0} * 104729 % 9967) / 400000.0e0"
 
 
-def _ways(spark, sf_dir):
+#: Customers whose places fill one cell of the whole network; the next ones lie in a cell of their own, so that a larger table is a wider network and not a denser one.
+BLOCK, CELL, ROW = 400, "0.03e0", 200
+
+
+def _placed_ways(customers, lon, lat):
     """A way over the places of three customers in turn for every second one, and short ones for every fifth."""
-    c = frame(spark, sf_dir, "customer").where("c_custkey < 400")
-    place = lambda k: f"named_struct('lon', {LON.format(k)}, 'lat', {LAT.format(k)})"
-    long = c.where("c_custkey % 2 = 0").selectExpr("c_custkey * 2 AS way_id", f"array({place('c_custkey')}, {place('(c_custkey + 1)')}, {place('(c_custkey + 2)')}) AS coords", "CAST(c_custkey % 9 AS INT) AS ref", "c_custkey % 13 = 0 AS service")
-    short = c.where("c_custkey % 5 = 0").selectExpr("c_custkey * 2 + 1 AS way_id", f"array({place('c_custkey')}, {place('(c_custkey + 37)')}) AS coords", "CAST(NULL AS INT) AS ref", "false AS service")
+    place = lambda k: f"named_struct('lon', {lon.format(k)}, 'lat', {lat.format(k)})"
+    long = customers.where("c_custkey % 2 = 0").selectExpr("c_custkey * 2 AS way_id", f"array({place('c_custkey')}, {place('(c_custkey + 1)')}, {place('(c_custkey + 2)')}) AS coords", "CAST(c_custkey % 9 AS INT) AS ref", "c_custkey % 13 = 0 AS service")
+    short = customers.where("c_custkey % 5 = 0").selectExpr("c_custkey * 2 + 1 AS way_id", f"array({place('c_custkey')}, {place('(c_custkey + 37)')}) AS coords", "CAST(NULL AS INT) AS ref", "false AS service")
     return long.unionByName(short)
 
 
+def _ways(spark, sf_dir):
+    """The ways that the SQL of rail_graph_edges and nearest_node names."""
+    return _placed_ways(frame(spark, sf_dir, "customer").where("c_custkey < 400"), LON, LAT)
+
+
+WIDE_LON = f"({LON} + {CELL} * ({{0}} div {BLOCK} % {ROW}))"
+WIDE_LAT = f"({LAT} + {CELL} * ({{0}} div {BLOCK} div {ROW}))"
+
+
+def _network(spark, sf_dir):
+    """Ways of all customers."""
+    return _placed_ways(frame(spark, sf_dir, "customer"), WIDE_LON, WIDE_LAT)
+
+
+def _in_cell(way_id, groups):
+    """Ids of so many groups of ways in each cell; a way_id is about twice its customer's number."""
+    return way_id % groups + groups * F.floor(way_id / (2 * BLOCK))
+
+
 def rail_graph_edges(spark, sf_dir):
     return w.rail_graph(_ways(spark, sf_dir)).select("way_id", "src", "dst", half_up(F.col("metres"), 3).alias("metres"), "forward")
 
@@ -47,34 +69,35 @@ def batch_routes(spark, sf_dir):
 
 
 def closure_layer(spark, sf_dir):
-    s = frame(spark, sf_dir, "supplier").where("s_suppkey < 60")
-    closures = s.selectExpr("s_suppkey AS id", f"{LON.format('s_suppkey')} AS from_lon", f"{LAT.format('s_suppkey')} AS from_lat", f"{LON.format('(s_suppkey + s_suppkey % 3)')} AS to_lon", f"{LAT.format('(s_suppkey + s_suppkey % 3)')} AS to_lat", "array(CAST(s_suppkey % 9 AS INT)) AS refs")
-    return w.closure_layer(closures, _ways(spark, sf_dir)).select("id", "kind", half_up(F.col("cost"), 1).alias("cost"))
+    s = frame(spark, sf_dir, "supplier")
+    closures = s.selectExpr("s_suppkey AS id", f"{WIDE_LON.format('s_suppkey')} AS from_lon", f"{WIDE_LAT.format('s_suppkey')} AS from_lat", f"{WIDE_LON.format('(s_suppkey + s_suppkey % 3)')} AS to_lon", f"{WIDE_LAT.format('(s_suppkey + s_suppkey % 3)')} AS to_lat", "array(CAST(s_suppkey % 9 AS INT)) AS refs")
+    return w.closure_layer(closures, _network(spark, sf_dir)).select("id", "kind", half_up(F.col("cost"), 1).alias("cost"))
 
 
 def _segment_ways(spark, sf_dir):
-    return _ways(spark, sf_dir).select((F.col("way_id") % 8).alias("seg_id"), F.col("way_id").alias("n"), "way_id")
+    return _network(spark, sf_dir).select(_in_cell(F.col("way_id"), 8).alias("seg_id"), F.col("way_id").alias("n"), "way_id")
 
 
 def chain_ways(spark, sf_dir):
-    chains = w.chain_ways(_segment_ways(spark, sf_dir), _ways(spark, sf_dir), 30.0)
+    chains = w.chain_ways(_segment_ways(spark, sf_dir), _network(spark, sf_dir), 30.0)
     return chains.select("seg_id", "chain", F.size("coords").alias("points"))
 
 
 def collapse_tracks(spark, sf_dir):
-    ways = _ways(spark, sf_dir).withColumn("lines", (F.col("way_id") % 3).cast("int"))
-    twin = ways.where("way_id % 4 = 0").select((F.col("way_id") + 100_000).alias("way_id"), F.transform("coords", lambda p: F.struct((p["lon"] + 0.00002).alias("lon"), p["lat"].alias("lat"))).alias("coords"), "ref", "service", F.lit(0).alias("lines"))
+    ways = _network(spark, sf_dir).withColumns({"lines": (F.col("way_id") % 3).cast("int"), "line_id": _in_cell(F.col("way_id"), 6)})
+    far = 100_000_000_000_000  # past every way's id
+    twin = ways.where("way_id % 4 = 0").select((F.col("way_id") + far).alias("way_id"), F.transform("coords", lambda p: F.struct((p["lon"] + 0.00002).alias("lon"), p["lat"].alias("lat"))).alias("coords"), "ref", "service", F.lit(0).alias("lines"), (_in_cell(F.col("way_id"), 6) - F.col("way_id") % 6 + (F.col("way_id") + far) % 6).alias("line_id"))
     ways = ways.unionByName(twin)
-    lines = frame(spark, sf_dir, "v_lines").where("line_id < 6").select("line_id", F.lit("regional").alias("mode"))
-    return w.collapse_tracks(ways.select((F.col("way_id") % 6).alias("line_id"), "way_id"), ways, lines)
+    lines = ways.select("line_id").distinct().select("line_id", F.lit("regional").alias("mode"))
+    return w.collapse_tracks(ways.select("line_id", "way_id"), ways.drop("line_id"), lines)
 
 
 def coorient(spark, sf_dir):
-    ways = _ways(spark, sf_dir)
+    ways = _network(spark, sf_dir)
     first, second, before, last = F.col("coords")[0], F.col("coords")[1], F.element_at("coords", -2), F.element_at("coords", -1)
     k = F.cos(F.radians(F.lit(52.1)))
     unit = lambda a, b: F.struct(((b["lon"] - a["lon"]) * k / F.hypot((b["lon"] - a["lon"]) * k, b["lat"] - a["lat"])).alias("x"), ((b["lat"] - a["lat"]) / F.hypot((b["lon"] - a["lon"]) * k, b["lat"] - a["lat"])).alias("y"))
-    chains = ways.where("way_id < 300").select(F.col("way_id").alias("chain_id"), w.node_key(first).alias("from_node"), w.node_key(last).alias("to_node"), unit(second, first).alias("from_dir"), unit(before, last).alias("to_dir"), ((last["lon"] - first["lon"]) * k * 111_320).alias("east"), ((last["lat"] - first["lat"]) * 111_320).alias("north"))
+    chains = ways.select(F.col("way_id").alias("chain_id"), w.node_key(first).alias("from_node"), w.node_key(last).alias("to_node"), unit(second, first).alias("from_dir"), unit(before, last).alias("to_dir"), ((last["lon"] - first["lon"]) * k * 111_320).alias("east"), ((last["lat"] - first["lat"]) * 111_320).alias("north"))
     return w.coorient(chains)
 
 
