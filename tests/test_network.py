@@ -1,8 +1,10 @@
 """Track geometry on small networks, in metres about latitude 52."""
 
+import inspect
 import math
 
 import numpy as np
+import pytest
 
 from trackweave.operators import graph, network, resolve
 
@@ -120,3 +122,16 @@ def test_queries_take_whole_tables(spark, tmp_path):
     kept = [(r["line_id"], r["way_id"]) for r in queries.collapse_tracks(spark, tmp_path).collect()]
     assert {line for line, _ in kept} == {i % 6 + 6 * (i // 800) for i in ways} and len(kept) == len(set(kept)) and {i for _, i in kept if i < 10_000} <= ways
     assert max(i for _, i in kept if i < 10_000) > 1900
+
+
+def test_routes_are_never_cut_in_silence(spark):
+    edges = spark.createDataFrame([(i, i + 1, 10.0, None, False) for i in range(6)], "src int, dst int, metres double, ref int, service boolean")
+    trips = spark.createDataFrame([(1, 0, 6, [], 100.0), (2, 0, 6, [], 50.0)], "trip_id int, source int, target int, refs array<int>, budget double")
+    reached = graph.batch_routes(edges, trips)
+    assert sorted((r["trip_id"], r["cost"]) for r in graph.arrivals(reached, trips).collect()) == [(1, 60.0), (2, None)]
+    assert sorted(r["node"] for r in graph.path_nodes(reached, trips).collect()) == list(range(7))
+    with pytest.raises(RuntimeError):
+        graph.batch_routes(edges, trips, rounds=3)
+    with pytest.raises(RuntimeError):
+        graph.path_nodes(reached, trips, rounds=3)
+    assert all(inspect.signature(f).parameters["rounds"].default is None for f in (graph.batch_routes, graph.path_nodes))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -52,19 +53,20 @@ def spanning_forest(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return chosen
 
 
-def batch_routes(edges: DataFrame, trips: DataFrame, rounds: int = 400) -> DataFrame:
+def batch_routes(edges: DataFrame, trips: DataFrame, rounds: int | None = None) -> DataFrame:
     """Cheapest path of every trip at once: trip_id, cost and hops; trips that find none within their budget have null cost.
 
     edges: src, dst, metres, ref (null: untagged), service. trips: trip_id, source, target, refs
     (array), budget. An edge costs its metres, four times as much with another reference than
     the trip states (untagged: no more), and four times as much again on service track. A frontier
     of (trip, node, cost) relaxes by a join on the node; costs past the budget or the best arrival so far are dropped.
+    It ends when no cost falls any more, which the budgets bring about; where `rounds` are given and don't suffice, it raises.
     """
     trips = settled(trips.where("source <> target"))
     reached = trips.select("trip_id", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast(dict(edges.dtypes)["src"]).alias("previous"))
     frontier = reached
     best = reached.where("false").select("trip_id", F.col("cost").alias("best"))
-    for _ in range(rounds):
+    for n in itertools.count(1):
         steps = frontier.join(edges, frontier.node == edges.src).join(trips.select("trip_id", "refs", "budget"), "trip_id").join(best, "trip_id", "left")
         other = (F.size("refs") > 0) & F.col("ref").isNotNull() & ~F.array_contains("refs", F.col("ref"))
         weight = F.col("metres") * F.when(other, 4).otherwise(1) * F.when(F.col("service"), 4).otherwise(1)
@@ -76,9 +78,10 @@ def batch_routes(edges: DataFrame, trips: DataFrame, rounds: int = 400) -> DataF
         frontier = reached_new.where("_new = 1").drop("_new")
         reached = reached_new.drop("_new")
         if not frontier.limit(1).count():
-            break
+            return reached
+        if n == rounds:
+            raise RuntimeError(f"routes did not settle in {rounds} rounds")
         best = reached.join(trips.select("trip_id", F.col("target").alias("node")), ["trip_id", "node"]).select("trip_id", F.col("cost").alias("best"))
-    return reached
 
 
 def arrivals(reached: DataFrame, trips: DataFrame) -> DataFrame:
@@ -86,16 +89,19 @@ def arrivals(reached: DataFrame, trips: DataFrame) -> DataFrame:
     return trips.select("trip_id", "target").join(found, ["trip_id", "target"], "left").select("trip_id", "cost", "hops")
 
 
-def path_nodes(reached: DataFrame, trips: DataFrame, rounds: int = 400) -> DataFrame:
-    """trip_id, node and hops of the nodes on each found path, walked back from the target."""
+def path_nodes(reached: DataFrame, trips: DataFrame, rounds: int | None = None) -> DataFrame:
+    """trip_id, node and hops of the nodes on each found path, walked back from the target; raises where `rounds` are given and don't suffice."""
     at = trips.select("trip_id", F.col("target").alias("node")).join(reached, ["trip_id", "node"]).select("trip_id", "node", "hops", "previous")
     out = at
-    for _ in range(rounds):
+    for n in itertools.count(1):
         at = settled(at.where("previous is not null").select("trip_id", F.col("previous").alias("node")).join(reached, ["trip_id", "node"]).select("trip_id", "node", "hops", "previous"))
         if not at.limit(1).count():
-            break
+            return out.select("trip_id", "node", "hops")
+        if n == rounds:
+            raise RuntimeError(f"paths did not end in {rounds} rounds")
         out = out.unionByName(at)
-    return out.select("trip_id", "node", "hops")
+        if n % 50 == 0:
+            out = settled(out)
 
 
 def route_budget(chord: Column, stated: Column) -> Column:
