@@ -60,3 +60,34 @@ def test_quick_network_equals_the_trained_one():
     net = language.Network(3)
     x = np.random.default_rng(0).integers(0, 256, (20, 128)).astype(np.uint8)
     assert np.allclose(net.logits(x), language.Quick(net).logits(x), atol=1e-4)
+
+
+def test_sampling_does_not_move_the_border(spark):
+    docs, labels = read(spark, SF, "documents"), read(spark, SF, "labels")
+    marked = quality.training_labels(labels).join(docs.select("doc_id"), "doc_id")
+    n, poor = marked.count(), marked.where("label = 0").count()
+    found = quality.score_quality(docs, labels, sample=30).join(marked, "doc_id").where("predicted = 0").count()
+    assert poor > 40 and poor / n < 0.25 and abs(found - poor) <= 2  # a balanced sample's own quantile calls about half of them poor
+
+
+def test_rank_among_many(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(quality, "SORTED", 10)
+    monkeypatch.setattr(quality, "BINS", 3)
+    values = np.random.default_rng(2).normal(size=300).round(2).tolist() + [0.5] * 40
+    table = spark.createDataFrame([(v, i % 5 and 1) for i, v in enumerate(values)], "raw double, label int").cache()
+    assert all(quality.at_rank(table, k) == sorted(values)[k] for k in (0, 1, 150, 240, 339))
+    threshold, unit = quality.border(table)
+    assert abs(threshold - np.quantile(values, 0.2)) < 1e-12 and abs(unit - np.std(values) / 4) < 1e-6
+
+
+def test_calibration_has_the_shares_of_all_labelled_rows():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    x, y = np.concatenate([r.normal(0, 1, (9_000, 1)), r.normal(1.5, 1, (1_000, 1))]), np.repeat([0.0, 1.0], [9_000, 1_000])
+    share = lambda w: (1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))).mean()
+    capped = np.concatenate([np.arange(1_000), np.arange(9_000, 10_000)])
+    assert abs(share(toxicity.logistic(x, y)) - 0.1) < 0.005 and abs(share(toxicity.logistic(x[capped], y[capped], (9_000, 1_000))) - 0.1) < 0.01
+    assert share(toxicity.logistic(x[capped], y[capped])) > 0.25

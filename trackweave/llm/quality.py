@@ -3,8 +3,8 @@
 A document's score is linear in features of its whole text. Labelled documents give
 preference pairs, a good one over a poor one; the chance that the first is preferred is the
 logistic of the difference of scores, and the weights minimise the logistic loss on feature
-differences. Documents whose score lies under a quantile of the training scores, that of the
-share of poor ones, are poor.
+differences. Documents whose score lies under a quantile of the scores of all training documents,
+that of the share of poor ones, are poor. Only the weights are fitted on a sample.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from trackweave.llm.common import fold, map_text, written
 
 #: The most labelled rows of either class that the weights are fitted on, and pairs drawn from them.
 SAMPLE, PAIRS = 10_000, 40_000
+#: Bins that a range of scores is cut into to find a quantile, and the most scores that are sorted on the driver.
+BINS, SORTED = 4_096, 20_000
 WINDOW = 512
 
 CLASSES = ("upper", "lower", "high", "digit", "white", "stop", "shout", "bar", "mark", "other")
@@ -57,7 +59,7 @@ def spread(x: np.ndarray) -> np.ndarray:
 
 
 class Ranking:
-    """Weights of a Bradley-Terry model and the score that parts good from poor."""
+    """Weights of a Bradley-Terry model."""
 
     def __init__(self, good: np.ndarray, poor: np.ndarray, pairs: int = PAIRS, rounds: int = 400, ridge: float = 1e-4):
         both = spread(np.concatenate([good, poor]))
@@ -70,13 +72,33 @@ class Ranking:
             slope = -(x * (1 / (1 + np.exp(np.clip(x @ w, -30, 30))))[:, None]).mean(axis=0) + ridge * w
             speed, square = 0.9 * speed + 0.1 * slope, 0.999 * square + 0.001 * slope**2
             w -= 0.05 * (speed / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
-        self.weights, own = w, z @ w
-        self.threshold = float(np.quantile(own, len(poor) / len(z)))
-        self.unit = float(np.std(own)) / 4 + 1e-9
+        self.weights = w
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        raw = ((spread(x) - self.mean) / self.scale) @ self.weights
-        return 1 / (1 + np.exp(-np.clip((raw - self.threshold) / self.unit, -500, 500)))
+        return ((spread(x) - self.mean) / self.scale) @ self.weights
+
+
+def at_rank(values: DataFrame, rank: int) -> float:
+    """The value of column raw that has so many before it in ascending order: bins are counted and the one that holds it is cut again."""
+    raw = F.col("raw")
+    low, high, n = values.agg(F.min(raw), F.max(raw), F.count(raw)).first()
+    while low < high and n > SORTED:
+        place = F.least(F.floor((raw - low) / ((high - low) / BINS)), F.lit(BINS - 1))
+        for _, first, last, n in sorted(values.where(raw.between(low, high)).groupBy(place.alias("place")).agg(F.min(raw), F.max(raw), F.count(raw)).collect()):
+            if rank < n:
+                low, high = first, last
+                break
+            rank -= n
+    return low if low == high else sorted(r[0] for r in values.where(raw.between(low, high)).select(raw).collect())[rank]
+
+
+def border(training: DataFrame) -> tuple[float, float]:
+    """The quantile of column raw over all training rows that is the share of poor ones (label 0), and a unit to measure distances from it in."""
+    n, poor, spread_ = training.agg(F.count("*"), F.count_if(F.col("label") == 0), F.stddev_pop("raw")).first()
+    place = (n - 1) * poor / n
+    below = at_rank(training, int(place))
+    above = at_rank(training, min(n - 1, int(place) + 1))
+    return below + (above - below) * (place - int(place)), spread_ / 4 + 1e-9
 
 
 def feature_table(docs: DataFrame) -> DataFrame:
@@ -86,17 +108,22 @@ def feature_table(docs: DataFrame) -> DataFrame:
     return map_text(docs, "text", [T.StructField("features", T.ArrayType(T.DoubleType()))], run, ["doc_id"])
 
 
-def fit(table: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 3, held_out: int = 1, sample: int = SAMPLE) -> Ranking | None:
-    """The model of the labelled rows outside the held-out fold: of either class the `sample` rows whose ids hash lowest. None without both classes."""
-    marked = labels.where(f"doc_id is not null and {label} in (0, 1)").where(fold(F.col("doc_id"), folds) != held_out).select("doc_id", F.col(label).alias("label"))
+def training_labels(labels: DataFrame, label: str = "quality", folds: int = 3, held_out: int = 1) -> DataFrame:
+    """doc_id and label of the rows outside the held-out fold."""
+    known = labels.where(f"doc_id is not null and {label} in (0, 1)").where(fold(F.col("doc_id"), folds) != held_out)
+    return known.select("doc_id", F.col(label).alias("label")).distinct()
+
+
+def fit(table: DataFrame, marked: DataFrame, sample: int = SAMPLE) -> Ranking | None:
+    """The model of the marked rows: of either class the `sample` rows whose ids hash lowest. None without both classes."""
     rows = []
     for value in (1, 0):
-        chosen = table.join(marked.where(F.col("label") == value).select("doc_id").distinct(), "doc_id", "left_semi")
+        chosen = table.join(marked.where(F.col("label") == value).select("doc_id"), "doc_id", "left_semi")
         rows.append([r[0] for r in chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("features").collect()])
     return Ranking(np.array(rows[0]), np.array(rows[1])) if all(rows) else None
 
 
-def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted of each row; only the text enters a score.
 
     Null, empty and wordless texts have features 0 and are scored like any; repeated rows are
@@ -106,18 +133,21 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     from trackweave.llm.common import to_arrow
     import pyarrow as pa
 
-    table = written(feature_table(docs))
-    model = fit(table, labels)
-    doc = to_arrow(docs.schema["doc_id"].dataType)
+    table, marked = written(feature_table(docs)), training_labels(labels)
+    model = fit(table, marked, sample)
+    doc, held_out = to_arrow(docs.schema["doc_id"].dataType), (fold(F.col("doc_id"), 3) == 1).alias("held_out")
+    if model is None:
+        return table.select("doc_id", held_out, F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
 
     def run(batches):
         for batch in batches:
             x = np.array(batch.column("features").to_pylist(), float).reshape(batch.num_rows, len(NAMES))
-            score = model(x) if model and len(x) else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(doc), pa.array(score)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(doc), pa.array(model(x) if len(x) else [], pa.float64())], names=["doc_id", "raw"])
 
-    scored = table.mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("score", T.DoubleType())]))
-    return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = written(table.mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("raw", T.DoubleType())])))
+    threshold, unit = border(written(scored.join(marked, "doc_id").select("raw", "label")))
+    score = 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), (F.col("raw") - threshold) / unit))))
+    return scored.select("doc_id", held_out, score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

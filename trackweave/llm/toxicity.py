@@ -107,14 +107,17 @@ def contexts(sample: DataFrame) -> DataFrame:
     return batched(sample).select("text", "toxic").mapInArrow(run, "word binary, toxic int, beside binary").groupBy("word", "toxic", F.xxhash64("beside").alias("beside")).count().groupBy("word", "toxic").agg(F.count("*").alias("n"))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Weights, the constant last, by Newton's method."""
+def logistic(x: np.ndarray, y: np.ndarray, counts: tuple[float, float] | None = None, ridge: float = 1e-2) -> np.ndarray:
+    """Weights, the constant last, by Newton's method. counts: how many ordinary and toxic rows the sampled ones stand for."""
+    y = np.asarray(y, float)
+    each = np.array([n / max(1, (y == k).sum()) for k, n in enumerate(counts)])[y.astype(int)] if counts else np.ones(len(y))
+    each = each / each.mean()
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + ridge * w
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge * np.eye(len(w)), slope)
+        slope = x.T @ (each * (p - y)) + ridge * w
+        step = np.linalg.solve((x * (each * (p * (1 - p) + 1e-6))[:, None]).T @ x + ridge * np.eye(len(w)), slope)
         w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
@@ -122,11 +125,13 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> tuple[bytes, bytes, np.ndarray] | None:
-    """Both dictionaries and the calibration, from labelled rows outside the held-out fold; of either class those whose ids hash lowest. None without both."""
+    """Both dictionaries and the calibration, from labelled rows outside the held-out fold; of either class those whose ids hash lowest. Classes count in the calibration by all their labelled rows. None without both."""
     marked = labels.where("doc_id is not null and toxic in (0, 1)").where(fold(F.col("doc_id"), folds) != held_out).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    marked = marked.distinct()
+    labelled = {r[0]: r[1] for r in marked.groupBy("toxic").count().collect()}
     chosen = None
     for value, most in ((1, TOXIC_ROWS), (0, ORDINARY_ROWS)):
-        part = marked.where(F.col("toxic") == value).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        part = marked.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
     # At most so many rows of two numbers: small enough to broadcast.
     sample = written(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id"))
@@ -141,7 +146,10 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -
     common = [(bytes(r[0]), min(50, r[1])) for r in table.where("n0 > 0").orderBy(F.desc("n0"), "word").limit(ORDINARY_WORDS).select("word", "n0").collect()]
     ordinary, toxic = dictionaries(toxic_words, common)
     rows = described(sample, ordinary, toxic, ["doc_id", "toxic"]).select("toxic", "features").collect()
-    return ordinary, toxic, logistic(np.array([r[1] for r in rows], float), np.array([r[0] for r in rows], float))
+    y = np.array([r[0] for r in rows], float)
+    # Sampled rows without a text are as rare among those that they stand for.
+    counts = tuple((y == value).sum() * max(1, labelled[value] / most) for value, most in ((0, ORDINARY_ROWS), (1, TOXIC_ROWS)))
+    return ordinary, toxic, logistic(np.array([r[1] for r in rows], float), y, counts)
 
 
 def described(docs: DataFrame, ordinary: bytes, toxic: bytes, keep: list[str]) -> DataFrame:
