@@ -28,8 +28,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays. Fingerprints are of five-word shingles here."""
-    return drop_near_duplicates(docs, size=5)
+    """One document of each group stays: fingerprints of five-word shingles within 4 bits, or shingles with a Jaccard similarity of 0.8 at least."""
+    return drop_near_duplicates(docs, size=5, alike=True)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

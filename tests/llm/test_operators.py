@@ -274,3 +274,33 @@ def test_audit_of_odd_pages(spark):
     pages = spark.createDataFrame([(5, "u", "<p>"), (5, "u", "<p>"), (31, None, None), (77, "u", ""), (None, "u", "x")], "page_id long, url string, html string")
     got = {(r["page_id"], r["status"]) for r in fixity.audit_pages(pages).collect()}
     assert got == {(5, "changed"), (31, "missing"), (77, "extra")}
+
+
+@pytest.mark.parametrize("texts_in_cell", [2_000, 7])
+def test_alike_texts_are_linked(spark, monkeypatch, texts_in_cell):
+    import corpus_pipeline
+
+    monkeypatch.setattr(simhash, "CELL_TEXTS", texts_in_cell)
+    r = random.Random(12)
+    texts = []
+    for n, edits in ((100, 2), (300, 3), (300, 9), (600, 3), (40, 1), (100, 6)) * 5:
+        words = [f"w{r.randrange(5_000)}" for _ in range(n)]
+        texts.append(" ".join(words))
+        for _ in range(2):
+            other = list(words)
+            for k in r.sample(range(n), edits):
+                other[k] = f"x{r.randrange(10**6)}"
+            texts.append(" ".join(other))
+    hub = [f"h{k}" for k in range(200)]
+    texts += [" ".join([*hub[:k], f"y{k}", *hub[k + 1 :]]) for k in range(0, 200, 8)] + [None, "", "one", "one"]
+    grams = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for t in texts]
+    group, alike = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if texts[i] == texts[j] or not (grams[i] or grams[j]) or len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]):
+                alike += 1
+                group = [group[j] if g == group[i] else g for g in group]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], DOCS).repartition(5)
+    kept = {d[0] for d in rows(dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, ""))}
+    first = {g: min(i for i in range(len(texts)) if group[i] == g) for g in group}
+    assert alike > 300 and kept == set(first.values())

@@ -31,24 +31,39 @@ HALF_NEAR = NEAR // 2
 SIDE = 20_000
 #: A tree gets levels until its shards are expected to hold so many.
 SHARD = 1_500
+#: A Jaccard similarity of 4 in 5 makes texts alike. Of pairs just that alike, 1 - (1 - 0.8**5)**20 = 0.9996 share a band.
+ALIKE, BANDS, ROWS = (4, 5), 20, 5
+MASKS, FACTORS = np.random.default_rng(11).integers(0, 2**64 - 1, (2, BANDS * ROWS, 1), np.uint64, endpoint=True) | np.uint64(1)
+#: Texts and shingles of one part of a group of candidates.
+CELL_TEXTS, CELL_SHINGLES = 2_000, 400_000
 
 
-def fingerprint(text: bytes, size: int = WORDS) -> int:
-    """Majority bits of the XXH64 of all word shingles, repeats included; as a signed 64-bit number."""
+def shingle_hashes(text: bytes, size: int = WORDS) -> np.ndarray:
+    """XXH64 of all word shingles, repeats included; none of a wordless text."""
     words = text.lower().split()  # of bytes: A-Z and the white space of ASCII only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) <= size:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
-    else:
-        line, digest = b" ".join(words), xxhash.xxh64_intdigest
-        ends = list(itertools.accumulate(len(w) + 1 for w in words))
-        hashes = [digest(line[a : b - 1], SEED) for a, b in zip([0, *ends], ends[size - 1 :], strict=False)]
-    bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    line, digest = b" ".join(words), xxhash.xxh64_intdigest
+    ends = list(itertools.accumulate(len(w) + 1 for w in words))
+    return np.array([digest(line[a : b - 1], SEED) for a, b in zip([0, *ends], ends[size - 1 :], strict=False)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Majority bits as a signed 64-bit number."""
+    if not len(hashes):
+        return 0
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
     over = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
     return int(np.packbits(over).view(">i8")[0])
 
 
+def fingerprint(text: bytes, size: int = WORDS) -> int:
+    """Majority bits of the XXH64 of all word shingles, repeats included; as a signed 64-bit number."""
+    return majority(shingle_hashes(text, size))
+
+
 def fingerprints(docs: DataFrame, text_col: str = "text", size: int = WORDS) -> DataFrame:
     def run(rows: list[bytes]) -> list:
         return [np.array([fingerprint(t, size) for t in rows], np.int64)]
@@ -134,16 +149,84 @@ def near_pairs(distinct: DataFrame) -> DataFrame:
     return find.unionByName(seek).groupBy("shard", "i", "j").applyInPandas(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text_col: str = "text", size: int = WORDS) -> DataFrame:
+def wording(text: bytes) -> int:
+    """One number for all texts of the same words."""
+    return int(np.uint64(xxhash.xxh64_intdigest(b" ".join(text.lower().split()), SEED)).view(np.int64))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """A key for each band of minimum hashes."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for a in range(0, len(hashes), 4_096):
+        least = np.minimum(least, ((hashes[a : a + 4_096][None] ^ MASKS) * FACTORS).min(axis=1))
+    return [int(np.uint64(xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k)).view(np.int64)) for k in range(BANDS)]
+
+
+def alike_edges(fp: np.ndarray, part: np.ndarray, shingles: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning edges of the pairs whose shingles have a Jaccard similarity of 0.8 at least. If there are two parts, pairs across them only."""
+    order = np.argsort([len(x) for x in shingles], kind="stable")
+    fp, part, sets = fp[order], part[order], [frozenset(shingles[i].tolist()) for i in order]
+    size, label, across, edges = np.array([len(x) for x in sets]), np.arange(len(sets)), len(set(part.tolist())) > 1, []
+    for i in range(len(sets)):
+        rest = slice(i + 1, None)
+        able = (label[rest] != label[i]) & (size[rest] * ALIKE[0] <= size[i] * ALIKE[1])
+        for j in np.flatnonzero(able & (part[rest] != part[i]) if across else able) + i + 1:
+            if label[j] != label[i]:
+                both = len(sets[i] & sets[j])
+                if both * ALIKE[1] >= (size[i] + size[j] - both) * ALIKE[0]:
+                    edges.append((fp[i], fp[j]))
+                    label[label == label[j]] = label[i]
+    a = np.array(edges, np.int64).reshape(-1, 2)
+    return a[:, 0], a[:, 1]
+
+
+def alike_pairs(docs: DataFrame, text_col: str = "text", size: int = WORDS) -> DataFrame:
+    """Edges (a, b) between fingerprints that connect all texts whose distinct shingles have a Jaccard similarity of 0.8 at least.
+
+    Texts that share a band of minimum hashes are candidates, and so are those connected through
+    others; their shingles are compared exactly. A large group is cut into a grid of cells.
+    """
+
+    def sketch(rows: list[bytes]) -> list:
+        return [np.array([wording(t) for t in rows], np.int64), [bands(h) if len(h := shingle_hashes(t, size)) else [] for t in rows]]
+
+    def content(rows: list[bytes]) -> list:
+        found = [shingle_hashes(t, size) for t in rows]
+        return [np.array([wording(t) for t in rows], np.int64), np.array([majority(h) for h in found], np.int64), [np.unique(h).view(np.int64) for h in found]]
+
+    long, longs = T.LongType(), T.ArrayType(T.LongType())
+    sketched = map_text(docs, text_col, [T.StructField("whole", long), T.StructField("keys", longs)], sketch, ["doc_id"])
+    texts = written(sketched.where("size(keys) > 0").groupBy("whole").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")))
+    keyed = texts.select("whole", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("whole").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
+    nodes = written(connected(keyed.join(shared, "key").select(F.col("whole").alias("a"), "b").where("a <> b").distinct()))
+    chosen = texts.select("doc_id", "whole").join(nodes.select(F.col("node").alias("whole")), "whole").select("doc_id").distinct()
+    held = map_text(docs.join(chosen, "doc_id", "left_semi"), text_col, [T.StructField("whole", long), T.StructField("fp", long), T.StructField("shingles", longs)], content, [])
+    held = written(held.dropDuplicates(["whole"]).join(nodes.select(F.col("node").alias("whole"), "root"), "whole"))
+    sides = held.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / CELL_TEXTS, F.sum(F.size("shingles")) / CELL_SHINGLES)).cast("int").alias("h"))
+    part = F.pmod(F.xxhash64("whole"), F.col("h")).cast("int").alias("part")
+    dealt = held.join(sides, "root").select("root", part, F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("other"), "fp", "shingles")
+    dealt = dealt.select("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "fp", "shingles")
+
+    def compare(cell: pd.DataFrame) -> pd.DataFrame:
+        a, b = alike_edges(cell["fp"].to_numpy(), cell["part"].to_numpy(), list(cell["shingles"]))
+        return pd.DataFrame({"a": a, "b": b})
+
+    return dealt.groupBy("root", "i", "j").applyInPandas(compare, "a long, b long").where("a <> b")
+
+
+def near_duplicates(docs: DataFrame, text_col: str = "text", size: int = WORDS, alike: bool = False) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest id reachable) of each row.
 
     A null or wordless text has fingerprint 0 and is linked like any other; equal
     fingerprints are linked; repeated rows are reported each. A row with a null id has the
     component of its group's smallest id, null if there is none. An empty table gives none.
+    With `alike`, texts whose shingles have a Jaccard similarity of 0.8 at least are linked too.
     """
     prints = written(fingerprints(docs, text_col, size))
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    nodes = connected(near_pairs(distinct))
+    pairs = near_pairs(distinct)
+    nodes = connected(pairs.unionByName(alike_pairs(docs, text_col, size)) if alike else pairs)
     grouped = nodes.withColumnRenamed("node", "fp").join(distinct, "fp").select("fp", "root", "first_id")
     least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
     linked = grouped.join(least, "root").select("fp", "component_id")
@@ -151,9 +234,9 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", size: int = WORDS)
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, text_col: str = "text", size: int = WORDS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, text_col: str = "text", size: int = WORDS, alike: bool = False) -> DataFrame:
     """docs with one document of each group, that of the smallest id; rows without an id stay."""
-    found = near_duplicates(docs.where("doc_id is not null"), text_col, size)
+    found = near_duplicates(docs.where("doc_id is not null"), text_col, size, alike)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     repeats = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
