@@ -20,19 +20,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackweave.llm.common import batched, map_text, packed, slices, texts
+from trackweave.llm.common import batched, map_text, packed, slices, texts, written
 
 LENGTH = 2048
 DIMENSIONS, BITS, FEATURES = 4, 10, 128
 TIE_BITS = 22
 #: Bytes of text in one range of the curve.
 RANGE_BYTES = 16 << 20
-#: Ranges are cut at some of so many quantiles.
-QUANTILES = 2048
-#: Stretches without white space whose ids a worker remembers.
-MEMORY = 400_000
+#: So many ranges are cut by quantiles at once, each into so many at most by quantiles of its own: a range grows beyond RANGE_BYTES past 4 TB of text only.
+QUANTILES, FINER = 2048, 128
+#: Words that a worker's store may hold before it is emptied.
+MEMORY = 300_000
 #: Bytes of text that are split into words at a time.
-SLICE = 2 << 20
+SLICE = 4 << 20
 LETTERS = "^[A-Za-z\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{12F}\\x{131}-\\x{17F}]+$"
 MARKS = ".,;:!?*$%&#"
 
@@ -77,66 +77,85 @@ def curve_keys(rows: list[bytes]) -> np.ndarray:
     return hilbert(np.minimum((unit * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS)
 
 
-def listed(values: pa.Array) -> list:
-    return values.to_numpy(zero_copy_only=False).tolist()
+def gathered(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces flat[begin : begin + length] one after the other, and where each ends (0 first)."""
+    end = np.concatenate([[0], np.cumsum(length)])
+    return flat[np.repeat(begin - end[:-1], length) + np.arange(end[-1])], end
 
 
 class Encoder:
     """Ids of a whole text, looked up by stretches without white space.
 
-    Pre-tokens of this tokenizer never hold white space, so a text's ids are those of its stretches in turn.
+    Pre-tokens of this tokenizer never hold white space, so a text's ids are those of its
+    stretches in turn. A stretch of letters below U+0180 (normalisation leaves them in place,
+    and case folds letter by letter) and marks after them is two words of the store; any other is one.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.seen = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """An empty store: words, their ids one after the other, and where those of each begin."""
+        self.words, self.ids, self.cuts = pa.array([], pa.large_string()), np.zeros(0, self.kind), np.zeros(1, np.int64)
 
     def __call__(self, rows: list[str]) -> list[bytes]:
-        """Little-endian unsigned 16-bit ids (32-bit, if the vocabulary is larger)."""
-        if len(self.seen) > MEMORY:
-            self.seen.clear()
-        seen = self.seen
+        """Little-endian unsigned ids of the vocabulary's kind."""
         lists = pc.split_pattern(pc.replace_substring(pa.array(rows, pa.large_string()), "\n", " "), " ")
         coded = lists.values.dictionary_encode()
-        words, at = listed(coded.dictionary), coded.indices.to_numpy()
-        ids = list(map(seen.get, words))
-        if None in ids:
-            self.add([w for w, x in zip(words, ids, strict=True) if x is None])
-            ids = [seen[w] if x is None else x for w, x in zip(words, ids, strict=True)]
-        flat = np.frombuffer(b"".join(ids), "<u2")
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
-        begin, length = (np.cumsum(size) - size)[at], size[at]
-        end = np.concatenate([[0], np.cumsum(length)])
-        out = flat[np.repeat(begin - end[:-1], length) + np.arange(end[-1])]
+        flat, size = self.stretches(coded.dictionary)
+        at = coded.indices.to_numpy()
+        out, end = gathered(flat, (np.cumsum(size) - size)[at], size[at])
         cut = end[lists.offsets.to_numpy()].tolist()
         return [out[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
 
-    def add(self, new: list[str]) -> None:
-        """Letters below U+0180 (normalisation leaves them in place, and case folds letter by letter) and marks after them are tokens apart."""
-        seen, words = self.seen, pa.array(new, pa.large_string())
-        core = pc.utf8_rtrim(words, MARKS)
+    def stretches(self, found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct stretches, one after the other, and how many each has."""
+        core = pc.utf8_rtrim(found, MARKS)
         plain = pc.match_substring_regex(core, LETTERS)
-        split = listed(words.filter(plain))
-        low, size = listed(pc.utf8_lower(core.filter(plain))), listed(pc.utf8_length(core.filter(plain)))
-        tails = [w[n:] for w, n in zip(split, size, strict=True)]
-        rest = [*listed(words.filter(pc.invert(plain))), *set(tails).difference(seen)]
-        for a in range(0, len(rest), 20_000):
-            made = self.tokenizer.encode_batch_fast(rest[a : a + 20_000], add_special_tokens=False)
-            seen.update((w, np.array(e.ids, "<u2").tobytes()) for w, e in zip(rest[a : a + 20_000], made, strict=True))
-        fresh = list(set(low).difference(seen))
-        for a in range(0, len(fresh), 2_000):
-            self.learn(fresh[a : a + 2_000])
-        seen.update((w, seen[x] + seen[t]) for w, x, t in zip(split, low, tails, strict=True))
-
-    def learn(self, words: list[str]) -> None:
-        """Words of plain letters, which normalisation leaves in place: many in one call, told apart by the pieces that end a word."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u2")
-        cut = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
-        self.seen.update((w, ids[a:b].tobytes()) for w, a, b in zip(words, cut[:-1], cut[1:], strict=True))
+        marked = np.flatnonzero(pc.and_(plain, pc.not_equal(core, found)).to_numpy(zero_copy_only=False))
+        head = pc.if_else(plain, pc.utf8_lower(core), found)
+        tail = pc.replace_substring_regex(found.take(pa.array(marked)), LETTERS.rstrip("$"), "").dictionary_encode()
+        both = pa.concat_arrays([head, tail.dictionary]).dictionary_encode()
+        at = self.places(both.dictionary)[both.indices.to_numpy()]
+        part = np.full((len(found), 2), -1)
+        part[:, 0] = at[: len(found)]
+        part[marked, 1] = at[len(found) :][tail.indices.to_numpy()]
+        length = np.where(part < 0, 0, self.cuts[part + 1] - self.cuts[part])
+        ids, _ = gathered(self.ids, self.cuts[np.maximum(part, 0)].ravel(), length.ravel())
+        return ids, length.sum(axis=1)
+
+    def places(self, wanted: pa.Array) -> np.ndarray:
+        """Where the store has each of these distinct words; it learns new ones, and forgets all first if it grew too large."""
+        if len(self.words) > MEMORY:
+            self.forget()
+        at = pc.fill_null(pc.index_in(wanted, self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        fresh = np.flatnonzero(at < 0)
+        new = wanted.take(pa.array(fresh))
+        plain = pc.match_substring_regex(new, LETTERS).to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        words, ids, sizes = new.take(pa.array(order)), [self.ids], []
+        n = int(plain.sum())
+        for a in range(0, n, 2_000):  # many words in one call, told apart by the pieces that end a word
+            text = " ".join(words.slice(a, min(2_000, n - a)).to_pylist())
+            made = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            ids.append(made)
+            sizes.append(np.diff(np.flatnonzero(self.ends[made]), prepend=-1))
+        for a in range(n, len(words), 2_000):
+            made = [e.ids for e in self.tokenizer.encode_batch_fast(words.slice(a, 2_000).to_pylist(), add_special_tokens=False)]
+            ids += [np.array(x, self.kind) for x in made]
+            sizes.append(np.array([len(x) for x in made]))
+        at[fresh[order]] = len(self.words) + np.arange(len(order))
+        self.words = pa.concat_arrays([self.words, words])
+        self.ids = np.concatenate(ids)
+        self.cuts = np.concatenate([self.cuts, self.cuts[-1] + np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))])
+        return at
 
 
 @lru_cache(maxsize=2)
@@ -150,23 +169,42 @@ def encoder(path: str) -> Encoder:
 PIECES = T.StructType([T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
 
+def bounds_of(places: DataFrame, ranges: int) -> np.ndarray:
+    """Ascending bounds that cut column place into about so many equal ranges: quantiles and, if there are more than QUANTILES, quantiles within those."""
+
+    def quantiles(n: int):
+        return F.percentile_approx("place", [i / n for i in range(1, n)], 10 * QUANTILES)
+
+    if ranges < 2:
+        return np.zeros(0, np.int64)
+    if ranges <= QUANTILES:
+        return np.unique(np.array(places.agg(quantiles(ranges)).first()[0] or [], np.int64))
+    places = written(places)
+    first = np.unique(np.array(places.agg(quantiles(QUANTILES)).first()[0] or [], np.int64))
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(first, batch.column(0).to_numpy()), pa.int32()), batch.column(0)], names=["range", "place"])
+
+    inner = min(FINER, -(-ranges // QUANTILES))
+    finer = places.mapInArrow(within, "range int, place long").groupBy("range").agg(quantiles(inner).alias("own")).collect()
+    return np.unique(np.concatenate([first, *(np.array(r["own"], np.int64) for r in finer)]))
+
+
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = 1) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids) of sequences of at most `length` ids.
 
-    Null and empty texts are the end id alone; repeated rows are packed each; an empty
-    table gives no pieces. Only the last sequence of a range can be short. Other columns are
-    not read.
+    Null and empty texts are the end id alone; repeated rows and rows without an id are packed
+    each; an empty table gives no pieces. Only the last sequence of a range can be short. Other
+    columns are not read.
     """
     from trackweave.llm.common import to_arrow
 
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(1 << TIE_BITS))
     keys = map_text(docs.select("doc_id", "text"), "text", [T.StructField("curve", T.LongType())], lambda rows: [curve_keys(rows)], ["doc_id"])
-    place = (F.shiftleft("curve", TIE_BITS) + salt).alias("place")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    ranges = min(QUANTILES, max(1, -(-size // RANGE_BYTES)))
-    bounds = keys.select(place).agg(F.percentile_approx("place", [i / ranges for i in range(1, ranges)], 10 * QUANTILES)).first()[0] if ranges > 1 else []
-    bounds = np.array(bounds or [], np.int64)
-    doc_type = to_arrow(docs.schema["doc_id"].dataType)
+    bounds = bounds_of(keys.select((F.shiftleft("curve", TIE_BITS) + salt).alias("place")), -(-size // RANGE_BYTES))
+    doc_type, kind = to_arrow(docs.schema["doc_id"].dataType), encoder(tokenizer).kind
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_ = encoder(tokenizer)
@@ -175,11 +213,10 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = 1)
                 own = texts(rows, "text")
                 at = curve_keys(own) * (1 << TIE_BITS) + rows.column("salt").to_numpy()
                 ids = encode_([t.decode() for t in own])
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.searchsorted(bounds, at), pa.int32()), pa.array(at, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "range_id", "place", "ids"])
-        encode_.seen.clear()  # a worker that waits for other stages' tasks holds nothing
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(doc_type), pa.array(np.searchsorted(bounds, at), pa.int32()), pa.array(at, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "range_id", "place", "ids"])
 
     coded = T.StructType([docs.schema["doc_id"], T.StructField("range_id", T.IntegerType()), T.StructField("place", T.LongType()), T.StructField("ids", T.BinaryType())])
-    dealt = batched(docs).select("doc_id", "text", salt.alias("salt")).mapInArrow(encode, coded).repartitionById(ranges, "range_id").sortWithinPartitions("range_id", "place", "doc_id")
+    dealt = batched(docs).select("doc_id", "text", salt.alias("salt")).mapInArrow(encode, coded).repartitionById(len(bounds) + 1, "range_id").sortWithinPartitions("range_id", "place", "doc_id", "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         range_id, at = None, 0
@@ -188,7 +225,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = 1)
             for k, (r, coded_) in enumerate(zip(batch.column("range_id").to_pylist(), batch.column("ids").to_pylist(), strict=True)):
                 if r != range_id:
                     range_id, at = r, 0
-                ids = np.append(np.frombuffer(coded_, "<u2").astype("<u4"), np.uint32(end_id)).astype("<u4")
+                ids = np.append(np.frombuffer(coded_, kind).astype("<u4"), np.uint32(end_id)).astype("<u4")
                 start = 0
                 while start < len(ids):
                     n = min(len(ids) - start, length - at % length)
