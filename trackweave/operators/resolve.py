@@ -13,9 +13,12 @@ from trackweave.operators.spatial import near_pairs
 
 MOST_METRES, DUPLICATE_METRES, MARGIN_METRES = 500.0, 20.0, 150.0
 # Modes of a candidate that serve a station's mode.
-COMPATIBLE = {"rail": ("HIGHSPEED_RAIL", "LONG_DISTANCE", "NIGHT_RAIL", "REGIONAL_FAST_RAIL", "REGIONAL_RAIL", "SUBURBAN"), "tram": ("TRAM", "SUBWAY")}
-BACKLOG_SHARE = 100
+COMPATIBLE = {"rail": ("HIGHSPEED_RAIL", "LONG_DISTANCE", "REGIONAL_RAIL", "SUBURBAN", "METRO", "SUBWAY"), "tram": ("TRAM",)}
+# Licences and types of files that can be used, and the most bytes.
+FREE_LICENCE = r"^(public domain|cc0)"
+FILE_TYPES = ("image/svg+xml", "image/png", "image/jpeg", "image/webp", "image/gif")
 MOST_BYTES = 250_000
+BACKLOG_SHARE = 100
 
 
 def compatible(mode: Column, modes: Column) -> Column:
@@ -105,8 +108,8 @@ def work_budget(stations: DataFrame, state: DataFrame, budget: int | None) -> Da
 def file_refusal(licence: Column, kind: Column, size: Column) -> Column:
     """Why a mark's file can't be used; null if it can. Markup in the licence is passed over."""
     plain = F.lower(F.trim(F.regexp_replace(F.coalesce(licence, F.lit("")), "<[^>]*>", "")))
-    free = plain.rlike(r"^(public domain|pd\b|cc0|cc-zero)")
-    return F.when(~free, "licence").when(~F.coalesce(kind.isin("image/svg+xml", "image/png", "image/jpeg", "image/gif", "image/webp"), F.lit(False)), "type").when(F.coalesce(size, F.lit(MOST_BYTES + 1)) > MOST_BYTES, "size")
+    free = plain.rlike(FREE_LICENCE)
+    return F.when(~free, "licence").when(~F.coalesce(kind.isin(*FILE_TYPES), F.lit(False)), "type").when(F.coalesce(size, F.lit(MOST_BYTES + 1)) > MOST_BYTES, "size")
 
 
 def choose_marks(operators: DataFrame, hits: DataFrame, files: DataFrame, overrides: DataFrame | None = None) -> DataFrame:

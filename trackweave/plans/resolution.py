@@ -104,13 +104,13 @@ def coach_lines(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (candidate_validation, collapse_duplicates, best_match, resolution_cascade, drop_stale, work_budget, operator_variants, operator_logo_choice, logo_refusals, modal_shape, split_gaps, clip_bbox, calling_order, coach_lines)}
 
-_RAIL = "('HIGHSPEED_RAIL', 'LONG_DISTANCE', 'NIGHT_RAIL', 'REGIONAL_FAST_RAIL', 'REGIONAL_RAIL', 'SUBURBAN')"
+_RAIL = "('HIGHSPEED_RAIL', 'LONG_DISTANCE', 'REGIONAL_RAIL', 'SUBURBAN', 'METRO', 'SUBWAY')"
 
 
 def _valid_sql(where: str = "TRUE", prefix: str = "") -> str:
     """Candidates as pairs; then exact tier, groups, best match, of the stations that `where` keeps."""
     return f"""{prefix}valid AS (SELECT w.station_id, w.mode, c.id, c.lon, c.lat, {d.metres("w.lon", "w.lat", "c.lon", "c.lat")} AS distance, c.bare = w.bare AS exact, c.bare AS stop,
-            CASE WHEN w.mode = 'tram' THEN c.mode IN ('TRAM', 'SUBWAY') ELSE c.mode IN {_RAIL} END AS serves
+            CASE WHEN w.mode = 'tram' THEN c.mode = 'TRAM' ELSE c.mode IN {_RAIL} END AS serves
         FROM (SELECT *, {d.name("name")} AS bare FROM v_wanted WHERE {where}) w JOIN (SELECT *, {d.name("name")} AS bare FROM v_candidates WHERE type = 'STOP' AND mode <> '') c
             ON (c.bare = w.bare OR length(w.bare) >= 3 AND contains(c.bare, w.bare) OR length(c.bare) >= 3 AND contains(w.bare, c.bare))
         WHERE {d.metres("w.lon", "w.lat", "c.lon", "c.lat")} <= 500),
@@ -125,7 +125,7 @@ def _valid_sql(where: str = "TRUE", prefix: str = "") -> str:
 
 
 _VALID = f"{ctes('v_wanted', 'v_candidates')}, {_valid_sql()}"
-_FREE = r"regexp_matches(lower(trim(regexp_replace(licence, '<[^>]*>', '', 'g'))), '^(public domain|pd\b|cc0|cc-zero)')"
+_FREE = r"regexp_matches(lower(trim(regexp_replace(licence, '<[^>]*>', '', 'g'))), '^(public domain|cc0)')"
 _MARKS = f"""WITH hits AS (SELECT DISTINCT p_partkey % 100 AS operator_id, p_partkey % 7 AS hit_rank, p_partkey % 400 AS entity FROM part),
     files AS (SELECT p_partkey % 400 AS entity, p_size % 2 AS property, p_partkey % 3 = 0 AS preferred, p_partkey AS place, 'f' || CAST(p_partkey AS VARCHAR) AS file,
         CASE p_partkey % 5 WHEN 0 THEN '<b>Public domain</b>' WHEN 1 THEN 'CC0' ELSE 'CC BY-SA 4.0' END AS licence, p_partkey % 11 = 0 AS pdf, CAST(trunc(p_retailprice * 200) AS INTEGER) AS size FROM part),
