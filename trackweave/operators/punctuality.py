@@ -34,7 +34,23 @@ def bucket(delay: Column) -> Column:
 
 
 def with_delay(departures: DataFrame) -> DataFrame:
-    return departures.withColumns({"ref": row_ref(F.col("line_number"), F.col("train_type")), "delay": delay_minutes(F.col("planned"), F.col("changed"))})
+    return departures.withColumn("delay", delay_minutes(F.col("planned"), F.col("changed")))
+
+
+#: What a departure says of its line and place.
+TOLD = ("line_number", "train_type", "station")
+
+
+def told_refs(departures: DataFrame) -> DataFrame:
+    """The distinct combinations of TOLD with the reference that they claim: names are worked on once for each, not for each departure."""
+    return departures.select(*TOLD).distinct().withColumn("ref", row_ref(F.col("line_number"), F.col("train_type")))
+
+
+def with_told(departures: DataFrame, told: DataFrame, *columns: str) -> DataFrame:
+    """Departures with columns of told, joined by what they say; nulls are equal."""
+    other = told.select(*(F.col(c).alias(f"_{c}") for c in TOLD), *columns)
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in TOLD]
+    return departures.join(other, on).drop(*(f"_{c}" for c in TOLD))
 
 
 def latest_months(departures: DataFrame, n: int = 12) -> DataFrame:
@@ -85,13 +101,14 @@ def ride_matches(rides: DataFrame, line_stations: DataFrame) -> DataFrame:
 
 def attributed(departures: DataFrame, lines: DataFrame, line_stations: DataFrame, long_stations: DataFrame | None = None, fuzzy: str | None = "full") -> DataFrame:
     """line_id, station, delay, cancelled of the departures whose line is known."""
-    long, local = by_product(with_delay(departures))
-    local = local.where("ref <> '' and delay is not null")
-    matches = ref_station_matches(local, lines, line_stations, fuzzy).where("outcome = 'matched'")
-    out = local.join(matches.select("ref", "station", "line_id"), ["ref", "station"]).select(F.col("line_id").cast("string").alias("line_id"), "station", "delay", "cancelled")
+    long, local = by_product(with_delay(departures).where("delay is not null"))
+    told = told_refs(local)
+    matches = ref_station_matches(told, lines, line_stations, fuzzy).where("outcome = 'matched'")
+    named = told.join(matches.select("ref", "station", "line_id"), ["ref", "station"])
+    out = with_told(local, named, "line_id").select(F.col("line_id").cast("string").alias("line_id"), "station", "delay", "cancelled")
     if long_stations is not None:
-        rides = ride_matches(long, long_stations).where("outcome = 'matched'").select("month", "ride", "line_id")
-        far = long.where("delay is not null").join(rides, ["month", "ride"])
+        rides = ride_matches(by_product(departures)[0], long_stations).where("outcome = 'matched'").select("month", "ride", "line_id")
+        far = long.join(rides, ["month", "ride"])
         out = out.unionByName(far.select(F.concat(F.lit("ld"), F.col("line_id").cast("string")).alias("line_id"), "station", "delay", "cancelled"))
     return out
 
@@ -103,6 +120,12 @@ def delay_counters(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.withColumn("_b", at).groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("cancelled").alias("cancelled"), F.array(*counts).alias("hist"))
 
 
+def summed(counters: DataFrame, *keys: str) -> DataFrame:
+    """Counters of coarser keys: sums of finer ones, so that departures are read once for both."""
+    hist = F.array(*[F.sum(F.col("hist")[i]) for i in range(len(EDGES))])
+    return counters.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("cancelled").alias("cancelled"), hist.alias("hist"))
+
+
 def hist_quantile(hist: Column, p: float) -> Column:
     """Minutes at share p: the first bucket that reaches it, straight inside wide ones, halves up; the open bucket gives its floor."""
     total = F.aggregate(hist, F.lit(0).cast("long"), lambda a, x: a + x)
@@ -136,14 +159,20 @@ def reportable(counters: DataFrame) -> DataFrame:
 
 
 def line_scores(rows: DataFrame) -> DataFrame:
-    lines = reportable(delay_counters(rows, "line_id").where(F.col("n") >= LINE_FLOOR))
+    return scored_lines(delay_counters(rows, "line_id", "station"))
+
+
+def scored_lines(counters: DataFrame) -> DataFrame:
+    """Scores of lines from counters by line and station."""
+    lines = reportable(summed(counters, "line_id").where(F.col("n") >= LINE_FLOOR))
     return scored(lines).withColumn("cancel_rate", half_up(F.col("cancelled") / F.col("n"), 4)).select("line_id", "on_time", "median", "p90", "n", "cancelled", "cancel_rate", "hist")
 
 
 def station_scores(rows: DataFrame, least: float = STATION_FLOOR) -> DataFrame:
     """Of reported lines, stations seen as often as the floor: a tenth of the upper median of the line's stations, `least` departures at least."""
-    lines = line_scores(rows).select("line_id")
-    stations = reportable(delay_counters(rows, "line_id", "station")).join(lines, "line_id", "left_semi")
+    counters = delay_counters(rows, "line_id", "station")
+    lines = scored_lines(counters).select("line_id")
+    stations = reportable(counters).join(lines, "line_id", "left_semi")
     ordered = F.array_sort(F.collect_list("n"))
     floors = stations.groupBy("line_id").agg(F.greatest(F.lit(float(least)), F.get(ordered, F.floor(F.count("*") / 2).cast("int")) * STATION_SHARE).alias("floor"))
     kept = stations.join(floors, "line_id").where("n >= floor")
@@ -165,9 +194,10 @@ def worst_first(stations: DataFrame) -> DataFrame:
 def match_stats(departures: DataFrame, lines: DataFrame, line_stations: DataFrame, long_stations: DataFrame, fuzzy: str | None = "full") -> DataFrame:
     """kind, outcome and count: of departures and pairs by reference, of rides by containment."""
     long, local = by_product(with_delay(departures))
-    local = local.where("ref <> '' and delay is not null")
-    matches = ref_station_matches(local, lines, line_stations, fuzzy)
-    rows = local.select("ref", "station").join(matches, ["ref", "station"]).groupBy("outcome").agg(F.count("*").alias("n")).select(F.lit("departures").alias("kind"), "outcome", "n")
+    counted = local.where("delay is not null").groupBy(*TOLD).agg(F.count("*").alias("departures"))
+    told = counted.withColumn("ref", row_ref(F.col("line_number"), F.col("train_type")))
+    matches = ref_station_matches(told, lines, line_stations, fuzzy)
+    rows = told.join(matches, ["ref", "station"]).groupBy("outcome").agg(F.sum("departures").alias("n")).select(F.lit("departures").alias("kind"), "outcome", "n")
     pairs = matches.groupBy("outcome").agg(F.count("*").alias("n")).select(F.lit("pairs").alias("kind"), "outcome", "n")
     rides = ride_matches(long, long_stations).groupBy("outcome").agg(F.count("*").alias("n")).select(F.lit("rides").alias("kind"), "outcome", "n")
     return rows.unionByName(pairs).unionByName(rides)

@@ -16,6 +16,27 @@ def name(x: str, keep: bool = False) -> str:
     return f"trim(regexp_replace({s}, '[^a-z0-9]+', ' ', 'g'))"
 
 
+def tokens_match(station: str, candidate: str) -> str:
+    """Of two lists of tokens; see the column expression of that name."""
+    same = lambda x, y: f"(starts_with({x}, {y}) OR starts_with({y}, {x}))"
+    out, n = [], f"len({station})"
+    for skip in range(3):
+        tail = f"{candidate}[{skip + 1}:]"
+        every = f"len(list_filter(range(1, {n} + 1), lambda i: {same(f'{tail}[i]', f'{station}[i]')})) = {n}"
+        moved = f"{tail}[CASE WHEN i > k THEN i + 1 ELSE i END]"
+        parts = f"length({tail}[k]) >= 3 AND length({tail}[k + 1]) >= 3 AND length({tail}[k]) + length({tail}[k + 1]) <= length({station}[k]) AND starts_with({station}[k], {tail}[k]) AND ends_with({station}[k], {tail}[k + 1])"
+        rest = f"len(list_filter(range(1, {n} + 1), lambda i: i = k OR {same(moved, f'{station}[i]')})) = {n}"
+        out += [f"len({tail}) = {n} AND {every}", f"len({tail}) = {n} + 1 AND len(list_filter(range(1, {n} + 1), lambda k: {parts} AND {rest})) > 0"]
+    return "(" + " OR ".join(f"({x})" for x in out) + ")"
+
+
+def names_match(a: str, a_whole: str, b: str, b_whole: str) -> str:
+    """The full rule for names in both normalised forms: equal, one part of the other, or alike by tokens either way."""
+    x, y = (f"(CASE WHEN {a} <> '' AND {b} <> '' THEN {own} ELSE {whole} END)" for own, whole in ((a, a_whole), (b, b_whole)))
+    tx, ty = (f"string_split({v}, ' ')" for v in (x, y))
+    return f"({x} <> '' AND {y} <> '' AND ({x} = {y} OR length({x}) >= 3 AND contains({y}, {x}) OR length({y}) >= 3 AND contains({x}, {y}) OR {tokens_match(tx, ty)} OR {tokens_match(ty, tx)}))"
+
+
 def ref(x: str) -> str:
     return f"lower(regexp_replace(regexp_replace(coalesce({x}, ''), '\\s*\\([^()]*\\)\\s*$', ''), '\\s+', '', 'g'))"
 

@@ -19,9 +19,8 @@ def _in(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     return [frame(spark, sf_dir, n) for n in names]
 
 
-def _local_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    departures, lines, stations = _in(spark, sf_dir, "v_departures", "v_lines", "v_line_stations")
-    return p.attributed(departures, lines, stations, fuzzy="contain")
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p.attributed(*_in(spark, sf_dir, "v_departures", "v_lines", "v_line_stations", "v_ld_line_stations"))
 
 
 def delay_minutes(spark, sf_dir):
@@ -30,13 +29,13 @@ def delay_minutes(spark, sf_dir):
 
 
 def row_ref(spark, sf_dir):
-    return p.with_delay(frame(spark, sf_dir, "v_departures")).groupBy("line_number", "train_type", "ref").agg(F.count("*").alias("n"))
+    departures = frame(spark, sf_dir, "v_departures")
+    return p.with_told(departures, p.told_refs(departures), "ref").groupBy("line_number", "train_type", "ref").agg(F.count("*").alias("n"))
 
 
 def _pairs(spark, sf_dir, fuzzy):
     departures, lines, stations = _in(spark, sf_dir, "v_departures", "v_lines", "v_line_stations")
-    local = p.by_product(p.with_delay(departures))[1]
-    return p.ref_station_matches(local, lines, stations, fuzzy)
+    return p.ref_station_matches(p.told_refs(p.by_product(departures)[1]), lines, stations, fuzzy)
 
 
 def ref_station_match(spark, sf_dir):
@@ -44,7 +43,7 @@ def ref_station_match(spark, sf_dir):
 
 
 def ref_station_match_fuzzy(spark, sf_dir):
-    return _pairs(spark, sf_dir, "contain")
+    return _pairs(spark, sf_dir, "full")
 
 
 def ride_containment(spark, sf_dir):
@@ -53,35 +52,35 @@ def ride_containment(spark, sf_dir):
 
 
 def delay_histogram(spark, sf_dir):
-    counters = p.delay_counters(_local_rows(spark, sf_dir), "line_id", "station")
+    counters = p.delay_counters(_rows(spark, sf_dir), "line_id", "station")
     return counters.select("line_id", "station", "n", "cancelled", F.posexplode("hist").alias("bucket", "departures")).where("departures > 0")
 
 
 def hist_quantile(spark, sf_dir):
-    counters = p.delay_counters(_local_rows(spark, sf_dir), "line_id")
+    counters = p.delay_counters(_rows(spark, sf_dir), "line_id")
     return counters.select("line_id", *(p.hist_quantile(F.col("hist"), q).alias(f"p{round(q * 100)}") for q in (0.25, 0.5, 0.75, 0.9, 0.99)))
 
 
 def line_scores(spark, sf_dir):
-    return p.line_scores(_local_rows(spark, sf_dir)).drop("hist")
+    return p.line_scores(_rows(spark, sf_dir)).drop("hist")
 
 
 def station_scores(spark, sf_dir):
-    return p.station_scores(_local_rows(spark, sf_dir), LEAST)
+    return p.station_scores(_rows(spark, sf_dir), LEAST)
 
 
 def share_bands(spark, sf_dir):
-    bands = p.share_bands(p.line_scores(_local_rows(spark, sf_dir)))
+    bands = p.share_bands(p.line_scores(_rows(spark, sf_dir)))
     return bands.select("line_id", "band", half_up(F.col("share"), 9).alias("share"))
 
 
 def worst_first(spark, sf_dir):
-    return p.worst_first(p.station_scores(_local_rows(spark, sf_dir), LEAST)).select("line_id", "place", "station", "on_time", "n")
+    return p.worst_first(p.station_scores(_rows(spark, sf_dir), LEAST)).select("line_id", "place", "station", "on_time", "n")
 
 
 def match_stats(spark, sf_dir):
     departures, lines, stations, long = _in(spark, sf_dir, "v_departures", "v_lines", "v_line_stations", "v_ld_line_stations")
-    return p.match_stats(departures, lines, stations, long, "contain")
+    return p.match_stats(departures, lines, stations, long)
 
 
 def latest_months(spark, sf_dir):
@@ -94,13 +93,13 @@ _BASE = ctes("v_departures", "v_lines", "v_line_stations", "v_ld_line_stations")
 _ROWS = f"""{_BASE},
     told AS (SELECT *, {d.row_ref("line_number", "train_type")} AS ref, {d.DELAY} AS delay FROM v_departures),
     local AS (SELECT * FROM told WHERE train_type <> 'ICE')"""
-_SERVED = f"""served AS (SELECT l.line_id, {d.ref("l.ref")} AS ref, s.station AS served, {d.name("s.station")} AS name
+_SERVED = f"""served AS (SELECT l.line_id, {d.ref("l.ref")} AS ref, s.station AS served, {d.name("s.station")} AS name, {d.name("s.station", True)} AS whole
         FROM v_lines l JOIN v_line_stations s ON l.line_id = s.line_id WHERE l.mode IN ('regional', 'suburban')),
-    pairs AS (SELECT DISTINCT ref, station, {d.name("station")} AS name FROM local WHERE ref <> ''),
+    pairs AS (SELECT DISTINCT ref, station, {d.name("station")} AS name, {d.name("station", True)} AS whole FROM local WHERE ref <> ''),
     exact AS (SELECT p.ref, p.station, count(DISTINCT s.line_id) AS n, min(s.line_id) AS line_id FROM pairs p JOIN served s ON p.ref = s.ref AND p.name = s.name GROUP BY 1, 2)"""
-_CLOSE = """close AS (SELECT p.ref, p.station, count(DISTINCT s.line_id) AS n, min(s.line_id) AS line_id FROM pairs p JOIN served s ON p.ref = s.ref
+_CLOSE = f"""close AS (SELECT p.ref, p.station, count(DISTINCT s.line_id) AS n, min(s.line_id) AS line_id FROM pairs p JOIN served s ON p.ref = s.ref
         WHERE NOT EXISTS (SELECT 1 FROM exact e WHERE e.ref = p.ref AND e.station = p.station)
-            AND (p.name = s.name OR length(p.name) >= 3 AND contains(s.name, p.name) OR length(s.name) >= 3 AND contains(p.name, s.name)) GROUP BY 1, 2),
+            AND {d.names_match("p.name", "p.whole", "s.name", "s.whole")} GROUP BY 1, 2),
     found AS (SELECT * FROM exact UNION ALL SELECT * FROM close)"""
 _OUTCOME = """SELECT p.ref, p.station, CASE WHEN f.n IS NULL THEN 'missed' WHEN f.n > 1 THEN 'ambiguous' ELSE 'matched' END AS outcome, CASE WHEN f.n = 1 THEN f.line_id END AS line_id
     FROM pairs p LEFT JOIN {found} f ON p.ref = f.ref AND p.station = f.station"""
@@ -111,8 +110,10 @@ _RIDES = f"""ride_stations AS (SELECT DISTINCT month, ride, {d.name("station")}
     whole AS (SELECT c.month, c.ride, count(*) AS lines, min(line_id) AS line_id FROM common c JOIN sizes s ON c.month = s.month AND c.ride = s.ride AND c.n = s.size GROUP BY 1, 2),
     rides AS (SELECT s.month, s.ride, CASE WHEN size < 2 THEN 'too small' WHEN lines IS NULL THEN 'missed' WHEN lines > 1 THEN 'ambiguous' ELSE 'matched' END AS outcome, line_id
         FROM sizes s LEFT JOIN whole w ON s.month = w.month AND s.ride = w.ride)"""
-_ATTRIBUTED = f"""{_ROWS}, {_SERVED}, {_CLOSE},
-    attributed AS (SELECT CAST(f.line_id AS VARCHAR) AS line_id, l.station, l.delay, l.cancelled, {d.BUCKET} AS b FROM local l JOIN found f ON l.ref = f.ref AND l.station = f.station WHERE f.n = 1 AND l.delay IS NOT NULL AND l.ref <> '')"""
+_ATTRIBUTED = f"""{_ROWS}, {_SERVED}, {_CLOSE}, {_RIDES},
+    attributed AS (SELECT 'ld' || CAST(r.line_id AS VARCHAR) AS line_id, l.station, l.delay, l.cancelled, {d.BUCKET} AS b FROM told l JOIN rides r ON l.month = r.month AND l.ride = r.ride
+            WHERE l.train_type = 'ICE' AND r.outcome = 'matched' AND l.delay IS NOT NULL
+        UNION ALL SELECT CAST(f.line_id AS VARCHAR) AS line_id, l.station, l.delay, l.cancelled, {d.BUCKET} AS b FROM local l JOIN found f ON l.ref = f.ref AND l.station = f.station WHERE f.n = 1 AND l.delay IS NOT NULL AND l.ref <> '')"""
 _HIST = "list_transform(range(26), lambda i: CAST(len(list_filter(list(CASE WHEN cancelled THEN -1 ELSE b END), lambda y: y = i)) AS BIGINT))"
 _COUNTERS = f"""{_ATTRIBUTED},
     line_counts AS (SELECT line_id, count(*) AS n, count(*) FILTER (cancelled) AS cancelled, list(CASE WHEN cancelled THEN -1 ELSE b END) AS bs FROM attributed GROUP BY 1),

@@ -17,7 +17,8 @@ VIEWS = {
             CASE WHEN s_suppkey % 3 = 2 THEN 'suburban' ELSE 'regional' END AS mode, n_name AS operator
         FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
     "v_line_stations": """
-        SELECT s_suppkey AS line_id, CASE WHEN k % 2 = 1 THEN 'Station ' || CAST(k AS STRING) || ' Hauptbahnhof' ELSE 'Station ' || CAST(k AS STRING) || ' Hbf' END AS station
+        SELECT s_suppkey AS line_id, CASE WHEN k % 7 = 3 THEN 'Stadt Stat. ' || CAST(k AS STRING) WHEN k % 7 = 5 THEN 'Stat-ion ' || CAST(k AS STRING) || ' Bf'
+            WHEN k % 2 = 1 THEN 'Station ' || CAST(k AS STRING) || ' Hauptbahnhof' ELSE 'Station ' || CAST(k AS STRING) || ' Hbf' END AS station
         FROM supplier, {n40} WHERE (7 * k + s_suppkey) % 10 < 3""",
     "v_ld_line_stations": """
         SELECT CAST(s AS BIGINT) AS line_id, 'Station ' || CAST(k AS STRING) || ' Hbf' AS station
