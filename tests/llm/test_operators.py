@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trackweave.llm import decontaminate, fixity, line_dedup, neighbours, packing, simhash, token_counts
 from trackweave.llm.queries import tokenizer_file
@@ -68,6 +69,29 @@ def test_lines_without_rows_or_ids(none, spark):
     assert line_dedup.drop_near_lines(odd).count() == 3
 
 
+def test_lines_of_repeated_ids_and_clashing_columns(spark):
+    """Rows of one id with other texts are documents of their own; a line of very many words and lines of other documents between don't matter."""
+    long = " ".join(f"w{k}" for k in range(60_000))
+    data = [(1, "p q r s t u"), (1, "a b c d e f"), (2, "a b c d e g"), (3, "p q r s t v"), (3, "p q r s t v"), (4, long + "\n" + long.replace("w500 ", "")), (5, None), (6, "x\nx\n\ny")]
+    docs = spark.createDataFrame([(d, t, "own", "x", "y", 1) for d, t in data], "doc_id long, text string, doc string, tag string, _lost string, Own int").repartition(3)
+    expected = line_dedup.brute_force(data)
+    assert rows(line_dedup.near_lines(docs)) == sorted(expected) and [r[1:3] for r in expected] == [(1, 0), (1, 0), (1, 1), (1, 1), (1, 1), (2, 1), (0, 0), (3, 1)]
+    kept = line_dedup.drop_near_lines(docs)
+    assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+    assert {(r["doc_id"], r["text"], r["doc"], r["tag"], r["_lost"], r["Own"]) for r in kept.collect()} == {(d, t, "own", "x", "y", 1) for d, t in ((1, "a b c d e f"), (1, "p q r s t u"), (4, long), (5, None), (6, "x\n\ny"))}
+
+
+def test_halves_of_near_lines_meet():
+    r = random.Random(3)
+    for _ in range(3_000):
+        a = [str(r.randrange(50)).encode() for _ in range(r.randint(4, 70))]
+        b, k = list(a), r.randrange(len(a))
+        change = r.randrange(3)
+        b[k : k + (change > 0)] = [] if change == 2 else [b"new"]
+        if max(len(a), len(b)) >= line_dedup.LEAST:
+            assert set(line_dedup.halves(a)) & set(line_dedup.halves(b)) and line_dedup.one_edit(a, b)
+
+
 @pytest.mark.parametrize("a,b,near", [("a b c d e", "a b x d e", True), ("a b c d", "a b c d e", True), ("a b c d", "a b x d", False), ("a b c d e", "b a c d e", False), ("a b c d e", "a b c d", True), ("a", "a", True)])
 def test_one_edit(a, b, near):
     assert line_dedup.one_edit(a.encode().split(), b.encode().split()) is near
@@ -193,6 +217,45 @@ def test_packing_gives_every_id_back(docs, none, spark):
     assert rows(packing.pack(none, path)) == []
 
 
+@pytest.mark.parametrize("quantiles", [3, 64])
+def test_packing_over_many_ranges(spark, monkeypatch, quantiles):
+    """Ranges of the curve don't overlap, none is packed out of order, sequence ids are unique, and clashing columns, null and repeated ids and texts do no harm."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "RANGE_BYTES", 4_000)
+    monkeypatch.setattr(packing, "QUANTILES", quantiles)
+    data = [(d, t, "salt", "place") for d, t, *_ in made_docs()] + [(500 + k, "one and the same text", "", "") for k in range(60)] + [(None, "no id", "", ""), (None, None, "", ""), (7, "other text", "", ""), (7, "other text", "", "")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, salt string, range_id string").withColumn("place", F.lit(1)).withColumn("ids", F.lit("x")).withColumn("curve", F.lit("x")).repartition(7)
+    made = [r.asDict() for r in packing.pack(docs, path, length=64).collect()]
+    ranges = defaultdict(list)
+    for r in made:
+        ranges[r["sequence_id"] >> 40].append(r)
+    assert len(ranges) > 8
+    tokenizer, found = Tokenizer.from_file(path), []
+    key = {d: int(packing.curve_keys([(t or "").encode()])[0]) for d, t, *_ in data if d is not None and d != 7}
+    last = -1
+    for _, own in sorted(ranges.items()):
+        own.sort(key=lambda r: (r["sequence_id"], r["offset"]))
+        keys, at = [key[r["doc_id"]] for r in own if r["doc_id"] in key and r["start"] == 0], 0
+        assert keys == sorted(keys) and (not keys or keys[0] >= last)
+        last = keys[-1] if keys else last
+        for r in own:
+            assert (r["sequence_id"] & (1 << 40) - 1, r["offset"]) == divmod(at, 64)
+            at += r["length"]
+            if r["start"] == 0:
+                found.append((r["doc_id"], []))
+            found[-1][1].extend(struct.unpack(f"<{r['length']}I", r["ids"]))
+    assert sorted(found, key=str) == sorted(((d, [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]) for d, t, *_ in data), key=str)
+
+
+def test_encoder_that_forgets(monkeypatch):
+    monkeypatch.setattr(packing, "MEMORY", 3)
+    encode = packing.Encoder(tokenizer_file("word_bpe_49k.json"))
+    for text in ("one two, three", "Three! four five's 6", "", "two two two", "日本 ok..."):
+        assert np.frombuffer(encode([text])[0], "<u2").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_hilbert_steps_to_neighbours():
     for n, bits in ((2, 4), (3, 3), (4, 2)):
         grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * n, indexing="ij"), -1).reshape(-1, n)

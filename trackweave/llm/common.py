@@ -33,6 +33,8 @@ def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a folder of our own only where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a shared folder")
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -40,10 +42,37 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """df as a table in the shared folder, read again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).written(df, codec)
+
+
+class Scratch:
+    """Tables of the shared folder that are deleted together when no longer needed."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, codec: str = "snappy") -> DataFrame:
+        self.paths.append(f"{scratch_dir(self.spark)}/table-{uuid.uuid4().hex}")
+        df.write.option("compression", codec).parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def dropped(self) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.paths:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+        self.paths.clear()
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with underscores in front until no column has it (letter case aside)."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def fold(doc_id: Column, folds: int) -> Column:

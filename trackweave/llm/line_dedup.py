@@ -3,7 +3,7 @@
 Lines are compared as words (A-Z in lower case). Two lines are near if they are equal, or
 if one insertion, deletion or replacement of a word turns one into the other and the longer
 has five words at least, which is a similarity of 0.8 or more. A line goes if an
-earlier one (by doc_id, then line number) is near it.
+earlier one (by doc_id, tag of the text, line number) is near it.
 
 Every line that can have a partner emits all its variants with one word left out, as
 hashed keys, and its own key. Equal keys join: two lines that agree with the word at the
@@ -15,55 +15,73 @@ nor their back half with another can't have a partner and emit nothing.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import batched, slices, texts, written
+from trackweave.llm.common import Scratch, batched, fresh, slices, texts
 
 #: The longer line of a near pair has so many words.
 LEAST = 5
-BITMAP_BITS = 1 << 27
+#: Bits of the filter for lines to be read again, and the step between a document's lines in it. Beyond some 10**8 such lines it lets most others through too: more lines are then shuffled, none is lost.
+BITMAP_BITS, STEP = 1 << 27, 40_503_467
+#: Rows of variants in one Arrow batch.
+VARIANTS = 50_000
+#: What tells lines apart.
+ROW = ["doc_id", "tag", "line_no"]
+
+
+def tag_of(text: str) -> Column:
+    """A number for a text, which tells rows of one id apart: the first 60 bits of its MD5."""
+    return F.conv(F.substring(F.md5(F.col(text).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def least_size(n: int) -> int:
+    """Lengths are taken together: n itself up to 8 words, then four steps to each doubling."""
+    return n - n % (1 << max(0, n.bit_length() - 3))
 
 
 def halves(words: list[bytes]) -> list[int]:
     """Keys that two lines share if one edit parts them: one half, for either length that the longer line can have."""
     n, out = len(words), []
-    for size in (n, n + 1):
-        if size >= LEAST:
-            a = (size - 1) // 2
-            out += [xxhash.xxh64_intdigest(b" ".join(words[:a]), 2 * size), xxhash.xxh64_intdigest(b" ".join(words[n - a :]), 2 * size + 1)]
+    for size in {least_size(m) for m in (n, n + 1) if m >= LEAST}:
+        a = (size - 1) // 2
+        out += [xxhash.xxh64_intdigest(b" ".join(words[:a]), 2 * size), xxhash.xxh64_intdigest(b" ".join(words[n - a :]), 2 * size + 1)]
     return out
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """Lines that hold words: doc_id, line_no, a 128-bit hash of the words, their number and the half keys."""
+    """Lines that hold words: doc_id, tag, line_no, own (how many the text has), a 128-bit hash of the words and the half keys."""
     doc = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch, "text"):
-                owner, number, digests, keys, sizes = [], [], [], [], []
+                owner, number, digests, keys, own = [], [], [], [], []
                 for k, text in enumerate(texts(rows, "text")):
+                    before = len(owner)
                     for no, line in enumerate(text.lower().split(b"\n")):
                         if words := line.split():
                             owner.append(k)
                             number.append(no)
-                            sizes.append(len(words))
                             digests.append(xxhash.xxh128_digest(b" ".join(words)))
                             keys.append(halves(words))
+                    own += [len(owner) - before] * (len(owner) - before)
                 pair = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-                flat = np.array([x for own in keys for x in own], np.uint64).view(np.int64)
-                arrays = [rows.column("doc_id").take(pa.array(owner, pa.int64())), pa.array(number, pa.int32()), pa.array(sizes, pa.int32()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.ListArray.from_arrays(ends, pa.array(flat))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "line_no", "n", "h1", "h2", "halves"])
+                flat = np.array([x for each in keys for x in each], np.uint64).view(np.int64)
+                at = pa.array(owner, pa.int64())
+                arrays = [rows.column("doc_id").take(at), rows.column("tag").take(at), pa.array(number, pa.int32()), pa.array(own, pa.int32()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.ListArray.from_arrays(ends, pa.array(flat))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*ROW, "own", "h1", "h2", "halves"])
 
-    return batched(docs).where("doc_id is not null").select("doc_id", "text").mapInArrow(run, f"doc_id {doc}, line_no int, n int, h1 long, h2 long, halves array<long>")
+    kept = docs.where("doc_id is not null and text is not null").select("doc_id", "text", tag_of("text").alias("tag"))
+    return batched(kept).mapInArrow(run, f"doc_id {doc}, tag long, line_no int, own int, h1 long, h2 long, halves array<long>")
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -99,46 +117,44 @@ def one_edit(a: list[bytes], b: list[bytes]) -> bool:
     return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
 
 
-def of_documents(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """A superset of the docs rows whose doc_id is among ids, found by a bitmap of fixed size, without a shuffle of texts."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS))
-    bit, size = place + 1, 1 << 15  # the bitmap functions count values from 1 in buckets of so many bits
-    pieces = ids.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+def read_again(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, h1, h2 and line of the wanted lines (doc_id, tag, line_no, id, h1, h2), found by a bitmap of fixed size, so that only lines are shuffled and not texts."""
+    doc = docs.schema["doc_id"].dataType.simpleString()
+    origin = F.pmod(F.xxhash64("doc_id", "tag"), F.lit(BITMAP_BITS))
+    bit, size = F.pmod(origin + F.col("line_no").cast("long") * STEP, F.lit(BITMAP_BITS)) + 1, 1 << 15  # the bitmap functions count values from 1 in buckets of so many bits
+    pieces = wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     bitmap = np.zeros(BITMAP_BITS // 8, np.uint8)  # 16 MB whatever the input
-    for row in pieces:
+    for row in pieces.toLocalIterator():
         at = (row["bucket"] - 1) * size // 8
         bitmap[at : at + size // 8] = np.frombuffer(row["bits"], np.uint8)
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)
-    rows = docs.where("doc_id is not null").select("doc_id", "text", place.alias("place"))
+    rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text", tag_of("text").alias("tag")).withColumn("origin", origin)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = batch.column("place").to_numpy()
-            yield batch.filter(pa.array((sent.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0))
-
-    return rows.mapInArrow(run, rows.schema).drop("place")
+            for part in slices(batch, "text"):
+                owner, number, found = [], [], []
+                for k, (text, origin) in enumerate(zip(texts(part, "text"), part.column("origin").to_pylist(), strict=True)):
+                    place = (origin + np.arange(text.count(b"\n") + 1, dtype=np.int64) * STEP) % BITMAP_BITS
+                    hit = np.flatnonzero((sent.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
+                    if len(hit):
+                        lines = text.split(b"\n")
+                        owner += [k] * len(hit)
+                        number += hit.tolist()
+                        found += [lines[no] for no in hit.tolist()]
+                at = pa.array(owner, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("tag").take(at), pa.array(number, pa.int32()), pa.array(found, pa.binary())], names=[*ROW, "line"])
+
+    lines = batched(rows).mapInArrow(run, f"doc_id {doc}, tag long, line_no int, line binary")
+    return lines.join(wanted, ROW).groupBy("id").agg(*(F.any_value(c).alias(c) for c in ("h1", "h2", "line")))  # repeated rows give a line again
+
+
+def variant_keys(lines: DataFrame) -> DataFrame:
+    """id, v1, v2 and place of each variant of the lines (id, line): place -1 for the line itself, else that of the word left out."""
 
-
-def removable(docs: DataFrame) -> DataFrame:
-    """doc_id and line_no of every line that goes, and lines: the same docs' numbers of lines with words. See near_lines for the cases."""
-    doc = docs.schema["doc_id"].dataType.simpleString()
-    lines = written(line_table(docs))
-    first = F.min(F.struct("doc_id", "line_no")).alias("first")
-    distinct = written(lines.groupBy("h1", "h2").agg(first, F.any_value("n").alias("n"), F.any_value("halves").alias("halves")))
-
-    keyed = distinct.where(F.size("halves") > 0).select("h1", "h2", F.explode("halves").alias("half"))
-    shared = keyed.groupBy("half").count().where("count > 1").select("half")
-    possible = keyed.join(shared, "half", "left_semi").select("h1", "h2").distinct()
-    # (doc_id, line_no) of the first of each: a line to read again
-    possible = written(distinct.join(possible, ["h1", "h2"], "left_semi").select("h1", "h2", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no")))
-    wanted = possible.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h1", "h2")).alias("wanted"))
-    parts = F.split("text", "\n", -1)
-    read = of_documents(docs, possible).dropDuplicates(["doc_id"]).join(wanted, "doc_id").select("doc_id", F.explode(F.transform("wanted", lambda w: F.struct(w["line_no"].alias("line_no"), w["h1"].alias("h1"), w["h2"].alias("h2"), F.get(parts, w["line_no"]).alias("line")))).alias("w"))
-    read = written(read.select("doc_id", "w.*"))
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in slices(batch, "line", 1 << 18):
+            for rows in slices(batch, "line", 1 << 17):
                 lanes, places, owner = ([], []), [], []
                 for k, line in enumerate(texts(rows, "line")):
                     words = line.lower().split()
@@ -148,22 +164,38 @@ def removable(docs: DataFrame) -> DataFrame:
                         lane.append(m[:upto])
                     places.append(np.arange(-1, upto - 1, dtype=np.int32))
                     owner.append(np.full(upto, k))
-                at = pa.array(np.concatenate(owner))
-                yield pa.RecordBatch.from_arrays([*(rows.column(c).take(at) for c in ("doc_id", "line_no", "h1", "h2")), *(pa.array(np.concatenate(x)) for x in (*lanes, places))], names=["doc_id", "line_no", "h1", "h2", "v1", "v2", "place"])
-
-    keys = read.mapInArrow(emit, f"doc_id {doc}, line_no int, h1 long, h2 long, v1 long, v2 long, place int").withColumn("first", F.struct("doc_id", "line_no"))
-    keys = written(keys.drop("doc_id", "line_no"))
-    at_place = keys.groupBy("v1", "v2", "place").agg(F.min("first").alias("same"), F.count("*").alias("n"))
-    whole = F.min(F.when(F.col("place") < 0, F.col("same")))
-    cut = F.min(F.when(F.col("place") >= 0, F.col("same")))
-    of_key = at_place.groupBy("v1", "v2").agg(whole.alias("whole"), cut.alias("cut"), F.sum("n").alias("n")).where("n > 1").drop("n")
-    joined = keys.join(of_key, ["v1", "v2"]).join(at_place.select("v1", "v2", "place", "same"), ["v1", "v2", "place"])
+                out = pa.RecordBatch.from_arrays([rows.column("id").take(pa.array(np.concatenate(owner))), *(pa.array(np.concatenate(x)) for x in (*lanes, places))], names=["id", "v1", "v2", "place"])
+                for a in range(0, out.num_rows, VARIANTS):
+                    yield out.slice(a, VARIANTS)
+
+    return batched(lines).select("id", "line").mapInArrow(run, "id long, v1 long, v2 long, place int")
+
+
+def removable(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lines that go (doc_id, tag, line_no), and own, the number of lines with words, of each text (doc_id, tag) that has any. See near_lines for the cases."""
+    scratch = Scratch(docs.sparkSession)
+    lines = Scratch(docs.sparkSession).written(line_table(docs))
+    row = F.struct(*ROW)
+    firsts = scratch.written(lines.groupBy("h1", "h2").agg(F.min(row).alias("first"), (F.count("*") > 1).alias("many")))
+
+    # Lines that share a half with another. Of 128 bits 64 will do here, as nothing is lost by more lines.
+    keyed = lines.select("h1", F.explode("halves").alias("half"))
+    shared = scratch.written(keyed.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("half"))
+    possible = scratch.written(keyed.join(shared, "half", "left_semi").select("h1").distinct())
+    wanted = firsts.join(possible, "h1", "left_semi").select("first.*", "h1", "h2")
+    wanted = scratch.written(wanted.orderBy(*ROW).withColumn("id", F.monotonically_increasing_id()))  # ids in the order of lines
+    read = scratch.written(read_again(docs, wanted), "zstd")
+
+    shared = scratch.written(variant_keys(read).groupBy("v1").count().where("count > 1").select("v1"))
+    keys = scratch.written(variant_keys(read).join(shared, "v1"))
+    at_place = scratch.written(keys.groupBy("v1", "v2", "place").agg(F.min("id").alias("same")))
+    whole, cut = (F.min(F.when(on, F.col("same"))) for on in (F.col("place") < 0, F.col("place") >= 0))
+    of_key = at_place.join(at_place.groupBy("v1", "v2").agg(whole.alias("whole"), cut.alias("cut")), ["v1", "v2"])
     partner = F.when(F.col("place") < 0, F.col("cut")).otherwise(F.least("same", "whole"))
-    found = joined.withColumn("partner", partner).where("partner < first").groupBy("h1", "h2").agg(F.min("partner").alias("partner"))
+    joined = keys.join(scratch.written(of_key), ["v1", "v2", "place"]).withColumn("partner", partner).where("partner < id")
+    found = joined.groupBy("id").agg(F.min("partner").alias("partner"))
     # The words of both, to verify the distance.
-    mine = read.select("h1", "h2", F.col("line").alias("a"))
-    other = read.select(F.struct("doc_id", "line_no").alias("partner"), F.col("line").alias("b"))
-    pairs = found.join(mine, ["h1", "h2"]).join(other, "partner").select("h1", "h2", "a", "b")
+    pairs = found.join(read.select("id", "h1", "h2", F.col("line").alias("a")), "id").join(read.select(F.col("id").alias("partner"), F.col("line").alias("b")), "partner").select("h1", "h2", "a", "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,47 +203,56 @@ def removable(docs: DataFrame) -> DataFrame:
             yield batch.select(["h1", "h2"]).filter(pa.array(ok, pa.bool_()))
 
     near = pairs.mapInArrow(verify, "h1 long, h2 long").withColumn("near", F.lit(True))
-    state = distinct.select("h1", "h2", "first").join(near, ["h1", "h2"], "left")
-    return lines.join(state, ["h1", "h2"]).select("doc_id", "line_no", (F.col("near").isNotNull() | (F.struct("doc_id", "line_no") > F.col("first"))).alias("gone"))
+    state = firsts.join(near, ["h1", "h2"], "left").withColumn("near", F.col("near").isNotNull()).where("near or many")
+    state = Scratch(docs.sparkSession).written(state.select("h1", "h2", "first", "near"))
+    scratch.dropped()
+    gone = lines.drop("halves").join(state, ["h1", "h2"]).where(F.col("near") | (row > F.col("first"))).select(*ROW)
+    return gone, lines.select("doc_id", "tag", "own").distinct()
 
 
 def near_lines(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines (with words), n_removed and removed_lines (numbers from 0, ascending, comma-joined) of each document.
 
     Lines are parted by line feeds; those without words are neither counted nor removed.
-    Null and empty texts have no lines. Rows with the same id are one document, and what one
-    loses, all lose; their row is given once for each. Rows without an id neither remove
-    lines nor lose any. An empty table gives no rows.
+    Null and empty texts have no lines. Rows with the same id and text are one document,
+    given once for each; rows with the same id and other texts are documents of their own, in order of a hash
+    of the text. Rows without an id neither remove lines nor lose any. A text of one long line is one
+    line whatever its length. Other columns are not read. An empty table gives no rows.
     """
-    gone = F.col("gone")
-    marks = removable(docs).distinct().groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(gone).alias("n_removed"), F.array_join(F.array_sort(F.collect_list(F.when(gone, F.col("line_no")))), ",").alias("removed_lines"))
-    joined = docs.select("doc_id").join(marks, "doc_id", "left")
-    return joined.select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("removed_lines", F.lit("")).alias("removed_lines"))
+    gone, counts = removable(docs)
+    marks = gone.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set("line_no")).alias("numbers"))
+    marks = docs.select("doc_id", tag_of("text").alias("tag")).join(counts, ["doc_id", "tag"], "left").join(marks, ["doc_id", "tag"], "left")
+    removed = F.when(F.col("numbers").isNull(), 0).otherwise(F.size("numbers"))
+    return marks.select("doc_id", F.coalesce("own", F.lit(0)).cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), F.coalesce(F.array_join("numbers", ","), F.lit("")).alias("removed_lines"))
 
 
 def drop_near_lines(docs: DataFrame) -> DataFrame:
-    """docs without those lines; a document that loses all its lines with words goes. n_chars follows the text, if docs has it."""
-    marks = removable(docs).distinct().groupBy("doc_id").agg(F.count("*").alias("_lines"), F.collect_list(F.when(F.col("gone"), F.col("line_no"))).alias("_gone")).where(F.size("_gone") > 0)
-    marks = marks.select(F.col("doc_id").alias("_doc"), "_lines", "_gone")
-    joined = docs.join(marks, F.col("doc_id") == F.col("_doc"), "left").where(F.col("_doc").isNull() | (F.size("_gone") < F.col("_lines")))
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    out = joined.withColumn("text", F.when(F.col("_doc").isNull(), F.col("text")).otherwise(kept))
+    """docs without those lines; a document that loses all its lines with words goes. n_chars follows the text, if docs has it.
+
+    Cases as in near_lines; null and empty texts and rows without an id stay as they are. Columns may have any names.
+    """
+    gone, counts = removable(docs)
+    doc, tag, own, lost = fresh(docs.columns, "doc", "tag", "own", "lost")
+    marks = gone.groupBy("doc_id", "tag").agg(F.collect_set("line_no").alias(lost)).join(counts, ["doc_id", "tag"]).select(F.col("doc_id").alias(doc), F.col("tag").alias(tag), F.col("own").alias(own), lost)
+    joined = docs.join(marks, (F.col("doc_id") == F.col(doc)) & (tag_of("text") == F.col(tag)), "left").where(F.col(lost).isNull() | (F.size(lost) < F.col(own)))
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(F.col(lost), i)), "\n")
+    new = {"text": F.when(F.col(lost).isNull(), F.col("text")).otherwise(kept)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_doc").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col(lost).isNull(), F.col("n_chars")).otherwise(F.length(kept).cast(docs.schema["n_chars"].dataType))
+    return joined.withColumns(new).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def brute_force(docs: list[tuple[int, str | None]]) -> list[tuple[int, int, int, str]]:
-    """The same report by comparing each line with all earlier ones."""
+    """The same report by comparing each line with all earlier ones; a row for each of docs, whose ids are not null."""
     seen: list[list[bytes]] = []
-    out = []
-    for doc, text in sorted(docs):
+    report = {}
+    for doc, tag, text in sorted({(d, int(hashlib.md5((t or "").encode()).hexdigest()[:15], 16), t or "") for d, t in docs}):
         n, gone = 0, []
-        for no, line in enumerate((text or "").encode().lower().split(b"\n")):
+        for no, line in enumerate(text.encode().lower().split(b"\n")):
             if words := line.split():
                 n += 1
                 if any(one_edit(words, old) for old in seen):
                     gone.append(no)
                 seen.append(words)
-        out.append((doc, n, len(gone), ",".join(map(str, gone))))
-    return out
+        report[doc, text] = (doc, n, len(gone), ",".join(map(str, gone)))
+    return [report[d, t or ""] for d, t in docs]

@@ -89,12 +89,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 SQL: dict[str, str] = {
     "op1_line_dedup": f"""
-        WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-        numbered AS (SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM parts),
+        WITH texts AS (SELECT DISTINCT doc_id, CAST('0x' || substr(md5(text), 1, 15) AS BIGINT) AS tag, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        parts AS (SELECT doc_id, tag, string_split(text, chr(10)) AS l FROM texts),
+        numbered AS (SELECT doc_id, tag, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM parts),
         lines AS (
-            SELECT doc_id, line_no, regexp_extract_all(translate(line, '{UPPER}', '{LOWER}'), '[^ \\x09-\\x0D]+') AS w FROM numbered
+            SELECT doc_id, tag, line_no, regexp_extract_all(translate(line, '{UPPER}', '{LOWER}'), '[^ \\x09-\\x0D]+') AS w FROM numbered
         ),
-        held AS (SELECT *, row_number() OVER (ORDER BY doc_id, line_no) AS place, array_to_string(w, ' ') AS whole FROM lines WHERE len(w) > 0),
+        held AS (SELECT *, row_number() OVER (ORDER BY doc_id, tag, line_no) AS place, array_to_string(w, ' ') AS whole FROM lines WHERE len(w) > 0),
         firsts AS (SELECT whole, min(place) AS place, any_value(w) AS w FROM held GROUP BY whole),
         cut AS (
             SELECT place, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS v
@@ -108,13 +109,13 @@ SQL: dict[str, str] = {
             UNION SELECT a.place FROM firsts a JOIN shorter b ON a.whole = b.v WHERE b.place < a.place
         ),
         state AS (SELECT f.whole, f.place, n.place IS NOT NULL AS near FROM firsts f LEFT JOIN near n ON f.place = n.place),
-        marks AS (SELECT h.doc_id, h.line_no, s.near OR h.place > s.place AS gone FROM held h JOIN state s ON h.whole = s.whole),
+        marks AS (SELECT h.doc_id, h.tag, h.line_no, s.near OR h.place > s.place AS gone FROM held h JOIN state s ON h.whole = s.whole),
         sums AS (
-            SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) FILTER (gone) AS removed_lines
-            FROM marks GROUP BY doc_id
+            SELECT doc_id, tag, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) FILTER (gone) AS removed_lines
+            FROM marks GROUP BY doc_id, tag
         )
         SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(removed_lines, '') AS removed_lines
-        FROM documents d LEFT JOIN sums s ON d.doc_id = s.doc_id""",
+        FROM documents d LEFT JOIN sums s ON d.doc_id = s.doc_id AND CAST('0x' || substr(md5(d.text), 1, 15) AS BIGINT) = s.tag""",
     "op2_merkle_fixity": """
         WITH bodies AS (
             SELECT page_id, 'pages-' || CAST(page_id // 256 AS VARCHAR) || '.warc' AS file, coalesce(url, '') AS url, coalesce(html, '') AS html
