@@ -15,6 +15,8 @@ def settled(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a shared folder")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder}/rows-{uuid.uuid4().hex}"
@@ -50,7 +52,7 @@ def spanning_forest(edges: DataFrame, rounds: int = 40) -> DataFrame:
             return chosen
         chosen = grown
         labels = components(nodes, chosen)
-    return chosen
+    raise RuntimeError(f"the forest did not settle in {rounds} rounds")
 
 
 def batch_routes(edges: DataFrame, trips: DataFrame, rounds: int | None = None) -> DataFrame:

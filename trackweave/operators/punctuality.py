@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from trackweave.functions.geo import half_up
 from trackweave.functions.text import name_forms, names_contain, names_match, normalise_name, normalise_ref, row_ref
+from trackweave.operators.graph import settled
 
 # Kinds of train that are matched by ride instead of by reference.
 LONG_DISTANCE = ("ICE", "IC", "EC", "ECE", "EN", "RJ", "RJX", "NJ", "FLX", "TGV", "IR", "D")
@@ -41,9 +42,18 @@ def with_delay(departures: DataFrame) -> DataFrame:
 TOLD = ("line_number", "train_type", "station")
 
 
+def worked_once(rows: DataFrame, keys: tuple[str, ...], **columns: Column) -> DataFrame:
+    """Distinct keys with columns made from them (as key `_k` for k), once for each and not for each row.
+
+    They are made from aggregates, so that a filter on them isn't pushed down to the rows.
+    """
+    distinct = rows.groupBy(*keys).agg(*(F.any_value(k).alias(f"_{k}") for k in keys))
+    return distinct.withColumns(columns).drop(*(f"_{k}" for k in keys))
+
+
 def told_refs(departures: DataFrame) -> DataFrame:
-    """The distinct combinations of TOLD with the reference that they claim: names are worked on once for each, not for each departure."""
-    return departures.select(*TOLD).distinct().withColumn("ref", row_ref(F.col("line_number"), F.col("train_type")))
+    """The distinct combinations of TOLD with the reference that they claim, as a table: few, however many departures there are."""
+    return settled(worked_once(departures, TOLD, ref=row_ref(F.col("_line_number"), F.col("_train_type"))))
 
 
 def with_told(departures: DataFrame, told: DataFrame, *columns: str) -> DataFrame:
@@ -70,27 +80,30 @@ def ref_station_matches(pairs: DataFrame, lines: DataFrame, line_stations: DataF
 
     The line of that reference which serves a station of exactly that name, if it is the
     only one; if there is none, the only one with a matching name. fuzzy: None (exact names
-    only), "contain" or "full". Each pair is resolved once, however many departures name it.
+    only), "contain" or "full". Each pair is resolved once, however many departures name it, and each two names are compared once.
     """
     pairs = pairs.select("ref", "station").where("ref <> ''").distinct()
-    served = lines.where(F.col("mode").isin(*SCORED_MODES)).select("line_id", normalise_ref(F.col("ref")).alias("ref")).where("ref <> ''").join(line_stations, "line_id")
-    served = served.select("line_id", "ref", name_forms(F.col("station")).alias("served"))
-    named = pairs.withColumn("own", name_forms(F.col("station")))
-    exact = named.withColumn("name", F.col("own.bare")).where("name <> ''").join(served.select("ref", F.col("served.bare").alias("name"), "line_id").distinct(), ["ref", "name"])
-    found = exact.groupBy("ref", "station").agg(F.countDistinct("line_id").alias("n"), F.min("line_id").alias("line_id"))
+    served = lines.where(F.col("mode").isin(*SCORED_MODES)).select("line_id", normalise_ref(F.col("ref")).alias("ref")).where("ref <> ''").join(line_stations.select("line_id", F.col("station").alias("stop")), "line_id").distinct()
+    own, theirs = worked_once(pairs, ("station",), own=name_forms(F.col("_station"))), worked_once(served, ("stop",), their=name_forms(F.col("_stop")))
+    equal = own.withColumn("name", F.col("own.bare")).where("name <> ''").join(theirs.withColumn("name", F.col("their.bare")), "name").select("station", "stop")
+    line_of = lambda rows, alike: rows.join(alike, "station").join(served, ["ref", "stop"]).groupBy("ref", "station").agg(F.countDistinct("line_id").alias("n"), F.min("line_id").alias("line_id"))
+    found = line_of(pairs, equal)
     if fuzzy:
-        rest = named.join(found, ["ref", "station"], "left_anti")
+        rest = pairs.join(found, ["ref", "station"], "left_anti")
         same = names_contain if fuzzy == "contain" else names_match
-        close = rest.join(served, "ref").where(same(F.col("served"), F.col("own")))
-        found = found.unionByName(close.groupBy("ref", "station").agg(F.countDistinct("line_id").alias("n"), F.min("line_id").alias("line_id")))
+        # Names that meet under one reference, each two compared once.
+        met = rest.join(served.select("ref", "stop").distinct(), "ref").select("station", "stop").distinct()
+        alike = met.join(own, "station").join(theirs, "stop").where(same(F.col("their"), F.col("own"))).select("station", "stop")
+        found = found.unionByName(line_of(rest, alike))
     outcome = F.when(F.col("n").isNull(), "missed").when(F.col("n") > 1, "ambiguous").otherwise("matched")
     return pairs.join(found, ["ref", "station"], "left").select("ref", "station", outcome.alias("outcome"), F.when(F.col("n") == 1, F.col("line_id")).alias("line_id"))
 
 
 def ride_matches(rides: DataFrame, line_stations: DataFrame) -> DataFrame:
     """month, ride, outcome (matched, ambiguous, missed, too small) and line_id: the one line that serves every station of the ride."""
-    stations = rides.select("month", "ride", normalise_name(F.col("station")).alias("name")).where("name <> ''").distinct()
-    served = line_stations.select("line_id", normalise_name(F.col("station")).alias("name")).distinct()
+    name = normalise_name(F.col("_station"))
+    stations = rides.select("month", "ride", "station").distinct().join(worked_once(rides, ("station",), name=name), "station").where("name <> ''").select("month", "ride", "name").distinct()
+    served = line_stations.join(worked_once(line_stations, ("station",), name=name), "station").select("line_id", "name").distinct()
     sizes = stations.groupBy("month", "ride").agg(F.count("*").alias("size"))
     common = stations.join(served, "name").groupBy("month", "ride", "line_id").agg(F.count("*").alias("n"))
     whole = common.join(sizes, ["month", "ride"]).where("n = size").groupBy("month", "ride").agg(F.count("*").alias("lines"), F.min("line_id").alias("line_id"))
@@ -104,7 +117,7 @@ def attributed(departures: DataFrame, lines: DataFrame, line_stations: DataFrame
     long, local = by_product(with_delay(departures).where("delay is not null"))
     told = told_refs(local)
     matches = ref_station_matches(told, lines, line_stations, fuzzy).where("outcome = 'matched'")
-    named = told.join(matches.select("ref", "station", "line_id"), ["ref", "station"])
+    named = settled(told.join(matches.select("ref", "station", "line_id"), ["ref", "station"]))
     out = with_told(local, named, "line_id").select(F.col("line_id").cast("string").alias("line_id"), "station", "delay", "cancelled")
     if long_stations is not None:
         rides = ride_matches(by_product(departures)[0], long_stations).where("outcome = 'matched'").select("month", "ride", "line_id")
@@ -194,10 +207,10 @@ def worst_first(stations: DataFrame) -> DataFrame:
 def match_stats(departures: DataFrame, lines: DataFrame, line_stations: DataFrame, long_stations: DataFrame, fuzzy: str | None = "full") -> DataFrame:
     """kind, outcome and count: of departures and pairs by reference, of rides by containment."""
     long, local = by_product(with_delay(departures))
-    counted = local.where("delay is not null").groupBy(*TOLD).agg(F.count("*").alias("departures"))
-    told = counted.withColumn("ref", row_ref(F.col("line_number"), F.col("train_type")))
-    matches = ref_station_matches(told, lines, line_stations, fuzzy)
-    rows = told.join(matches, ["ref", "station"]).groupBy("outcome").agg(F.sum("departures").alias("n")).select(F.lit("departures").alias("kind"), "outcome", "n")
+    counted = settled(local.where("delay is not null").groupBy(*TOLD).agg(F.count("*").alias("departures")))
+    told = settled(with_told(counted, told_refs(counted), "ref"))
+    matches = settled(ref_station_matches(told, lines, line_stations, fuzzy))
+    rows = told.where("ref <> ''").join(matches, ["ref", "station"], "left").groupBy(F.coalesce("outcome", F.lit("missed")).alias("outcome")).agg(F.sum("departures").alias("n")).select(F.lit("departures").alias("kind"), "outcome", "n")
     pairs = matches.groupBy("outcome").agg(F.count("*").alias("n")).select(F.lit("pairs").alias("kind"), "outcome", "n")
     rides = ride_matches(long, long_stations).groupBy("outcome").agg(F.count("*").alias("n")).select(F.lit("rides").alias("kind"), "outcome", "n")
     return rows.unionByName(pairs).unionByName(rides)
