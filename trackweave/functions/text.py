@@ -180,7 +180,20 @@ PREFIX_ORDER = ("ICE", "IC", "EC", "ECE", "FLX", "NJ", "EN", "RJ", "TGV", "RE",
 
 def ref_sort_columns(ref: Column) -> list[Column]:
     """Rank of a known prefix, prefix, number and rest."""
-    prefix = F.upper(F.regexp_extract(ref, r"^\s*([A-Za-z]*)", 1))
-    number = F.regexp_extract(ref, r"^\s*[A-Za-z]*\s*(\d+)", 1)
+    letters = "[A-Za-zÄÖÜäöü]"
+    prefix = F.upper(F.regexp_extract(ref, rf"^\s*({letters}*)", 1))
+    number = F.regexp_extract(ref, rf"^\s*{letters}*\s*(\d+)", 1)
     rank = F.coalesce(*[F.when(prefix == p, F.lit(i)) for i, p in enumerate(PREFIX_ORDER)], F.lit(len(PREFIX_ORDER)))
-    return [rank, prefix, F.when(number == "", F.lit(2_000_000_000)).otherwise(number.try_cast("bigint")), F.regexp_replace(ref, r"^\s*[A-Za-z]*\s*\d*", "")]
+    rest = F.regexp_replace(F.trim(ref), rf"^{letters}*\s*\d*", "")
+    return [rank, german(prefix), F.when(number == "", F.lit((1 << 53) - 1)).otherwise(number.try_cast("bigint")), german(rest)]
+
+
+def german(col: Column) -> Column:
+    """Text in the order of German words."""
+    return F.collate(col, "DE")
+
+
+def natural_columns(ref: Column) -> list[Column]:
+    """References as people read them: text in German order, then the number in it by its value, then the rest."""
+    number = F.regexp_extract(ref, r"^\D*(\d+)", 1)
+    return [german(F.regexp_extract(ref, r"^\D*", 0)), F.coalesce(number.try_cast("bigint"), F.lit(-1)), german(F.regexp_replace(ref, r"^\D*\d*", ""))]

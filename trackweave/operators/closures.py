@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from trackweave.functions.geo import mercator_to_degrees
 from trackweave.functions.style import EFFECT_RANK, lookup
+from trackweave.operators.order import numbered
 
 # Effects, directions and kinds of work as the register spells them, and what they are called here.
 EFFECTS = {
@@ -210,4 +211,4 @@ def effect_rank(effect: Column) -> Column:
 
 def drawing_order(closures: DataFrame) -> DataFrame:
     """draw_order from 1: the least severe first, so that the worst are drawn on top."""
-    return closures.withColumn("draw_order", F.row_number().over(W.orderBy(effect_rank(F.col("effect")), "id")))
+    return numbered(closures, [effect_rank(F.col("effect")), "id"], "draw_order")

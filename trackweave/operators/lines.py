@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from trackweave.functions import style
-from trackweave.functions.text import clean_name, pick_ref, ref_sort_columns
+from trackweave.functions.text import clean_name, natural_columns, pick_ref
+from trackweave.operators.order import numbered
 
+# Kinds of train that a long-distance line's reference begins with.
 LONG_DISTANCE_REF = r"(?i)^(ICE|IC|EC|ECE|NJ|EN|RJ|TGV|THA|FLX|D|CNL)\s*\d*"
 
 
@@ -80,7 +82,7 @@ def bundle_segments(line_ways: DataFrame) -> DataFrame:
 def slot_ordinals(segments: DataFrame, lines: DataFrame) -> DataFrame:
     """seg_id, line_id, ordinal and slot (places to the side of the middle) in a bundle: by mode, then by reference as people read it."""
     rows = segments.select("seg_id", F.explode("line_ids").alias("line_id")).join(lines.select("line_id", "mode", "ref"), "line_id")
-    order = W.partitionBy("seg_id").orderBy(F.desc(style.mode_order(F.col("mode"))), *ref_sort_columns(F.col("ref")), "line_id")
+    order = W.partitionBy("seg_id").orderBy(F.desc(style.mode_order(F.col("mode"))), *natural_columns(F.col("ref")), "line_id")
     ranked = rows.withColumn("ordinal", F.row_number().over(order) - 1)
     return ranked.withColumn("slot", F.col("ordinal") - (F.count("*").over(W.partitionBy("seg_id")) - 1) / 2).select("seg_id", "line_id", "ordinal", "slot")
 
@@ -115,4 +117,4 @@ def known_ways(line_ways: DataFrame, ways: DataFrame) -> DataFrame:
 
 def way_priority(ways: DataFrame) -> DataFrame:
     """The order in which parallel ways are kept: most lines, longest, smallest id."""
-    return ways.withColumn("priority", F.row_number().over(W.orderBy(F.desc("lines"), F.desc("metres"), "way_id")))
+    return numbered(ways, [F.desc("lines"), F.desc("metres"), "way_id"], "priority")

@@ -8,7 +8,8 @@ from pyspark.sql import Window as W
 
 from trackweave.functions.geo import metres
 from trackweave.functions.text import name_forms, names_contain, names_equal, names_match, same_stop_name
-from trackweave.operators.graph import components
+from trackweave.operators.graph import components, settled
+from trackweave.operators.order import numbered
 from trackweave.operators.spatial import near_pairs
 
 MOST_METRES, DUPLICATE_METRES, MARGIN_METRES = 500.0, 20.0, 150.0
@@ -52,9 +53,11 @@ def collapsed(valid: DataFrame) -> DataFrame:
     side = lambda s: rows.select("station_id", F.col("_node").alias(s), F.col("stop").alias(f"stop_{s}"), F.col("r_lon").alias(f"lon_{s}"), F.col("r_lat").alias(f"lat_{s}"))
     near = side("a").join(side("b"), "station_id").where("a < b")
     near = near.where(metres(F.col("lon_a"), F.col("lat_a"), F.col("lon_b"), F.col("lat_b")) <= DUPLICATE_METRES).where(same_stop_name(F.col("stop_a"), F.col("stop_b")))
-    groups = components(rows.select(F.col("_node").alias("node")), near.select("a", "b")).withColumnRenamed("node", "_node")
+    near = settled(near.select("a", "b"))  # only these can belong to others; most stand alone
+    groups = components(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))), near).withColumnRenamed("node", "_node")
     best = F.min(F.struct(F.when(F.col("serves"), 0).otherwise(1).alias("k"), "id", "distance", "serves")).alias("s")
-    return rows.join(groups, "_node").groupBy("station_id", "component").agg(best).select("station_id", "s.id", "s.distance", "s.serves")
+    grouped = rows.join(groups, "_node", "left").withColumn("component", F.coalesce("component", "_node"))
+    return grouped.groupBy("station_id", "component").agg(best).select("station_id", "s.id", "s.distance", "s.serves")
 
 
 def best_match(valid: DataFrame) -> DataFrame:
@@ -97,12 +100,12 @@ def work_budget(stations: DataFrame, state: DataFrame, budget: int | None) -> Da
     """Stations to look up now, with their class and order: those never tried first, then up to 100 of what is left for ambiguous ones; no budget, no bound."""
     joined = stations.select("station_id").join(state.select("station_id", "state"), "station_id", "left")
     klass = F.when(F.col("state").isNull(), "new").when(F.col("state") == "ambiguous", "backlog")
-    rows = joined.withColumn("class", klass).where("class is not null").withColumn("n", F.row_number().over(W.partitionBy("class").orderBy("station_id")))
-    if budget is None:
-        return rows.select("station_id", "class", "n")
-    fresh = rows.where("class = 'new'").count()
-    left = min(BACKLOG_SHARE, max(0, budget - fresh))
-    return rows.where(((F.col("class") == "new") & (F.col("n") <= budget)) | ((F.col("class") == "backlog") & (F.col("n") <= left))).select("station_id", "class", "n")
+    rows = joined.withColumn("class", klass).where("class is not null").select("station_id", "class")
+    new, backlog = (rows.where(F.col("class") == c) for c in ("new", "backlog"))
+    if budget is not None:
+        left = min(BACKLOG_SHARE, max(0, budget - new.count()))
+        new, backlog = new.orderBy("station_id").limit(budget), backlog.orderBy("station_id").limit(left)
+    return numbered(new, ["station_id"], "n").unionByName(numbered(backlog, ["station_id"], "n"))
 
 
 def file_refusal(licence: Column, kind: Column, size: Column) -> Column:

@@ -9,6 +9,7 @@ from trackweave.functions import style
 from trackweave.operators.spatial import nearest
 
 SNAP, COACH_SNAP = 300.0, 400.0
+# Words for a town's main station.
 MAIN_STATION = r"\b(Hbf|Hauptbahnhof)\b"
 
 

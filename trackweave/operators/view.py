@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from trackweave.functions import style
 from trackweave.functions.text import normalise_ref, ref_sort_columns
+from trackweave.operators.order import numbered
 from trackweave.operators.spatial import within_box
 
 LINE_HITS, STATION_HITS, LEAST_QUERY, NEXT = 6, 8, 2, 6
@@ -46,8 +47,7 @@ def operators_in_view(seen: DataFrame, modes: list[str]) -> DataFrame:
 
 def index_order(lines: DataFrame) -> DataFrame:
     """place from 1: by mode, then reference prefix, number and rest."""
-    order = W.orderBy(F.desc(style.mode_order(F.col("mode"))), *ref_sort_columns(F.col("ref")), "line_id")
-    return lines.withColumn("place", F.row_number().over(order))
+    return numbered(lines, [F.desc(style.mode_order(F.col("mode"))), *ref_sort_columns(F.col("ref")), "line_id"], "place")
 
 
 def visible_lines(seen: DataFrame, modes: list[str], names: list[str], allow: bool, selected: DataFrame | None = None, lines: DataFrame | None = None) -> DataFrame:

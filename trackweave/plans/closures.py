@@ -100,7 +100,7 @@ def closure_history_join(spark, sf_dir):
 
 
 def closure_severity_order(spark, sf_dir):
-    return c.drawing_order(frame(spark, sf_dir, "v_reading_1").where("begin_day = end_day")).select("id", "effect", "draw_order")
+    return c.drawing_order(frame(spark, sf_dir, "v_reading_1")).select("id", "effect", "draw_order")
 
 
 QUERIES = {f.__name__: f for f in (closure_normalise, mercator_to_wgs84, weekday_mask, span_band, windows_on_day, hours_text, compact_windows, plan_diff, withdrawn_in_window, log_replay, end_moves_packed, closure_progress, event_tally, closure_history_join, closure_severity_order)}
@@ -147,5 +147,5 @@ SQL = {
     "event_tally": f"{ctes('v_log')} SELECT e, count(*) AS n FROM v_log GROUP BY e",
     "closure_history_join": f"""{_LIVE} SELECT r.id, r.begin_day, r.end_day, r.effect, s.since, s.first_end, coalesce(s.revisions, 0) AS revisions, coalesce(p.moves, '') AS moves
         FROM v_reading_1 r LEFT JOIN state s ON r.id = s.id LEFT JOIN packed p ON r.id = p.id""",
-    "closure_severity_order": f"{ctes('v_reading_1')} SELECT id, effect, CAST(row_number() OVER (ORDER BY {_RANK}, id) AS INTEGER) AS draw_order FROM v_reading_1 WHERE begin_day = end_day",
+    "closure_severity_order": f"{ctes('v_reading_1')} SELECT id, effect, row_number() OVER (ORDER BY {_RANK}, id) AS draw_order FROM v_reading_1",
 }

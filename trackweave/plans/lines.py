@@ -145,7 +145,7 @@ _WAYS = f"""{ctes("v_line_ways", "v_lines")}, sets AS (SELECT way_id, list_sort(
     segs AS (SELECT line_ids, min(way_id) AS seg_id, count(*) AS ways FROM sets GROUP BY line_ids),
     members AS (SELECT seg_id, unnest(line_ids) AS line_id FROM segs),
     slots AS (SELECT m.seg_id, m.line_id, row_number() OVER (PARTITION BY m.seg_id ORDER BY CASE mode WHEN 'regional' THEN 40 ELSE 30 END DESC,
-        CASE regexp_extract(ref, '^[A-Z]*') WHEN 'RE' THEN 3 WHEN 'RB' THEN 4 WHEN 'S' THEN 5 ELSE 8 END, CAST(regexp_extract(ref, '\\d+') AS INTEGER), m.line_id) - 1 AS ordinal, count(*) OVER (PARTITION BY m.seg_id) AS size
+        regexp_extract(ref, '^[A-Z]*'), CAST(regexp_extract(ref, '\\d+') AS INTEGER), m.line_id) - 1 AS ordinal, count(*) OVER (PARTITION BY m.seg_id) AS size
         FROM members m JOIN v_lines l ON m.line_id = l.line_id),
     placed AS (SELECT seg_id, line_id, CAST(ordinal AS INTEGER) AS ordinal, ordinal - (size - 1) / 2.0e0 AS slot FROM slots)"""
 

@@ -29,13 +29,12 @@ def _placed_ways(customers, lon, lat):
     return long.unionByName(short)
 
 
-def _ways(spark, sf_dir):
-    """The ways that the SQL of rail_graph_edges and nearest_node names."""
-    return _placed_ways(frame(spark, sf_dir, "customer").where("c_custkey < 400"), LON, LAT)
-
-
 WIDE_LON = f"({LON} + {CELL} * ({{0}} div {BLOCK} % {ROW}))"
 WIDE_LAT = f"({LAT} + {CELL} * ({{0}} div {BLOCK} div {ROW}))"
+#: A stop lies beside the places of fifteen customers each, in the cell of theirs.
+STOP_LON = f"({LON.format('(stop_id * 5)')} + 0.0003e0 + {CELL} * (stop_id * 15 div {BLOCK} % {ROW}))"
+STOP_LAT = f"({LAT.format('(stop_id * 3)')} + {CELL} * (stop_id * 15 div {BLOCK} div {ROW}))"
+_DUCK = lambda x: x.replace(" div ", " // ")
 
 
 def _network(spark, sf_dir):
@@ -49,18 +48,18 @@ def _in_cell(way_id, groups):
 
 
 def rail_graph_edges(spark, sf_dir):
-    return w.rail_graph(_ways(spark, sf_dir)).select("way_id", "src", "dst", half_up(F.col("metres"), 3).alias("metres"), "forward")
+    return w.rail_graph(_network(spark, sf_dir)).select("way_id", "src", "dst", half_up(F.col("metres"), 3).alias("metres"), "forward")
 
 
 def nearest_node(spark, sf_dir):
-    stops = frame(spark, sf_dir, "v_stops").selectExpr("stop_id", f"{LON.format('(stop_id * 5)')} + 0.0003e0 AS lon", f"{LAT.format('(stop_id * 3)')} AS lat")
-    found = nearest(stops, w.graph_nodes(_ways(spark, sf_dir)), "stop_id", "node", w.SNAP_METRES)
+    stops = frame(spark, sf_dir, "v_stops").selectExpr("stop_id", f"{STOP_LON} AS lon", f"{STOP_LAT} AS lat")
+    found = nearest(stops, w.graph_nodes(_network(spark, sf_dir)), "stop_id", "node", w.SNAP_METRES)
     return found.select("stop_id", half_up(F.col("distance"), 3).alias("distance"))
 
 
 def _trips(spark, sf_dir):
     s = frame(spark, sf_dir, "supplier")
-    return s.where("s_suppkey % 4 = 0").selectExpr("s_suppkey AS trip_id", "s_suppkey AS source", "s_suppkey + 37 * (s_suppkey % 3) + 2 AS target", "CASE WHEN s_suppkey % 8 = 0 THEN array(CAST(s_suppkey % 9 AS INT)) ELSE CAST(array() AS ARRAY<INT>) END AS refs", "4000.0D AS budget")
+    return s.selectExpr("s_suppkey AS trip_id", "s_suppkey AS source", "s_suppkey + 37 * (s_suppkey % 3) + 2 AS target", "CASE WHEN s_suppkey % 8 = 0 THEN array(CAST(s_suppkey % 9 AS INT)) ELSE CAST(array() AS ARRAY<INT>) END AS refs", "4000.0D AS budget")
 
 
 def batch_routes(spark, sf_dir):
@@ -106,9 +105,14 @@ def _slots(spark, sf_dir):
     return n.slot_ordinals(segments, frame(spark, sf_dir, "v_lines"))
 
 
+def _near(number, n):
+    """One of n places of the corridor's own 500 ways."""
+    return number % n + n * F.floor(F.col("seg_id") / 500)
+
+
 def taper_candidates(spark, sf_dir):
     slots = _slots(spark, sf_dir)
-    ends = slots.select("seg_id").distinct().select(F.explode(F.array(F.struct((F.col("seg_id") % 90).alias("node"), F.lit(-1).alias("side")), F.struct(((F.col("seg_id") * 7 + 1) % 90).alias("node"), F.lit(1).alias("side")))).alias("e"), "seg_id").select("e.*", "seg_id", (F.col("seg_id") % 300 + 10).cast("double").alias("metres"))
+    ends = slots.select("seg_id").distinct().select(F.explode(F.array(F.struct(_near(F.col("seg_id"), 90).alias("node"), F.lit(-1).alias("side")), F.struct(_near(F.col("seg_id") * 7 + 1, 90).alias("node"), F.lit(1).alias("side")))).alias("e"), "seg_id").select("e.*", "seg_id", (F.col("seg_id") % 300 + 10).cast("double").alias("metres"))
     rows = w.taper_candidates(ends, slots, frame(spark, sf_dir, "v_lines"))
     return rows.select("node", "line_id", "outcome", "delta", half_up(F.col("length"), 6).alias("length"))
 
@@ -121,7 +125,7 @@ def taper_lengths(spark, sf_dir):
 
 def _calls(spark, sf_dir):
     slots = _slots(spark, sf_dir)
-    return slots, slots.select("seg_id", "line_id", F.explode(F.array((F.col("seg_id") % 40), (F.col("seg_id") * 3 % 40))).alias("station_id")).where("(line_id * 7 + station_id) % 3 <> 0").distinct()
+    return slots, slots.select("seg_id", "line_id", F.explode(F.array(_near(F.col("seg_id"), 40), _near(F.col("seg_id") * 3, 40))).alias("station_id")).where("(line_id * 7 + station_id) % 3 <> 0").distinct()
 
 
 def stop_mark_runs(spark, sf_dir):
@@ -139,9 +143,10 @@ def stop_marks(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (rail_graph_edges, nearest_node, batch_routes, closure_layer, chain_ways, collapse_tracks, coorient, taper_candidates, taper_lengths, stop_mark_runs, stop_marks)}
 
-_PLACES = f"""places AS (SELECT k, {LON.format("k")} AS lon, {LAT.format("k")} AS lat, CAST(CAST(round(({LON.format("k")}) * 1000000) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(round(({LAT.format("k")}) * 1000000) AS BIGINT) AS VARCHAR) AS node FROM (SELECT unnest(range(500)) AS k)),
-    members AS (SELECT c_custkey * 2 AS way_id, unnest([0, 1, 2]) AS pos, c_custkey + unnest([0, 1, 2]) AS k, 2 AS last FROM customer WHERE c_custkey < 400 AND c_custkey % 2 = 0
-        UNION ALL SELECT c_custkey * 2 + 1, unnest([0, 1]), c_custkey + unnest([0, 37]), 1 FROM customer WHERE c_custkey < 400 AND c_custkey % 5 = 0),
+_PLACES = f"""places AS (SELECT k, lon, lat, CAST(CAST(round(lon * 1000000) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(round(lat * 1000000) AS BIGINT) AS VARCHAR) AS node
+        FROM (SELECT k, {_DUCK(WIDE_LON.format("k"))} AS lon, {_DUCK(WIDE_LAT.format("k"))} AS lat FROM (SELECT unnest(range((SELECT max(c_custkey) + 40 FROM customer))) AS k))),
+    members AS (SELECT c_custkey * 2 AS way_id, unnest([0, 1, 2]) AS pos, c_custkey + unnest([0, 1, 2]) AS k, 2 AS last FROM customer WHERE c_custkey % 2 = 0
+        UNION ALL SELECT c_custkey * 2 + 1, unnest([0, 1]), c_custkey + unnest([0, 37]), 1 FROM customer WHERE c_custkey % 5 = 0),
     vertices AS (SELECT m.way_id, m.pos, m.last, p.* FROM members m JOIN places p ON m.k = p.k),
     ends AS (SELECT DISTINCT node FROM vertices WHERE pos = 0 OR pos = last)"""
 _SLOTS = lines._WAYS
@@ -154,15 +159,15 @@ SQL = {
         edges AS (SELECT * FROM cuts WHERE dst IS NOT NULL AND src <> dst)
         SELECT way_id, src, dst, {d.half_up("m", 3)} AS metres, TRUE AS forward FROM edges UNION ALL SELECT way_id, dst, src, {d.half_up("m", 3)}, FALSE FROM edges""",
     "nearest_node": f"""{ctes("v_stops")}, {_PLACES}, nodes AS (SELECT node, min(lon) AS lon, min(lat) AS lat FROM vertices WHERE pos = 0 OR pos = last GROUP BY node),
-        s AS (SELECT stop_id, {LON.format("(stop_id * 5)")} + 0.0003e0 AS lon, {LAT.format("(stop_id * 3)")} AS lat FROM v_stops),
-        near AS (SELECT s.stop_id, {d.metres("s.lon", "s.lat", "n.lon", "n.lat")} AS distance FROM s, nodes n)
+        s AS (SELECT stop_id, {_DUCK(STOP_LON)} AS lon, {_DUCK(STOP_LAT)} AS lat FROM v_stops),
+        near AS (SELECT s.stop_id, {d.metres("s.lon", "s.lat", "n.lon", "n.lat")} AS distance FROM s JOIN nodes n ON abs(s.lat - n.lat) < 0.05)
         SELECT stop_id, {d.half_up("min(distance)", 3)} AS distance FROM near WHERE distance < 2000 GROUP BY stop_id""",
-    "batch_routes": f"""{ctes("v_edges")}, trips AS (SELECT s_suppkey AS trip_id, s_suppkey AS source, s_suppkey + 37 * (s_suppkey % 3) + 2 AS target, CASE WHEN s_suppkey % 8 = 0 THEN CAST(s_suppkey % 9 AS INTEGER) END AS own FROM supplier WHERE s_suppkey % 4 = 0),
+    "batch_routes": f"""{ctes("v_edges")}, trips AS (SELECT s_suppkey AS trip_id, s_suppkey AS source, s_suppkey + 37 * (s_suppkey % 3) + 2 AS target, CASE WHEN s_suppkey % 8 = 0 THEN CAST(s_suppkey % 9 AS INTEGER) END AS own FROM supplier),
         walk AS (SELECT trip_id, target, own, source AS node, 0.0e0 AS cost FROM trips UNION
             SELECT w.trip_id, w.target, w.own, e.dst, w.cost + e.metres * CASE WHEN w.own IS NOT NULL AND e.ref IS NOT NULL AND e.ref <> w.own THEN 4 ELSE 1 END * CASE WHEN e.service THEN 4 ELSE 1 END
             FROM walk w JOIN v_edges e ON w.node = e.src WHERE w.node <> w.target AND w.cost + e.metres * CASE WHEN w.own IS NOT NULL AND e.ref IS NOT NULL AND e.ref <> w.own THEN 4 ELSE 1 END * CASE WHEN e.service THEN 4 ELSE 1 END <= 4000)
         SELECT t.trip_id, {d.half_up("min(w.cost)", 3)} AS cost FROM trips t LEFT JOIN walk w ON t.trip_id = w.trip_id AND w.node = t.target GROUP BY t.trip_id""",
-    "taper_candidates": f"""{_SLOTS}, ends AS (SELECT seg_id % 90 AS node, -1 AS side, seg_id, CAST(seg_id % 300 + 10 AS DOUBLE) AS metres FROM segs UNION ALL SELECT (seg_id * 7 + 1) % 90, 1, seg_id, CAST(seg_id % 300 + 10 AS DOUBLE) FROM segs),
+    "taper_candidates": f"""{_SLOTS}, ends AS (SELECT seg_id % 90 + 90 * (seg_id // 500) AS node, -1 AS side, seg_id, CAST(seg_id % 300 + 10 AS DOUBLE) AS metres FROM segs UNION ALL SELECT (seg_id * 7 + 1) % 90 + 90 * (seg_id // 500), 1, seg_id, CAST(seg_id % 300 + 10 AS DOUBLE) FROM segs),
         r AS (SELECT e.node, p.line_id, e.seg_id, e.side, p.slot, e.metres, count(*) OVER w AS n, row_number() OVER (PARTITION BY e.node, p.line_id ORDER BY e.seg_id, e.side) AS i FROM ends e JOIN placed p ON e.seg_id = p.seg_id WINDOW w AS (PARTITION BY e.node, p.line_id)),
         s AS (SELECT node, line_id, max(n) AS n, count(DISTINCT seg_id) AS segments, max(slot) FILTER (i = 1) AS s1, max(slot) FILTER (i = 2) AS s2, max(side) FILTER (i = 1) AS d1, max(side) FILTER (i = 2) AS d2, max(metres) FILTER (i = 1) AS m1, max(metres) FILTER (i = 2) AS m2 FROM r GROUP BY 1, 2),
         t AS (SELECT s.*, CASE WHEN n = 2 AND segments = 2 THEN CASE WHEN d1 = d2 THEN -s2 ELSE s2 END - s1 END AS delta FROM s),
@@ -170,7 +175,7 @@ SQL = {
         SELECT node, line_id, CASE WHEN n < 2 THEN 'ends' WHEN delta IS NULL THEN 'ambiguous' WHEN delta = 0 THEN 'level' WHEN length = 0 THEN 'short' ELSE 'taper' END AS outcome, delta, {d.half_up("length", 6)} AS length FROM u""",
     "taper_lengths": f"""WITH r AS (SELECT DISTINCT l_suppkey % 2 AS tram, CAST(l_partkey % 9 AS DOUBLE) AS delta, l_quantity * 5 AS up, l_linenumber * 40.0e0 AS down FROM lineitem), t AS (SELECT *, {_LENGTH("tram = 1", "delta", "up", "down")} AS length FROM r)
         SELECT tram, delta, up, down, {d.half_up("length", 6)} AS length, CASE WHEN length > 0 THEN CAST(ceil(log2(156543.03392e0 * cos(radians(51)) / length)) AS INTEGER) END AS min_zoom FROM t""",
-    "stop_mark_runs": f"""{_SLOTS}, calls AS (SELECT DISTINCT seg_id, line_id, station_id FROM (SELECT seg_id, line_id, unnest([seg_id % 40, seg_id * 3 % 40]) AS station_id FROM placed) WHERE (line_id * 7 + station_id) % 3 <> 0),
+    "stop_mark_runs": f"""{_SLOTS}, calls AS (SELECT DISTINCT seg_id, line_id, station_id FROM (SELECT seg_id, line_id, unnest([seg_id % 40 + 40 * (seg_id // 500), seg_id * 3 % 40 + 40 * (seg_id // 500)]) AS station_id FROM placed) WHERE (line_id * 7 + station_id) % 3 <> 0),
         hit AS (SELECT c.seg_id, c.station_id, p.slot, p.ordinal, p.ordinal - row_number() OVER (PARTITION BY c.seg_id, c.station_id ORDER BY p.ordinal) AS island FROM calls c JOIN placed p ON c.seg_id = p.seg_id AND c.line_id = p.line_id)
         SELECT seg_id, station_id, min(slot) AS lo, max(slot) AS hi, min(ordinal) AS first, CAST(count(*) AS INTEGER) AS lines FROM hit GROUP BY seg_id, station_id, island""",
 }

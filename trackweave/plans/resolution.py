@@ -19,7 +19,7 @@ def _candidates(spark, sf_dir):
 
 
 def _valid(spark, sf_dir):
-    return r.valid_candidates(frame(spark, sf_dir, "v_wanted"), _candidates(spark, sf_dir), "contain")
+    return r.valid_candidates(frame(spark, sf_dir, "v_wanted"), _candidates(spark, sf_dir))
 
 
 def candidate_validation(spark, sf_dir):
@@ -39,7 +39,7 @@ def resolution_cascade(spark, sf_dir):
     stations = frame(spark, sf_dir, "v_wanted")
     tagged = stations.where("station_id % 17 = 0").select("station_id", F.concat(F.lit("tag"), F.col("station_id").cast("string")).alias("id"), F.array(F.lit("REGIONAL_RAIL")).alias("modes"))
     near = candidates.where("id like '%-0'")
-    return r.cascade(stations, tagged, [("spatial", near), ("name", candidates)], "contain")
+    return r.cascade(stations, tagged, [("spatial", near), ("name", candidates)])
 
 
 def _state(spark, sf_dir):
@@ -109,13 +109,13 @@ _RAIL = "('HIGHSPEED_RAIL', 'LONG_DISTANCE', 'REGIONAL_RAIL', 'SUBURBAN', 'METRO
 
 def _valid_sql(where: str = "TRUE", prefix: str = "") -> str:
     """Candidates as pairs; then exact tier, groups, best match, of the stations that `where` keeps."""
-    return f"""{prefix}valid AS (SELECT w.station_id, w.mode, c.id, c.lon, c.lat, {d.metres("w.lon", "w.lat", "c.lon", "c.lat")} AS distance, c.bare = w.bare AS exact, c.bare AS stop,
+    own = f"*, {d.name('name')} AS bare, {d.name('name', True)} AS whole"
+    return f"""{prefix}valid AS (SELECT station_id, mode, id, lon, lat, distance, c_bare = bare AS exact, c_bare AS stop, serves FROM (SELECT w.station_id, w.mode, w.bare, w.whole, c.id, c.lon, c.lat, {d.metres("w.lon", "w.lat", "c.lon", "c.lat")} AS distance, c.bare AS c_bare, c.whole AS c_whole,
             CASE WHEN w.mode = 'tram' THEN c.mode = 'TRAM' ELSE c.mode IN {_RAIL} END AS serves
-        FROM (SELECT *, {d.name("name")} AS bare FROM v_wanted WHERE {where}) w JOIN (SELECT *, {d.name("name")} AS bare FROM v_candidates WHERE type = 'STOP' AND mode <> '') c
-            ON (c.bare = w.bare OR length(w.bare) >= 3 AND contains(c.bare, w.bare) OR length(c.bare) >= 3 AND contains(w.bare, c.bare))
-        WHERE {d.metres("w.lon", "w.lat", "c.lon", "c.lat")} <= 500),
+        FROM (SELECT {own} FROM v_wanted WHERE {where}) w JOIN (SELECT {own} FROM v_candidates WHERE type = 'STOP' AND mode <> '') c
+            ON abs(c.lat - w.lat) < 0.0046 AND abs(c.lon - w.lon) < 0.0092) WHERE distance <= 500 AND {d.names_match("bare", "whole", "c_bare", "c_whole")}),
     {prefix}tier AS (SELECT * FROM {prefix}valid v WHERE exact OR NOT EXISTS (SELECT 1 FROM {prefix}valid e WHERE e.station_id = v.station_id AND e.exact)),
-    {prefix}near AS (SELECT a.station_id, a.id AS a, b.id AS b FROM {prefix}tier a JOIN {prefix}tier b ON a.station_id = b.station_id AND a.id <> b.id AND a.stop = b.stop WHERE least({d.metres("a.lon", "a.lat", "b.lon", "b.lat")}, {d.metres("b.lon", "b.lat", "a.lon", "a.lat")}) <= 20),
+    {prefix}near AS (SELECT a.station_id, a.id AS a, b.id AS b FROM {prefix}tier a JOIN {prefix}tier b ON a.station_id = b.station_id AND a.id <> b.id AND (a.stop = b.stop OR {d.tokens_match("string_split(a.stop, ' ')", "string_split(b.stop, ' ')")} OR {d.tokens_match("string_split(b.stop, ' ')", "string_split(a.stop, ' ')")}) WHERE least({d.metres("a.lon", "a.lat", "b.lon", "b.lat")}, {d.metres("b.lon", "b.lat", "a.lon", "a.lat")}) <= 20),
     {prefix}reach AS (SELECT station_id, id AS a, id AS b FROM {prefix}tier UNION SELECT r.station_id, r.a, n.b FROM {prefix}reach r JOIN {prefix}near n ON r.station_id = n.station_id AND r.b = n.a),
     {prefix}comp AS (SELECT station_id, a AS id, min(b) AS component FROM {prefix}reach GROUP BY 1, 2),
     {prefix}reps AS (SELECT t.station_id, t.id, t.distance, t.serves FROM {prefix}tier t JOIN {prefix}comp c ON t.station_id = c.station_id AND t.id = c.id
@@ -151,7 +151,7 @@ SQL = {
     "drop_stale": "SELECT * FROM (SELECT c_custkey AS station_id, CASE c_custkey % 4 WHEN 0 THEN 'resolved' WHEN 1 THEN 'none' ELSE 'ambiguous' END AS state, CAST(c_custkey % 6 AS INTEGER) AS resolver_version FROM customer WHERE c_custkey % 3 <> 0) WHERE state = 'resolved' OR resolver_version >= 4",
     "work_budget": """WITH c AS (SELECT c_custkey AS station_id, CASE WHEN c_custkey % 3 = 0 THEN 'new' WHEN c_custkey % 4 IN (2, 3) THEN 'backlog' END AS class FROM customer),
         n AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY station_id) AS n FROM c WHERE class IS NOT NULL)
-        SELECT station_id, class, CAST(n AS INTEGER) AS n FROM n WHERE class = 'new' AND n <= 540 OR class = 'backlog' AND n <= least(100, greatest(0, 540 - (SELECT count(*) FROM c WHERE class = 'new')))""",
+        SELECT station_id, class, n FROM n WHERE class = 'new' AND n <= 540 OR class = 'backlog' AND n <= least(100, greatest(0, 540 - (SELECT count(*) FROM c WHERE class = 'new')))""",
     "operator_variants": """WITH o AS (SELECT s_suppkey AS operator_id, s_suppkey % 4 AS k, n_name AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey),
         v AS (SELECT operator_id, unnest(CASE k WHEN 0 THEN [n || ' Bahn GmbH', n || ' Bahn'] WHEN 1 THEN [n || ' Verkehr (' || n[1:2] || ') AG', n || ' Verkehr AG', n || ' Verkehr'] ELSE [n] END) AS variant FROM o)
         SELECT operator_id, variant FROM v WHERE length(variant) > 2""",

@@ -5,11 +5,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
-#: {n:40} stands for a table of the numbers under 40, in column k.
+#: {n40} stands for a table of the numbers under 40, in column k; {lon:k:1500} and {lat:k:1500} for the position of number k, a square for each 1,500.
 VIEWS = {
     "v_lines": """
         SELECT s_suppkey AS line_id,
@@ -45,25 +47,26 @@ VIEWS = {
             p_brand || ' rail' AS operator
         FROM part""",
     "v_line_ways": """
-        SELECT DISTINCT l_suppkey % 12 AS line_id, l_partkey % 500 AS way_id FROM lineitem WHERE l_quantity <= 3""",
+        SELECT DISTINCT CAST(floor(l_partkey / 500) AS BIGINT) * 12 + l_suppkey % 3 * 2 + l_partkey % 7 + CASE WHEN l_quantity > 47 THEN 1 ELSE 0 END AS line_id, l_partkey AS way_id FROM lineitem""",
     "v_stations": """
-        SELECT c_custkey AS station_id, 9.7 + (c_custkey * 7919 % 9973) / 100000.0e0 AS lon, 52.3 + (c_custkey * 104729 % 9967) / 100000.0e0 AS lat,
+        SELECT c_custkey AS station_id, {lon:c_custkey:1500} AS lon, {lat:c_custkey:1500} AS lat,
             c_mktsegment || ' ' || CAST(c_nationkey AS STRING) || CASE WHEN c_custkey % 9 = 0 THEN ' Hbf' ELSE '' END AS name
         FROM customer""",
     "v_stops": """
-        SELECT s_suppkey AS stop_id, 9.700037 + (s_suppkey * 6007 % 9973) / 100000.0e0 AS lon, 52.300021 + (s_suppkey * 15485863 % 9967) / 100000.0e0 AS lat,
-            CASE WHEN s_suppkey % 4 = 0 THEN s_suppkey * 3 ELSE NULL END AS station_ref, s_suppkey % 12 AS line_id
+        SELECT s_suppkey AS stop_id, {lon:s_suppkey * 4007:100:s_suppkey} + 0.000037 AS lon, {lat:s_suppkey * 147:100:s_suppkey} + 0.000021 AS lat,
+            CASE WHEN s_suppkey % 4 = 0 THEN s_suppkey * 3 ELSE NULL END AS station_ref, s_suppkey AS line_id
         FROM supplier""",
     "v_candidates": """
-        SELECT 'c' || CAST(c_custkey AS STRING) || '-' || CAST(k AS STRING) AS id, CASE WHEN c_custkey % 23 = 0 THEN 'PLACE' ELSE 'STOP' END AS type, c_custkey % 200 AS station_id,
-            9.7 + ((c_custkey % 200) * 7919 % 9973) / 100000.0e0 + (c_custkey * 31 % 97 + k) / 20000.0e0 AS lon, 52.3 + ((c_custkey % 200) * 104729 % 9967) / 100000.0e0 + (c_custkey * 17 % 89) / 40000.0e0 AS lat,
-            CASE c_custkey % 3 WHEN 0 THEN 'Stadt Halt ' || CAST(c_custkey % 200 AS STRING) WHEN 1 THEN 'Halt ' || CAST(c_custkey % 200 AS STRING) || ' Bahnhof' ELSE 'Halt ' || CAST(c_custkey % 200 AS STRING) END AS name,
-            CASE c_custkey % 4 WHEN 0 THEN 'REGIONAL_RAIL' WHEN 1 THEN 'BUS' WHEN 2 THEN 'TRAM' ELSE '' END AS mode
-        FROM customer, {n2}""",
+        SELECT 'c' || CAST(c_custkey AS STRING) || '-' || CAST(k AS STRING) AS id, CASE WHEN c_custkey % 23 = 0 THEN 'PLACE' ELSE 'STOP' END AS type, station_id,
+            {lon:station_id:1500} + (c_custkey * 31 % 97 + k) / 20000.0e0 AS lon, {lat:station_id:1500} + (c_custkey * 17 % 89) / 40000.0e0 AS lat,
+            CASE c_custkey % 5 WHEN 0 THEN 'Stadt Hlt ' || CAST(station_id AS STRING) WHEN 1 THEN 'Halt ' || CAST(station_id AS STRING) || ' Bahnhof' WHEN 2 THEN 'Ort Halt ' || CAST(station_id AS STRING)
+                WHEN 3 THEN 'Ort Hal. ' || CAST(station_id AS STRING) ELSE 'Halt ' || CAST(station_id AS STRING) END AS name,
+            CASE c_custkey % 4 WHEN 0 THEN 'REGIONAL_RAIL' WHEN 1 THEN CASE WHEN c_custkey % 8 = 1 THEN 'BUS' ELSE 'METRO' END WHEN 2 THEN 'TRAM' ELSE '' END AS mode
+        FROM (SELECT *, c_custkey - c_custkey % 4 AS station_id FROM customer ) AS own, {n2}""",
     "v_wanted": """
-        SELECT c_custkey AS station_id, 9.7 + (c_custkey * 7919 % 9973) / 100000.0e0 AS lon, 52.3 + (c_custkey * 104729 % 9967) / 100000.0e0 AS lat,
+        SELECT c_custkey AS station_id, {lon:c_custkey:1500} AS lon, {lat:c_custkey:1500} AS lat,
             'Halt ' || CAST(c_custkey AS STRING) || ' Hbf' AS name, CASE WHEN c_custkey % 5 = 0 THEN 'tram' ELSE 'rail' END AS mode
-        FROM customer WHERE c_custkey < 200""",
+        FROM customer""",
     "v_reading_1": """
         SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS begin_day, CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 60 AS INT) AS DATE) AS end_day,
             CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'closed' WHEN '2' THEN 'single-track' WHEN '3' THEN 'diverted' WHEN '4' THEN 'slower' ELSE 'other' END AS effect
@@ -90,7 +93,7 @@ VIEWS = {
     "v_edges": """
         SELECT c_custkey * 2 + k AS way_id, c_custkey AS src, c_custkey + CASE WHEN k = 0 THEN 1 ELSE 37 END AS dst,
             CAST(100 + (31 * c_custkey % 900) AS DOUBLE) AS metres, CASE WHEN c_custkey % 9 = 8 THEN NULL ELSE CAST(c_custkey % 9 AS INT) END AS ref, c_custkey % 13 = 0 AS service
-        FROM customer, {n2} WHERE c_custkey < 400""",
+        FROM customer, {n2}""",
     "v_legs": """
         SELECT CAST(user_id AS STRING) || '-' || CAST(CAST(ts AS DATE) AS STRING) AS journey_id, event_id AS idx,
             CASE event_type WHEN 'view' THEN 'REGIONAL_RAIL' WHEN 'click' THEN 'WALK' WHEN 'purchase' THEN 'HIGHSPEED_RAIL' WHEN 'signup' THEN 'BIKE' ELSE 'BUS' END AS mode,
@@ -104,9 +107,17 @@ VIEWS = {
 }
 
 
+def _place(axis: str, origin: str, step: int, prime: int, k: str, block: str, of: str) -> str:
+    """A position for number k: spread over one square, and a square for each `block` rows (by number `of`), so that a larger table is wider and not denser."""
+    square = f"floor({of} / {block}.0e0)"
+    return f"({origin}e0 + ({k} * {step} % {prime}) / 100000.0e0 + 0.12e0 * " + (f"({square} % 100))" if axis == "lon" else f"floor({square} / 100.0e0))")
+
+
 def text(name: str, dialect: str, tables: dict[str, str]) -> str:
     """The view's SQL for `spark` or `duckdb`, over the named tables."""
     sql = VIEWS[name]
+    for axis, origin, step, prime in (("lon", "9.7", 7919, 9973), ("lat", "52.3", 104729, 9967)):
+        sql = re.sub(r"\{%s:([^:}]*):(\d+)(?::(\w+))?\}" % axis, lambda m: _place(axis, origin, step, prime, m[1], m[2], m[3] or m[1]), sql)
     for n in (2, 4, 40):
         numbers = f"(SELECT explode(sequence(0, {n - 1})) AS k)" if dialect == "spark" else f"(SELECT unnest(range({n})) AS k)"
         sql = sql.replace(f"{{n{n}}}", numbers)
