@@ -175,6 +175,17 @@ def test_decontamination_in_chunks_and_empty(docs, none, spark, monkeypatch):
     assert all(not r["contaminated"] for r in decontaminate.digest(decontaminate.find_overlaps(docs, items.limit(0))).collect())
 
 
+def test_decontamination_with_odd_items_and_clashing_columns(spark):
+    items = spark.createDataFrame([("", "alpha beta gamma"), (None, "delta eta"), ("x", "delta eta"), ("x", None), ("y", "zz \u00e9\u00e9")], "item_id string, text string")
+    data = [(1, "x alpha beta gamma y"), (2, "delta, ETA!"), (3, None), (3, "q zz \u00e9\u00e9 r"), (3, "q zz \u00e9\u00e9 r"), (None, "alpha beta gamma delta eta k"), (4, "w " * 30_000 + "delta eta")]
+    docs = spark.createDataFrame([(d, t, 7, "own", "h") for d, t in data], "doc_id long, text string, n_words int, items string, Hit_Spans string").repartition(3)
+    expected = decontaminate.brute_force(data, [("", "alpha beta gamma"), ("x", "delta eta"), ("y", "zz \u00e9\u00e9")], 10)
+    assert sorted(map(str, (tuple(r) for r in decontaminate.digest(decontaminate.find_overlaps(docs, items, keep=["doc_id"])).collect()))) == sorted(map(str, expected))
+    cleaned = decontaminate.remove_overlaps(docs, items)
+    assert cleaned.dtypes == docs.dtypes and {(r["n_words"], r["items"], r["Hit_Spans"]) for r in cleaned.collect()} == {(7, "own", "h")}
+    assert sorted((str(r["doc_id"]), " ".join((r["text"] or "-").split())) for r in cleaned.collect()) == [("1", "x y"), ("3", "-"), ("3", "q r"), ("3", "q r"), ("4", ("w " * 30_000).strip()), ("None", "k")]
+
+
 def test_index_finds_every_place():
     r = np.random.default_rng(5)
     for top in (1, 2, 7):

@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackweave.llm.common import batched, slices, texts
+from trackweave.llm.common import batched, fresh, slices, texts, written
 
-#: Phrases of about so many bytes of benchmark text are one chunk; so many chunks are searched in one pass over the text.
-PHRASE_BYTES, PASS_CHUNKS = 16 << 20, 4
+#: Phrases of about so many bytes of benchmark text are searched in one pass over the text: some 60 MB of arrays, whatever the benchmark's size.
+PHRASE_BYTES = 8 << 20
 SAMPLE = 8
 
 #: A-Z to lower case; of ASCII only digits and letters belong to words, all bytes from 0x80 do.
@@ -30,20 +30,27 @@ FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122
 
 
 class Phrases:
-    """Distinct windows of the items' words, by length, with the items that hold each."""
+    """Distinct windows of the items' words, by length, with the items that hold each, in flat arrays."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int):
+        """items: name (null: found, but not named) and text."""
         self.ids: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
-        for name, text in items:
-            words = [self.ids.setdefault(w, len(self.ids) + 1) for w in text.translate(FOLDED).split()]
+        self.names = [name for name, _ in items]
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for k, (_, text) in enumerate(items):
+            words = np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in text.translate(FOLDED).split()], np.int32)
             size = min(window, len(words))
-            for i in range(len(words) - size + 1 if size else 0):
-                owners.setdefault(tuple(words[i : i + size]), set()).add(name)
-        self.by_length = {}
-        for size in sorted({len(p) for p in owners}):
-            own = [(p, tuple(sorted(names))) for p, names in owners.items() if len(p) == size]
-            self.by_length[size] = (np.array([p for p, _ in own], np.int64), [names for _, names in own])
+            if size:
+                own = np.lib.stride_tricks.sliding_window_view(words, size)
+                held.setdefault(size, []).append((own, np.full(len(own), k, np.int32)))
+        self.by_length = {size: self.distinct(*map(np.concatenate, zip(*own, strict=True))) for size, own in sorted(held.items())}
+
+    @staticmethod
+    def distinct(windows: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct windows, where the owners of each begin, and the owners."""
+        found, which = np.unique(windows, axis=0, return_inverse=True)
+        pairs = np.unique(np.stack([which.ravel(), owners], axis=1), axis=0)
+        return found, np.searchsorted(pairs[:, 0], np.arange(len(found) + 1)), pairs[:, 1]
 
 
 class FMIndex:
@@ -146,7 +153,7 @@ def shard_hits(docs: list[bytes], phrases: Phrases) -> tuple[list[int], list[lis
         return n_words, spans, items
     text, doc_at, word_at = np.concatenate(runs), np.concatenate(doc_of), np.concatenate(word_of)
     index, cover = FMIndex(text, top), np.zeros(len(text) + 1, np.int64)
-    for size, (windows, owners) in phrases.by_length.items():
+    for size, (windows, begin, owners) in phrases.by_length.items():
         lo, hi = index.search(windows)
         found = np.flatnonzero(hi > lo)
         if not len(found):
@@ -157,7 +164,7 @@ def shard_hits(docs: list[bytes], phrases: Phrases) -> tuple[list[int], list[lis
         np.add.at(cover, where, 1)
         np.add.at(cover, where + size, -1)
         for d, w in set(zip(doc_at[where].tolist(), which.tolist(), strict=True)):
-            items[d].update(owners[w])
+            items[d].update(phrases.names[k] for k in owners[begin[w] : begin[w + 1]].tolist())
     hit = np.concatenate([[0], (np.cumsum(cover[:-1]) > 0).view(np.int8), [0]])
     for a, b in zip(np.flatnonzero(np.diff(hit) == 1).tolist(), np.flatnonzero(np.diff(hit) == -1).tolist(), strict=True):
         spans[doc_at[a]].append((int(word_at[a]), int(word_at[b - 1]) + 1))
@@ -178,20 +185,20 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def marked(batches: Iterator[pa.RecordBatch], phrases: Phrases, text_col: str) -> Iterator[pa.RecordBatch]:
-    """The batches with n_words, and with what the phrases hit added to hit_spans and items."""
+def marked(batches: Iterator[pa.RecordBatch], phrases: Phrases, text_col: str, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The batches with the number of words, and with what the phrases hit added to spans and items; names: of these three columns."""
     for batch in batches:
         for rows in slices(batch, text_col):
             n, spans, found = shard_hits(texts(rows, text_col), phrases)
-            spans = [merged([*((s["start"], s["end"]) for s in old or ()), *new]) for old, new in zip(rows.column("hit_spans").to_pylist(), spans, strict=True)]
-            found = [sorted({*(old or ()), *new} - {""}) for old, new in zip(rows.column("items").to_pylist(), found, strict=True)]
-            for name, values in zip((f.name for f in FOUND), (n, [[{"start": a, "end": b} for a, b in x] for x in spans], found), strict=True):
+            spans = [merged([*((s["start"], s["end"]) for s in old or ()), *new]) for old, new in zip(rows.column(names[1]).to_pylist(), spans, strict=True)]
+            found = [sorted({*(old or ()), *new} - {None}) for old, new in zip(rows.column(names[2]).to_pylist(), found, strict=True)]
+            for name, values in zip(names, (n, [[{"start": a, "end": b} for a, b in x] for x in spans], found), strict=True):
                 at = rows.schema.get_field_index(name)
                 rows = rows.set_column(at, rows.schema.field(at), pa.array(values, type=rows.schema.field(at).type))
             yield rows
 
 
-def cut_out(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+def cut_out(batches: Iterator[pa.RecordBatch], text_col: str, spans_col: str) -> Iterator[pa.RecordBatch]:
     """The batches with their hit words, and what stands between them, taken out of the texts."""
 
     def cut(text: bytes, spans: list[dict]) -> bytes:
@@ -204,43 +211,45 @@ def cut_out(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.Rec
         return b"".join([*out, text[at:]])
 
     for rows in batches:
-        spans = rows.column("hit_spans").to_pylist()
+        spans = rows.column(spans_col).to_pylist()
         if any(spans):
             at = rows.schema.get_field_index(text_col)
-            kept = [None if t is None else cut(t.encode(), s).decode(errors="replace") if s else t for t, s in zip(rows.column(text_col).to_pylist(), spans, strict=True)]
+            kept = [None if t is None else cut(t.encode(), s).decode() if s else t for t, s in zip(rows.column(text_col).to_pylist(), spans, strict=True)]
             rows = rows.set_column(at, rows.schema.field(at), pa.array(kept, rows.schema.field(at).type))
         yield rows
 
 
-def find_overlaps(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, cut: bool = False) -> DataFrame:
+def find_overlaps(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, cut: bool = False, names: list[str] | None = None) -> DataFrame:
     """docs' columns `keep` (all, if None) with n_words, hit_spans (merged word ranges) and items (sorted ids found).
 
     A phrase is `window` consecutive words of an item, or a shorter item whole. Null or
     wordless texts and items have no words and no hits; repeated rows are reported each;
-    items with a null id are found but not named; of an empty table nothing is found.
-    Columns of docs named like the three new ones are replaced. cut: the texts come without what was hit.
+    items with a null id are found but not named, an empty id is a name; of an empty table nothing is found.
+    names: of the three new columns; columns of docs named like them are replaced. cut: the texts come without what was hit.
+
+    Items are searched in passes over the text, so that a worker holds the phrases of PHRASE_BYTES
+    of them at a time; what a pass found is written, and its phrases are freed.
     """
-    names = {f.name for f in FOUND}
+    names = names or [f.name for f in FOUND]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
     bytes_ = items.agg(F.coalesce(F.sum(F.octet_length(F.col(item_text))), F.lit(0))).first()[0]
-    chunks = max(1, -(-int(bytes_) // PHRASE_BYTES))
-    out = batched(docs).select(*dict.fromkeys([*keep, text_col])).withColumns({f.name: F.lit(None).cast(f.dataType) for f in FOUND})
-    schema = out.schema
-    for first in range(0, chunks, PASS_CHUNKS):
-        sent = []
-        for k in range(first, min(chunks, first + PASS_CHUNKS)):
-            part = items if chunks == 1 else items.where(F.pmod(F.xxhash64(item_id), F.lit(chunks)) == k)
-            rows = [("" if r[0] is None else str(r[0]), (r[1] or "").encode()) for r in part.select(item_id, item_text).collect()]
-            sent.append(docs.sparkSession.sparkContext.broadcast(Phrases(rows, window)))
-        last = cut and first + PASS_CHUNKS >= chunks
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, last=last) -> Iterator[pa.RecordBatch]:
-            for phrases in sent:
-                batches = marked(batches, phrases.value, text_col)
-            return cut_out(batches, text_col) if last else batches
+    passes = max(1, -(-int(bytes_) // PHRASE_BYTES))
+    out = batched(docs).select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col]))).withColumns({n: F.lit(None).cast(f.dataType) for n, f in zip(names, FOUND, strict=True)})
+    schema, sent = out.schema, None
+    for k in range(passes):
+        if sent is not None:
+            out = written(out)
+            sent.unpersist()
+        part = items if passes == 1 else items.where(F.pmod(F.xxhash64(item_id, item_text), F.lit(passes)) == k)
+        rows = [(None if r[0] is None else str(r[0]), (r[1] or "").encode()) for r in part.select(item_id, item_text).collect()]
+        sent = docs.sparkSession.sparkContext.broadcast(Phrases(rows, window))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, last=cut and k == passes - 1) -> Iterator[pa.RecordBatch]:
+            batches = marked(batches, sent.value, text_col, names)
+            return cut_out(batches, text_col, names[1]) if last else batches
 
         out = out.mapInArrow(run, schema)
-    return out.select(*keep, *(f.name for f in FOUND))
+    return out.select(*(F.col(f"`{c}`") for c in [*keep, *names]))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -252,15 +261,17 @@ def digest(found: DataFrame) -> DataFrame:
 def remove_overlaps(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """docs without the hit words (and what stands between them); a document left without words goes.
 
-    n_chars follows the text, if docs has it. Documents without hits stay as they are, null texts too.
+    n_chars follows the text, if docs has it. Documents without hits stay as they are, null and
+    wordless texts and repeated rows too. Columns may have any names. Empty tables: docs as they are.
     """
-
-    found = find_overlaps(docs, items, window, cut=True)
-    hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda s, x: s + (x["end"] - x["start"]))
-    cleaned = found.where((hit == 0) | (hit < F.col("n_words")))
+    names = fresh(docs.columns, "n_words", "hit_spans", "items")
+    words, spans, _ = (F.col(n) for n in names)
+    found = find_overlaps(docs, items, window, cut=True, names=names)
+    hit = F.aggregate(spans, F.lit(0).cast("long"), lambda s, x: s + (x["end"] - x["start"]))
+    cleaned = found.where((hit == 0) | (hit < words))
     if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.when(F.size("hit_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return cleaned.select(*docs.columns)
+        cleaned = cleaned.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return cleaned.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], window: int = 10) -> list[tuple]:
