@@ -332,6 +332,31 @@ def test_counts_with_ties_and_gaps():
             assert count(text)[0] == len(whole.encode(text, add_special_tokens=False).ids), text
 
 
+@pytest.mark.parametrize("fallback", [False, True])
+def test_counts_with_fractional_scores(fallback):
+    """Tenths make sums that tie but for rounding, so that what stands before a stretch can decide it."""
+    from tokenizers import Tokenizer, models, normalizers
+
+    r = random.Random(9)
+    for kind in range(6):
+        draw = (lambda: -r.randint(1, 30) / 10) if kind % 2 else (lambda: -r.uniform(0, 4))
+        pieces = [("<unk>", 0.0), *([(f"<0x{b:02X}>", -5.0) for b in range(256)] if fallback else [])]
+        pieces += [(p, draw()) for p in ("▁", "a", "b", "ab", "ba", "aab", "▁a", "▁ab", "bb", "abab", "▁▁", "aa", "baa")]
+        whole = Tokenizer(models.Unigram(pieces, unk_id=0, byte_fallback=fallback))
+        whole.normalizer = normalizers.Sequence([normalizers.Prepend("▁"), normalizers.Replace(" ", "▁")])
+        count = token_counts.Counter(pieces)
+        for k in range(300):
+            text = "".join(r.choices("aab b\u00e9z" if k % 3 else "aab ", k=r.choice((1, 9, 30, 400))))
+            assert count(text)[0] == len(whole.encode(text, add_special_tokens=False).ids), text
+
+
+def test_counts_of_repeated_rows_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "one two", "x", 1.5), (1, "one two", "x", 1.5), (None, "  ", "y", 0.0), (2, None, "z", 0.0)], "doc_id long, text string, n_tokens string, viterbi_score double")
+    path = tokenizer_file("piece_bpe_32k.model")
+    got = sorted(((r["doc_id"] or 0, r["n_tokens"]) for r in token_counts.count_tokens(docs, path, keep=docs.columns).collect()))
+    assert got == sorted(zip((1, 1, 0, 2), token_counts.reference_counts(["one two", "one two", "  ", ""], path)))
+
+
 def test_audit_finds_what_was_damaged(spark):
     good = [(i, f"f{i % 3}", i * 1000, 10 + i, f"h{i}") for i in range(400)]
     bad = [(p, f, o, n, h + "x" if p in (7, 8) else h) for p, f, o, n, h in good if p != 50] + [(900, "f1", 1, 5, "new"), (901, "f9", 0, 1, "file")]

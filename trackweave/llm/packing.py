@@ -30,9 +30,9 @@ RANGE_BYTES = 16 << 20
 #: So many ranges are cut by quantiles at once, each into so many at most by quantiles of its own: a range grows beyond RANGE_BYTES past 4 TB of text only.
 QUANTILES, FINER = 2048, 128
 #: Words that a worker's store may hold before it is emptied.
-MEMORY = 300_000
+MEMORY = 200_000
 #: Bytes of text that are split into words at a time.
-SLICE = 4 << 20
+SLICE = 2 << 20
 LETTERS = "^[A-Za-z\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{12F}\\x{131}-\\x{17F}]+$"
 MARKS = ".,;:!?*$%&#"
 
@@ -214,6 +214,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = 1)
                 at = curve_keys(own) * (1 << TIE_BITS) + rows.column("salt").to_numpy()
                 ids = encode_([t.decode() for t in own])
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(doc_type), pa.array(np.searchsorted(bounds, at), pa.int32()), pa.array(at, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "range_id", "place", "ids"])
+        encode_.forget()  # a worker that waits for other stages' tasks holds nothing
 
     coded = T.StructType([docs.schema["doc_id"], T.StructField("range_id", T.IntegerType()), T.StructField("place", T.LongType()), T.StructField("ids", T.BinaryType())])
     dealt = batched(docs).select("doc_id", "text", salt.alias("salt")).mapInArrow(encode, coded).repartitionById(len(bounds) + 1, "range_id").sortWithinPartitions("range_id", "place", "doc_id", "ids")
