@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackweave.llm.common import written
+
 #: Vectors of either side in one block.
 CANDIDATES, QUERIES = 16_384, 4_096
 #: Query rows of a tile that are multiplied at a time.
@@ -28,23 +30,34 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """int8 steps, the step size and the length of the residual of each row."""
     step = np.maximum(np.abs(x).max(axis=1) / 127, np.finfo(float).tiny)
     q = np.clip(np.rint(x / step[:, None]), -127, 127).astype(np.int8)
-    lost = np.linalg.norm(x - q * step[:, None], axis=1)
+    lost = np.linalg.norm(x - q * step[:, None], axis=1) + np.finfo(float).tiny
     return q, step, lost
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Row by row, the squares added in the order of the components."""
-    total = np.zeros(len(x))
-    for k in range(x.shape[1]):
-        d = x[:, k] - y[:, k]
-        total += d * d
-    return np.sqrt(total)
+    """Row by row, the squares added in the order of the components; where they would be too large or too small for a double, of differences over the largest."""
+    d = x - y
+
+    def root(d: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(d))
+        for k in range(d.shape[1]):
+            total += d[:, k] * d[:, k]
+        return np.sqrt(total)
+
+    with np.errstate(over="ignore", under="ignore"):
+        out = root(d)
+        odd = np.flatnonzero(~np.isfinite(out) | (out < 1e-140))
+        most = np.abs(d[odd]).max(axis=1)
+        odd, most = odd[most > 0], most[most > 0]
+        out[odd] = root(d[odd] / most[:, None]) * most
+    return out
 
 
 def tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, int, float]]:
     """The k nearest candidates of each query, ties to the smaller id; the own id takes no part."""
-    qq, qs, ql = quantised(q)
-    cq, cs, cl = quantised(c)
+    unit = max(np.abs(q).max(), np.abs(c).max())  # bounds are of vectors in this unit, which can't overflow
+    qq, qs, ql = quantised(q / unit)
+    cq, cs, cl = quantised(c / unit)
     # Products of int8 are whole numbers; in doubles their sums stay exact.
     kind = np.float32 if q.shape[1] * 127 * 127 < 1 << 24 else np.float64
     right, c_norm = cq.astype(kind).T, (cq.astype(np.float64) ** 2).sum(axis=1) * cs**2
@@ -88,7 +101,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10, id_col: str
         rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias(vector_col)).where(F.col("id").isNotNull() & F.coalesce(sound, F.lit(False)))
         return rows.groupBy("id").agg(F.min(vector).alias("v")).withColumn("dim", F.size("v"))
 
-    q, c = usable(queries), usable(candidates)
+    q, c = written(usable(queries)), written(usable(candidates))
     n_q, n_c = q.count(), c.count()
     rows, columns = max(1, -(-n_c // CANDIDATES)), max(1, -(-n_q // QUERIES))
     # A row of tiles is dealt by a hash of the id; each side goes once to every block of the other.
