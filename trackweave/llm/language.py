@@ -19,8 +19,8 @@ from pyspark.sql import Window as W
 from trackweave.llm.common import batched, fold, map_text, slices, texts
 
 LENGTH, WIDTHS, FILTERS = 128, (2, 3, 4), 16
-#: The most labelled rows that it is trained on, for a language and in all; windows of each row.
-ROWS, ALL_ROWS, WINDOWS = 1_500, 12_000, 2
+#: The most labelled rows that it is trained on, for a language (1,000 at most, so that Spark limits each group before it is shuffled) and in all; windows of each row.
+ROWS, ALL_ROWS, WINDOWS = 1_000, 12_000, 2
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 #: Windows that a worker computes at a time.
