@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, an exact round trip or the tokenizer itself, on small tables with odd rows."""
 
+import math
 import random
 import struct
 import zlib
@@ -151,6 +152,23 @@ def test_simhash_keeps_one_of_each_group(docs, none, spark):
     assert sorted(r["doc_id"] or 0 for r in simhash.drop_near_duplicates(odd).collect()) == [0, 3]
 
 
+def test_simhash_of_repeated_ids_and_clashing_columns(spark):
+    """Of rows with one id, those of other groups stay."""
+    r = random.Random(20)
+    a, b, c = (" ".join(f"w{r.randrange(10**6)}" for _ in range(80)) for _ in range(3))
+    data = [(1, a), (1, b), (0, b), (2, c), (2, c), (2, a), (3, None), (4, ""), (None, a), (None, a)]
+    docs = spark.createDataFrame([(d, t, "tag", 5, "root") for d, t in data], "doc_id long, text string, Tag string, fp int, root string").repartition(3)
+    kept = simhash.drop_near_duplicates(docs, size=5, alike=True)
+    assert kept.dtypes == docs.dtypes
+    assert sorted(((x["doc_id"], x["text"]) for x in kept.collect()), key=str) == sorted([(1, a), (0, b), (2, c), (3, None), (None, a), (None, a)], key=str)
+
+
+def test_simhash_in_deep_trees_and_grids(docs, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD", 2)
+    monkeypatch.setattr(simhash, "SIDE", 3)
+    assert rows(simhash.near_duplicates(docs)) == sorted(simhash.brute_force([(d, t) for d, t, *_ in made_docs()]))
+
+
 def test_decontamination_as_by_brute_force(docs, spark):
     r = random.Random(2)
     items = [(i, " ".join(r.choices(WORDS, k=r.randint(0, 14)))) for i in range(30)] + [(30, None), (31, ""), (32, "alpha beta"), (33, "alpha beta")]
@@ -300,6 +318,21 @@ def test_neighbours_as_by_brute_force(spark):
     assert rows(neighbours.nearest(few.limit(0), table)) == []
 
 
+def test_neighbours_of_very_large_and_small_vectors(spark):
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.normal(size=(30, 4)) * 1e160, r.normal(size=(30, 4)) * 1e-170, r.normal(size=(20, 4))])
+    x[5] = x[6]
+    data = [(i, [float(v) for v in row], "id", 1) for i, row in enumerate(x)] + [(3, [float(v) for v in x[3]], "id", 1), (40, [9e300] * 4, "id", 1)]
+    table = spark.createDataFrame(data, "vec_id long, embedding array<double>, id string, rank int").repartition(3)
+    got = rows(neighbours.nearest(table.where("vec_id % 5 = 0"), table, k=4))
+    held = {i: min([v for j, v, *_ in data if j == i]) for i in range(80)}
+    expected = []
+    for q in range(0, 80, 5):
+        d = sorted((math.hypot(*(a - b for a, b in zip(held[q], held[c]))), c) for c in held if c != q)
+        expected += [(q, i + 1, c, s) for i, (s, c) in enumerate(d[:4])]
+    assert [t[:3] for t in got] == [t[:3] for t in expected] and all(abs(a[3] - b[3]) <= 1e-14 * b[3] for a, b in zip(got, expected))
+
+
 def test_neighbours_over_many_tiles(spark, monkeypatch):
     r = np.random.default_rng(2)
     table = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(r.normal(size=(200, 5)))], "vec_id long, embedding array<double>")

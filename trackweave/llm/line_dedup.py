@@ -22,10 +22,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import Scratch, batched, fresh, slices, texts
+from trackweave.llm.common import Scratch, batched, fresh, slices, tag_of, texts
 
 #: The longer line of a near pair has so many words.
 LEAST = 5
@@ -37,11 +37,6 @@ VARIANTS = 50_000
 ROW = ["doc_id", "tag", "line_no"]
 
 
-def tag_of(text: str) -> Column:
-    """A number for a text, which tells rows of one id apart: the first 60 bits of its MD5."""
-    return F.conv(F.substring(F.md5(F.col(text).cast("binary")), 1, 15), 16, 10).cast("long")
-
-
 def least_size(n: int) -> int:
     """Lengths are taken together: n itself up to 8 words, then four steps to each doubling."""
     return n - n % (1 << max(0, n.bit_length() - 3))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackweave.llm.common import connected, map_text, written
+from trackweave.llm.common import connected, fresh, map_text, tag_of, written
 
 WORDS, SEED, NEAR = 4, 42, 4
 HALF_NEAR = NEAR // 2
@@ -65,10 +65,13 @@ def fingerprint(text: bytes, size: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", size: int = WORDS) -> DataFrame:
+    """doc_id, tag (of the text) and fp of each row."""
+
     def run(rows: list[bytes]) -> list:
         return [np.array([fingerprint(t, size) for t in rows], np.int64)]
 
-    return map_text(docs, text_col, [T.StructField("fp", T.LongType())], run, ["doc_id"])
+    tagged = docs.select("doc_id", F.coalesce(tag_of(text_col), F.lit(-1)).alias("tag"), F.col(text_col).alias("text"))
+    return map_text(tagged, "text", [T.StructField("fp", T.LongType())], run, ["doc_id", "tag"])
 
 
 def ring_moves(depth: int) -> np.ndarray:
@@ -215,6 +218,19 @@ def alike_pairs(docs: DataFrame, text_col: str = "text", size: int = WORDS) -> D
     return dealt.groupBy("root", "i", "j").applyInPandas(compare, "a long, b long").where("a <> b")
 
 
+def grouped(docs: DataFrame, text_col: str, size: int, alike: bool) -> DataFrame:
+    """doc_id, tag, fp, root (one fp for each group) and component_id of each row."""
+    prints = written(fingerprints(docs, text_col, size))
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    pairs = near_pairs(distinct)
+    nodes = connected(pairs.unionByName(alike_pairs(docs, text_col, size)) if alike else pairs)
+    linked = nodes.withColumnRenamed("node", "fp").join(distinct, "fp").select("fp", "root", "first_id")
+    least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = distinct.join(linked.join(least, "root").select("fp", "root", "component_id"), "fp", "left")
+    named = named.select("fp", F.coalesce("root", "fp").alias("root"), F.least(F.coalesce("component_id", "first_id"), "first_id").alias("component_id"))
+    return prints.join(named, "fp").select("doc_id", "tag", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, text_col: str = "text", size: int = WORDS, alike: bool = False) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest id reachable) of each row.
 
@@ -223,26 +239,25 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", size: int = WORDS,
     component of its group's smallest id, null if there is none. An empty table gives none.
     With `alike`, texts whose shingles have a Jaccard similarity of 0.8 at least are linked too.
     """
-    prints = written(fingerprints(docs, text_col, size))
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    pairs = near_pairs(distinct)
-    nodes = connected(pairs.unionByName(alike_pairs(docs, text_col, size)) if alike else pairs)
-    grouped = nodes.withColumnRenamed("node", "fp").join(distinct, "fp").select("fp", "root", "first_id")
-    least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    linked = grouped.join(least, "root").select("fp", "component_id")
-    named = distinct.join(linked, "fp", "left").select("fp", F.least(F.coalesce("component_id", "first_id"), "first_id").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return grouped(docs, text_col, size, alike).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, text_col: str = "text", size: int = WORDS, alike: bool = False) -> DataFrame:
-    """docs with one document of each group, that of the smallest id; rows without an id stay."""
-    found = near_duplicates(docs.where("doc_id is not null"), text_col, size, alike)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeats = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if not repeats:
+    """docs with one document of each group, that of the smallest id; rows without an id stay.
+
+    Rows with one id and other texts are documents of their own, of which a hash of the text comes first in
+    a group; of rows with one id and text one stays. Columns may have any names.
+    """
+    known = docs.where("doc_id is not null")
+    found, key = grouped(known, text_col, size, alike), F.struct("doc_id", "tag")
+    gone = found.join(found.groupBy("root").agg(F.min(key).alias("first")), "root").where(key != F.col("first")).select("doc_id", "tag").distinct()
+    doc, tag = fresh(docs.columns, "doc", "tag")
+    own = F.coalesce(tag_of(text_col), F.lit(-1))
+    kept = docs.join(gone.select(F.col("doc_id").alias(doc), F.col("tag").alias(tag)), (F.col("doc_id") == F.col(doc)) & (own == F.col(tag)), "left_anti")
+    if not known.groupBy("doc_id", own).count().where("count > 1").limit(1).count():
         return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    single = kept.where("doc_id is not null").withColumn(tag, own).dropDuplicates(["doc_id", tag]).drop(tag)
+    return single.unionByName(kept.where("doc_id is null"))
 
 
 def brute_force(rows: list[tuple[int, str | None]], near: int = NEAR) -> list[tuple[int, str, int]]:
