@@ -1,7 +1,8 @@
 """A training corpus from the documents table, stage by stage.
 
 STAGES names each stage and its function (spark, docs, sf_dir) -> DataFrame. Each works on
-what its predecessor wrote. All but the last return the columns of documents.
+what its predecessor wrote. All but the last return the columns of documents, whatever further
+columns there are and whatever their names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -18,27 +19,40 @@ from trackweave.llm.simhash import drop_near_duplicates
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the pairwise ranking predicts to be poor go."""
+    """Documents that the pairwise ranking predicts to be poor go.
+
+    Null and empty texts are scored like any text; rows without an id stay; rows of one id go or stay together.
+    """
     return keep_good(docs, read(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines near an earlier one go, and documents that lose all of theirs."""
+    """Lines near an earlier one go, and documents that lose all of theirs.
+
+    Null and empty texts and rows without an id stay as they are; rows with the same id and text are one
+    document; of equally near lines the first by id stays.
+    """
     return drop_near_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: fingerprints of five-word shingles within 4 bits, or shingles with a Jaccard similarity of 0.8 at least."""
+    """One document of each group stays, that of the smallest id: fingerprints of five-word shingles within 4 bits, or shingles with a Jaccard similarity of 0.8 at least.
+
+    Null and wordless texts are one group; rows without an id stay; of rows with one id and text one stays.
+    """
     return drop_near_duplicates(docs, size=5, alike=True)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that benchmark items hold are cut out."""
+    """Passages that benchmark items hold are cut out; a document that is nothing else goes.
+
+    Null and empty texts, repeated rows and rows without an id stay as they are.
+    """
     return remove_overlaps(docs, read(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of full token sequences, along the Hilbert curve."""
+    """Pieces of full token sequences, along the Hilbert curve. Null and empty texts are an end mark alone; repeated rows are packed each."""
     return pack(docs, tokenizer_file("word_bpe_49k.json"))
 
 
