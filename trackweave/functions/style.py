@@ -28,6 +28,8 @@ NAMED = {
 STOP_TIERS = {0: (6.0, 8.0), 1: (9.0, 10.0), 2: (11.0, 12.0), 3: (12.0, 13.5)}
 # Effects of a closure, worst first, with their rank.
 EFFECT_RANK = {"closed": 4, "single-track": 3, "diverted": 2, "slower": 1, "other": 0}
+# Lowest zoom at which a closure of each effect is drawn.
+CLOSURE_ZOOM = {"closed": 6.0, "single-track": 6.0, "diverted": 10.0, "slower": 10.0, "other": 10.0}
 # Factors by zoom on the line weight and on the spread of a bundle; pixels in a point; widening of a chosen line.
 WEIGHT_STOPS = [(5, 0.45), (8, 0.7), (11, 1.0), (14, 1.6)]
 SPREAD_STOPS = [(5, 0.0), (6, 0.08), (8, 0.4), (11, 1.0), (14, 1.6)]

@@ -60,6 +60,11 @@ def calling_order(modal: DataFrame, stop_times: DataFrame) -> DataFrame:
     return calls.withColumn("n", F.row_number().over(W.partitionBy("route_id").orderBy("stop_sequence", "stop_id"))).select("route_id", "n", "stop_id")
 
 
+def lines_per_stop(lines: DataFrame) -> DataFrame:
+    """stop_id and the sorted ids of the coach lines that call there. lines: line_id, stops (array)."""
+    return lines.select("line_id", F.explode("stops").alias("stop_id")).groupBy("stop_id").agg(F.sort_array(F.collect_set("line_id")).alias("lines"))
+
+
 def coach_lines(routes: DataFrame, trips: DataFrame, points: DataFrame, stop_times: DataFrame, agencies: list[str], box: tuple[float, float, float, float], prefix: str = "") -> DataFrame:
     """Lines of the kept agencies: line_id, ref, colour, parts inside the box and stops in order. Routes without a part in the box are dropped.
 

@@ -69,6 +69,12 @@ def collapse_lines(relations: DataFrame, overrides: DataFrame | None = None) ->
     return lines.withColumns({"colour": colour, "colour_source": source}).drop("own", "override")
 
 
+def line_members(relations: DataFrame, column: str, member: str) -> DataFrame:
+    """Distinct members (ways or stops) of each line, over its relations of both directions; relations without ways belong to no line. column: an array of ids."""
+    rows = keyed(relations.where(F.size("way_ids") > 0))
+    return rows.select("line_id", F.explode(column).alias(member)).distinct()
+
+
 def lines_per_way(line_ways: DataFrame) -> DataFrame:
     return line_ways.select("line_id", "way_id").distinct().groupBy("way_id").agg(F.count("*").alias("lines"))
 

@@ -41,6 +41,19 @@ def valid_candidates(stations: DataFrame, candidates: DataFrame, fuzzy: str = "f
     return pairs.withColumns({"exact": names_equal(F.col("stop_forms"), F.col("forms")), "serves": compatible(F.col("mode"), F.col("modes")), "stop": F.col("stop_forms.bare")}).select("station_id", "id", "distance", "exact", "serves", "stop", "r_lon", "r_lat")
 
 
+def candidate_union(*tables: DataFrame) -> DataFrame:
+    """Candidates of all tables (of one station column, station_id, and id); of one station's rows with one id that of the first table stays, rows without an id stay all."""
+    rows = None
+    for n, table in enumerate(tables):
+        own = table.withColumn("_table", F.lit(n))
+        rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
+    columns = [c for c in rows.columns if c not in ("station_id", "id", "_table")]
+    first = F.min_by(F.struct(*columns), F.struct("_table", *columns)).alias("s") if columns else F.min("_table").alias("s")
+    named = rows.where("id is not null").groupBy("station_id", "id").agg(first)
+    named = named.select("station_id", "id", *(F.col("s")[c].alias(c) for c in columns))
+    return named.unionByName(rows.where("id is null").drop("_table"))
+
+
 def tiered(valid: DataFrame) -> DataFrame:
     """Of a station with exact names only those."""
     any_exact = F.max("exact").over(W.partitionBy("station_id"))

@@ -12,6 +12,8 @@ from trackweave.operators.order import numbered
 from trackweave.operators.spatial import within_box
 
 LINE_HITS, STATION_HITS, LEAST_QUERY, NEXT = 6, 8, 2, 6
+# Modes of a departure that count as rail.
+RAIL_RESPONSE = ("HIGHSPEED_RAIL", "LONG_DISTANCE", "REGIONAL_RAIL", "SUBURBAN", "METRO", "TRAM", "SUBWAY")
 
 
 def operator_filter(lines: DataFrame, names: list[str], allow: bool) -> DataFrame:
@@ -61,13 +63,14 @@ def visible_lines(seen: DataFrame, modes: list[str], names: list[str], allow: bo
 def search(queries: DataFrame, rows: DataFrame, columns: list[str], key: str, most: int) -> DataFrame:
     """query, rank and row of the first `most` rows (by key) of which a column holds the query; queries of one character find nothing.
 
-    Queries are few and short: they are broadcast, after a check of their number.
+    Queries and rows meet by a query's first two characters, so that no query is held against all rows.
     """
-    asked = queries.select("query").where(F.length(F.trim("query")) >= LEAST_QUERY).distinct()
-    if asked.count() <= 100_000:
-        asked = F.broadcast(asked)
-    text = F.lower(F.concat_ws("\n", *columns))
-    hits = rows.join(asked, text.contains(F.lower(F.trim("query"))))
+    asked = queries.select("query").where(F.length(F.trim("query")) >= LEAST_QUERY).distinct().withColumn("_asked", F.lower(F.trim("query")))
+    asked = asked.withColumn("_pair", F.substring("_asked", 1, 2))
+    texts = rows.withColumn("_text", F.lower(F.concat_ws("\n", *columns)))
+    places = F.sequence(F.lit(1), F.greatest(F.length("_text") - 1, F.lit(1)))
+    pairs = texts.withColumn("_pair", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col("_text"), i, F.lit(2))))))
+    hits = pairs.join(asked, "_pair").where(F.col("_text").contains(F.col("_asked"))).drop("_pair", "_text", "_asked")
     return hits.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(key))).where(F.col("rank") <= most)
 
 
@@ -84,6 +87,13 @@ def departure_colour(board: DataFrame, lines: DataFrame, served: DataFrame) -> D
     return joined.withColumn("colour", F.coalesce("_colour", "feed_colour")).drop("_ref", "_colour")
 
 
+def station_records(served: DataFrame, lines: DataFrame) -> DataFrame:
+    """station_id, place from 1 and line_id of the lines that call at each station, in index order; ids of no known line are dropped."""
+    rows = served.select("station_id", "line_id").distinct().join(lines.select("line_id", "mode", "ref"), "line_id")
+    order = W.partitionBy("station_id").orderBy(F.desc(style.mode_order(F.col("mode"))), *ref_sort_columns(F.col("ref")), "line_id")
+    return rows.withColumn("place", F.row_number().over(order)).select("station_id", "place", "line_id")
+
+
 def envelope(points: DataFrame, key: str) -> DataFrame:
     return points.groupBy(key).agg(F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north"))
 

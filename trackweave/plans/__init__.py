@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("punctuality", "closures", "lines", "view", "resolution", "network", "streams")
+GROUPS = ("punctuality", "closures", "lines", "view", "resolution", "network", "records", "streams")
 
 
 def queries() -> dict:

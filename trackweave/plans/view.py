@@ -59,7 +59,7 @@ def _board(spark, sf_dir):
 
 
 def next_departures(spark, sf_dir):
-    return v.next_departures(_board(spark, sf_dir), modes=("REGIONAL_RAIL", "HIGHSPEED_RAIL")).select("stop", "rank", "departure_id")
+    return v.next_departures(_board(spark, sf_dir), modes=v.RAIL_RESPONSE).select("stop", "rank", "departure_id")
 
 
 def departure_colour(spark, sf_dir):
