@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackweave.operators import punctuality as p
+from trackweave.operators.graph import settled
 from trackweave.plans import closures as c
 from trackweave.plans import punctuality as q
 from trackweave.plans.views import frame
@@ -12,14 +14,14 @@ from trackweave.streaming import jobs
 
 
 def _stream(rows: DataFrame, files: int) -> DataFrame:
-    """rows written as so many files and read as a stream."""
+    """rows written as so many files and read as a stream, one file in each micro-batch."""
     spark, path = rows.sparkSession, jobs.folder(rows.sparkSession)
     rows.repartition(files).write.parquet(path)
-    return spark.readStream.schema(rows.schema).parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def stream_log_replay(spark, sf_dir):
-    return jobs.log_replay(_stream(frame(spark, sf_dir, "v_log"), 4))
+    return jobs.log_replay(_stream(frame(spark, sf_dir, "v_log"), 4)).withColumn("n_moves", F.size("moves")).drop("moves")
 
 
 def stream_plan_diff(spark, sf_dir):
@@ -27,10 +29,13 @@ def stream_plan_diff(spark, sf_dir):
 
 
 def stream_counters(spark, sf_dir):
-    matches = q._pairs(spark, sf_dir, "contain").where("outcome = 'matched'").select("ref", "station", "line_id")
-    counts = jobs.counters(_stream(frame(spark, sf_dir, "v_departures"), 4), matches)
+    departures = frame(spark, sf_dir, "v_departures")
+    told = p.told_refs(p.by_product(departures)[1])
+    matches = p.ref_station_matches(told, frame(spark, sf_dir, "v_lines"), frame(spark, sf_dir, "v_line_stations"), "full").where("outcome = 'matched'")
+    claims = settled(told.join(matches.select("ref", "station", "line_id"), ["ref", "station"]))
+    counts = jobs.counters(_stream(departures, 4), claims)
     return counts.select("line_id", "station", "n", "cancelled", F.posexplode("hist").alias("bucket", "departures")).where("departures > 0")
 
 
 QUERIES = {f.__name__: f for f in (stream_log_replay, stream_plan_diff, stream_counters)}
-SQL = {"stream_log_replay": c.SQL["log_replay"], "stream_plan_diff": c.SQL["plan_diff"], "stream_counters": q.SQL["delay_histogram"]}
+SQL = {"stream_log_replay": c.SQL["log_replay"], "stream_plan_diff": c.SQL["plan_diff"], "stream_counters": f"SELECT * FROM ({q.SQL['delay_histogram']}) WHERE line_id NOT LIKE 'ld%'"}

@@ -13,8 +13,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from trackweave.operators import closures, punctuality
 from trackweave.operators.graph import settled
 
-REPLAYED = "id long, seq long, since date, first_end date, end_day date, revisions long, n_moves int, withdrawn boolean"
-STATE = "seq long, since date, first_end date, end_day date, revisions long, n_moves int, withdrawn boolean"
+MOVES = "array<struct<seq:bigint,logged:date,was:date,now:date>>"
+KEPT = f"seq long, since date, first_end date, end_day date, revisions long, moves {MOVES}, withdrawn boolean"
+REPLAYED = f"id long, {KEPT}"
+#: Besides, the events since the last `planned`, so that one that comes late can be put in its place.
+STATE = f"{KEPT}, events array<struct<seq:bigint,t:date,e:string,end_day:date>>"
 
 
 def folder(spark: SparkSession) -> str:
@@ -33,22 +36,37 @@ def run_once(stream: DataFrame, each, mode: str = "update") -> None:
 
 
 def replay_events(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Folds an id's events, in order of seq, into its state: before a `planned` nothing counts, which also starts anew; a revision takes a withdrawal back."""
-    now = list(state.get) if state.exists else None
-    rows = pd.concat(list(batches)).sort_values("seq")
-    for seq, t, e, end in zip(rows["seq"], rows["t"], rows["e"], rows["end_day"], strict=True):
-        end = None if pd.isna(end) else end
-        if e == "planned":
-            now = [seq, t, end, end, 0, 0, False]
-        elif now is not None and e == "revised":
-            moved = end is not None and now[3] is not None and end != now[3]
-            now = [seq, now[1], now[2], end if end is not None else now[3], now[4] + 1, now[5] + moved, False]
-        elif now is not None and e == "withdrawn":
-            now = [seq, *now[1:6], True]
-    if now is not None:
-        now[0], now[4], now[5], now[6] = int(now[0]), int(now[4]), int(now[5]), bool(now[6])
-        state.update(tuple(now))
-        yield pd.DataFrame([(key[0], *now)], columns=["id", "seq", "since", "first_end", "end_day", "revisions", "n_moves", "withdrawn"])
+    """Folds an id's events into its state: before a `planned` nothing counts, which also starts anew; a revision takes a withdrawal back.
+
+    Events count in order of seq, also across micro-batches: one that comes late, after its
+    last `planned`, is put in its place and the fold done again; an older one changes nothing.
+    """
+    held = [tuple(x) for x in state.get[-1]] if state.exists else []
+    rows = pd.concat(list(batches))
+    new = [(int(seq), t, e, None if pd.isna(end) else end) for seq, t, e, end in zip(rows["seq"], rows["t"], rows["e"], rows["end_day"], strict=True)]
+    events = sorted({x[0]: x for x in [*held, *new]}.values())
+    starts = [k for k, x in enumerate(events) if x[2] == "planned"]
+    if starts:
+        now = folded(events[starts[-1] :])
+        events = events[starts[-1] :]
+        yield pd.DataFrame([(key[0], *now)], columns=["id", "seq", "since", "first_end", "end_day", "revisions", "moves", "withdrawn"])
+    else:
+        now = (events[-1][0], None, None, None, 0, [], False)  # a `planned` may yet come before them
+    state.update((*now, events))
+
+
+def folded(events: list[tuple]) -> tuple:
+    """The state after events in order, the first of them a `planned`."""
+    seq, since, _, first_end = events[0]
+    end_day, revisions, moves, withdrawn = first_end, 0, [], False
+    for seq, t, e, end in events[1:]:
+        if e == "revised":
+            if end is not None and end_day is not None and end != end_day:
+                moves.append((seq, t, end_day, end))
+            end_day, revisions, withdrawn = end if end is not None else end_day, revisions + 1, False
+        elif e == "withdrawn":
+            withdrawn = True
+    return seq, since, first_end, end_day, revisions, moves, withdrawn
 
 
 def log_replay(events: DataFrame) -> DataFrame:
@@ -57,8 +75,9 @@ def log_replay(events: DataFrame) -> DataFrame:
     states = events.groupBy("id").applyInPandasWithState(replay_events, REPLAYED, STATE, "update", GroupStateTimeout.NoTimeout)
     run_once(states, lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/batch={n}"))
     spark = events.sparkSession
-    latest = spark.read.schema(REPLAYED).parquet(out)
-    return latest.groupBy("id").agg(F.max_by(F.struct("since", "first_end", "end_day", "revisions", "n_moves", "withdrawn"), "seq").alias("s")).select("id", "s.*")
+    latest = spark.read.schema(f"{REPLAYED}, batch long").parquet(out)
+    rows = latest.groupBy("id").agg(F.max_by(F.struct("since", "first_end", "end_day", "revisions", "moves", "withdrawn"), F.struct("batch", "seq")).alias("s"))
+    return rows.select("id", "s.*")
 
 
 def plan_changes(readings: DataFrame, state: DataFrame, first, last) -> DataFrame:
@@ -72,14 +91,14 @@ def plan_changes(readings: DataFrame, state: DataFrame, first, last) -> DataFram
     return state.sparkSession.read.parquet(out).drop("reading")
 
 
-def counters(departures: DataFrame, matches: DataFrame) -> DataFrame:
-    """n, cancelled and hist of each line and station from a stream of departures; matches: ref, station, line_id of regional references.
+def counters(departures: DataFrame, claims: DataFrame) -> DataFrame:
+    """n, cancelled and hist of each line and station from a stream of departures; claims: line_id of what a regional departure says (line_number, train_type, station).
 
     Only sums are kept, so months can be added as they come. Rides need their whole month and stay in the batch job.
     """
-    out = folder(matches.sparkSession)
-    local = punctuality.by_product(punctuality.with_delay(departures))[1].where("ref <> '' and delay is not null")
-    rows = local.join(matches, ["ref", "station"]).select(F.col("line_id").cast("string").alias("line_id"), "station", "delay", "cancelled")
+    out = folder(claims.sparkSession)
+    local = punctuality.by_product(punctuality.with_delay(departures))[1].where("delay is not null")
+    rows = punctuality.with_told(local, claims, "line_id").select(F.col("line_id").cast("string").alias("line_id"), "station", "delay", "cancelled")
     sums = punctuality.delay_counters(rows, "line_id", "station")
     run_once(sums, lambda rows, n: rows.write.mode("overwrite").parquet(out), "complete")
-    return matches.sparkSession.read.parquet(out)
+    return claims.sparkSession.read.parquet(out)
