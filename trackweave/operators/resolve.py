@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from trackweave.functions.geo import metres
-from trackweave.functions.text import name_forms, names_contain, names_equal, names_match, same_stop_name
+from trackweave.functions.text import name_forms, names_contain, names_equal, names_match, normalise_name, same_stop_name
 from trackweave.operators.graph import components, settled
 from trackweave.operators.order import numbered
 from trackweave.operators.spatial import near_pairs
@@ -41,17 +41,17 @@ def valid_candidates(stations: DataFrame, candidates: DataFrame, fuzzy: str = "f
     return pairs.withColumns({"exact": names_equal(F.col("stop_forms"), F.col("forms")), "serves": compatible(F.col("mode"), F.col("modes")), "stop": F.col("stop_forms.bare")}).select("station_id", "id", "distance", "exact", "serves", "stop", "r_lon", "r_lat")
 
 
-def candidate_union(*tables: DataFrame) -> DataFrame:
-    """Candidates of all tables (of one station column, station_id, and id); of one station's rows with one id that of the first table stays, rows without an id stay all."""
+def candidate_union(*tables: DataFrame, keys: tuple[str, ...] = ("station_id", "id")) -> DataFrame:
+    """Candidates of all tables; of rows with one id (the last of the keys, of one station if that is a key) that of the first table stays, rows without an id stay all."""
     rows = None
     for n, table in enumerate(tables):
         own = table.withColumn("_table", F.lit(n))
         rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
-    columns = [c for c in rows.columns if c not in ("station_id", "id", "_table")]
+    columns = [c for c in rows.columns if c not in (*keys, "_table")]
     first = F.min_by(F.struct(*columns), F.struct("_table", *columns)).alias("s") if columns else F.min("_table").alias("s")
-    named = rows.where("id is not null").groupBy("station_id", "id").agg(first)
-    named = named.select("station_id", "id", *(F.col("s")[c].alias(c) for c in columns))
-    return named.unionByName(rows.where("id is null").drop("_table"))
+    named = rows.where(F.col(keys[-1]).isNotNull()).groupBy(*keys).agg(first)
+    named = named.select(*keys, *(F.col("s")[c].alias(c) for c in columns))
+    return named.unionByName(rows.where(F.col(keys[-1]).isNull()).drop("_table"))
 
 
 def tiered(valid: DataFrame) -> DataFrame:
@@ -83,19 +83,28 @@ def best_match(valid: DataFrame) -> DataFrame:
     return sums.select("station_id", F.when(stop.isNotNull(), "resolved").otherwise("ambiguous").alias("state"), stop.alias("stop_id"))
 
 
-def cascade(stations: DataFrame, tagged: DataFrame, stages: list[tuple[str, DataFrame]], fuzzy: str = "full", final: tuple[str, ...] = ("spatial",)) -> DataFrame:
+def town_missing(name: Column, town: Column) -> Column:
+    """Whether a search with the town before the name asks anything new."""
+    bare = normalise_name(town)
+    return (bare != "") & ~normalise_name(name).contains(bare)
+
+
+def cascade(stations: DataFrame, tagged: DataFrame, stages: list[tuple], fuzzy: str = "full", final: tuple[str, ...] = ("spatial",)) -> DataFrame:
     """station_id, source, state and stop_id through sources in order of trust.
 
     tagged: station_id, id, modes of stops that the station names itself; taken if they serve its
     mode. Then each stage's candidates (a table for all stations) are matched; an id ends the
-    search, so does any verdict of a stage in `final`. Else the last verdict stands.
+    search, so does any verdict of a stage in `final`. Else the last verdict stands. A stage is its
+    name, its candidates and, if it is not for all, a condition on stations.
     """
     own = tagged.join(stations.select("station_id", "mode"), "station_id").where(compatible(F.col("mode"), F.col("modes")))
     done = own.groupBy("station_id").agg(F.min("id").alias("stop_id")).select("station_id", F.lit("tag").alias("source"), F.lit("resolved").alias("state"), "stop_id")
     last = None
-    for name, candidates in stages:
+    for name, candidates, *of in stages:
         open_ = stations.join(done, "station_id", "left_anti")
+        open_ = open_.where(of[0]) if of else open_
         verdict = best_match(valid_candidates(open_, candidates, fuzzy)).select("station_id", F.lit(name).alias("source"), "state", "stop_id")
+        verdict = settled(verdict)
         closes = verdict if name in final else verdict.where("state = 'resolved'")
         done = done.unionByName(closes)
         last = verdict if last is None else verdict.unionByName(last.join(verdict, "station_id", "left_anti"))

@@ -38,8 +38,11 @@ def resolution_cascade(spark, sf_dir):
     candidates = _candidates(spark, sf_dir)
     stations = frame(spark, sf_dir, "v_wanted")
     tagged = stations.where("station_id % 17 = 0").select("station_id", F.concat(F.lit("tag"), F.col("station_id").cast("string")).alias("id"), F.array(F.lit("REGIONAL_RAIL")).alias("modes"))
-    near = candidates.where("id like '%-0'")
-    return r.cascade(stations, tagged, [("spatial", near), ("name", candidates)])
+    stations = stations.withColumn("town", F.when(F.col("station_id") % 3 == 0, "Halt").otherwise("Ort"))
+    around, named, town = (candidates.where(c) for c in ("id like '%-0' and id < 'c5'", "id like '%-1' and mod(length(id), 2) = 0", "name like 'Ort%' or name like 'Halt%'"))
+    both = r.candidate_union(named, around, keys=("id",))
+    stages = [("spatial", around), ("name", named), ("name and nearby", both), ("town", r.candidate_union(both, town, keys=("id",)), r.town_missing(F.col("name"), F.col("town")))]
+    return r.cascade(stations, tagged, stages)
 
 
 def _state(spark, sf_dir):
@@ -107,12 +110,12 @@ QUERIES = {f.__name__: f for f in (candidate_validation, collapse_duplicates, be
 _RAIL = "('HIGHSPEED_RAIL', 'LONG_DISTANCE', 'REGIONAL_RAIL', 'SUBURBAN', 'METRO', 'SUBWAY')"
 
 
-def _valid_sql(where: str = "TRUE", prefix: str = "") -> str:
+def _valid_sql(where: str = "TRUE", prefix: str = "", candidates: str = "v_candidates") -> str:
     """Candidates as pairs; then exact tier, groups, best match, of the stations that `where` keeps."""
     own = f"*, {d.name('name')} AS bare, {d.name('name', True)} AS whole"
     return f"""{prefix}valid AS (SELECT station_id, mode, id, lon, lat, distance, c_bare = bare AS exact, c_bare AS stop, serves FROM (SELECT w.station_id, w.mode, w.bare, w.whole, c.id, c.lon, c.lat, {d.metres("w.lon", "w.lat", "c.lon", "c.lat")} AS distance, c.bare AS c_bare, c.whole AS c_whole,
             CASE WHEN w.mode = 'tram' THEN c.mode = 'TRAM' ELSE c.mode IN {_RAIL} END AS serves
-        FROM (SELECT {own} FROM v_wanted WHERE {where}) w JOIN (SELECT {own} FROM v_candidates WHERE type = 'STOP' AND mode <> '') c
+        FROM (SELECT {own} FROM v_wanted WHERE {where}) w JOIN (SELECT {own} FROM {candidates} WHERE type = 'STOP' AND mode <> '') c
             ON abs(c.lat - w.lat) < 0.0046 AND abs(c.lon - w.lon) < 0.0092) WHERE distance <= 500 AND {d.names_match("bare", "whole", "c_bare", "c_whole")}),
     {prefix}tier AS (SELECT * FROM {prefix}valid v WHERE exact OR NOT EXISTS (SELECT 1 FROM {prefix}valid e WHERE e.station_id = v.station_id AND e.exact)),
     {prefix}near AS (SELECT a.station_id, a.id AS a, b.id AS b FROM {prefix}tier a JOIN {prefix}tier b ON a.station_id = b.station_id AND a.id <> b.id AND (a.stop = b.stop OR {d.tokens_match("string_split(a.stop, ' ')", "string_split(b.stop, ' ')")} OR {d.tokens_match("string_split(b.stop, ' ')", "string_split(a.stop, ' ')")}) WHERE least({d.metres("a.lon", "a.lat", "b.lon", "b.lat")}, {d.metres("b.lon", "b.lat", "a.lon", "a.lat")}) <= 20),
@@ -139,15 +142,24 @@ SQL = {
     "candidate_validation": f"{_VALID} SELECT station_id, id, {d.half_up('distance', 3)} AS distance, exact, serves FROM valid",
     "collapse_duplicates": f"{_VALID} SELECT station_id, id, serves FROM reps",
     "best_match": f"{_VALID} SELECT station_id, CASE WHEN stop_id IS NULL THEN 'ambiguous' ELSE 'resolved' END AS state, stop_id FROM best",
-    "resolution_cascade": f"""{ctes("v_wanted", "v_candidates").replace("v_candidates AS (", "v_candidates_all AS (")},
+    "resolution_cascade": f"""{ctes("v_wanted", "v_candidates")},
         tags AS (SELECT station_id, 'tag' || CAST(station_id AS VARCHAR) AS stop_id FROM v_wanted WHERE station_id % 17 = 0 AND mode = 'rail'),
-        v_candidates AS (SELECT * FROM v_candidates_all WHERE id LIKE '%-0'), {_valid_sql("station_id NOT IN (SELECT station_id FROM tags)", "a_")},
-        b_open AS (SELECT station_id FROM v_wanted WHERE station_id NOT IN (SELECT station_id FROM tags) AND station_id NOT IN (SELECT station_id FROM a_best)),
-        {_valid_sql("station_id IN (SELECT station_id FROM b_open)", "b_").replace("FROM v_candidates WHERE", "FROM v_candidates_all WHERE")}
+        around AS (SELECT * FROM v_candidates WHERE id LIKE '%-0' AND id < 'c5'), named AS (SELECT * FROM v_candidates WHERE id LIKE '%-1' AND length(id) % 2 = 0),
+        joint AS (SELECT * FROM named UNION SELECT * FROM around), wide AS (SELECT * FROM joint UNION SELECT * FROM v_candidates WHERE name LIKE 'Ort%' OR name LIKE 'Halt%'),
+        {_valid_sql("station_id NOT IN (SELECT station_id FROM tags)", "a_", "around")},
+        b_open AS (SELECT station_id, name FROM v_wanted WHERE station_id NOT IN (SELECT station_id FROM tags) AND station_id NOT IN (SELECT station_id FROM a_best)),
+        {_valid_sql("station_id IN (SELECT station_id FROM b_open)", "b_", "named")},
+        c_open AS (SELECT station_id, name FROM b_open WHERE station_id NOT IN (SELECT station_id FROM b_best WHERE stop_id IS NOT NULL)),
+        {_valid_sql("station_id IN (SELECT station_id FROM c_open)", "c_", "joint")},
+        d_open AS (SELECT station_id, name FROM c_open WHERE station_id NOT IN (SELECT station_id FROM c_best WHERE stop_id IS NOT NULL)),
+        {_valid_sql("station_id IN (SELECT station_id FROM d_open WHERE station_id % 3 <> 0)", "d_", "wide")}
         SELECT station_id, 'tag' AS source, 'resolved' AS state, stop_id FROM tags
         UNION ALL SELECT station_id, 'spatial', CASE WHEN stop_id IS NULL THEN 'ambiguous' ELSE 'resolved' END, stop_id FROM a_best
-        UNION ALL SELECT station_id, 'name', CASE WHEN stop_id IS NULL THEN 'ambiguous' ELSE 'resolved' END, stop_id FROM b_best
-        UNION ALL SELECT station_id, NULL, 'none', NULL FROM b_open WHERE station_id NOT IN (SELECT station_id FROM b_best)""",
+        UNION ALL SELECT station_id, 'name', 'resolved', stop_id FROM b_best WHERE stop_id IS NOT NULL
+        UNION ALL SELECT station_id, 'name and nearby', 'resolved', stop_id FROM c_best WHERE stop_id IS NOT NULL
+        UNION ALL SELECT o.station_id, CASE WHEN d.station_id IS NOT NULL THEN 'town' WHEN c.station_id IS NOT NULL THEN 'name and nearby' WHEN b.station_id IS NOT NULL THEN 'name' END,
+            CASE WHEN d.stop_id IS NOT NULL THEN 'resolved' WHEN coalesce(d.station_id, c.station_id, b.station_id) IS NULL THEN 'none' ELSE 'ambiguous' END, d.stop_id
+            FROM d_open o LEFT JOIN d_best d ON o.station_id = d.station_id LEFT JOIN c_best c ON o.station_id = c.station_id LEFT JOIN b_best b ON o.station_id = b.station_id""",
     "drop_stale": "SELECT * FROM (SELECT c_custkey AS station_id, CASE c_custkey % 4 WHEN 0 THEN 'resolved' WHEN 1 THEN 'none' ELSE 'ambiguous' END AS state, CAST(c_custkey % 6 AS INTEGER) AS resolver_version FROM customer WHERE c_custkey % 3 <> 0) WHERE state = 'resolved' OR resolver_version >= 4",
     "work_budget": """WITH c AS (SELECT c_custkey AS station_id, CASE WHEN c_custkey % 3 = 0 THEN 'new' WHEN c_custkey % 4 IN (2, 3) THEN 'backlog' END AS class FROM customer),
         n AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY station_id) AS n FROM c WHERE class IS NOT NULL)
