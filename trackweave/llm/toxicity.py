@@ -176,7 +176,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(rows: list[bytes]) -> list:
         gap = gaps(ordinary, toxic)
         x = np.array([describe(t, gap) for t in rows], float).reshape(len(rows), -1)
-        return [1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -500, 500)))]
+        return [1 / (1 + np.exp(-np.clip((x * weights[:-1]).sum(axis=1) + weights[-1], -500, 500)))]
 
     scored = map_text(docs, "text", [T.StructField("score", T.DoubleType())], run, ["doc_id"])
     return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
