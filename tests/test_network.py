@@ -135,3 +135,19 @@ def test_routes_are_never_cut_in_silence(spark):
     with pytest.raises(RuntimeError):
         graph.path_nodes(reached, trips, rounds=3)
     assert all(inspect.signature(f).parameters["rounds"].default is None for f in (graph.batch_routes, graph.path_nodes))
+
+
+def test_anchor_lies_on_the_segment_beside_the_vertex(spark):
+    import math
+
+    vertices = spark.createDataFrame([("a", 0, n, 9.0 + n / 1000, 52.0) for n in range(5)], "seg_id string, chain int, pos int, lon double, lat double")
+    stations = spark.createDataFrame([(1, 9.0014, 52.0005), (2, 9.01, 52.0), (3, 9.0041, 52.0), (4, 9.002, 52.0)], "station_id long, lon double, lat double")
+    served = spark.createDataFrame([(s, "l") for s in (1, 2, 3)] + [(4, "other")], "station_id long, line_id string")
+    slots = spark.createDataFrame([("a", "l")], "seg_id string, line_id string")
+    got = {r["station_id"]: r for r in network.anchors(stations, vertices, served, slots).collect()}
+    assert set(got) == {1, 3}  # 2 is too far away, no line of the corridor calls at 4
+    assert got[1]["vertex"]["pos"] == 1 and abs(got[1]["lon"] - 9.0014) < 1e-9 and abs(got[1]["lat"] - 52.0) < 1e-9 and abs(got[1]["distance"] - 0.0005 * 111_320) < 1e-6
+    assert got[3]["lon"] == 9.004 and abs(got[3]["distance"] - 0.0001 * 111_320 * math.cos(math.radians(52.0))) < 1e-6
+    marks = spark.createDataFrame([(1, 0, 0.0, 2, 90.0, ["l"])], "station_id long, mark int, mid double, span int, bearing double, lines array<string>")
+    fallback = network.fallback_marks(stations, served, marks)
+    assert fallback.dtypes == marks.dtypes and {r["station_id"]: (r["span"], r["lines"]) for r in fallback.collect()} == {2: (1, ["l"]), 3: (1, ["l"]), 4: (1, ["other"])}

@@ -339,14 +339,38 @@ def mark_runs(calls: DataFrame, slots: DataFrame) -> DataFrame:
 
 
 def anchors(stations: DataFrame, vertices: DataFrame, served: DataFrame, slots: DataFrame, radius: float = MARK_METRES) -> DataFrame:
-    """seg_id, station_id and the nearest vertex of the corridor within the radius, for stations at which a line of the corridor calls.
+    """seg_id, station_id, the nearest vertex of the corridor within the radius and the nearest place (lon, lat, distance) on the two segments beside it, for stations at which a line of the corridor calls.
 
     vertices: seg_id, chain, pos, lon, lat. Stations are smeared over cells, not vertices.
     """
     calling = slots.select("seg_id", "line_id").join(served, "line_id").select("seg_id", "station_id").distinct()
     wanted = stations.select("station_id", "lon", "lat").join(calling, "station_id")
     found = nearest(wanted.withColumn("_pair", F.struct("seg_id", "station_id")), vertices.select("seg_id", "lon", "lat", F.struct("chain", "pos").alias("vertex")), "_pair", "vertex", radius, inclusive=True, on=["seg_id"])
-    return found.select("seg_id", "station_id", "vertex", F.col("r_lon").alias("lon"), F.col("r_lat").alias("lat"), "distance")
+    found = found.select("seg_id", "station_id", "vertex", "vertex.chain", "vertex.pos", "lon", "lat", F.struct("distance", F.col("r_lon").alias("lon"), F.col("r_lat").alias("lat")).alias("v"))
+    for name, step in (("before", 1), ("after", -1)):
+        beside = vertices.select("seg_id", "chain", (F.col("pos") + step).alias("pos"), F.struct("lon", "lat").alias(name))
+        found = found.join(beside, ["seg_id", "chain", "pos"], "left")
+    feet = F.array("v", *(segment_foot(F.col("lon"), F.col("lat"), F.col("v"), F.col(n)) for n in ("before", "after")))
+    best = F.array_min(F.filter(feet, lambda f: f.isNotNull()))
+    return found.withColumn("f", best).select("seg_id", "station_id", "vertex", "f.lon", "f.lat", "f.distance")
+
+
+def segment_foot(lon: Column, lat: Column, p: Column, q: Column) -> Column:
+    """distance, lon and lat of the place nearest to a point on the segment from p to q; null without q."""
+    k = F.cos(F.radians(lat))
+    dx, dy = (q["lon"] - p["lon"]) * k, q["lat"] - p["lat"]
+    size = dx * dx + dy * dy
+    t = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((lon - p["lon"]) * k * dx + (lat - p["lat"]) * dy) / size))).otherwise(0.0)
+    x, y = p["lon"] + (q["lon"] - p["lon"]) * t, p["lat"] + (q["lat"] - p["lat"]) * t
+    return F.when(q.isNotNull(), F.struct(metres(lon, lat, x, y).alias("distance"), x.alias("lon"), y.alias("lat")))
+
+
+def fallback_marks(stations: DataFrame, served: DataFrame, marks: DataFrame) -> DataFrame:
+    """A bar of one place on the spot, across a track to the north, for stations that no corridor gives a mark."""
+    lines = served.select("station_id", "line_id").distinct().groupBy("station_id").agg(F.array_sort(F.collect_list("line_id")).alias("lines"))
+    rest = stations.select("station_id").join(marks.select("station_id"), "station_id", "left_anti").join(lines, "station_id", "left")
+    empty = F.array().cast(dict(marks.dtypes)["lines"])
+    return rest.select("station_id", F.lit(0).alias("mark"), F.lit(0.0).alias("mid"), F.lit(1).alias("span"), F.lit(0.0).alias("bearing"), F.coalesce("lines", empty).alias("lines"))
 
 
 def merge_marks(drafts: DataFrame) -> DataFrame:
