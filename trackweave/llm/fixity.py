@@ -30,7 +30,11 @@ def leaves(records: DataFrame) -> DataFrame:
 
 
 def index(leaves_: DataFrame) -> DataFrame:
-    """Offset of each record (file, page_id, tie): running sums over blocks of a file, then inside a block, so that no file is one task's work."""
+    """Offset of each record (file, page_id, tie): running sums over the blocks of a file, then inside each block.
+
+    Copies of a page are spread over blocks, so that many of them are not one task's work; the sum over
+    a file has a row for each page and block, and a file is taken to hold a bounded number of pages.
+    """
     rows = leaves_.groupBy("file", "page_id", "tie").agg(F.coalesce(F.max("length"), F.lit(0)).alias("length")).withColumn("block", F.shiftright("tie", 54))
     before = lambda *by: W.partitionBy(*by).rowsBetween(W.unboundedPreceding, -1)
     blocks = rows.groupBy("file", "page_id", "block").agg(F.sum("length").alias("size"))
