@@ -60,7 +60,7 @@ def test_scores(spark, odd, score):
 
 def test_pages(spark):
     long = "x" * 3_000_000
-    pages = spark.createDataFrame([(5, "u", long, "f", 1), (60, None, None, "f", 1), (31, "", "", "f", 1), (31, "", "", "f", 1), (256 + 31, "v", "b", "f", 1)], "page_id long, url string, html string, file string, offset int")
+    pages = spark.createDataFrame([(5, "u", long, "f", 1), (60, None, None, "f", 1), (31, "", "", "f", 1), (31, "", "", "f", 1), (322, "v", "b", "f", 1)], "page_id long, url string, html string, file string, offset int")
     got = sorted((r["page_id"], r["file"], r["status"]) for r in fixity.audit_pages(pages).collect())
-    assert got == [(5, "pages-0.warc", "changed"), (31, "pages-0.warc", "missing"), (60, "pages-0.warc", "changed"), (287, "pages-1.warc", "changed")] or got == [(5, "pages-0.warc", "changed"), (31, "pages-0.warc", "missing"), (60, "pages-0.warc", "changed")]
+    assert got == [(5, "pages-0.warc", "changed"), (31, "pages-0.warc", "missing"), (60, "pages-0.warc", "changed"), (322, "pages-1.warc", "missing")]
     assert fixity.audit_pages(pages.limit(0)).count() == 0
