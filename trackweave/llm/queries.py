@@ -77,11 +77,18 @@ def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), keep=["doc_id"]))
 
 
+def op12_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackweave.llm.whitening import whiten
+
+    return whiten(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_merkle_fixity, op3_simhash_near_dedup, op4_pairwise_quality, op5_compression_toxicity,
         op6_hilbert_packing, op7_block_neighbours, op8_byte_cnn_language, op9_viterbi_token_counts, op10_fm_decontamination,
+        op12_lanczos_whitening,
     )
 }
 #: A-Z to lower case, as text for translate().
