@@ -83,12 +83,18 @@ def op12_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(read(spark, sf_dir, "embeddings"))
 
 
+def op13_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackweave.llm.minhash import near_copies
+
+    return near_copies(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_merkle_fixity, op3_simhash_near_dedup, op4_pairwise_quality, op5_compression_toxicity,
         op6_hilbert_packing, op7_block_neighbours, op8_byte_cnn_language, op9_viterbi_token_counts, op10_fm_decontamination,
-        op12_lanczos_whitening,
+        op12_lanczos_whitening, op13_tensored_minhash,
     )
 }
 #: A-Z to lower case, as text for translate().
