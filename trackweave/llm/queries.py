@@ -77,6 +77,12 @@ def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), keep=["doc_id"]))
 
 
+def op11_ternary_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackweave.llm.prefix_trie import rebuilt_trie
+
+    return rebuilt_trie(read(spark, sf_dir, "conversations"))
+
+
 def op12_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trackweave.llm.whitening import whiten
 
@@ -94,7 +100,7 @@ QUERIES = {
     for f in (
         op1_line_dedup, op2_merkle_fixity, op3_simhash_near_dedup, op4_pairwise_quality, op5_compression_toxicity,
         op6_hilbert_packing, op7_block_neighbours, op8_byte_cnn_language, op9_viterbi_token_counts, op10_fm_decontamination,
-        op12_lanczos_whitening, op13_tensored_minhash,
+        op11_ternary_prefix_trie, op12_lanczos_whitening, op13_tensored_minhash,
     )
 }
 #: A-Z to lower case, as text for translate().
@@ -181,4 +187,39 @@ SQL: dict[str, str] = {
         SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(n.n, 0) AS BIGINT) AS n_items,
             sha256(coalesce(n.items, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
         FROM doc_words d LEFT JOIN hits h ON d.doc_id = h.doc_id LEFT JOIN named n ON d.doc_id = n.doc_id""",
+    "op11_ternary_prefix_trie": """
+        WITH turns AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn, sha256(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS t
+            FROM conversations WHERE conv_id IS NOT NULL
+        ),
+        placed AS (SELECT conv_id, t, strlen(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, t) - 1 AS pos FROM turns),
+        ids AS (
+            SELECT conv_id, conv_id - conv_id % 5 AS base, list_reduce(
+                list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT)),
+                lambda a, x: list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, xor(a, x)), 4294967295
+            ) AS state FROM (SELECT DISTINCT conv_id FROM placed)
+        ),
+        convs AS (SELECT conv_id, base, xor(state, 4294967295) % 9 AS h FROM ids),
+        parts AS (
+            SELECT c.conv_id, 0 AS own, pos, t, size FROM convs c JOIN placed p ON p.conv_id = c.base WHERE pos < h
+            UNION ALL SELECT c.conv_id, 1, pos, t, size FROM convs c JOIN placed p ON p.conv_id = c.conv_id WHERE pos >= h
+        ),
+        rebuilt AS (SELECT conv_id, row_number() OVER w AS depth, string_agg(t, '/') OVER w AS path, size FROM parts WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos ROWS UNBOUNDED PRECEDING)),
+        prefixes AS (
+            SELECT conv_id, depth, path, coalesce(lag(path) OVER (PARTITION BY conv_id ORDER BY depth), '') AS parent, size FROM rebuilt
+            UNION ALL SELECT conv_id, 0, '', NULL, 0 FROM convs
+        ),
+        nodes AS (SELECT path, depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n, any_value(size) AS size FROM prefixes GROUP BY path, depth),
+        kids AS (SELECT parent, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+        ends AS (
+            SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+            FROM (SELECT conv_id, path FROM prefixes QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY depth DESC) = 1) GROUP BY path
+        ),
+        sums AS (
+            SELECT p.path, count(*) FILTER (k.n IS NULL) AS leaves, sum((b.n - 1) * b.size) AS saved
+            FROM nodes b LEFT JOIN kids k ON k.parent = b.path JOIN prefixes p ON p.conv_id = b.conv_id AND p.depth <= b.depth GROUP BY p.path
+        )
+        SELECT a.conv_id, CAST(a.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, CAST(a.n AS BIGINT) AS n_convs, CAST(coalesce(k.n, 0) AS BIGINT) AS n_children,
+            CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+        FROM nodes a JOIN sums s ON s.path = a.path LEFT JOIN nodes u ON u.path = a.parent LEFT JOIN kids k ON k.parent = a.path LEFT JOIN ends e ON e.path = a.path""",
 }
