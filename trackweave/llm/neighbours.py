@@ -22,8 +22,8 @@ from trackweave.llm.common import written
 
 #: Vectors of either side in one block.
 CANDIDATES, QUERIES = 16_384, 4_096
-#: Query rows of a tile that are multiplied at a time.
-STRIP = 256
+#: Query rows of a tile that are multiplied at a time; numbers of surviving pairs' vectors that are gathered at a time.
+STRIP, GATHERED = 64, 1 << 21
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,7 +77,8 @@ def tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int)
         bound = np.partition(high, k - 1, axis=1)[:, k - 1] if width >= k else np.full(len(high), np.inf)
         bound = bound * (1 + 1e-9)
         i, j = np.nonzero((low * (1 - 1e-9) <= bound[:, None]) & ~same)
-        exact = distances(q[part][i], c[j])
+        piece, own = max(1, GATHERED // q.shape[1]), q[part]  # where vectors are alike, all pairs survive
+        exact = np.concatenate([distances(own[i[b : b + piece]], c[j[b : b + piece]]) for b in range(0, max(1, len(i)), piece)])
         order = np.lexsort((cid[j], exact, i))
         i, j, exact = i[order], j[order], exact[order]
         place = np.arange(len(i)) - np.searchsorted(i, i)
@@ -91,15 +92,16 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10, id_col: str
 
     Vectors that are null, empty or zero or hold null or non-finite components, and rows
     without an id, take no part; a query meets only candidates of its own dimension, never its own id.
-    Repeated ids count once, with the smallest vector. Fewer than k candidates: all of them.
-    No queries or no candidates: no rows.
+    Rows that share an id are candidates each; query rows that share one are one query, with the pairs of all.
+    Equally near candidates come by id; where all vectors are equal, all pairs are compared, in bounded pieces.
+    Fewer than k candidates: all of them. Columns of other names don't matter. No queries or no candidates: no rows.
     """
     vector = F.transform(vector_col, lambda x: x.cast("double"))
     sound = (F.size(vector_col) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
 
     def usable(df: DataFrame) -> DataFrame:
         rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias(vector_col)).where(F.col("id").isNotNull() & F.coalesce(sound, F.lit(False)))
-        return rows.groupBy("id").agg(F.min(vector).alias("v")).withColumn("dim", F.size("v"))
+        return rows.select("id", vector.alias("v"), F.size(vector_col).alias("dim"))
 
     q, c = written(usable(queries)), written(usable(candidates))
     n_q, n_c = q.count(), c.count()
