@@ -7,8 +7,6 @@ windows; their logits are averaged by length. The network is trained in numpy.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,12 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from trackweave.llm.common import batched, fold, map_text, slices, texts
+from trackweave.llm.common import batched, fold, map_text, slices, tag_of, texts
 
 LENGTH, WIDTHS, FILTERS = 128, (2, 3, 4), 16
 #: The most labelled rows that it is trained on, for a language (1,000 at most, so that Spark limits each group before it is shuffled) and in all; windows of each row.
 ROWS, ALL_ROWS, WINDOWS = 1_000, 12_000, 2
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 #: Windows that a worker computes at a time.
 BATCH = 512
@@ -36,6 +33,11 @@ def windows(text: bytes, length: int = LENGTH) -> np.ndarray:
     return out.reshape(rows, length)
 
 
+def lettered(text: bytes) -> bool:
+    """Whether there is a letter; digits, fractions and numerals of any script are none."""
+    return any(map(str.isalpha, text.decode()))
+
+
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -127,16 +129,18 @@ def fit(docs: DataFrame, folds: int = 5, held_out: int = 0) -> tuple[list[str],
     """Languages and network, from rows with a language outside the held-out fold: of each language the ROWS whose ids hash lowest. None without any."""
     known = docs.where("lang is not null and text is not null and doc_id is not null").where(fold(F.col("doc_id"), folds) != held_out)
     rank = F.row_number().over(W.partitionBy("lang").orderBy("hash", "doc_id"))
-    chosen = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash")).withColumn("rank", rank).where(F.col("rank") <= ROWS).orderBy("rank", "lang").limit(ALL_ROWS)
-    # At most ALL_ROWS rows of an id: small enough to broadcast.
-    sample = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    chosen = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash")).distinct().withColumn("rank", rank).where(F.col("rank") <= ROWS).orderBy("rank", "lang").limit(ALL_ROWS)
+    # At most ALL_ROWS ids: small enough to broadcast. Their rows may be more: equal ones count once, and the limits hold for rows.
+    rows = known.select("doc_id", "lang", "text", tag_of("text").alias("tag")).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    again = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "tag"))
+    sample = rows.dropDuplicates(["doc_id", "lang", "tag"]).withColumn("rank", again).where(F.col("rank") <= ROWS).orderBy("rank", "lang").limit(ALL_ROWS)
 
     def cut(batches):
         for batch in batches:
             for rows in slices(batch, "text"):
                 lang, parts = [], []
                 for text, own in zip(texts(rows, "text"), rows.column("lang").to_pylist(), strict=True):
-                    if own is None or not LETTER.search(text.decode()):
+                    if own is None or not lettered(text):
                         continue
                     cuts = windows(text)
                     for k in {0, len(cuts) // 2} if WINDOWS == 2 else range(min(WINDOWS, len(cuts))):
@@ -169,7 +173,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
     def run(rows: list[bytes]) -> list:
         quick = Quick(sent.value)
-        letters = [LETTER.search(t.decode()) is not None for t in rows]
+        letters = [lettered(t) for t in rows]
         cuts = [windows(t) for t in rows]
         counts = [len(c) for c in cuts]
         x = np.concatenate(cuts)
