@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackweave.llm.common import batched, fold, map_text, slices, texts, written
+from trackweave.llm.common import batched, fold, map_text, slices, tag_of, texts, written
 
 #: The most labelled rows that the dictionaries and the calibration are fitted on.
 TOXIC_ROWS, ORDINARY_ROWS = 3_000, 6_000
@@ -133,8 +133,10 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -
     for value, most in ((1, TOXIC_ROWS), (0, ORDINARY_ROWS)):
         part = marked.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
-    # At most so many rows of two numbers: small enough to broadcast.
-    sample = written(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id"))
+    # At most so many ids: small enough to broadcast. Their rows may be more: equal ones count once, and the limits hold for rows.
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").withColumn("tag", tag_of("text")).dropDuplicates(["doc_id", "toxic", "tag"])
+    few = [rows.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id", "tag").limit(most) for value, most in ((1, TOXIC_ROWS), (0, ORDINARY_ROWS))]
+    sample = written(few[0].unionByName(few[1]).drop("tag"))
     table = written(contexts(sample).groupBy("word").agg(F.coalesce(F.sum(F.when(F.col("toxic") == 1, F.col("n"))), F.lit(0)).alias("n1"), F.coalesce(F.sum(F.when(F.col("toxic") == 0, F.col("n"))), F.lit(0)).alias("n0")))
     all1, all0 = table.agg(F.sum("n1"), F.sum("n0")).first()
     if not all1 or not all0:
