@@ -116,11 +116,11 @@ def training_labels(labels: DataFrame, label: str = "quality", folds: int = 3, h
 
 
 def fit(table: DataFrame, marked: DataFrame, sample: int = SAMPLE) -> Ranking | None:
-    """The model of the marked rows: of either class the `sample` rows whose ids hash lowest. None without both classes."""
+    """The model of the marked rows: of either class the `sample` rows whose ids hash lowest, rows of one id and equal features once. None without both classes."""
     rows = []
     for value in (1, 0):
         chosen = table.join(marked.where(F.col("label") == value).select("doc_id"), "doc_id", "left_semi")
-        rows.append([r[0] for r in chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("features").collect()])
+        rows.append([r[0] for r in chosen.select("doc_id", "features").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(sample).select("features").collect()])
     return Ranking(np.array(rows[0]), np.array(rows[1])) if all(rows) else None
 
 
