@@ -1,8 +1,11 @@
 """Held-out accuracy, and odd rows."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trackweave.llm import language, quality, toxicity
+from trackweave.llm.common import fold
 from trackweave.llm.queries import read
 
 SF = "/root/testdata/sf0.01"
@@ -55,8 +58,6 @@ def test_language(spark, odd):
 
 
 def test_quick_network_equals_the_trained_one():
-    import numpy as np
-
     net = language.Network(3)
     x = np.random.default_rng(0).integers(0, 256, (20, 128)).astype(np.uint8)
     assert np.allclose(net.logits(x), language.Quick(net).logits(x), atol=1e-4)
@@ -71,8 +72,6 @@ def test_sampling_does_not_move_the_border(spark):
 
 
 def test_rank_among_many(spark, monkeypatch):
-    import numpy as np
-
     monkeypatch.setattr(quality, "SORTED", 10)
     monkeypatch.setattr(quality, "BINS", 3)
     values = np.random.default_rng(2).normal(size=300).round(2).tolist() + [0.5] * 40
@@ -83,11 +82,32 @@ def test_rank_among_many(spark, monkeypatch):
 
 
 def test_calibration_has_the_shares_of_all_labelled_rows():
-    import numpy as np
-
     r = np.random.default_rng(1)
     x, y = np.concatenate([r.normal(0, 1, (9_000, 1)), r.normal(1.5, 1, (1_000, 1))]), np.repeat([0.0, 1.0], [9_000, 1_000])
     share = lambda w: (1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))).mean()
     capped = np.concatenate([np.arange(1_000), np.arange(9_000, 10_000)])
     assert abs(share(toxicity.logistic(x, y)) - 0.1) < 0.005 and abs(share(toxicity.logistic(x[capped], y[capped], (9_000, 1_000))) - 0.1) < 0.01
     assert share(toxicity.logistic(x[capped], y[capped])) > 0.25
+
+
+def test_repeats_of_one_row_teach_once(spark, monkeypatch):
+    """A labelled row that stands there very often is one row of the sample, and pushes no other out."""
+    monkeypatch.setattr(language, "ROWS", 20)
+    docs = read(spark, SF, "documents").select("doc_id", "text", "lang")
+    often = docs.orderBy(F.xxhash64("doc_id")).where("text is not null").where(fold(F.col("doc_id"), 5) != 0).limit(1)
+    many = docs.unionByName(often.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(20_000)))).drop("k"))
+    names, net = language.fit(docs)
+    again, other = language.fit(many)
+    assert names == again and all((a == b).all() for a, b in zip(net.taps, other.taps))
+    labels, marked = read(spark, SF, "labels"), docs.select("doc_id", "text")
+    copied = many.select("doc_id", "text")
+    one, two = toxicity.fit(marked, labels), toxicity.fit(copied, labels)
+    assert one[:2] == two[:2] and (one[2] == two[2]).all()
+    a, b = (quality.fit(quality.feature_table(x), quality.training_labels(labels), 50) for x in (marked, copied))
+    x = quality.feature_table(marked.limit(50)).toPandas()["features"].tolist()
+    assert (a(np.array(x)) == b(np.array(x))).all()
+
+
+@pytest.mark.parametrize("text,found", [("½ ² ①", False), ("① 12", False), ("Ⅷ", False), ("", False), ("_ - 3", False), ("٣", False), ("é", True), ("12 x", True), ("日", True), ("ª", True)])
+def test_letters(text, found):
+    assert language.lettered(text.encode()) is found

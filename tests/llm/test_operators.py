@@ -197,7 +197,8 @@ def test_decontamination_with_odd_items_and_clashing_columns(spark):
     items = spark.createDataFrame([("", "alpha beta gamma"), (None, "delta eta"), ("x", "delta eta"), ("x", None), ("y", "zz \u00e9\u00e9")], "item_id string, text string")
     data = [(1, "x alpha beta gamma y"), (2, "delta, ETA!"), (3, None), (3, "q zz \u00e9\u00e9 r"), (3, "q zz \u00e9\u00e9 r"), (None, "alpha beta gamma delta eta k"), (4, "w " * 30_000 + "delta eta")]
     docs = spark.createDataFrame([(d, t, 7, "own", "h") for d, t in data], "doc_id long, text string, n_words int, items string, Hit_Spans string").repartition(3)
-    expected = decontaminate.brute_force(data, [("", "alpha beta gamma"), ("x", "delta eta"), ("y", "zz \u00e9\u00e9")], 10)
+    expected = decontaminate.brute_force(data, [("", "alpha beta gamma"), (None, "delta eta"), ("x", "delta eta"), ("y", "zz \u00e9\u00e9")], 10)
+    assert {t[0]: t[3] for t in expected}[2] == 2
     assert sorted(map(str, (tuple(r) for r in decontaminate.digest(decontaminate.find_overlaps(docs, items, keep=["doc_id"])).collect()))) == sorted(map(str, expected))
     cleaned = decontaminate.remove_overlaps(docs, items)
     assert cleaned.dtypes == docs.dtypes and {(r["n_words"], r["items"], r["Hit_Spans"]) for r in cleaned.collect()} == {(7, "own", "h")}
@@ -325,10 +326,9 @@ def test_neighbours_of_very_large_and_small_vectors(spark):
     data = [(i, [float(v) for v in row], "id", 1) for i, row in enumerate(x)] + [(3, [float(v) for v in x[3]], "id", 1), (40, [9e300] * 4, "id", 1)]
     table = spark.createDataFrame(data, "vec_id long, embedding array<double>, id string, rank int").repartition(3)
     got = rows(neighbours.nearest(table.where("vec_id % 5 = 0"), table, k=4))
-    held = {i: min([v for j, v, *_ in data if j == i]) for i in range(80)}
     expected = []
     for q in range(0, 80, 5):
-        d = sorted((math.hypot(*(a - b for a, b in zip(held[q], held[c]))), c) for c in held if c != q)
+        d = sorted((math.hypot(*(a - b for a, b in zip(v, w))), c) for i, v, *_ in data if i == q for c, w, *_ in data if c != q)
         expected += [(q, i + 1, c, s) for i, (s, c) in enumerate(d[:4])]
     assert [t[:3] for t in got] == [t[:3] for t in expected] and all(abs(a[3] - b[3]) <= 1e-14 * b[3] for a, b in zip(got, expected))
 
@@ -342,6 +342,21 @@ def test_neighbours_over_many_tiles(spark, monkeypatch):
     assert rows(neighbours.nearest(table.where("vec_id % 4 = 0"), table)) == whole
 
 
+def test_neighbours_among_equal_vectors():
+    """All pairs of a tile survive; what is gathered of them stays small."""
+    import tracemalloc
+
+    r = np.random.default_rng(6)
+    c = np.concatenate([np.ones((20_000, 32)), r.normal(size=(30, 32))])
+    ids = r.permutation(len(c))
+    tracemalloc.start()
+    got = neighbours.tile(np.arange(200) + 10**6, np.ones((200, 32)), ids, c, 10)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    first = sorted(ids[:20_000].tolist())[:10]
+    assert got == [(q + 10**6, i, 0.0) for q in range(200) for i in first] and most < 600 << 20
+
+
 def test_counts_equal_the_tokenizer(docs, none):
     path = tokenizer_file("piece_bpe_32k.model")
     texts = {d: t for d, t, *_ in made_docs()}

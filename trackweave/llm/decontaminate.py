@@ -33,7 +33,7 @@ class Phrases:
     """Distinct windows of the items' words, by length, with the items that hold each, in flat arrays."""
 
     def __init__(self, items: list[tuple[str | None, bytes]], window: int):
-        """items: name (null: found, but not named) and text."""
+        """items: name (null: counted, but not named) and text."""
         self.ids: dict[bytes, int] = {}
         self.names = [name for name, _ in items]
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -191,7 +191,7 @@ def marked(batches: Iterator[pa.RecordBatch], phrases: Phrases, text_col: str, n
         for rows in slices(batch, text_col):
             n, spans, found = shard_hits(texts(rows, text_col), phrases)
             spans = [merged([*((s["start"], s["end"]) for s in old or ()), *new]) for old, new in zip(rows.column(names[1]).to_pylist(), spans, strict=True)]
-            found = [sorted({*(old or ()), *new} - {None}) for old, new in zip(rows.column(names[2]).to_pylist(), found, strict=True)]
+            found = [sorted({*(old or ()), *new}, key=lambda x: (x is None, x or "")) for old, new in zip(rows.column(names[2]).to_pylist(), found, strict=True)]
             for name, values in zip(names, (n, [[{"start": a, "end": b} for a, b in x] for x in spans], found), strict=True):
                 at = rows.schema.get_field_index(name)
                 rows = rows.set_column(at, rows.schema.field(at), pa.array(values, type=rows.schema.field(at).type))
@@ -220,11 +220,11 @@ def cut_out(batches: Iterator[pa.RecordBatch], text_col: str, spans_col: str) ->
 
 
 def find_overlaps(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, cut: bool = False, names: list[str] | None = None) -> DataFrame:
-    """docs' columns `keep` (all, if None) with n_words, hit_spans (merged word ranges) and items (sorted ids found).
+    """docs' columns `keep` (all, if None) with n_words, hit_spans (merged word ranges) and items (sorted ids found, a null id last).
 
     A phrase is `window` consecutive words of an item, or a shorter item whole. Null or
     wordless texts and items have no words and no hits; repeated rows are reported each;
-    items with a null id are found but not named, an empty id is a name; of an empty table nothing is found.
+    items with a null id are one item, counted but not named, an empty id is a name; of an empty table nothing is found.
     names: of the three new columns; columns of docs named like them are replaced. cut: the texts come without what was hit.
 
     Items are searched in passes over the text, so that a worker holds the phrases of PHRASE_BYTES
@@ -274,14 +274,14 @@ def remove_overlaps(docs: DataFrame, items: DataFrame, window: int = 10) -> Data
     return cleaned.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
-def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], window: int = 10) -> list[tuple]:
+def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int | str | None, str | None]], window: int = 10) -> list[tuple]:
     """The same report by comparing every window with every place."""
-    owners: dict[tuple[bytes, ...], set[str]] = {}
+    owners: dict[tuple[bytes, ...], set[str | None]] = {}
     for name, text in items:
         words = (text or "").encode().translate(FOLDED).split()
         size = min(window, len(words))
         for i in range(len(words) - size + 1 if size else 0):
-            owners.setdefault(tuple(words[i : i + size]), set()).add(str(name))
+            owners.setdefault(tuple(words[i : i + size]), set()).add(None if name is None else str(name))
     out = []
     for doc, text in docs:
         words, hit, found = (text or "").encode().translate(FOLDED).split(), set(), set()
@@ -290,5 +290,5 @@ def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str |
                 if names := owners.get(tuple(words[i : i + size])):
                     hit.update(range(i, i + size))
                     found |= names
-        out.append((doc, len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+        out.append((doc, len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found - {None})).encode()).hexdigest(), bool(hit)))
     return out

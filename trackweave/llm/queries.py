@@ -177,16 +177,16 @@ SQL: dict[str, str] = {
         windows AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, size, array_to_string(w[i:i + size - 1], ' ') AS phrase FROM starts),
         sizes AS (SELECT DISTINCT size FROM windows),
         doc_words AS (
-            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+            SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
         ),
-        places AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM doc_words, sizes WHERE len(w) >= size),
-        phrases AS (SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS phrase FROM places),
-        found AS (SELECT p.doc_id, p.i, p.size, w.item FROM phrases p JOIN windows w ON p.size = w.size AND p.phrase = w.phrase),
-        hits AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS k FROM found) GROUP BY doc_id),
-        named AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+        places AS (SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM doc_words, sizes WHERE len(w) >= size),
+        phrases AS (SELECT rid, size, i, array_to_string(w[i:i + size - 1], ' ') AS phrase FROM places),
+        found AS (SELECT p.rid, p.i, p.size, w.item FROM phrases p JOIN windows w ON p.size = w.size AND p.phrase = w.phrase),
+        hits AS (SELECT rid, count(DISTINCT k) AS n FROM (SELECT rid, unnest(range(i, i + size)) AS k FROM found) GROUP BY rid),
+        named AS (SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM found) GROUP BY rid)
         SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(n.n, 0) AS BIGINT) AS n_items,
             sha256(coalesce(n.items, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
-        FROM doc_words d LEFT JOIN hits h ON d.doc_id = h.doc_id LEFT JOIN named n ON d.doc_id = n.doc_id""",
+        FROM doc_words d LEFT JOIN hits h ON d.rid = h.rid LEFT JOIN named n ON d.rid = n.rid""",
     "op11_ternary_prefix_trie": """
         WITH turns AS (
             SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn, sha256(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS t
