@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pytest
 
-from trackweave.operators import graph, network, resolve
+from trackweave.operators import graph, network, paths, resolve
 
 K = 111_320.0
 
@@ -15,21 +15,6 @@ def way(*points):
     return np.array([(9.7 + x / (K * math.cos(math.radians(52.26))), 52.26 + y / K) for x, y in points])
 
 
-def test_parallel_pair_collapses_and_branch_stays():
-    a, b = way((0, 0), (400, 0), (900, 0)), way((0, 6), (400, 6), (880, 6))
-    branch, wide = way((400, 0), (700, 300)), way((0, 60), (900, 60))
-    kept = network.collapse_group([("a", a, 1, False), ("b", b, 1, False), ("c", branch, 1, False), ("d", wide, 1, False)], 20.0)
-    assert sorted(kept) == ["a", "c", "d"]
-    shuffled = network.collapse_group([("d", wide, 1, False), ("b", b, 1, False), ("c", branch, 1, False), ("a", a, 1, False)], 20.0)
-    assert sorted(shuffled) == sorted(kept)
-
-
-def test_busier_track_is_kept_and_zero_tolerance_keeps_all():
-    a, b = way((0, 0), (900, 0)), way((0, 6), (700, 6))
-    assert network.collapse_group([("a", a, 1, False), ("b", b, 3, False)], 20.0)[0] == "b"
-    assert sorted(network.collapse_group([("a", a, 1, False), ("b", b, 1, False)], 0.0)) == ["a", "b"]
-
-
 def test_chains_join_and_stitch():
     a, b, c = ([tuple(p) for p in way(*pts)] for pts in (((0, 0), (100, 0)), ((200, 0), (100, 0)), ((210, 0), (300, 0))))
     assert [len(x) for x in network.chained([a, b, c])] == [3, 2]
@@ -43,11 +28,11 @@ def test_chains_join_and_stitch():
 def test_graph_splits_side_way_and_routes(spark):
     coords = lambda pts: [{"lon": float(x), "lat": float(y)} for x, y in way(*pts)]
     ways = spark.createDataFrame([("main", coords([(0, 0), (500, 0), (1000, 0)]), 1720, False), ("side", coords([(500, 0), (500, 400)]), None, False), ("yard", coords([(0, 0), (1000, 0)][::-1]), 9, True), ("loop", coords([(0, 0), (0, 50), (0, 0)]), 1, False)], "way_id string, coords array<struct<lon:double,lat:double>>, ref int, service boolean")
-    edges = network.rail_graph(ways)
+    edges = paths.rail_graph(ways)
     assert {(r["way_id"], round(r["metres"])) for r in edges.where("forward").collect()} == {("main", 500), ("side", 400), ("yard", 1000)} and edges.where("forward and way_id = 'main'").count() == 2
     x = lambda px, py: [float(v) for v in way((px, py))[0]]
     closures = spark.createDataFrame([(1, *x(0, 1), *x(500, 399), [1720]), (2, *x(0, 0), *x(30, 0), []), (3, *x(0, 0), *x(90_000, 0), []), (4, *x(50_000, 0), *x(90_000, 0), [])], "id int, from_lon double, from_lat double, to_lon double, to_lat double, refs array<int>")
-    got = {r["id"]: (r["kind"], r["cost"] and round(r["cost"])) for r in network.closure_layer(closures, ways).collect()}
+    got = {r["id"]: (r["kind"], r["cost"] and round(r["cost"])) for r in paths.closure_paths(closures, ways).collect()}
     assert got == {1: ("section", 900), 2: ("point", None), 3: ("unmatched", None), 4: ("unmatched", None)}
 
 
@@ -113,7 +98,7 @@ def test_queries_take_whole_tables(spark, tmp_path):
     spark.range(1, 1001).selectExpr("id AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
     spark.range(1, 91).selectExpr("id AS s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
     ways = {2 * k for k in range(2, 1001, 2)} | {2 * k + 1 for k in range(5, 1001, 5)}
-    assert sorted(r["id"] for r in queries.closure_layer(spark, tmp_path).collect()) == list(range(1, 91))
+    assert sorted(r["id"] for r in queries.closure_paths(spark, tmp_path).collect()) == list(range(1, 91))
     assert {r["chain_id"] for r in queries.coorient(spark, tmp_path).collect()} == ways
     points = [r for r in queries._network(spark, tmp_path).select("way_id", "coords").collect()]
     assert {r["way_id"] for r in points} == ways and len({(p["lon"], p["lat"]) for r in points for p in r["coords"]}) > 900
@@ -132,9 +117,7 @@ def test_routes_are_never_cut_in_silence(spark):
     assert sorted(r["node"] for r in graph.path_nodes(reached, trips).collect()) == list(range(7))
     with pytest.raises(RuntimeError):
         graph.batch_routes(edges, trips, rounds=3)
-    with pytest.raises(RuntimeError):
-        graph.path_nodes(reached, trips, rounds=3)
-    assert all(inspect.signature(f).parameters["rounds"].default is None for f in (graph.batch_routes, graph.path_nodes))
+    assert inspect.signature(graph.batch_routes).parameters["rounds"].default is None
 
 
 def test_anchor_lies_on_the_segment_beside_the_vertex(spark):

@@ -74,3 +74,72 @@ def test_log_and_features(spark, tmp_path):
     assert readers.point_features(readers.read_features(spark, str(tmp_path / "p"))).first()["name"] == "A"
     sinks.write_tiers(spark.range(4).withColumn("min_zoom", F.col("id") % 2), str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).where("min_zoom = 1").count() == 2
+
+
+def test_readings_prune_parts(spark, tmp_path):
+    import datetime as dt
+
+    day = lambda n: dt.date(2026, 3, n)
+    schema = f"{readers.READING}, reading_day date"
+    rows = [(f"{n}-{k}", "closed", day(1 + k), day(3 + k), [1], day(n)) for n in range(1, 6) for k in range(0, 20, 4)]
+    path = str(tmp_path / "register")
+    sinks.write_reading(spark.createDataFrame(rows, schema), path)
+    sinks.write_reading(spark.createDataFrame([("5-new", "other", day(5), day(5), [2], day(5))], schema), path)  # replaces that day's part only
+    whole = readers.read_readings(spark, path)
+    assert {r["id"] for r in whole.collect()} == {r[0] for r in rows if r[5] != day(5)} | {"5-new"}
+    one = whole.where(F.col("reading_day") == day(2))
+    assert "PartitionFilters: [isnotnull(reading_day" in one._jdf.queryExecution().toString() and one.count() == 5
+    days = spark.createDataFrame([(day(1),), (day(5),)], "reading_day date")
+    asked = readers.read_readings(spark, path, days, horizon=2)
+    assert {r["id"] for r in asked.collect()} == {f"1-{k}" for k in range(0, 3, 4)} | {"5-new"}
+    plan = readers.read_readings(spark, path, days.where("reading_day > date '2026-03-02'"))._jdf.queryExecution().toString()
+    assert "dynamicpruning" in plan
+
+
+def test_sources_that_cannot_be_read_are_empty(spark, tmp_path):
+    schema = "id string, n int"
+    good = spark.createDataFrame([("a", 1), ("b", 2)], schema)
+    good.write.parquet(str(tmp_path / "p"))
+    read = lambda path: lambda: spark.read.schema(schema).parquet(str(tmp_path / path))
+    assert readers.optional(spark, read("p"), schema).count() == 2 and readers.optional(spark, read("nowhere"), schema).count() == 0
+    for f in (tmp_path / "p").glob("*.parquet"):
+        f.write_bytes(f.read_bytes()[:20])
+    for f in (tmp_path / "p").glob(".*.crc"):
+        f.unlink()
+    assert readers.optional(spark, read("p"), schema).dtypes == good.dtypes and readers.optional(spark, read("p"), schema).count() == 0
+    (tmp_path / "r.json").write_text('[{"id": "x", "effect": "closed"}, {"id": "y", "eff')
+    assert readers.optional(spark, lambda: readers.strict_register(spark, str(tmp_path / "r.json")), readers.READING).count() == 0
+    with pytest.raises(ZeroDivisionError):
+        readers.optional(spark, lambda: 1 / 0, schema)
+
+
+def test_a_broken_run_goes_on_after_the_last_whole_chunk(spark, tmp_path):
+    work = spark.createDataFrame([(k, f"s{k}") for k in range(23)], "station_id int, name string").repartition(3)
+    calls, broken = [], [True]
+
+    def resolve(rows):
+        first = rows.agg(F.min("station_id")).first()[0]
+        if first == 10 and broken[0]:
+            raise ConnectionError("source is away")
+        calls.append(first)
+        return rows.select("station_id", F.concat("name", F.lit("!")).alias("stop_id"))
+
+    with pytest.raises(ConnectionError):
+        sinks.in_chunks(work, "station_id", resolve, str(tmp_path / "run"), rows=5)
+    assert calls == [0, 5]
+    broken[0] = False
+    got = sinks.in_chunks(work.where("station_id < 3"), "station_id", resolve, str(tmp_path / "run"), rows=5)  # the list that was written holds
+    assert calls == [0, 5, 10, 15, 20] and sorted((r["station_id"], r["stop_id"]) for r in got.collect()) == [(k, f"s{k}!") for k in range(23)]
+    whole = sinks.in_chunks(work, "station_id", resolve, str(tmp_path / "other"), rows=100)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, got.collect()))
+    assert sinks.in_chunks(work.limit(0), "station_id", resolve, str(tmp_path / "none")).count() == 0
+
+
+def test_log_is_appended_in_order_and_summary_counts(spark, tmp_path):
+    events = spark.createDataFrame([("2026-01-02", "b", "planned"), ("2026-01-01", "c", "planned"), ("2026-01-01", "a", "planned")], "t string, id string, e string")
+    assert sinks.append_log(events.limit(0), str(tmp_path / "log")) == 0 and not (tmp_path / "log").exists()
+    assert sinks.append_log(events, str(tmp_path / "log")) == 3 and spark.read.json(str(tmp_path / "log")).count() == 3
+    lines = spark.createDataFrame([("a", "tram", "osm"), ("b", "tram", "feed"), ("c", "coach", "osm")], "line_id string, mode string, colour_source string")
+    sinks.write_summary(lines, events, str(tmp_path / "s"))
+    row = spark.read.json(str(tmp_path / "s")).first()
+    assert row["stations"] == 3 and row["colour_coverage"] == 0.5 and row["lines"]["tram"] == 2

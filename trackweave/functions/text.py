@@ -149,7 +149,7 @@ def search_variants(col: Column) -> Column:
 
 
 # File extensions by type.
-EXTENSIONS = {"image/svg+xml": "svg", "image/png": "png", "image/jpeg": "jpg", "image/gif": "gif", "image/webp": "webp"}
+EXTENSIONS = {"image/svg+xml": "svg", "image/png": "png", "image/jpeg": "jpg", "image/webp": "webp", "image/gif": "gif"}
 
 
 def slug(name: Column, kind: Column) -> Column:

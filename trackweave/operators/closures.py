@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from trackweave.functions.geo import mercator_to_degrees
 from trackweave.functions.style import EFFECT_RANK, lookup
+from trackweave.operators.graph import settled
 from trackweave.operators.order import numbered
 
 # Effects, directions and kinds of work as the register spells them, and what they are called here.
@@ -176,6 +177,49 @@ def plan_diff(state: DataFrame, fresh: DataFrame, first: Column, last: Column, t
     return out.select("id", "e", *fields)
 
 
+def advanced(state: DataFrame, events: DataFrame, tracked: tuple[str, ...] = TRACKED) -> DataFrame:
+    """The state after the events of plan_diff: what was planned is new, what was revised has its changed fields and is no longer withdrawn."""
+    told = events.select("id", "e", *(F.col(f"{w}_{c}") for c in tracked for w in ("was", "now")))
+    both = state.select("id", "withdrawn", *tracked).join(told, "id", "full")
+    moved = lambda c: (F.col("e") == "planned") | ((F.col("e") == "revised") & (F.col(f"was_{c}").isNotNull() | F.col(f"now_{c}").isNotNull()))
+    fields = (F.when(F.coalesce(moved(c), F.lit(False)), F.col(f"now_{c}")).otherwise(F.col(c)).alias(c) for c in tracked)
+    return both.select("id", *fields, F.when(F.col("e").isNull(), F.col("withdrawn")).otherwise(F.col("e") == "withdrawn").alias("withdrawn"))
+
+
+#: Days of the longest interval that meets others in bins of its own size; 2 to this power.
+MOST_LEVEL = 20
+
+
+def interval_pairs(left: DataFrame, right: DataFrame, left_days: tuple[str, str], right_days: tuple[str, str], on: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of rows of two tables of intervals of days (first and last included) that overlap, each pair once. on: columns that must agree.
+
+    An interval has the level of its length's power of two, and covers two bins of that size at most. Two intervals
+    meet in bins of the wider one's level, an equi join; of two common bins the one where the later begin lies counts.
+    A side goes to the levels that occur on both sides only. Intervals without a begin or end, or that end before they begin, meet none.
+    """
+
+    bins = lambda level: F.call_function("shiftleft", F.lit(1), F.col(level))
+
+    def levelled(df: DataFrame, days: tuple[str, str]) -> DataFrame:
+        first, last = (F.unix_date(F.col(c)) for c in days)
+        rows = df.withColumns({"_first": first, "_last": last}).where("_first <= _last")
+        return rows.withColumn("_level", F.least(F.lit(MOST_LEVEL), F.ceil(F.log2((F.col("_last") - F.col("_first") + 1).cast("double"))).cast("int")))
+
+    a, b = levelled(left, left_days), levelled(right, right_days)
+    # At most MOST_LEVEL + 1 rows.
+    levels = settled(a.select("_level").unionByName(b.select("_level")).distinct().withColumnRenamed("_level", "_at"))
+
+    def spread(rows: DataFrame) -> DataFrame:
+        met = rows.join(F.broadcast(levels), F.col("_at") >= F.col("_level"))
+        size = bins("_at")
+        return met.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_first") / size), F.floor(F.col("_last") / size))))
+
+    b = spread(b).withColumnsRenamed({"_first": "_from", "_last": "_to", "_level": "_other"})
+    joined = spread(a).join(b, ["_at", "_bin", *on]).where("_at = greatest(_level, _other) and _first <= _to and _from <= _last")
+    own = joined.where(F.floor(F.greatest("_first", "_from") / bins("_at")) == F.col("_bin"))
+    return own.drop("_at", "_bin", "_first", "_last", "_level", "_from", "_to", "_other")
+
+
 def progress(begin: Column, end: Column, first_end: Column, day: Column) -> list[Column]:
     """total, gone, left_over and through (share, 0 to 1) of a closure on a day, and where in it the end first planned lies."""
     total = span_days(begin, end)

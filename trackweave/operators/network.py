@@ -1,23 +1,19 @@
-"""Track geometry: the rail graph, chains, parallel tracks, orientation, tapers, stop marks, the closure layer."""
+"""Corridor geometry: chains, orientation, tapers, route features, stop marks."""
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from trackweave.functions.geo import METRES_PER_DEGREE, metres
-from trackweave.operators.graph import arrivals, batch_routes, components, route_budget, settled, spanning_forest
+from trackweave.operators.graph import parities, settled, spanning_forest
 from trackweave.operators.spatial import nearest
 
-POINT_METRES, SNAP_METRES = 100.0, 2_000.0
-TOLERANCE = {"tram": 15.0, "coach": 0.0}
-OTHER_TOLERANCE = 20.0
 STRAIGHT_ON, ALIGNED = math.radians(25), 0.5
 TAPER_METRES, TRAM_TAPER_METRES, MOST_PITCHES, CHAIN_SHARE, LEAST_TAPER = 80.0, 40.0, 3, 0.4, 12.0
 MARK_METRES, MERGE_DEGREES, MERGE_ACROSS = 300.0, 25.0, 12.0
@@ -25,60 +21,6 @@ MARK_METRES, MERGE_DEGREES, MERGE_ACROSS = 300.0, 25.0, 12.0
 PIXEL_METRES = 156_543.03392 * math.cos(math.radians(51))
 
 
-def node_key(point: Column, digits: int = 6) -> Column:
-    """Two vertices are one node if they agree to so many decimals."""
-    scale = 10**digits
-    return F.concat_ws(":", F.round(point["lon"] * scale).cast("bigint").cast("string"), F.round(point["lat"] * scale).cast("bigint").cast("string"))
-
-
-def rail_graph(ways: DataFrame) -> DataFrame:
-    """Edges src, dst, way_id, metres, ref, service, forward: each way cut where another way ends, both directions, no loops.
-
-    ways: way_id, coords (array of lon, lat), ref, service.
-    """
-    rows = ways.where(F.size("coords") >= 2).select("way_id", "ref", "service", F.size("coords").alias("size"), F.posexplode("coords").alias("pos", "p")).withColumn("node", node_key(F.col("p")))
-    is_end = (F.col("pos") == 0) | (F.col("pos") == F.col("size") - 1)
-    ends = rows.where(is_end).select("node").distinct().withColumn("_end", F.lit(True))
-    order = W.partitionBy("way_id").orderBy("pos")
-    step = metres(F.lag("p.lon").over(order), F.lag("p.lat").over(order), F.col("p.lon"), F.col("p.lat"))
-    measured = rows.withColumn("_step", F.coalesce(step, F.lit(0.0))).withColumn("at", F.sum("_step").over(order))
-    cuts = measured.join(ends, "node", "left_semi")
-    after = cuts.select("way_id", "ref", "service", F.col("node").alias("src"), F.lead("node").over(order).alias("dst"), (F.lead("at").over(order) - F.col("at")).alias("metres"))
-    forward = after.where("dst is not null and src <> dst").withColumn("forward", F.lit(True))
-    back = forward.select("way_id", "ref", "service", F.col("dst").alias("src"), F.col("src").alias("dst"), "metres", F.lit(False).alias("forward"))
-    return forward.unionByName(back)
-
-
-def graph_nodes(ways: DataFrame) -> DataFrame:
-    """node, lon, lat of the ends of the ways."""
-    p = ways.select(F.explode(F.array(F.col("coords")[0], F.element_at("coords", -1))).alias("p"))
-    return p.groupBy(node_key(F.col("p")).alias("node")).agg(F.min("p.lon").alias("lon"), F.min("p.lat").alias("lat"))
-
-
-def closure_layer(closures: DataFrame, ways: DataFrame, snap: float = SNAP_METRES) -> DataFrame:
-    """id, kind (point, section, unmatched), cost and hops of closures put on the track.
-
-    closures: id, from_lon, from_lat, to_lon, to_lat, refs. Ends closer than 100 m are a point, which needs a
-    node near; a section needs a path within its budget. What finds none is unmatched and never a straight line.
-    """
-    nodes, edges = graph_nodes(ways), settled(rail_graph(ways))
-    chord = metres(F.col("from_lon"), F.col("from_lat"), F.col("to_lon"), F.col("to_lat"))
-    rows = closures.withColumn("chord", chord).withColumn("point", F.col("chord") < POINT_METRES)
-    snapped = lambda side: nearest(rows.select("id", F.col(f"{side}_lon").alias("lon"), F.col(f"{side}_lat").alias("lat")), nodes, "id", "node", snap).select("id", F.col("node").alias(side))
-    ends = rows.join(snapped("from"), "id", "left").join(snapped("to"), "id", "left")
-    ends = settled(ends.select("id", "point", "chord", "refs", "from", "to"))
-    trips = ends.where("not point and from is not null and to is not null and from <> to").select(F.col("id").alias("trip_id"), F.col("from").alias("source"), F.col("to").alias("target"), "refs", route_budget(F.col("chord"), F.size("refs") > 0).alias("budget"))
-    reached = batch_routes(edges.select("src", "dst", "metres", "ref", "service"), trips)
-    found = arrivals(reached, trips).withColumnRenamed("trip_id", "id")
-    kind = F.when(F.col("point") & F.col("from").isNotNull(), "point").when(F.col("cost").isNotNull() & ~F.col("point"), "section").otherwise("unmatched")
-    return ends.join(found.select("id", "cost", "hops"), "id", "left").select("id", kind.alias("kind"), F.when(kind == "section", F.col("cost")).alias("cost"), F.when(kind == "section", F.col("hops")).alias("hops"))
-
-
-def _xy(coords: np.ndarray) -> np.ndarray:
-    """Metres on a plane, scaled at the mean latitude."""
-    return coords * [METRES_PER_DEGREE * math.cos(math.radians(float(coords[:, 1].mean()))), METRES_PER_DEGREE]
-
-
 def _key(point) -> tuple[int, int]:
     return round(point[0] * 1e7), round(point[1] * 1e7)
 
@@ -158,94 +100,6 @@ def chain_ways(segment_ways: DataFrame, ways: DataFrame, snap: float = 0.0) -> D
     return rows.select("seg_id", "n", "way_id", "coords").groupBy("seg_id").applyInPandas(join, f"seg_id {kind}, chain int, coords array<struct<lon:double,lat:double>>")
 
 
-def _sampled(xy: np.ndarray, step: float) -> np.ndarray:
-    out = [xy[:1]]
-    for a, b in zip(xy, xy[1:], strict=False):
-        n = max(1, math.ceil(float(np.hypot(*(b - a))) / step))
-        out.append(a + (b - a) * (np.arange(1, n + 1) / n)[:, None])
-    return np.concatenate(out)
-
-
-def _covered(points: np.ndarray, a: np.ndarray, b: np.ndarray, tolerance: float) -> bool:
-    if not len(a):
-        return False
-    d = b - a
-    size = np.maximum((d**2).sum(axis=1), 1e-12)
-    for part in np.array_split(points, max(1, len(points) * len(a) // 2_000_000 + 1)):
-        t = np.clip(((part[:, None] - a[None]) * d[None]).sum(axis=2) / size, 0, 1)
-        gap = np.hypot(*np.moveaxis(a[None] + t[..., None] * d[None] - part[:, None], 2, 0))
-        if not (gap.min(axis=1) <= tolerance).all():
-            return False
-    return True
-
-
-def collapse_group(ways: list[tuple[str, np.ndarray, int, bool]], tolerance: float) -> list[str]:
-    """Ids of the ways to keep, of (id, coords, lines, settled before): see collapse_tracks."""
-    if not ways:
-        return []
-    middle = np.concatenate([c for _, c, _, _ in ways])[:, 1].mean()
-    scale = np.array([METRES_PER_DEGREE * math.cos(math.radians(float(middle))), METRES_PER_DEGREE])
-    plane = {i: c * scale for i, c, _, _ in ways}
-    length = {i: float(np.hypot(*np.diff(p, axis=0).T).sum()) for i, p in plane.items()}
-    ordered = sorted(ways, key=lambda w: (not w[3], -w[2], -length[w[0]], w[0]))
-    kept, dropped, a, b = [], [], np.zeros((0, 2)), np.zeros((0, 2))
-    for i, _, _, before in ordered:
-        if not before and tolerance > 0 and _covered(_sampled(plane[i], tolerance), a, b, tolerance):
-            dropped.append(i)
-            continue
-        kept.append(i)
-        a, b = np.concatenate([a, plane[i][:-1]]), np.concatenate([b, plane[i][1:]])
-    coords = {i: c for i, c, _, _ in ways}
-    ends = {i: (_key(coords[i][0]), _key(coords[i][-1])) for i in coords}
-    group: dict = {}
-
-    def root(x):
-        while group.setdefault(x, x) != x:
-            x = group[x]
-        return x
-
-    for i in kept:
-        group[root(ends[i][0])] = root(ends[i][1])
-    anchored = {root(e) for i in kept for e in ends[i]}
-    links = []
-    for i in sorted((i for i in dropped if length[i] <= 2 * tolerance), key=lambda i: (length[i], i)):
-        x, y = root(ends[i][0]), root(ends[i][1])
-        if x != y:
-            links.append((i, x, y))
-            group[x] = y
-    while True:  # dead ends don't reconnect anything
-        degree = defaultdict(int)
-        for _, x, y in links:
-            degree[x] += 1
-            degree[y] += 1
-        live = [k for k in links if all(n in anchored or degree[n] > 1 for n in k[1:])]
-        if len(live) == len(links):
-            return kept + [i for i, _, _ in links]
-        links = live
-
-
-def collapse_tracks(line_ways: DataFrame, ways: DataFrame, lines: DataFrame, settled_ways: DataFrame | None = None) -> DataFrame:
-    """line_id, way_id without tracks that run beside one kept already, within the tolerance of the line's mode.
-
-    Ways are tried by number of lines, length and id; those of settled_ways first. A way goes when all its
-    sample points lie within the tolerance of kept ways. Short dropped ways that link kept stretches come back, without dead ends.
-    ways: way_id, coords, lines. One group is one line's ways.
-    """
-    rows = line_ways.join(ways.where(F.size("coords") >= 2), "way_id").join(lines.select("line_id", "mode"), "line_id")
-    if settled_ways is None:
-        rows = rows.withColumn("before", F.lit(False))
-    else:
-        rows = rows.join(settled_ways.select("way_id", F.lit(True).alias("before")), "way_id", "left").withColumn("before", F.coalesce("before", F.lit(False)))
-
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        tolerance = TOLERANCE.get(group["mode"].iloc[0], OTHER_TOLERANCE)
-        own = [(i, np.array([(p["lon"], p["lat"]) for p in c]), int(n), bool(s)) for i, c, n, s in zip(group["way_id"], group["coords"], group["lines"], group["before"], strict=True)]
-        return pd.DataFrame({"line_id": group["line_id"].iloc[0], "way_id": collapse_group(own, tolerance)})
-
-    types = dict(line_ways.dtypes)
-    return rows.select("line_id", "way_id", "coords", "lines", "mode", "before").groupBy("line_id").applyInPandas(keep, f"line_id {types['line_id']}, way_id {types['way_id']}")
-
-
 def coorient(chains: DataFrame) -> DataFrame:
     """chain_id and flip: chains that carry on from one another face one way, the one that most metres of the group run: east, or north.
 
@@ -261,18 +115,9 @@ def coorient(chains: DataFrame) -> DataFrame:
     pairs = pairs.withColumn("odd", (F.col("sa") == F.col("sb")).cast("int"))
     ranked = pairs.withColumn("rank", F.struct(F.col("dot").alias("k"), "a", "b", "sa", "sb"))
     forest = settled(spanning_forest(ranked.select("a", "b", "rank", "odd")))
-    nodes = chains.select(F.col("chain_id").alias("node"))
-    tree = components(nodes, forest.select("a", "b"))
-    both = settled(forest.select("a", "b", "odd").unionByName(forest.selectExpr("b AS a", "a AS b", "odd")))
-    known = tree.where("node = component").select("node", F.lit(0).alias("parity"))
-    for _ in range(10_000):
-        grown = both.join(known, both.a == known.node).select(F.col("b").alias("node"), ((F.col("parity") + F.col("odd")) % 2).alias("parity"))
-        more = settled(known.unionByName(grown).groupBy("node").agg(F.min("parity").alias("parity")))
-        if more.count() == known.count():
-            break
-        known = more
+    known = parities(chains.select(F.col("chain_id").alias("node")), forest)
     sign = F.when(F.col("parity") == 0, 1.0).otherwise(-1.0)
-    faced = known.join(chains.select(F.col("chain_id").alias("node"), "east", "north"), "node").join(tree, "node")
+    faced = known.join(chains.select(F.col("chain_id").alias("node"), "east", "north"), "node")
     sums = faced.groupBy("component").agg(F.sum(sign * F.col("east")).alias("e"), F.sum(sign * F.col("north")).alias("n"))
     turn = F.when(F.abs("e") >= F.abs("n"), F.col("e") < 0).otherwise(F.col("n") < 0)
     return faced.join(sums, "component").select(F.col("node").alias("chain_id"), ((F.col("parity") == 1) != turn).alias("flip"))

@@ -67,6 +67,7 @@ def _state(spark, sf_dir):
 
 
 FIRST, LAST = "1996-01-01", "1996-12-31"
+_ASKED = "DATE '1992-01-01' + CAST(s_suppkey * 37 % 2400 AS INT)"
 
 
 def plan_diff(spark, sf_dir):
@@ -77,6 +78,12 @@ def withdrawn_in_window(spark, sf_dir):
     return plan_diff(spark, sf_dir).where("e = 'withdrawn'").select("id")
 
 
+def interval_overlaps(spark, sf_dir):
+    """Closures of the plan and the spans of days, of a day to some years, that are asked for."""
+    asked = frame(spark, sf_dir, "supplier").selectExpr("s_suppkey AS ask_id", f"{_ASKED} AS first_day", f"{_ASKED} + CAST(s_suppkey % 40 * (s_suppkey % 40) AS INT) AS last_day")
+    return c.interval_pairs(frame(spark, sf_dir, "v_reading_1"), asked, ("begin_day", "end_day"), ("first_day", "last_day")).select("id", "ask_id")
+
+
 def log_replay(spark, sf_dir):
     return c.replay(frame(spark, sf_dir, "v_log")).select("id", "since", "first_end", "end_day", "revisions", F.size("moves").alias("n_moves"), "withdrawn")
 
@@ -103,7 +110,7 @@ def closure_severity_order(spark, sf_dir):
     return c.drawing_order(frame(spark, sf_dir, "v_reading_1")).select("id", "effect", "draw_order")
 
 
-QUERIES = {f.__name__: f for f in (closure_normalise, mercator_to_wgs84, weekday_mask, span_band, windows_on_day, hours_text, compact_windows, plan_diff, withdrawn_in_window, log_replay, end_moves_packed, closure_progress, event_tally, closure_history_join, closure_severity_order)}
+QUERIES = {f.__name__: f for f in (closure_normalise, mercator_to_wgs84, weekday_mask, span_band, windows_on_day, hours_text, compact_windows, plan_diff, withdrawn_in_window, interval_overlaps, log_replay, end_moves_packed, closure_progress, event_tally, closure_history_join, closure_severity_order)}
 
 _LON = lambda k: f"degrees((1095000 + (o_orderkey * {k}) % 9973) / 6378137.0e0)"
 _LAT = lambda k: f"degrees(2 * atan(exp((6625000 + (o_orderkey * {k}) % 9967) / 6378137.0e0)) - pi() / 2)"
@@ -137,6 +144,8 @@ SQL = {
     "compact_windows": f"""{ctes('v_windows')}, numbered AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY id, from_time, to_time ORDER BY day) AS INTEGER) AS island FROM v_windows)
         SELECT id, from_time, to_time, min(day) AS from_day, max(day) AS to_day, bit_or({_BIT.format('day')}) AS days FROM numbered GROUP BY id, from_time, to_time, island""",
     "plan_diff": f"{_DIFF} SELECT * FROM diff",
+    "interval_overlaps": f"""{ctes('v_reading_1')}, asked AS (SELECT s_suppkey AS ask_id, {_ASKED} AS first_day, {_ASKED} + CAST(s_suppkey % 40 * (s_suppkey % 40) AS INT) AS last_day FROM supplier)
+        SELECT id, ask_id FROM v_reading_1 JOIN asked ON begin_day <= last_day AND end_day >= first_day""",
     "withdrawn_in_window": f"{_DIFF} SELECT id FROM diff WHERE e = 'withdrawn'",
     "log_replay": f"{_LIVE} SELECT s.id, since, first_end, end_day, revisions, CAST(coalesce(n_moves, 0) AS INTEGER) AS n_moves, withdrawn FROM state s LEFT JOIN packed p ON s.id = p.id",
     "end_moves_packed": f"{_LIVE} SELECT s.id, coalesce(moves, '') AS moves FROM state s LEFT JOIN packed p ON s.id = p.id",

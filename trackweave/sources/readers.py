@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trackweave.operators.graph import settled
+
 DELAY_COLUMNS = ("station_name", "line_number", "train_type", "departure_is_canceled", "departure_planned_time", "departure_change_time", "train_line_ride_id")
 FEATURE = "type string, id string, properties map<string,string>, geometry struct<type:string,coordinates:string>"
 EVENT = "t date, e string, id string, seq bigint, begin_day date, end_day date, effect string"
@@ -16,7 +18,7 @@ READING = "id string, effect string, begin_day date, end_day date, refs array<in
 # What is kept of map elements, by key and value.
 KEPT = {
     "relation": {"type": ("route", "route_master")},
-    "way": {"railway": ("rail", "light_rail", "subway", "tram", "monorail", "funicular", "narrow_gauge")},
+    "way": {"railway": ("rail", "light_rail", "subway", "tram", "narrow_gauge", "funicular", "monorail")},
     "station": {"railway": ("station", "halt", "tram_stop"), "public_transport": ("station",)},
     "stop": {"public_transport": ("stop_position",)},
     "place": {"place": ("city", "town")},
@@ -101,6 +103,20 @@ def read_register(spark: SparkSession, path: str, schema: str = READING) -> Data
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def read_readings(spark: SparkSession, path: str, days: DataFrame | None = None, horizon: int | None = None, schema: str = READING) -> DataFrame:
+    """Readings of the register from a folder with a part for each reading_day (as sinks.write_reading leaves it).
+
+    days: a table with column reading_day; only those parts are read, as the join prunes partitions. horizon: only
+    records whose envelope overlaps the reading's day and so many days after it.
+    """
+    rows = spark.read.schema(f"{schema}, reading_day date").parquet(path)
+    if days is not None:
+        rows = rows.join(F.broadcast(days.select("reading_day").distinct()), "reading_day")
+    if horizon is not None:
+        rows = rows.where((F.col("begin_day") <= F.date_add("reading_day", horizon)) & (F.col("end_day") >= F.col("reading_day")))
+    return rows
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """Events of a log of one JSON object a line; blank lines are passed over."""
     return spark.read.schema(EVENT).json(path).where("id is not null")
@@ -118,14 +134,30 @@ def read_lookup(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+#: What Spark calls a source that isn't there or can't be read.
+UNREADABLE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "FAILED_READ_FILE", "CANNOT_READ_FILE_FOOTER", "MALFORMED_RECORD_IN_PARSING")
+
+
 def optional(spark: SparkSession, read: Callable[[], DataFrame], schema: str) -> DataFrame:
-    """The source, or an empty table where it isn't there."""
+    """The source, or an empty table where it isn't there or can't be read.
+
+    A broken file shows when it is read, not when the query is planned: so the source is read here, once, and
+    what it holds is written to the shared folder. Errors of any other kind are raised. For sources of a layer of their own, not for facts.
+    """
     try:
-        return read()
-    except AnalysisException:
+        return settled(read())
+    except PySparkException as e:
+        said = f"{e.getCondition() or ''} {e}"
+        if not isinstance(e, AnalysisException) and not any(x in said for x in UNREADABLE):
+            raise
         return spark.createDataFrame([], schema)
 
 
+def strict_register(spark: SparkSession, path: str, schema: str = READING) -> DataFrame:
+    """read_register, of which a truncated or malformed document is an error and not a row of nulls."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
 def region(regions: dict[str, dict], name: str) -> tuple[float, float, float, float]:
     """The box of a region; an unknown one is an error."""
     if name not in regions:

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from trackweave.operators.graph import settled
+from trackweave.operators.order import numbered
 
 
 def feature(geometry: str, coordinates: Column, *properties: str) -> Column:
@@ -60,13 +65,46 @@ def carry_state(old: DataFrame, new: DataFrame, folder: str) -> DataFrame:
 
 
 def append_log(events: DataFrame, path: str) -> int:
-    """Adds events to the log in order; none, and nothing is written."""
-    ordered = events.orderBy("t", "id", "e")
-    count = ordered.count()
+    """Adds events to the log in order of ranges, so that files and rows in them follow t, id and e; none, and nothing is written. The plan runs once."""
+    held = settled(events)
+    count = held.count()
     if count:
-        ordered.coalesce(1).write.mode("append").json(path)
+        held.orderBy("t", "id", "e").write.mode("append").json(path)
     return count
 
 
+def write_reading(rows: DataFrame, path: str) -> None:
+    """Readings of the register, a part for each reading_day; a day that is written again replaces its part and no other."""
+    rows.repartition("reading_day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("reading_day").parquet(path)
+
+
+def in_chunks(work: DataFrame, key: str, resolve: Callable[[DataFrame], DataFrame], folder: str, rows: int = 100) -> DataFrame:
+    """resolve over a work list, so many rows at a time; a run that is broken off goes on after the last whole chunk.
+
+    The list is numbered by its key and written first; every run of one folder works on that list. A chunk's results
+    are there when its part is whole, and they alone say what has been done. resolve gets rows of the list and must give
+    the same for a chunk that is tried again.
+    """
+    spark, plan, done = work.sparkSession, f"{folder}/work", f"{folder}/done"
+    if not exists(spark, f"{plan}/_SUCCESS"):
+        listed = numbered(work, [key], "_place").withColumn("chunk", F.floor((F.col("_place") - 1) / rows)).drop("_place")
+        listed.write.mode("overwrite").partitionBy("chunk").parquet(plan)
+    listed = spark.read.schema(T.StructType([*work.schema.fields, T.StructField("chunk", T.LongType())])).parquet(plan)
+    last = listed.agg(F.max("chunk")).first()[0]
+    for n in range(0 if last is None else last + 1):
+        if not exists(spark, f"{done}/chunk={n}/_SUCCESS"):
+            resolve(listed.where(F.col("chunk") == n).drop("chunk")).write.mode("overwrite").parquet(f"{done}/chunk={n}")
+    return resolve(listed.drop("chunk").limit(0)) if last is None else spark.read.parquet(done).drop("chunk")
+
+
+def write_summary(lines: DataFrame, stations: DataFrame, path: str) -> None:
+    """One row beside the registry: lines by mode, stations, and the share of lines (coaches aside) whose colour the source gives."""
+    told = F.count_if((F.col("mode") != "coach") & (F.col("colour_source") == "osm"))
+    counts = lines.groupBy("mode").agg(F.count("*").alias("n"), told.alias("told"))
+    whole = counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("mode", "n")))).alias("lines"), F.sum(F.when(F.col("mode") != "coach", F.col("n"))).alias("rail"), F.sum("told").alias("told"))
+    row = whole.join(stations.agg(F.count("*").alias("stations"))).select("lines", "stations", F.when(F.col("rail") > 0, F.col("told") / F.col("rail")).alias("colour_coverage"))
+    row.write.mode("overwrite").json(path)
+
+
 def write_places(places: DataFrame, path: str) -> None:
     write_features(places, path, "Point", F.array("lon", "lat"), "name", "kind", "population")
