@@ -184,7 +184,7 @@ def mark_runs(calls: DataFrame, slots: DataFrame) -> DataFrame:
 
 
 def anchors(stations: DataFrame, vertices: DataFrame, served: DataFrame, slots: DataFrame, radius: float = MARK_METRES) -> DataFrame:
-    """seg_id, station_id, the nearest vertex of the corridor within the radius and the nearest place (lon, lat, distance) on the two segments beside it, for stations at which a line of the corridor calls.
+    """seg_id, station_id, the nearest vertex of the corridor within the radius, the nearest place (lon, lat, distance) on the two segments beside it and the direction of its segment (bearing), for stations at which a line of the corridor calls.
 
     vertices: seg_id, chain, pos, lon, lat. Stations are smeared over cells, not vertices.
     """
@@ -195,9 +195,19 @@ def anchors(stations: DataFrame, vertices: DataFrame, served: DataFrame, slots:
     for name, step in (("before", 1), ("after", -1)):
         beside = vertices.select("seg_id", "chain", (F.col("pos") + step).alias("pos"), F.struct("lon", "lat").alias(name))
         found = found.join(beside, ["seg_id", "chain", "pos"], "left")
-    feet = F.array("v", *(segment_foot(F.col("lon"), F.col("lat"), F.col("v"), F.col(n)) for n in ("before", "after")))
-    best = F.array_min(F.filter(feet, lambda f: f.isNotNull()))
-    return found.withColumn("f", best).select("seg_id", "station_id", "vertex", "f.lon", "f.lat", "f.distance")
+    for name, a, b in (("before", "before", "v"), ("after", "v", "after")):
+        foot = segment_foot(F.col("lon"), F.col("lat"), F.col(a), F.col(b))
+        found = found.withColumn(f"foot_{name}", F.when(F.col(name).isNotNull(), foot.withField("bearing", direction(F.col(a), F.col(b)))))
+    alone = F.struct("v.distance", "v.lon", "v.lat", F.lit(0.0).alias("bearing"))
+    first, second = F.col("foot_before"), F.col("foot_after")
+    best = F.when(first.isNotNull() & (second.isNull() | (first["distance"] <= second["distance"])), first).otherwise(F.coalesce(second, alone))
+    return found.withColumn("f", best).where(F.col("f.distance") <= radius).select("seg_id", "station_id", "vertex", "f.lon", "f.lat", "f.distance", "f.bearing")
+
+
+def direction(p: Column, q: Column) -> Column:
+    """Degrees clockwise from north of the way from p to q, not folded: which side is right depends on it."""
+    east = (q["lon"] - p["lon"]) * F.cos(F.radians((p["lat"] + q["lat"]) / 2))
+    return F.pmod(F.lit(90.0) - F.degrees(F.atan2(q["lat"] - p["lat"], east)), F.lit(360.0))
 
 
 def segment_foot(lon: Column, lat: Column, p: Column, q: Column) -> Column:
@@ -215,7 +225,29 @@ def fallback_marks(stations: DataFrame, served: DataFrame, marks: DataFrame) ->
     lines = served.select("station_id", "line_id").distinct().groupBy("station_id").agg(F.array_sort(F.collect_list("line_id")).alias("lines"))
     rest = stations.select("station_id").join(marks.select("station_id"), "station_id", "left_anti").join(lines, "station_id", "left")
     empty = F.array().cast(dict(marks.dtypes)["lines"])
-    return rest.select("station_id", F.lit(0).alias("mark"), F.lit(0.0).alias("mid"), F.lit(1).alias("span"), F.lit(0.0).alias("bearing"), F.coalesce("lines", empty).alias("lines"))
+    where = [c for c in ("lon", "lat") if c in marks.columns]
+    rest = rest.join(stations.select("station_id", *where), "station_id") if where else rest
+    return rest.select("station_id", F.lit(0).alias("mark"), *where, F.lit(0.0).alias("mid"), F.lit(1).alias("span"), F.lit(0.0).alias("bearing"), F.coalesce("lines", empty).alias("lines")).select(*marks.columns)
+
+
+def station_marks(chains: DataFrame, slots: DataFrame, stations: DataFrame, served: DataFrame, radius: float = MARK_METRES) -> DataFrame:
+    """station_id, mark, lon, lat, mid, span, bearing, lines and primary of the bars of all stations at which a line calls.
+
+    A bar lies across a corridor at the place nearest to the station and spans an unbroken run of the lines that call;
+    bars of corridors that carry on along one heading are one. Where no corridor within the radius gives one, there is a
+    bar of one place on the station's own spot. chains: seg_id, chain, coords. slots: as by slot_ordinals. stations:
+    station_id, lon, lat. served: station_id, line_id. primary is the widest bar of a station, the first of equals.
+    """
+    calls = served.select("station_id", "line_id").distinct()
+    calling = stations.select("station_id", "lon", "lat").join(calls.select("station_id").distinct(), "station_id", "left_semi")
+    vertices = chains.select("seg_id", "chain", F.posexplode("coords").alias("pos", "p")).select("seg_id", "chain", "pos", "p.lon", "p.lat")
+    spots = settled(anchors(calling, vertices, calls, slots, radius).drop("vertex"))
+    pairs = spots.select("seg_id", "station_id").join(calls, "station_id")
+    drafts = mark_runs(pairs, slots).join(spots, ["seg_id", "station_id"])
+    merged = settled(merge_marks(drafts.select("station_id", "seg_id", "lon", "lat", "bearing", "lo", "hi", "lines")))
+    marks = merged.unionByName(fallback_marks(calling, calls, merged))
+    first = primary_marks(marks).select("station_id", "mark", F.lit(1).alias("primary"))
+    return marks.join(first, ["station_id", "mark"], "left").withColumn("primary", F.coalesce("primary", F.lit(0)))
 
 
 def merge_marks(drafts: DataFrame) -> DataFrame:
@@ -239,10 +271,10 @@ def merge_marks(drafts: DataFrame) -> DataFrame:
                     break
             else:
                 bars.append({**r, "lines": list(r["lines"])})
-        return pd.DataFrame([{"station_id": b["station_id"], "mark": i, "mid": (b["lo"] + b["hi"]) / 2, "span": int(b["hi"] - b["lo"] + 0.5) + 1, "bearing": b["bearing"], "lines": sorted(b["lines"])} for i, b in enumerate(bars)])
+        return pd.DataFrame([{"station_id": b["station_id"], "mark": i, "lon": b["lon"], "lat": b["lat"], "mid": (b["lo"] + b["hi"]) / 2, "span": int(b["hi"] - b["lo"] + 0.5) + 1, "bearing": b["bearing"], "lines": sorted(b["lines"])} for i, b in enumerate(bars)])
 
     types = dict(drafts.dtypes)
-    return drafts.groupBy("station_id").applyInPandas(merge, f"station_id {types['station_id']}, mark int, mid double, span int, bearing double, lines {types['lines']}")
+    return drafts.groupBy("station_id").applyInPandas(merge, f"station_id {types['station_id']}, mark int, lon double, lat double, mid double, span int, bearing double, lines {types['lines']}")
 
 
 def primary_marks(marks: DataFrame) -> DataFrame:

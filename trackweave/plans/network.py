@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from trackweave.functions.geo import bearing, half_up
 from trackweave.operators import closures as c
@@ -175,6 +176,17 @@ def route_layer(spark, sf_dir):
     return rows.groupBy("line_id", "part").agg(F.count("*").alias("n"), half_up(F.sum(p.length_of(F.col("coords"))), 1).alias("metres"))
 
 
+def station_marks(spark, sf_dir):
+    """Bars of a station beside the beginning of each corridor piece, at which two thirds of the lines on both sides call."""
+    chains, slots, lines, _ = _tapers(spark, sf_dir)
+    ordered = slots.withColumn("ordinal", F.row_number().over(W.partitionBy("seg_id").orderBy("line_id")) - 1)
+    start = F.get("coords", F.lit(0))
+    stations = chains.select(F.col("seg_id").alias("station_id"), (start["lon"] + 0.0002).alias("lon"), (start["lat"] + 0.0003).alias("lat"))
+    near = slots.select("line_id", F.explode(F.array("seg_id", F.col("seg_id") + 1)).alias("station_id")).join(stations.select("station_id"), "station_id").where("(line_id + station_id) % 3 <> 0")
+    marks = w.station_marks(chains, ordered, stations, near)
+    return marks.select("station_id", "mark", half_up(F.col("bearing"), 1).alias("bearing"), "mid", "span", F.size("lines").alias("lines"), "primary")
+
+
 def _segment_ways(spark, sf_dir):
     return _network(spark, sf_dir).select(_in_cell(F.col("way_id"), 8).alias("seg_id"), F.col("way_id").alias("n"), "way_id")
 
@@ -243,7 +255,7 @@ def stop_marks(spark, sf_dir):
     return w.primary_marks(marks).select("station_id", "mid", "span", F.size("lines").alias("lines"))
 
 
-QUERIES = {f.__name__: f for f in (rail_graph_edges, nearest_node, batch_routes, closure_layer, closure_paths, canonical_ways, reconnected_ways, collapse_lines_tracks, chain_ways, collapse_tracks, coorient, taper_steps, taper_diagnostics, route_layer, taper_candidates, taper_lengths, stop_mark_runs, stop_marks)}
+QUERIES = {f.__name__: f for f in (rail_graph_edges, nearest_node, batch_routes, closure_layer, closure_paths, canonical_ways, reconnected_ways, collapse_lines_tracks, chain_ways, collapse_tracks, coorient, taper_steps, taper_diagnostics, route_layer, station_marks, taper_candidates, taper_lengths, stop_mark_runs, stop_marks)}
 
 _PLACES = f"""places AS (SELECT k, lon, lat, CAST(CAST(round(lon * 1000000) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(round(lat * 1000000) AS BIGINT) AS VARCHAR) AS node
         FROM (SELECT k, {_DUCK(WIDE_LON.format("k"))} AS lon, {_DUCK(WIDE_LAT.format("k"))} AS lat FROM (SELECT unnest(range((SELECT max(c_custkey) + 40 FROM customer))) AS k))),

@@ -100,21 +100,23 @@ def folded(events: list[tuple], before: tuple | None = None) -> tuple:
 
 
 @contextmanager
-def rocks_db(spark: SparkSession) -> Iterator[None]:
-    """The session's state store is the one that holds lists and lets entries expire."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def list_state(spark: SparkSession) -> Iterator[None]:
+    """The session's state store is the one that holds lists and lets entries expire, and no batches are run for expiry alone, which would never end."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def log_replay(events: DataFrame, kept_ms: int | None = None) -> DataFrame:
     """The state of each id after a stream of log events (id, seq, t, e, end_day)."""
     spark, out = events.sparkSession, folder(events.sparkSession)
-    with rocks_db(spark):
+    with list_state(spark):
         mode = "ProcessingTime" if kept_ms else "None"
         states = events.groupBy("id").transformWithStateInPandas(Replay(kept_ms), REPLAYED, "update", mode)
         run_once(states, lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/batch={n}"))
