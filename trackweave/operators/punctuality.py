@@ -82,9 +82,11 @@ def ref_station_matches(pairs: DataFrame, lines: DataFrame, line_stations: DataF
     only one; if there is none, the only one with a matching name. fuzzy: None (exact names
     only), "contain" or "full". Each pair is resolved once, however many departures name it, and each two names are compared once.
     """
-    pairs = pairs.select("ref", "station").where("ref <> ''").distinct()
+    pairs = settled(pairs.select("ref", "station").where("ref <> ''").distinct())
     served = lines.where(F.col("mode").isin(*SCORED_MODES)).select("line_id", normalise_ref(F.col("ref")).alias("ref")).where("ref <> ''").join(line_stations.select("line_id", F.col("station").alias("stop")), "line_id").distinct()
-    own, theirs = worked_once(pairs, ("station",), own=name_forms(F.col("_station"))), worked_once(served, ("stop",), their=name_forms(F.col("_stop")))
+    # Small tables, each read several times below; written, the plan of every use is a scan.
+    served = settled(served)
+    own, theirs = settled(worked_once(pairs, ("station",), own=name_forms(F.col("_station")))), settled(worked_once(served, ("stop",), their=name_forms(F.col("_stop"))))
     equal = own.withColumn("name", F.col("own.bare")).where("name <> ''").join(theirs.withColumn("name", F.col("their.bare")), "name").select("station", "stop")
     line_of = lambda rows, alike: rows.join(alike, "station").join(served, ["ref", "stop"]).groupBy("ref", "station").agg(F.countDistinct("line_id").alias("n"), F.min("line_id").alias("line_id"))
     found = line_of(pairs, equal)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -146,9 +147,8 @@ def optional(spark: SparkSession, read: Callable[[], DataFrame], schema: str) ->
     """
     try:
         return settled(read())
-    except PySparkException as e:
-        said = f"{e.getCondition() or ''} {e}"
-        if not isinstance(e, AnalysisException) and not any(x in said for x in UNREADABLE):
+    except (PySparkException, Py4JJavaError) as e:
+        if not isinstance(e, AnalysisException) and not any(x in str(e) for x in UNREADABLE):
             raise
         return spark.createDataFrame([], schema)
 
