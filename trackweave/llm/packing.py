@@ -167,6 +167,8 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+#: Ids of pieces that a worker holds before it hands them on, however long the texts of a batch are.
+HELD_IDS = 1 << 20
 PIECES = T.StructType([T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
 
@@ -197,7 +199,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = 1)
 
     Null and empty texts are the end id alone; repeated rows and rows without an id are packed
     each; an empty table gives no pieces. Only the last sequence of a range can be short. Other
-    columns are not read.
+    columns are not read. Very long texts are cut over many sequences and handed on in bounded parts.
     """
     from trackweave.llm.common import to_arrow
 
@@ -222,20 +224,28 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = 1)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         range_id, at = None, 0
+
+        def made(batch: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:
+            rows, *columns, parts = zip(*out, strict=True)
+            return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), *(pa.array(c, pa.int64()) for c in columns), pa.array(parts, pa.binary())], names=["doc_id", *PIECES.names, "ids"])
+
         for batch in batches:
             out: list[tuple] = []
-            for k, (r, coded_) in enumerate(zip(batch.column("range_id").to_pylist(), batch.column("ids").to_pylist(), strict=True)):
+            held = 0
+            for k, (r, coded_) in enumerate(zip(batch.column("range_id").to_pylist(), batch.column("ids"), strict=True)):
                 if r != range_id:
                     range_id, at = r, 0
-                ids = np.append(np.frombuffer(coded_, kind).astype("<u4"), np.uint32(end_id)).astype("<u4")
+                ids = np.append(np.frombuffer(coded_.as_buffer(), kind).astype("<u4"), np.uint32(end_id)).astype("<u4")
                 start = 0
                 while start < len(ids):
                     n = min(len(ids) - start, length - at % length)
                     part = ids[start : start + n].tobytes()
                     out.append((k, start, n, zlib.crc32(part), len(ids), (r << 40) + at // length, at % length, part))
-                    start, at = start + n, at + n
+                    start, at, held = start + n, at + n, held + n
+                    if held >= HELD_IDS:
+                        yield made(batch, out)
+                        out, held = [], 0
             if out:
-                rows, *columns, parts = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), *(pa.array(c, pa.int64()) for c in columns), pa.array(parts, pa.binary())], names=["doc_id", *PIECES.names, "ids"])
+                yield made(batch, out)
 
     return dealt.mapInArrow(cut, T.StructType([docs.schema["doc_id"], *PIECES, T.StructField("ids", T.BinaryType())]))
