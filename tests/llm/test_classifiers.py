@@ -111,3 +111,70 @@ def test_repeats_of_one_row_teach_once(spark, monkeypatch):
 @pytest.mark.parametrize("text,found", [("½ ² ①", False), ("① 12", False), ("Ⅷ", False), ("", False), ("_ - 3", False), ("٣", False), ("é", True), ("12 x", True), ("日", True), ("ª", True)])
 def test_letters(text, found):
     assert language.lettered(text.encode()) is found
+
+
+def by_id(rows, *columns):
+    return {r["doc_id"]: tuple(r[c] for c in columns) for r in rows.collect()}
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    docs = read(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(90_001, None, None), (90_002, "", None), (90_003, "12 ½ --", None), (90_004, "word " * 40_000, None)], docs.schema)
+    return docs.unionByName(odd).cache(), read(spark, "/root/testdata/sf0.001", "labels")
+
+
+def test_quality_scores_as_computed_one_by_one(small):
+    docs, labels = small
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    marks = {r["doc_id"]: r["label"] for r in quality.training_labels(labels).collect() if r["doc_id"] in texts}
+    import xxhash
+
+    order = lambda d: np.uint64(xxhash.xxh64_intdigest(int(d).to_bytes(8, "little", signed=True), 42)).view(np.int64)
+    held = [[quality.features(texts[d]) for d in sorted((d for d, y in marks.items() if y == value), key=order)] for value in (1, 0)]
+    model = quality.Ranking(np.array(held[0][: quality.SAMPLE]), np.array(held[1][: quality.SAMPLE]))
+    raw = {d: float(model(np.array([quality.features(t)], float))[0]) for d, t in texts.items()}
+    training = np.array([raw[d] for d in marks])
+    threshold, unit = np.quantile(training, np.mean([y == 0 for y in marks.values()])), training.std() / 4 + 1e-9
+    got = by_id(quality.score_quality(docs, labels), "score", "predicted")
+    for d, x in raw.items():
+        expected = 1 / (1 + np.exp(-np.clip((x - threshold) / unit, -500, 500)))
+        assert abs(got[d][0] - expected) < 1e-6 and (got[d][1] == (expected >= 0.5) or abs(expected - 0.5) < 1e-6)
+
+
+def test_toxicity_scores_as_computed_one_by_one(small):
+    docs, labels = small
+    ordinary, toxic, weights = toxicity.fit(docs, labels)
+    import math
+
+    import zstandard
+
+    settings = zstandard.ZstdCompressionParameters(window_log=17, hash_log=16, chain_log=17, search_log=7, min_match=4, target_length=64, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
+    squeeze = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=settings) for d in (ordinary, toxic)]
+    got = by_id(toxicity.score_toxicity(docs, labels), "score")
+    for r in docs.collect():
+        words = [w for x in (r["text"] or "").encode().lower().split() if (w := x.strip(toxicity.MARKS))][:3_000]
+        if r["doc_id"] == 90_004:
+            continue  # the same word forty thousand times
+        gaps = [len(a) - len(b) for w in words for a, b in [[s.compress(ordinary[2000:2040] + b" " + w + b" " + ordinary[2000:2012]) for s in squeeze]]]
+        counts = [sum(g >= k for g in gaps) for k in toxicity.GAPS]
+        x = [*(math.log1p(n) for n in counts), *(n / max(1, len(words)) for n in counts), *(float(n > 0) for n in counts)]
+        assert abs(got[r["doc_id"]][0] - 1 / (1 + math.exp(-float(np.dot(x, weights[:-1]) + weights[-1])))) < 1e-9
+
+
+def test_languages_as_computed_one_by_one(small):
+    docs, _ = small
+    names, net = language.fit(docs)
+    got = by_id(language.identify(docs), "lang_pred", "score")
+    for r in docs.collect():
+        text = (r["text"] or "").encode()
+        if not any(c.isalpha() for c in text.decode()):
+            assert got[r["doc_id"]] == ("und", 0.0)
+            continue
+        cuts = language.windows(text)
+        weight = np.ones(len(cuts))
+        weight[-1] = max(1, len(text) - (len(cuts) - 1) * language.LENGTH) / language.LENGTH
+        z = (net.logits(cuts).astype(float) * weight[:, None]).sum(axis=0) / weight.sum()
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        assert abs(got[r["doc_id"]][1] - p.max()) < 1e-3 and (got[r["doc_id"]][0] == names[int(p.argmax())] or np.sort(p)[-2] > p.max() - 2e-3)

@@ -163,6 +163,15 @@ def test_simhash_of_repeated_ids_and_clashing_columns(spark):
     assert sorted(((x["doc_id"], x["text"]) for x in kept.collect()), key=str) == sorted([(1, a), (0, b), (2, c), (3, None), (None, a), (None, a)], key=str)
 
 
+def test_alike_texts_without_an_id(spark):
+    r = random.Random(31)
+    words = [f"w{r.randrange(10**6)}" for _ in range(300)]
+    near = lambda k: " ".join([*words[:k], f"n{k}", *words[k + 1 :]])
+    docs = spark.createDataFrame([(None, near(50)), (7, near(150)), (9, near(250)), (None, "quite another text of its own words")], "doc_id long, text string")
+    got = sorted(((x["doc_id"], x["component_id"]) for x in simhash.near_duplicates(docs, size=5, alike=True).collect()), key=str)
+    assert got == sorted([(None, 7), (7, 7), (9, 7), (None, None)], key=str)
+
+
 def test_simhash_in_deep_trees_and_grids(docs, monkeypatch):
     monkeypatch.setattr(simhash, "SHARD", 2)
     monkeypatch.setattr(simhash, "SIDE", 3)
@@ -255,6 +264,7 @@ def test_packing_over_many_ranges(spark, monkeypatch, quantiles):
     path = tokenizer_file("word_bpe_49k.json")
     monkeypatch.setattr(packing, "RANGE_BYTES", 4_000)
     monkeypatch.setattr(packing, "QUANTILES", quantiles)
+    monkeypatch.setattr(packing, "HELD_IDS", 500)
     data = [(d, t, "salt", "place") for d, t, *_ in made_docs()] + [(500 + k, "one and the same text", "", "") for k in range(60)] + [(None, "no id", "", ""), (None, None, "", ""), (7, "other text", "", ""), (7, "other text", "", "")]
     docs = spark.createDataFrame(data, "doc_id long, text string, salt string, range_id string").withColumn("place", F.lit(1)).withColumn("ids", F.lit("x")).withColumn("curve", F.lit("x")).repartition(7)
     made = [r.asDict() for r in packing.pack(docs, path, length=64).collect()]

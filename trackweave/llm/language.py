@@ -162,7 +162,8 @@ def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score (0 to 1) of each row; only the text enters a prediction.
 
     Null texts and those without a letter are `und` with score 0; so are all, if no row has a
-    language to learn. Repeated rows are predicted each, a null id is not held out. An empty table gives none.
+    language to learn. Repeated rows are predicted each, a null id is not held out. Very long texts are read
+    whole; columns of other names don't matter. An empty table gives none.
     """
     model = fit(docs)
     held_out = (fold(F.col("doc_id"), 5) == 0).alias("held_out")

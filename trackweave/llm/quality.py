@@ -129,7 +129,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
     Null, empty and wordless texts have features 0 and are scored like any; repeated rows are
     scored each, a null id is not held out. Without labels of both classes all scores are 0.5.
-    Labels other than 0 and 1 or without an id teach nothing. An empty table gives none.
+    Labels other than 0 and 1 or without an id teach nothing. Very long texts are read whole; columns of
+    other names don't matter. An empty table gives none.
     """
     from trackweave.llm.common import to_arrow
     import pyarrow as pa

@@ -198,13 +198,15 @@ def alike_pairs(docs: DataFrame, text_col: str = "text", size: int = WORDS) -> D
         return [np.array([wording(t) for t in rows], np.int64), np.array([majority(h) for h in found], np.int64), [np.unique(h).view(np.int64) for h in found]]
 
     long, longs = T.LongType(), T.ArrayType(T.LongType())
-    sketched = map_text(docs, text_col, [T.StructField("whole", long), T.StructField("keys", longs)], sketch, ["doc_id"])
-    texts = written(sketched.where("size(keys) > 0").groupBy("whole").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")))
+    tagged = docs.select("doc_id", F.coalesce(tag_of(text_col), F.lit(-1)).alias("tag"), F.col(text_col).alias("text"))
+    sketched = map_text(tagged, "text", [T.StructField("whole", long), T.StructField("keys", longs)], sketch, ["doc_id", "tag"])
+    texts = written(sketched.where("size(keys) > 0").groupBy("whole").agg(F.max(F.struct("doc_id", "tag")).alias("origin"), F.first("keys").alias("keys")))
     keyed = texts.select("whole", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("whole").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
     nodes = written(connected(keyed.join(shared, "key").select(F.col("whole").alias("a"), "b").where("a <> b").distinct()))
-    chosen = texts.select("doc_id", "whole").join(nodes.select(F.col("node").alias("whole")), "whole").select("doc_id").distinct()
-    held = map_text(docs.join(chosen, "doc_id", "left_semi"), text_col, [T.StructField("whole", long), T.StructField("fp", long), T.StructField("shingles", longs)], content, [])
+    chosen = texts.join(nodes.select(F.col("node").alias("whole")), "whole", "left_semi").select("origin.*").withColumnsRenamed({"doc_id": "doc", "tag": "own"})
+    found = tagged.join(chosen, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("tag") == F.col("own")), "left_semi")
+    held = map_text(found, "text", [T.StructField("whole", long), T.StructField("fp", long), T.StructField("shingles", longs)], content, [])
     held = written(held.dropDuplicates(["whole"]).join(nodes.select(F.col("node").alias("whole"), "root"), "whole"))
     sides = held.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / CELL_TEXTS, F.sum(F.size("shingles")) / CELL_SHINGLES)).cast("int").alias("h"))
     part = F.pmod(F.xxhash64("whole"), F.col("h")).cast("int").alias("part")
@@ -238,6 +240,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", size: int = WORDS,
     fingerprints are linked; repeated rows are reported each. A row with a null id has the
     component of its group's smallest id, null if there is none. An empty table gives none.
     With `alike`, texts whose shingles have a Jaccard similarity of 0.8 at least are linked too.
+    Very long texts are taken whole; columns of any other names don't matter.
     """
     return grouped(docs, text_col, size, alike).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -167,7 +167,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null and wordless texts are scored like texts without toxic windows; repeated rows are
     scored each, a null id is not held out. Without labels of both classes all scores are 0.
-    Labels other than 0 and 1 or without an id teach nothing. An empty table gives none.
+    Labels other than 0 and 1 or without an id teach nothing. Very long texts are read whole; columns of
+    other names don't matter. An empty table gives none.
     """
     model = fit(docs, labels)
     held_out = (fold(F.col("doc_id"), 5) == 0).alias("held_out")
