@@ -154,3 +154,68 @@ def test_stored_records(spark):
     got = {r["id"]: (r["effect"], r["direction"], r["days"], r["band"], r["extended"]) for r in closures.validated(rows).collect()}
     assert got == {"1": ("closed", "both", 3, "days", 0), "2": ("other", "both", 9, "weeks", 1)}
     assert one(spark, closures.local_day(F.lit("2026-08-01 22:30:00").cast("timestamp"))) == (dt.date(2026, 8, 2),)
+
+
+@pytest.mark.parametrize("raw,out", [("RE8 (14045)", "RE8"), ("S 1 (Nord)", "S 1 (Nord)"), (" ICE 5 ", "ICE 5"), (None, "")])
+def test_badge(spark, raw, out):
+    assert one(spark, text.badge(F.lit(raw).cast("string"))) == (out,)
+
+
+def test_minutes_text(spark):
+    assert one(spark, text.minutes_text(F.lit(90), 91), text.minutes_text(F.lit(91), 91)) == ("90", "91+")
+
+
+def test_end_direction(spark):
+    k = 111_320.0
+    line = F.array(*(F.struct(F.lit(x / k).alias("lon"), F.lit(y / k).alias("lat")) for x, y in ((0, 0), (10, 0), (20, 0), (20, 40), (20, 400))))
+    start, end = one(spark, geo.end_direction(line, True), geo.end_direction(line, False))
+    assert (round(end["x"], 6), round(end["y"], 6)) == (0, 1) and abs(start["y"] / start["x"] - 2) < 1e-6  # the first 25 m end at the third segment's end
+    still = F.array(*(F.struct(F.lit(1.0).alias("lon"), F.lit(1.0).alias("lat")) for _ in range(2)))
+    assert tuple(one(spark, geo.end_direction(still, True))[0]) == (0, 0)
+
+
+def test_across(spark):
+    a = [F.lit(v) for v in (13.0, 52.0, 13.001, 52.0005)]
+    east, north = one(spark, geo.across(*a, F.lit(90.0)), geo.across(*a, F.lit(0.0)))
+    assert abs(east - 0.0005 * 111_320) < 1e-6 and abs(north - 0.001 * 111_320 * 0.6156614753) < 1e-3
+
+
+def test_coach_colours_overrides_and_ways(spark):
+    from trackweave.operators import lines
+
+    coach = spark.createDataFrame([("c1", "1", "n", "coach", "#AbC"), ("c2", "2", "n", "coach", None)], "line_id string, ref string, network string, mode string, colour string")
+    assert {r["line_id"]: (r["colour"], r["colour_source"]) for r in lines.coach_colours(coach).collect()}["c1"] == ("#aabbcc", "feed")
+    kind = "ord int, id string, route string, service string, ref string, network string, network_short string, name string, colour string, operator string, way_ids array<string>"
+    rows = [(1, "1", "train", None, "RE 1", "n", None, "first", "#000000", "o", []), (2, "2", "train", None, "RE 1", "n", None, "second", "#ff0000", "o", ["w"]), (3, "3", "train", None, "RE 2", "n", None, "other", None, "o", ["w"])]
+    table = spark.createDataFrame(rows, kind)
+    plain = {r["ref"]: r for r in lines.collapse_lines(table).collect()}
+    assert plain["RE 1"]["name"] == "second" and plain["RE 1"]["colour"] == "#ff0000" and plain["RE 1"]["relations"] == 1 and plain["RE 2"]["colour_source"] == "fallback"
+    key = plain["RE 1"]["line_id"]
+    over = spark.createDataFrame([(key, "#123456", "named")], "line_id string, override string, name string")
+    row = lines.collapse_lines(table, over).where(F.col("line_id") == key).first()
+    assert (row["colour"], row["colour_source"], row["name"]) == ("#123456", "override", "named")
+
+
+def test_reservations_and_pills(spark):
+    legs = spark.createDataFrame([("COMPULSORY",), ("OPTIONAL",), (None,)], "reservation string").withColumns({"mode": F.lit("BUS"), "line": F.lit("x"), "actual": F.lit(None).cast("string"), "scheduled": F.lit("t"), "bikes": F.lit(True)})
+    assert [r["reservation_required"] for r in journeys.normalised_legs(legs).collect()] == [True, False, False]
+    table = spark.createDataFrame([(1, "A Hbf"), (2, "B")], "station_id int, name string")
+    lines = spark.createDataFrame([("l", "tram")], "line_id string, mode string")
+    served = spark.createDataFrame([(1, "l")], "station_id int, line_id string")
+    marks = spark.createDataFrame([(1, 0), (1, 1)], "station_id int, mark int")
+    assert {r["station_id"]: r["pill"] for r in stations.rollup(table, served, lines, marks).collect()} == {1: True, 2: False}
+
+
+@pytest.mark.parametrize("tag,out", [("de:04011:13925", ["de-DELFI_de:04011:13925"]), ("de:04011:13925:1:2", ["de-DELFI_de:04011:13925:1:2", "de-DELFI_de:04011:13925"]), ("de:04011", []), ("DE:1:2", []), ("de:1:2;de:3:4", []), (None, [])])
+def test_tag_ids(spark, tag, out):
+    from trackweave.operators import resolve
+
+    assert one(spark, resolve.tag_ids(F.lit(tag).cast("string"))) == (out,)
+
+
+def test_tagged_stops(spark):
+    from trackweave.operators import resolve
+
+    table = spark.createDataFrame([(1, 9.7, 52.3, "Linden", "rail", "de:1:2:3"), (2, 9.8, 52.3, "Mitte", "rail", "de:1:9"), (3, 9.9, 52.3, "Nord", "tram", "bad")], "station_id int, lon double, lat double, name string, mode string, ifopt string")
+    stops = spark.createDataFrame([("de-DELFI_de:1:2:3", "STOP", 9.7, 52.3, "Linden", ["BUS"]), ("de-DELFI_de:1:2", "STOP", 9.7, 52.3, "Linden", ["REGIONAL_RAIL"]), ("de-DELFI_de:1:9", "STOP", 12.0, 52.3, "Mitte", ["REGIONAL_RAIL"])], "id string, type string, lon double, lat double, name string, modes array<string>")
+    assert [(r["station_id"], r["id"]) for r in resolve.tagged_stops(table, stops).collect()] == [(1, "de-DELFI_de:1:2")]

@@ -41,6 +41,27 @@ def heading_gap(a: Column, b: Column) -> Column:
     return F.least(turn, 180.0 - turn)
 
 
+def end_direction(coords: Column, at_start: bool, span: float = 25.0) -> Column:
+    """x, y of the unit step of a polyline at one of its ends, forwards along it, taken over its first 25 metres or so; zero where it has no length."""
+    ordered = coords if at_start else F.reverse(coords)
+    near = ordered[0]
+    gaps = F.zip_with(F.slice(ordered, 1, F.size(ordered) - 1), F.slice(ordered, 2, F.size(ordered)), lambda p, q: metres(p["lon"], p["lat"], q["lon"], q["lat"]))
+    start = F.struct(F.lit(0.0).alias("at"), F.lit(1).alias("i"), F.lit(False).alias("done"))
+    walked = F.aggregate(gaps, start, lambda s, g: F.when(s["done"], s).otherwise(F.struct((s["at"] + g).alias("at"), (s["i"] + 1).alias("i"), (s["at"] + g >= span).alias("done"))))
+    far = F.element_at(ordered, walked["i"])
+    sign = 1.0 if at_start else -1.0
+    x, y = (far["lon"] - near["lon"]) * F.cos(F.radians(near["lat"])) * sign, (far["lat"] - near["lat"]) * sign
+    size = F.hypot(x, y)
+    return F.struct(F.when(size > 0, x / size).otherwise(0.0).alias("x"), F.when(size > 0, y / size).otherwise(0.0).alias("y"))
+
+
+def across(lon_a: Column, lat_a: Column, lon_b: Column, lat_b: Column, heading: Column) -> Column:
+    """Metres that b lies from a across a corridor of that heading."""
+    theta = F.radians(90 - heading)
+    east, north = (lon_b - lon_a) * METRES_PER_DEGREE * F.cos(F.radians(lat_a)), (lat_b - lat_a) * METRES_PER_DEGREE
+    return F.abs(north * F.cos(theta) - east * F.sin(theta))
+
+
 def opposed(a: Column, b: Column) -> Column:
     turn = F.pmod(a - b, F.lit(360.0))
     return F.least(turn, 360.0 - turn) > 90

@@ -170,8 +170,13 @@ def area_name(areas: Column, level: int = 8) -> Column:
 
 
 def badge(line: Column) -> Column:
-    """A line's label without the trip number in brackets."""
-    return F.trim(F.regexp_replace(F.coalesce(line, F.lit("")), r"\s*\([^)]*\)\s*$", ""))
+    """A line's label without the trip number in brackets; other brackets stay."""
+    return F.trim(F.regexp_replace(F.coalesce(line, F.lit("")), r"\s*\(\d+\)\s*$", ""))
+
+
+def minutes_text(value: Column, last_edge: int) -> Column:
+    """Minutes as text; at the open end of a histogram with a plus."""
+    return F.concat(value.cast("string"), F.when(value >= last_edge, "+").otherwise(""))
 
 
 # The order of reference prefixes in an index of lines.

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from trackweave.functions.text import badge
+
 # Modes of a leg that are public transport; of cycling; of rail at a place's stop; of fares.
 TRANSIT = ("HIGHSPEED_RAIL", "LONG_DISTANCE", "NIGHT_RAIL", "REGIONAL_FAST_RAIL", "REGIONAL_RAIL", "SUBURBAN", "METRO", "SUBWAY", "TRAM", "BUS", "COACH", "FERRY", "AIRPLANE", "RAIL", "TRANSIT")
 BIKE = ("BIKE", "RENTAL", "BIKE_RENTAL")
@@ -59,9 +61,9 @@ def fare_filter(legs: DataFrame, fare: str) -> DataFrame:
 
 
 def normalised_legs(legs: DataFrame) -> DataFrame:
-    """Legs with transit flag, label without trip number, actual times that fall back to the scheduled ones, and bikes true or null."""
-    label = F.trim(F.regexp_replace(F.coalesce("line", F.lit("")), r"\s*\([^)]*\)\s*$", ""))
-    return legs.withColumns({"transit": is_transit(F.col("mode")), "label": label, "actual": F.coalesce("actual", "scheduled"), "bikes": F.when(F.col("bikes"), True)})
+    """Legs with transit flag, label without trip number, actual times that fall back to the scheduled ones, bikes true or null and, where the table has reservation, whether one is compulsory."""
+    out = legs.withColumns({"transit": is_transit(F.col("mode")), "label": badge(F.col("line")), "actual": F.coalesce("actual", "scheduled"), "bikes": F.when(F.col("bikes"), True)})
+    return out.withColumn("reservation_required", F.coalesce(F.col("reservation") == "COMPULSORY", F.lit(False))) if "reservation" in legs.columns else out
 
 
 def journey_features(legs: DataFrame) -> DataFrame:

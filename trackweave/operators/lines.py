@@ -50,9 +50,10 @@ def keyed(relations: DataFrame) -> DataFrame:
 def collapse_lines(relations: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """One row for each line: what its first relation says, the first usable colour, and how many relations it has.
 
-    colour_source: osm, override (a table line_id, override), fallback (by a hash of network and reference).
+    colour_source: override (a small table line_id, override and, if it names lines too, name), osm, fallback (by a hash of
+    network and reference). Relations without ways count for nothing, where the table has way_ids.
     """
-    rows = keyed(relations).withColumn("own", style.normalise_colour(F.col("colour")))
+    rows = keyed(relations.where(F.size("way_ids") > 0) if "way_ids" in relations.columns else relations).withColumn("own", style.normalise_colour(F.col("colour")))
     first = lambda col: F.min_by(col, "ord")
     network = F.coalesce("network_short", "network", F.lit(""))
     lines = rows.groupBy("line_id").agg(
@@ -60,12 +61,13 @@ def collapse_lines(relations: DataFrame, overrides: DataFrame | None = None) ->
         first(network).alias("network"), F.min_by("own", F.when(F.col("own").isNotNull(), F.col("ord"))).alias("own"), F.count("*").alias("relations"),
     )
     if overrides is not None:
-        lines = lines.join(F.broadcast(overrides), "line_id", "left")
+        named = overrides.withColumnRenamed("name", "other_name") if "name" in overrides.columns else overrides.withColumn("other_name", F.lit(None).cast("string"))
+        lines = lines.join(F.broadcast(named), "line_id", "left").withColumn("name", F.coalesce("other_name", "name")).drop("other_name")
     else:
         lines = lines.withColumn("override", F.lit(None).cast("string"))
     key = F.when((F.col("network") == "") & (F.col("ref") == ""), "").otherwise(F.concat_ws("|", "network", "ref"))
-    source = F.when(F.col("own").isNotNull(), "osm").when(F.col("override").isNotNull(), "override").otherwise("fallback")
-    colour = F.coalesce("own", "override", style.fallback_colour(key, F.col("mode")))
+    source = F.when(F.col("override").isNotNull(), "override").when(F.col("own").isNotNull(), "osm").otherwise("fallback")
+    colour = F.coalesce("override", "own", style.fallback_colour(key, F.col("mode")))
     return lines.withColumns({"colour": colour, "colour_source": source}).drop("own", "override")
 
 
@@ -111,6 +113,13 @@ def registry_counts(lines: DataFrame) -> DataFrame:
     return lines.groupBy("mode").agg(F.count("*").alias("lines"), coloured.alias("coloured"))
 
 
+def coach_colours(coach: DataFrame) -> DataFrame:
+    """Coach lines (line_id, ref, network, mode, colour as the feed gives it) with colour and colour_source: feed, or fallback where it gives none that can be used."""
+    own = style.normalise_colour(F.col("colour"))
+    source = F.when(own.isNotNull(), "feed").otherwise("fallback")
+    return coach.withColumns({"colour_source": source, "colour": F.coalesce(own, style.fallback_colour(F.concat_ws("|", F.coalesce("network", F.lit("")), F.coalesce("ref", F.lit(""))), F.col("mode")))})
+
+
 def with_coach(rail: DataFrame, coach: DataFrame) -> DataFrame:
     """Rail and coach lines; of equal ids the coach line stays."""
     return rail.join(coach.select("line_id"), "line_id", "left_anti").unionByName(coach, allowMissingColumns=True)

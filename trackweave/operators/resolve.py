@@ -89,6 +89,29 @@ def town_missing(name: Column, town: Column) -> Column:
     return (bare != "") & ~normalise_name(name).contains(bare)
 
 
+#: What stops of the national feed have in front of a station's own tag; the form of such a tag.
+FEED_PREFIX, STOP_TAG = "de-DELFI_", "^[a-z]{2}:[A-Za-z0-9]+:[A-Za-z0-9]+(:[A-Za-z0-9]+)*$"
+
+
+def tag_ids(tag: Column) -> Column:
+    """The stop ids that a station's own tag may mean: the whole tag, then the stem of its first three parts; none where it hasn't the form."""
+    stem = F.array_join(F.slice(F.split(tag, ":"), 1, 3), ":")
+    ids = F.transform(F.array_distinct(F.array(tag, stem)), lambda x: F.concat(F.lit(FEED_PREFIX), x))
+    return F.when(F.coalesce(tag.rlike(STOP_TAG), F.lit(False)), ids).otherwise(F.array().cast("array<string>"))
+
+
+def tagged_stops(stations: DataFrame, stops: DataFrame, fuzzy: str = "full") -> DataFrame:
+    """station_id, id and modes of the stop that each station's tag names, as cascade takes it: the first of tag_ids that is a stop with a mode the station can be served by, and that passes the checks of any candidate.
+
+    stations: with ifopt. stops: as candidates are.
+    """
+    asked = stations.select("station_id", "mode", F.posexplode(tag_ids(F.col("ifopt"))).alias("rank", "id"))
+    named = asked.join(stops, "id").where(compatible(F.col("mode"), F.col("modes")))
+    sound = valid_candidates(stations, named.select(*stops.columns).distinct(), fuzzy).select("station_id", "id")
+    rows = named.join(sound, ["station_id", "id"], "left_semi")
+    return rows.groupBy("station_id").agg(F.min_by(F.struct("id", "modes"), "rank").alias("s")).select("station_id", "s.*")
+
+
 def cascade(stations: DataFrame, tagged: DataFrame, stages: list[tuple], fuzzy: str = "full", final: tuple[str, ...] = ("spatial",)) -> DataFrame:
     """station_id, source, state and stop_id through sources in order of trust.
 

@@ -33,13 +33,17 @@ def attach_coach_stops(stops: DataFrame, stations: DataFrame, radius: float = CO
     return joined.select("stop_id", F.coalesce("near", F.concat(F.lit("coach-"), F.col("stop_id").cast("string"))).alias("station_id"), F.col("near").isNull().alias("own"))
 
 
-def rollup(stations: DataFrame, served: DataFrame, lines: DataFrame) -> DataFrame:
-    """Each station with n_lines, modes (sorted), coach_only and major; unserved ones stay. served: station_id, line_id."""
+def rollup(stations: DataFrame, served: DataFrame, lines: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+    """Each station with n_lines, modes (sorted), coach_only and major, and pill (a bar lies across a corridor) where those marks are given; unserved ones stay. served: station_id, line_id."""
     calls = served.select("station_id", "line_id").distinct().join(lines.select("line_id", "mode"), "line_id")
     sums = calls.groupBy("station_id").agg(F.count("*").alias("n_lines"), F.array_sort(F.collect_set("mode")).alias("modes"))
     out = stations.join(sums, "station_id", "left").withColumns({"n_lines": F.coalesce("n_lines", F.lit(0)), "modes": F.coalesce("modes", F.array().cast("array<string>"))})
     coach_only = (F.size("modes") > 0) & F.forall("modes", lambda m: m == "coach")
-    return out.withColumns({"coach_only": coach_only, "major": F.col("name").rlike(MAIN_STATION)})
+    out = out.withColumns({"coach_only": coach_only, "major": F.col("name").rlike(MAIN_STATION)})
+    if marks is None:
+        return out
+    drawn = marks.select("station_id", F.lit(True).alias("pill")).distinct()
+    return out.join(drawn, "station_id", "left").withColumn("pill", F.coalesce("pill", F.lit(False)))
 
 
 def ranked(rolled: DataFrame) -> DataFrame:

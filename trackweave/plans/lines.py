@@ -179,7 +179,7 @@ SQL = {
         l AS (SELECT c_custkey, list_transform(rgb, lambda x: CASE WHEN x <= 0.04045e0 THEN x / 12.92e0 ELSE power((x + 0.055e0) / 1.055e0, 2.4e0) END) AS g FROM c)
         SELECT c_custkey, CASE WHEN 0.2126e0 * g[1] + 0.7152e0 * g[2] + 0.0722e0 * g[3] > 0.179e0 THEN '#1a1a1a' ELSE '#ffffff' END AS text FROM l""",
     "colour_precedence": f"""{_LINES}, o AS (SELECT DISTINCT line_id FROM keyed WHERE ord % 50 = 7)
-        SELECT l.line_id, CASE WHEN own IS NOT NULL THEN 'osm' WHEN o.line_id IS NOT NULL THEN 'override' ELSE 'fallback' END AS colour_source, CASE WHEN own IS NOT NULL THEN own WHEN o.line_id IS NOT NULL THEN '#123456' END AS colour
+        SELECT l.line_id, CASE WHEN o.line_id IS NOT NULL THEN 'override' WHEN own IS NOT NULL THEN 'osm' ELSE 'fallback' END AS colour_source, CASE WHEN o.line_id IS NOT NULL THEN '#123456' ELSE own END AS colour
         FROM lines l LEFT JOIN o ON l.line_id = o.line_id""",
     "registry_counts": f"{_LINES} SELECT mode, count(*) AS lines, count(*) FILTER (own IS NOT NULL) AS coloured FROM lines GROUP BY mode",
     "lines_per_way": f"{_WAYS} SELECT way_id, CAST(len(line_ids) AS BIGINT) AS lines FROM sets",
