@@ -62,7 +62,8 @@ def tiered(valid: DataFrame) -> DataFrame:
 
 def collapsed(valid: DataFrame) -> DataFrame:
     """One representative for each group of a station's candidates that share a name within 20 m, also through others: the smallest id of those that serve the station's mode, else the smallest."""
-    rows = valid.withColumn("_node", F.concat_ws("\u0000", F.col("station_id").cast("string"), "id"))
+    # Written, since it is read three times and holds the comparison of all names.
+    rows = settled(valid.withColumn("_node", F.concat_ws("\u0000", F.col("station_id").cast("string"), "id")))
     side = lambda s: rows.select("station_id", F.col("_node").alias(s), F.col("stop").alias(f"stop_{s}"), F.col("r_lon").alias(f"lon_{s}"), F.col("r_lat").alias(f"lat_{s}"))
     near = side("a").join(side("b"), "station_id").where("a < b")
     near = near.where(metres(F.col("lon_a"), F.col("lat_a"), F.col("lon_b"), F.col("lat_b")) <= DUPLICATE_METRES).where(same_stop_name(F.col("stop_a"), F.col("stop_b")))
