@@ -266,6 +266,22 @@ _PLACES = f"""places AS (SELECT k, lon, lat, CAST(CAST(round(lon * 1000000) AS B
 _SLOTS = lines._WAYS
 _LENGTH = lambda tram, delta, up, down: f"CASE WHEN least(CASE WHEN {tram} THEN 40.0e0 ELSE 80.0e0 END * least(greatest(abs({delta}), 1.0e0), 3.0e0), 2 * 0.4e0 * least({up}, {down})) >= 12 THEN least(CASE WHEN {tram} THEN 40.0e0 ELSE 80.0e0 END * least(greatest(abs({delta}), 1.0e0), 3.0e0), 2 * 0.4e0 * least({up}, {down})) ELSE 0.0e0 END"
 
+#: Ways of the double tracks tried one by one: the places (in their corridor) of those that stay.
+_KEPT = f"""WITH RECURSIVE ways AS ({_track_sql("customer", "//")}),
+        sized AS (SELECT *, way_id % 3 + 1 AS n_lines, {d.metres("a_lon", "a_lat", "b_lon", "b_lat")} AS m FROM ways),
+        ranked AS (SELECT *, k // {_CORRIDOR} AS corridor, row_number() OVER (PARTITION BY k // {_CORRIDOR} ORDER BY n_lines DESC, m DESC, way_id) AS place FROM sized),
+        points AS (SELECT way_id, corridor, place, i, a_lon + (b_lon - a_lon) * t AS lon, a_lat + (b_lat - a_lat) * t AS lat
+            FROM (SELECT *, least(i * 20 / m, 1.0e0) AS t FROM (SELECT *, unnest(range(0, CAST(ceil(m / 20) AS BIGINT) + 1)) AS i FROM ranked))),
+        offsets AS (SELECT p.way_id, p.i, o.place AS other, (o.a_lon - p.lon) * 111320.0e0 * cos(radians(p.lat)) AS ax, (o.a_lat - p.lat) * 111320.0e0 AS ay, (o.b_lon - o.a_lon) * 111320.0e0 * cos(radians(p.lat)) AS dx, (o.b_lat - o.a_lat) * 111320.0e0 AS dy
+            FROM points p JOIN ranked o ON o.corridor = p.corridor AND o.place < p.place),
+        near AS (SELECT way_id, i, other FROM (SELECT *, greatest(0, least(1, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) AS t FROM offsets) WHERE sqrt(power(ax + t * dx, 2) + power(ay + t * dy, 2)) <= 20),
+        at_points AS (SELECT p.way_id, p.corridor, p.place, p.i, coalesce(list(n.other) FILTER (n.other IS NOT NULL), []) AS others FROM points p LEFT JOIN near n ON n.way_id = p.way_id AND n.i = p.i GROUP BY ALL),
+        tried AS (SELECT way_id, corridor, place, list(others) AS others FROM at_points GROUP BY ALL),
+        walk(corridor, place, kept) AS (SELECT DISTINCT corridor, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM ranked
+            UNION ALL SELECT w.corridor, r.place, CASE WHEN list_bool_and(list_transform(r.others, lambda o: list_has_any(o, w.kept))) THEN w.kept ELSE list_append(w.kept, r.place) END
+            FROM walk w JOIN tried r ON r.corridor = w.corridor AND r.place = w.place + 1),
+        last AS (SELECT corridor, kept FROM walk QUALIFY row_number() OVER (PARTITION BY corridor ORDER BY place DESC) = 1)"""
+_END_NODE = "CAST(CAST(round({0}_lon * 10000000) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(round({0}_lat * 10000000) AS BIGINT) AS VARCHAR)"
 #: Pieces meet end to end in their corridor, so a node has two of them at most; the line comes from the one of the smaller number.
 _STEPS = f"""WITH pieces AS ({_pieces_sql("customer", "(SELECT unnest(range(6)) AS l) AS numbers", "//")}),
     sized AS (SELECT *, {d.metres("a_lon", "a_lat", "b_lon", "b_lat")} AS m, count(*) OVER (PARTITION BY seg_id) AS bundle FROM pieces),
@@ -312,21 +328,21 @@ SQL = {
             FROM trips t LEFT JOIN walk w ON w.id = t.id AND w.node = t.target),
         log AS ({closures.SQL["log_replay"]})
         SELECT k.id, kind, {d.half_up("cost", 3)} AS cost, CAST({list(c.EFFECT_RANK.values())}[k.id % {len(c.EFFECT_RANK)} + 1] AS INTEGER) AS draw_rank, CAST(coalesce(l.revisions, 0) AS BIGINT) AS revisions FROM kinds k LEFT JOIN log l ON l.id = k.id WHERE kind IS NOT NULL""",
-    "canonical_ways": f"""WITH RECURSIVE ways AS ({_track_sql("customer", "//")}),
-        sized AS (SELECT *, way_id % 3 + 1 AS n_lines, {d.metres("a_lon", "a_lat", "b_lon", "b_lat")} AS m FROM ways),
-        ranked AS (SELECT *, k // {_CORRIDOR} AS corridor, row_number() OVER (PARTITION BY k // {_CORRIDOR} ORDER BY n_lines DESC, m DESC, way_id) AS place FROM sized),
-        points AS (SELECT way_id, corridor, place, i, a_lon + (b_lon - a_lon) * t AS lon, a_lat + (b_lat - a_lat) * t AS lat
-            FROM (SELECT *, least(i * 20 / m, 1.0e0) AS t FROM (SELECT *, unnest(range(0, CAST(ceil(m / 20) AS BIGINT) + 1)) AS i FROM ranked))),
-        offsets AS (SELECT p.way_id, p.i, o.place AS other, (o.a_lon - p.lon) * 111320.0e0 * cos(radians(p.lat)) AS ax, (o.a_lat - p.lat) * 111320.0e0 AS ay, (o.b_lon - o.a_lon) * 111320.0e0 * cos(radians(p.lat)) AS dx, (o.b_lat - o.a_lat) * 111320.0e0 AS dy
-            FROM points p JOIN ranked o ON o.corridor = p.corridor AND o.place < p.place),
-        near AS (SELECT way_id, i, other FROM (SELECT *, greatest(0, least(1, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) AS t FROM offsets) WHERE sqrt(power(ax + t * dx, 2) + power(ay + t * dy, 2)) <= 20),
-        at_points AS (SELECT p.way_id, p.corridor, p.place, p.i, coalesce(list(n.other) FILTER (n.other IS NOT NULL), []) AS others FROM points p LEFT JOIN near n ON n.way_id = p.way_id AND n.i = p.i GROUP BY ALL),
-        tried AS (SELECT way_id, corridor, place, list(others) AS others FROM at_points GROUP BY ALL),
-        walk(corridor, place, kept) AS (SELECT DISTINCT corridor, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM ranked
-            UNION ALL SELECT w.corridor, r.place, CASE WHEN list_bool_and(list_transform(r.others, lambda o: list_has_any(o, w.kept))) THEN w.kept ELSE list_append(w.kept, r.place) END
-            FROM walk w JOIN tried r ON r.corridor = w.corridor AND r.place = w.place + 1),
-        last AS (SELECT corridor, kept FROM walk QUALIFY row_number() OVER (PARTITION BY corridor ORDER BY place DESC) = 1)
-        SELECT r.way_id FROM ranked r JOIN last l ON l.corridor = r.corridor WHERE list_contains(l.kept, r.place) AND r.way_id % 4 < 2""",
+    "canonical_ways": f"{_KEPT} SELECT r.way_id FROM ranked r JOIN last l ON l.corridor = r.corridor WHERE list_contains(l.kept, r.place) AND r.way_id % 4 < 2",
+    "reconnected_ways": f"""{_KEPT}, told AS (SELECT r.*, list_contains(l.kept, r.place) AS stays, {_END_NODE.format("a")} AS a, {_END_NODE.format("b")} AS b FROM ranked r JOIN last l ON l.corridor = r.corridor),
+        meets AS (SELECT a, b FROM told WHERE stays UNION ALL SELECT b, a FROM told WHERE stays),
+        stretch(node, label) USING KEY (node) AS (SELECT DISTINCT a, a FROM meets
+            UNION SELECT x.node, x.label FROM (SELECT m.b AS node, min(s.label) AS label FROM stretch s JOIN meets m ON m.a = s.node GROUP BY m.b) x JOIN recurring.stretch k ON k.node = x.node WHERE x.label < k.label),
+        short AS (SELECT way_id, corridor, m, coalesce(s.label, a) AS x, coalesce(t.label, b) AS y FROM told LEFT JOIN stretch s ON s.node = a LEFT JOIN stretch t ON t.node = b WHERE NOT stays AND m <= 40),
+        tries AS (SELECT *, row_number() OVER (PARTITION BY corridor ORDER BY m, way_id) AS n FROM short WHERE x <> y),
+        trees(corridor, n, groups, chosen) AS (SELECT DISTINCT corridor, CAST(0 AS BIGINT), CAST([] AS VARCHAR[][]), CAST([] AS BIGINT[]) FROM tries
+            UNION ALL SELECT corridor, n, CASE WHEN list_contains(own, y) THEN groups ELSE list_append(list_filter(groups, lambda g: NOT list_contains(g, x) AND NOT list_contains(g, y)), list_concat(own, other)) END, CASE WHEN list_contains(own, y) THEN chosen ELSE list_append(chosen, way_id) END
+            FROM (SELECT t.corridor, r.n, r.x, r.y, r.way_id, t.groups, t.chosen, coalesce(list_filter(t.groups, lambda g: list_contains(g, r.x))[1], [r.x]) AS own, coalesce(list_filter(t.groups, lambda g: list_contains(g, r.y))[1], [r.y]) AS other
+                FROM trees t JOIN tries r ON r.corridor = t.corridor AND r.n = t.n + 1)),
+        forest AS (SELECT unnest(chosen) AS way_id FROM trees QUALIFY row_number() OVER (PARTITION BY corridor ORDER BY n DESC) = 1),
+        live0 AS (SELECT t.way_id, t.x, t.y FROM tries t JOIN forest f ON f.way_id = t.way_id), firm AS (SELECT DISTINCT label AS node FROM stretch),
+        {", ".join(f"""live{k + 1} AS (SELECT l.* FROM live{k} l WHERE NOT EXISTS (SELECT 1 FROM (SELECT node FROM (SELECT x AS node FROM live{k} UNION ALL SELECT y FROM live{k}) GROUP BY node HAVING count(*) = 1) d WHERE d.node IN (l.x, l.y) AND d.node NOT IN (SELECT node FROM firm)))""" for k in range(5))}
+        SELECT way_id, FALSE AS linked FROM told WHERE stays UNION ALL SELECT way_id, TRUE FROM live5""",
     "taper_steps": f"""{_STEPS} SELECT line_id, seg_a, CAST(k AS INTEGER) AS step, {d.half_up("CASE WHEN occupied THEN v + 0.2e0 * sign(delta) ELSE v END", 6)} AS slot, CAST(bundle AS INTEGER) AS bundle,
         CAST(ceil(log2(156543.03392e0 * cos(radians(51)) / length)) AS INTEGER) AS min_zoom, {d.half_up("length / n", 2)} AS metres
         FROM (SELECT *, v > least(up, down) AND v < greatest(up, down) AND (abs(v - up - floor(v - up + 0.5)) < 1e-9 OR abs(v - down - floor(v - down + 0.5)) < 1e-9) AS occupied FROM stepped)""",
