@@ -122,7 +122,7 @@ def across(labels: np.ndarray, stray: np.ndarray, held: list[np.ndarray]) -> tup
     return a, b
 
 
-def rest_links(members: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame | None:
+def rest_links(members: DataFrame, labels: DataFrame, texts: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame | None:
     """Links between candidates that the comparison with leaders left in different components; None if there are none.
 
     Candidates that hang together through such keys are a group. In a group all but the largest
@@ -134,14 +134,15 @@ def rest_links(members: DataFrame, labels: DataFrame, sets: DataFrame, scratch:
     if not links.limit(1).count():
         return None
     nodes = connected(links.select("a", "b").where("a <> b").distinct()).select(F.col("node").alias("whole"), F.col("root").alias("group"))
-    placed = nodes.join(labels, "whole", "left").withColumn("label", F.coalesce("root", "whole")).select("whole", "group", "label")
-    rows = scratch.written(placed.join(sets, "whole"))
+    placed = nodes.join(labels, "whole", "left").withColumn("label", F.coalesce("root", "whole")).join(texts, "whole")
+    # Small rows without the sets, so that nothing large is dealt by group; written, so that a join may split a hot group.
+    rows = scratch.written(placed.select("whole", "group", "label", "n_shingles"))
     main = rows.groupBy("group", "label").count().groupBy("group").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    marked = rows.join(main, "group").withColumn("stray", F.col("label") != F.col("main"))
+    marked = scratch.written(rows.join(main, "group").withColumn("stray", F.col("label") != F.col("main")))
     size = lambda n, s: F.greatest(F.lit(1), F.ceil(F.greatest(n / CELL_TEXTS, s / CELL_SHINGLES))).cast("int")
-    held = F.size("held")
+    held = F.col("n_shingles")
     grid = marked.groupBy("group").agg(size(F.count("*"), F.sum(held)).alias("h"), size(F.count_if("stray"), F.sum(F.when(F.col("stray"), held).otherwise(0))).alias("v"))
-    dealt = marked.join(grid, "group")
+    dealt = marked.join(grid, "group").join(sets, "whole")
     part = lambda n: F.pmod(F.xxhash64("whole"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["whole", "label", "stray", "held"]
@@ -153,7 +154,8 @@ def rest_links(members: DataFrame, labels: DataFrame, sets: DataFrame, scratch:
         a, b = across(cell["label"].to_numpy(), cell["stray"].to_numpy(), list(cell["held"])) if cell["stray"].any() else ([], [])
         return pd.DataFrame({"a": whole[a], "b": whole[b]})
 
-    return cells.groupBy("group", "i", "j").applyInPandas(compare, "a binary, b binary")
+    # One column, so that rows which a join has dealt by group are dealt anew, a cell to a task.
+    return cells.groupBy(F.struct("group", "i", "j").alias("cell")).applyInPandas(compare, "a binary, b binary")
 
 
 def grouped(docs: DataFrame, text_col: str) -> DataFrame:
@@ -172,7 +174,7 @@ def grouped(docs: DataFrame, text_col: str) -> DataFrame:
     met = pairs.join(of("a"), "a").join(of("b"), "b")
     links = scratch.written(met.where(alike(F.size(F.array_intersect("held_a", "held_b")), F.size("held_a"), F.size("held_b"))).select("a", "b"))
     nodes = connected(links)
-    more = rest_links(members, nodes.withColumnRenamed("node", "whole"), sets, scratch)
+    more = rest_links(members, nodes.withColumnRenamed("node", "whole"), texts.select("whole", "n_shingles"), sets, scratch)
     if more is not None:
         nodes = connected(links.unionByName(more))
     linked = nodes.withColumnRenamed("node", "whole").join(texts.select("whole", "first_id"), "whole")
