@@ -217,7 +217,8 @@ def alike_pairs(docs: DataFrame, text_col: str = "text", size: int = WORDS) -> D
         a, b = alike_edges(cell["fp"].to_numpy(), cell["part"].to_numpy(), list(cell["shingles"]))
         return pd.DataFrame({"a": a, "b": b})
 
-    return dealt.groupBy("root", "i", "j").applyInPandas(compare, "a long, b long").where("a <> b")
+    # One column, so that rows which a join has dealt by root are dealt anew, a cell to a task.
+    return dealt.groupBy(F.struct("root", "i", "j").alias("cell")).applyInPandas(compare, "a long, b long").where("a <> b")
 
 
 def grouped(docs: DataFrame, text_col: str, size: int, alike: bool) -> DataFrame:
