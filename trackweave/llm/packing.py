@@ -167,6 +167,14 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+@lru_cache(maxsize=8)
+def id_kind(path: str) -> str:
+    """The kind of number that holds the tokenizer's ids. The driver needs no more of it, and keeps no tokenizer."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(path).get_vocab().values()) < 1 << 16 else "<u4"
+
+
 #: Ids of pieces that a worker holds before it hands them on, however long the texts of a batch are.
 HELD_IDS = 1 << 20
 PIECES = T.StructType([T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
@@ -207,7 +215,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = 1)
     keys = map_text(docs.select("doc_id", "text"), "text", [T.StructField("curve", T.LongType())], lambda rows: [curve_keys(rows)], ["doc_id"])
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bounds = bounds_of(keys.select((F.shiftleft("curve", TIE_BITS) + salt).alias("place")), -(-size // RANGE_BYTES))
-    doc_type, kind = to_arrow(docs.schema["doc_id"].dataType), encoder(tokenizer).kind
+    doc_type, kind = to_arrow(docs.schema["doc_id"].dataType), np.dtype(id_kind(tokenizer))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_ = encoder(tokenizer)
