@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -186,22 +188,34 @@ def mark_runs(calls: DataFrame, slots: DataFrame) -> DataFrame:
 def anchors(stations: DataFrame, vertices: DataFrame, served: DataFrame, slots: DataFrame, radius: float = MARK_METRES) -> DataFrame:
     """seg_id, station_id, the nearest vertex of the corridor within the radius, the nearest place (lon, lat, distance) on the two segments beside it and the direction of its segment (bearing), for stations at which a line of the corridor calls.
 
-    vertices: seg_id, chain, pos, lon, lat. Stations are smeared over cells, not vertices.
+    vertices: seg_id, chain, pos, lon, lat. Vertices are spread over cells: a corridor has few, and many stations may call.
     """
     calling = slots.select("seg_id", "line_id").join(served, "line_id").select("seg_id", "station_id").distinct()
     wanted = stations.select("station_id", "lon", "lat").join(calling, "station_id")
-    found = nearest(wanted.withColumn("_pair", F.struct("seg_id", "station_id")), vertices.select("seg_id", "lon", "lat", F.struct("chain", "pos").alias("vertex")), "_pair", "vertex", radius, inclusive=True, on=["seg_id"])
+    found = nearest(wanted.withColumn("_pair", F.struct("seg_id", "station_id")), vertices.select("seg_id", "lon", "lat", F.struct("chain", "pos").alias("vertex")), "_pair", "vertex", radius, inclusive=True, on=["seg_id"], spread="right")
     found = found.select("seg_id", "station_id", "vertex", "vertex.chain", "vertex.pos", "lon", "lat", F.struct("distance", F.col("r_lon").alias("lon"), F.col("r_lat").alias("lat")).alias("v"))
     for name, step in (("before", 1), ("after", -1)):
         beside = vertices.select("seg_id", "chain", (F.col("pos") + step).alias("pos"), F.struct("lon", "lat").alias(name))
         found = found.join(beside, ["seg_id", "chain", "pos"], "left")
-    for name, a, b in (("before", "before", "v"), ("after", "v", "after")):
-        foot = segment_foot(F.col("lon"), F.col("lat"), F.col(a), F.col(b))
-        found = found.withColumn(f"foot_{name}", F.when(F.col(name).isNotNull(), foot.withField("bearing", direction(F.col(a), F.col(b)))))
+    def foot(name: str, a: Column, b: Column) -> Column:
+        way = direction(a, b)
+        own = once(segment_foot(F.col("lon"), F.col("lat"), a, b), lambda f: F.struct(f["distance"].alias("distance"), f["lon"].alias("lon"), f["lat"].alias("lat"), way.alias("bearing")))
+        return F.when(F.col(name).isNotNull(), own).alias(name)
+
+    v = F.col("v")
+    feet = foot("before", F.col("before"), v), foot("after", v, F.col("after"))
     alone = F.struct("v.distance", "v.lon", "v.lat", F.lit(0.0).alias("bearing"))
-    first, second = F.col("foot_before"), F.col("foot_after")
-    best = F.when(first.isNotNull() & (second.isNull() | (first["distance"] <= second["distance"])), first).otherwise(F.coalesce(second, alone))
-    return found.withColumn("f", best).where(F.col("f.distance") <= radius).select("seg_id", "station_id", "vertex", "f.lon", "f.lat", "f.distance", "f.bearing")
+
+    def nearer(feet: Column) -> Column:
+        first, second = feet["before"], feet["after"]
+        return F.when(first.isNotNull() & (second.isNull() | (first["distance"] <= second["distance"])), first).otherwise(F.coalesce(second, alone))
+
+    return found.withColumn("f", once(F.struct(*feet), nearer)).where(F.col("f.distance") <= radius).select("seg_id", "station_id", "vertex", "f.lon", "f.lat", "f.distance", "f.bearing")
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def direction(p: Column, q: Column) -> Column:
@@ -216,8 +230,8 @@ def segment_foot(lon: Column, lat: Column, p: Column, q: Column) -> Column:
     dx, dy = (q["lon"] - p["lon"]) * k, q["lat"] - p["lat"]
     size = dx * dx + dy * dy
     t = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((lon - p["lon"]) * k * dx + (lat - p["lat"]) * dy) / size))).otherwise(0.0)
-    x, y = p["lon"] + (q["lon"] - p["lon"]) * t, p["lat"] + (q["lat"] - p["lat"]) * t
-    return F.when(q.isNotNull(), F.struct(metres(lon, lat, x, y).alias("distance"), x.alias("lon"), y.alias("lat")))
+    place = once(t, lambda t: F.struct((p["lon"] + (q["lon"] - p["lon"]) * t).alias("x"), (p["lat"] + (q["lat"] - p["lat"]) * t).alias("y")))
+    return F.when(q.isNotNull(), once(place, lambda s: F.struct(metres(lon, lat, s["x"], s["y"]).alias("distance"), s["x"].alias("lon"), s["y"].alias("lat"))))
 
 
 def fallback_marks(stations: DataFrame, served: DataFrame, marks: DataFrame) -> DataFrame:
@@ -255,10 +269,9 @@ def merge_marks(drafts: DataFrame) -> DataFrame:
 
     drafts: station_id, seg_id, lon, lat, bearing, lo, hi, lines. A draft that runs the other way has its places mirrored. A station is one small group.
     """
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
+    def merged(rows: list[dict]) -> list[dict]:
         bars: list[dict] = []
-        rows = group.assign(width=group["hi"] - group["lo"]).sort_values(["width", "seg_id", "lo"], ascending=[False, True, True])
-        for r in rows.to_dict("records"):
+        for r in sorted(rows, key=lambda r: (r["lo"] - r["hi"], r["seg_id"], r["lo"])):
             for bar in bars:
                 gap = abs(math.remainder(bar["bearing"] - r["bearing"], 180.0))
                 k = METRES_PER_DEGREE * math.cos(math.radians(bar["lat"]))
@@ -271,14 +284,24 @@ def merge_marks(drafts: DataFrame) -> DataFrame:
                     break
             else:
                 bars.append({**r, "lines": list(r["lines"])})
-        return pd.DataFrame([{"station_id": b["station_id"], "mark": i, "lon": b["lon"], "lat": b["lat"], "mid": (b["lo"] + b["hi"]) / 2, "span": int(b["hi"] - b["lo"] + 0.5) + 1, "bearing": b["bearing"], "lines": sorted(b["lines"])} for i, b in enumerate(bars)])
+        return [{"mark": i, "lon": b["lon"], "lat": b["lat"], "mid": (b["lo"] + b["hi"]) / 2, "span": int(b["hi"] - b["lo"] + 0.5) + 1, "bearing": b["bearing"], "lines": sorted(b["lines"])} for i, b in enumerate(bars)]
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners, bars = [], []
+            for k, rows in enumerate(batch.column("drafts").to_pylist()):
+                made = merged(rows)
+                owners += [k] * len(made)
+                bars += made
+            kinds = [("mark", pa.int32()), ("lon", pa.float64()), ("lat", pa.float64()), ("mid", pa.float64()), ("span", pa.int32()), ("bearing", pa.float64()), ("lines", batch.schema.field("drafts").type.value_type.field("lines").type)]
+            columns = [batch.column("station_id").take(pa.array(owners, pa.int64())), *(pa.array([b[name] for b in bars], kind) for name, kind in kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=["station_id", *(name for name, _ in kinds)])
 
     types = dict(drafts.dtypes)
-    return drafts.groupBy("station_id").applyInPandas(merge, f"station_id {types['station_id']}, mark int, lon double, lat double, mid double, span int, bearing double, lines {types['lines']}")
+    grouped = drafts.groupBy("station_id").agg(F.collect_list(F.struct("seg_id", "lon", "lat", "bearing", "lo", "hi", "lines")).alias("drafts"))
+    return grouped.mapInArrow(merge, f"station_id {types['station_id']}, mark int, lon double, lat double, mid double, span int, bearing double, lines {types['lines']}")
 
 
 def primary_marks(marks: DataFrame) -> DataFrame:
     """The widest mark of each station, the first of equals."""
     return marks.withColumn("_n", F.row_number().over(W.partitionBy("station_id").orderBy(F.desc("span"), "mark"))).where("_n = 1").drop("_n")
-
-
