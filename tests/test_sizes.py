@@ -3,7 +3,7 @@
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
-from trackweave.operators import network, spatial
+from trackweave.operators import closures, network, spatial
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,3 +33,19 @@ def test_the_side_with_few_rows_is_spread(spark):
     told = plan(pairs)
     assert told.count("Generate explode") == 2 and told.index("Generate explode") < told.index("Range (0, 2000") and "Generate explode" not in told[told.index("Range (0, 3") :]
     assert {(r["a"], r["b"]) for r in pairs.collect()} == {(a, b) for a in range(3) for b in range(7) if abs(a - b) <= 4}
+
+
+def test_intervals_of_the_larger_table_stand_once(spark):
+    import datetime
+    import random
+
+    r = random.Random(5)
+    day = lambda n: datetime.date(2000, 1, 1) + datetime.timedelta(n)
+    span = lambda most: (a := r.randrange(3000), a + r.choice([0, 1, 7, 60, r.randrange(most), -2]))
+    many = [(i, *map(day, span(90))) for i in range(1200)] + [(9001, None, day(5)), (9002, day(5), None), (9003, datetime.date(1, 1, 1), datetime.date(9999, 12, 31)), (9004, day(512), day(1023))]
+    few = [(i, *map(day, span(2500))) for i in range(40)] + [(901, None, None), (902, day(-700000), day(2900)), (903, day(1023), day(1023))]
+    a, b = spark.createDataFrame(many, "a int, f date, l date"), spark.createDataFrame(few, "b int, g date, m date")
+    expected = sorted((i, j) for i, f, l in many for j, g, m in few if None not in (f, l, g, m) and f <= l and g <= m and f <= m and g <= l)  # noqa: E741
+    for rows, columns in ((closures.interval_pairs(a, b, ("f", "l"), ("g", "m")), ["a", "f", "l", "b", "g", "m"]), (closures.interval_pairs(b, a, ("g", "m"), ("f", "l")), ["b", "g", "m", "a", "f", "l"])):
+        assert rows.columns == columns and sorted((x["a"], x["b"]) for x in rows.collect()) == expected
+        assert plan(rows).count("Generate explode") == 2  # sizes and bins of the smaller table
