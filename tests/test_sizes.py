@@ -49,3 +49,25 @@ def test_intervals_of_the_larger_table_stand_once(spark):
     for rows, columns in ((closures.interval_pairs(a, b, ("f", "l"), ("g", "m")), ["a", "f", "l", "b", "g", "m"]), (closures.interval_pairs(b, a, ("g", "m"), ("f", "l")), ["b", "g", "m", "a", "f", "l"])):
         assert rows.columns == columns and sorted((x["a"], x["b"]) for x in rows.collect()) == expected
         assert plan(rows).count("Generate explode") == 2  # sizes and bins of the smaller table
+
+
+def test_a_larger_stream_has_more_files_in_as_many_batches(spark):
+    from trackweave.plans import streams
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.parallelismFirst")}
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    try:
+        rows, seen = spark.range(200_000), []
+        stream = streams._stream(rows, 4)
+        streams.jobs.run_once(stream, lambda part, n: seen.append((part.count(), part.select(F.input_file_name()).distinct().count())), "append")
+        assert sum(n for n, _ in seen) == 200_000 and 2 <= len(seen) <= 4 and sum(f for _, f in seen) > 4
+        seen.clear()
+        streams.jobs.run_once(streams._stream(rows, 1), lambda part, n: seen.append(part.count()), "append")
+        assert seen == [200_000]
+        seen.clear()
+        streams.jobs.run_once(streams._stream(spark.range(8).repartition(1), 4), lambda part, n: seen.append(part.count()), "append")
+        assert sum(seen) == 8 and len(seen) == 4
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

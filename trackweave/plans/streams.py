@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,11 +15,15 @@ from trackweave.plans.views import ctes, frame
 from trackweave.streaming import jobs
 
 
-def _stream(rows: DataFrame, files: int) -> DataFrame:
-    """rows written as so many files and read as a stream, one file in each micro-batch."""
+def _stream(rows: DataFrame, batches: int) -> DataFrame:
+    """rows written as files of bounded size and read as a stream, about so many micro-batches of them; one is always whole."""
     spark, path = rows.sparkSession, jobs.folder(rows.sparkSession)
-    rows.repartition(files).write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    rows.hint("rebalance").write.parquet(path)
+    files = len(spark.read.schema(rows.schema).parquet(path).inputFiles())
+    if files < batches:  # few rows
+        path, files = jobs.folder(spark), batches
+        rows.repartition(files).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, math.ceil(files / batches))).parquet(path)
 
 
 def stream_log_replay(spark, sf_dir):
