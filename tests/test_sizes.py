@@ -3,7 +3,7 @@
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
-from trackweave.operators import closures, network, spatial
+from trackweave.operators import closures, network, spatial, tracks
 
 SF = "/root/testdata/sf0.001"
 
@@ -71,3 +71,14 @@ def test_a_larger_stream_has_more_files_in_as_many_batches(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_only_ways_that_may_go_send_their_neighbours_on(spark):
+    metre = 1 / 111_320
+    straight = lambda y, far=900: [{"lon": 10.0, "lat": 52.0 + y * metre}, {"lon": 10.0 + far / 68_500, "lat": 52.0 + y * metre}]
+    rows = [("up", [1], straight(0), 0, False), ("down", [1, 2], straight(5), 1, False), ("longer", [1], straight(-5, 1200), 2, False), ("other line", [3], straight(2), 3, False), ("outright", [2], straight(9), 9, True), ("late", [1], straight(4, 400), 8, False)]
+    shapes = spark.createDataFrame([(w, c, 20.0, "20.0", lines, place, before) for w, lines, c, place, before in rows], "way_id string, coords array<struct<lon:double,lat:double>>, tolerance double, band string, lines array<int>, place int, before boolean")
+    found = tracks.contested(shapes)
+    got = {(r["line_id"], r["way_id"]): (r["points"], {h["other"] for h in r["near"]}, len(r["near"])) for r in found.collect()}
+    assert {k: v[1] for k, v in got.items()} == {(1, "down"): {"up"}, (2, "down"): {"outright"}, (1, "late"): {"up", "down", "longer"}}
+    assert got[1, "down"][0] == got[1, "down"][2] and got[1, "late"][0] < got[1, "late"][2]
