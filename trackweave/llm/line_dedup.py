@@ -112,17 +112,29 @@ def one_edit(a: list[bytes], b: list[bytes]) -> bool:
     return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
 
 
+def bitmap_of(values: DataFrame) -> np.ndarray:
+    """The numbers of the one column of values, modulo BITMAP_BITS, as set bits: 16 MB whatever the input."""
+    name, size = values.columns[0], 1 << 15  # the bitmap functions count values from 1 in buckets of so many bits
+    bit = values.select((F.pmod(F.col(name), F.lit(BITMAP_BITS)) + 1).alias("bit"))
+    pieces = bit.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    bitmap = np.zeros(BITMAP_BITS // 8, np.uint8)
+    for row in pieces.toLocalIterator():
+        at = (row["bucket"] - 1) * size // 8
+        bitmap[at : at + size // 8] = np.frombuffer(row["bits"], np.uint8)
+    return bitmap
+
+
+def in_bitmap(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether the bit of each number is set."""
+    place = values % BITMAP_BITS
+    return ((bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
+
+
 def read_again(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """id, h1, h2 and line of the wanted lines (doc_id, tag, line_no, id, h1, h2), found by a bitmap of fixed size, so that only lines are shuffled and not texts."""
     doc = docs.schema["doc_id"].dataType.simpleString()
     origin = F.pmod(F.xxhash64("doc_id", "tag"), F.lit(BITMAP_BITS))
-    bit, size = F.pmod(origin + F.col("line_no").cast("long") * STEP, F.lit(BITMAP_BITS)) + 1, 1 << 15  # the bitmap functions count values from 1 in buckets of so many bits
-    pieces = wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    bitmap = np.zeros(BITMAP_BITS // 8, np.uint8)  # 16 MB whatever the input
-    for row in pieces.toLocalIterator():
-        at = (row["bucket"] - 1) * size // 8
-        bitmap[at : at + size // 8] = np.frombuffer(row["bits"], np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted.select((origin + F.col("line_no").cast("long") * STEP).alias("place"))))
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text", tag_of("text").alias("tag")).withColumn("origin", origin)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,8 +142,7 @@ def read_again(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for part in slices(batch, "text"):
                 owner, number, found = [], [], []
                 for k, (text, origin) in enumerate(zip(texts(part, "text"), part.column("origin").to_pylist(), strict=True)):
-                    place = (origin + np.arange(text.count(b"\n") + 1, dtype=np.int64) * STEP) % BITMAP_BITS
-                    hit = np.flatnonzero((sent.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
+                    hit = np.flatnonzero(in_bitmap(sent.value, origin + np.arange(text.count(b"\n") + 1, dtype=np.int64) * STEP))
                     if len(hit):
                         lines = text.split(b"\n")
                         owner += [k] * len(hit)
@@ -144,8 +155,12 @@ def read_again(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return lines.join(wanted, ROW).groupBy("id").agg(*(F.any_value(c).alias(c) for c in ("h1", "h2", "line")))  # repeated rows give a line again
 
 
-def variant_keys(lines: DataFrame) -> DataFrame:
-    """id, v1, v2 and place of each variant of the lines (id, line): place -1 for the line itself, else that of the word left out."""
+def variant_keys(lines: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """id, v1, v2 and place of each variant of the lines (id, line): place -1 for the line itself, else that of the word left out.
+
+    wanted: the v1 that are asked for; of the others most are left out here already, by a bitmap of fixed size, and needn't be shuffled.
+    """
+    sent = None if wanted is None else lines.sparkSession.sparkContext.broadcast(bitmap_of(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,6 +175,8 @@ def variant_keys(lines: DataFrame) -> DataFrame:
                     places.append(np.arange(-1, upto - 1, dtype=np.int32))
                     owner.append(np.full(upto, k))
                 out = pa.RecordBatch.from_arrays([rows.column("id").take(pa.array(np.concatenate(owner))), *(pa.array(np.concatenate(x)) for x in (*lanes, places))], names=["id", "v1", "v2", "place"])
+                if sent is not None:
+                    out = out.filter(pa.array(in_bitmap(sent.value, out.column("v1").to_numpy())))
                 for a in range(0, out.num_rows, VARIANTS):
                     yield out.slice(a, VARIANTS)
 
@@ -182,7 +199,7 @@ def removable(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     read = scratch.written(read_again(docs, wanted), "zstd")
 
     shared = scratch.written(variant_keys(read).groupBy("v1").count().where("count > 1").select("v1"))
-    keys = scratch.written(variant_keys(read).join(shared, "v1"))
+    keys = scratch.written(variant_keys(read, shared).join(shared, "v1"))
     at_place = scratch.written(keys.groupBy("v1", "v2", "place").agg(F.min("id").alias("same")))
     whole, cut = (F.min(F.when(on, F.col("same"))) for on in (F.col("place") < 0, F.col("place") >= 0))
     of_key = at_place.join(at_place.groupBy("v1", "v2").agg(whole.alias("whole"), cut.alias("cut")), ["v1", "v2"])
