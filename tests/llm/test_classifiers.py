@@ -1,5 +1,7 @@
 """Held-out accuracy, and odd rows."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +39,16 @@ def test_quality(spark, odd):
     assert kept.columns == docs.columns and 0.7 * docs.count() < kept.count() < docs.count()
 
 
+def test_ranking_holds_two_tables_of_pairs():
+    r = np.random.default_rng(3)
+    good, poor = r.random((2_000, 30)), r.random((2_000, 30)) + 0.1
+    tracemalloc.start()
+    quality.Ranking(good, poor, pairs=40_000, rounds=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.5 * 40_000 * 60 * 8  # four and more before
+
+
 def test_toxicity(spark, odd):
     docs, labels = read(spark, SF, "documents"), read(spark, SF, "labels")
     scored = toxicity.score_toxicity(docs, labels).persist()

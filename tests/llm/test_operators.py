@@ -130,6 +130,14 @@ def test_simhash_pairs_of_chained_fingerprints(spark):
     assert {p: got.get(p, p) for p in prints} == {p: root(p) for p in prints}
 
 
+def test_a_round_of_components_reads_its_pairs_four_times(spark):
+    from trackweave.llm.common import stars
+
+    step = stars(spark.createDataFrame([(3, 1), (3, 2), (4, 3)], "a long, b long"))
+    assert rows(step) == [(2, 1), (3, 1), (4, 1)]
+    assert step._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 4  # sixteen before
+
+
 def test_ring_bounds_lose_no_pair():
     r = np.random.default_rng(3)
     a = r.integers(-(2**63), 2**63 - 1, 4000)

@@ -136,6 +136,17 @@ def packed(texts_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join([*texts_, b""]), np.uint8), starts
 
 
+def stars(pairs: DataFrame) -> DataFrame:
+    """A round of `connected`: all hang on the smallest node that they see. Both ends of a pair come of one row, so that no branch of the plan stands there twice."""
+    both = pairs.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    low = large.groupBy("a").agg(F.min("b").alias("m"))
+    joined = large.join(low, "a")
+    small = joined.select(F.inline(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))).where("a <> b")
+    return small.distinct()
+
+
 def connected(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node that it can reach.
 
@@ -145,13 +156,7 @@ def connected(edges: DataFrame, rounds: int = 40) -> DataFrame:
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     pairs, before = written(pairs), None
     for _ in range(rounds):
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
-        small = joined.select("a", F.col("m").alias("b")).unionByName(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        pairs = written(small.distinct())
+        pairs = written(stars(pairs))
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if before == now:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

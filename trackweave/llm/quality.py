@@ -62,14 +62,17 @@ class Ranking:
     """Weights of a Bradley-Terry model."""
 
     def __init__(self, good: np.ndarray, poor: np.ndarray, pairs: int = PAIRS, rounds: int = 400, ridge: float = 1e-4):
-        both = spread(np.concatenate([good, poor]))
-        self.mean, self.scale = both.mean(axis=0), both.std(axis=0) + 1e-6
-        z = (both - self.mean) / self.scale
+        z = spread(np.concatenate([good, poor]))
+        self.mean, self.scale = z.mean(axis=0), z.std(axis=0) + 1e-6
+        z -= self.mean
+        z /= self.scale
         draw = np.random.default_rng(7)
-        better, worse = z[draw.integers(0, len(good), pairs)], z[len(good) + draw.integers(0, len(poor), pairs)]
-        x, w, speed, square = better - worse, np.zeros(z.shape[1]), np.zeros(z.shape[1]), np.zeros(z.shape[1])
+        x, part = z[draw.integers(0, len(good), pairs)], z[len(good) + draw.integers(0, len(poor), pairs)]
+        x -= part  # the driver holds two tables of pairs and makes no others
+        w, speed, square = np.zeros(z.shape[1]), np.zeros(z.shape[1]), np.zeros(z.shape[1])
+        del z
         for t in range(1, rounds + 1):  # Adam on the whole set of pairs
-            slope = -(x * (1 / (1 + np.exp(np.clip(x @ w, -30, 30))))[:, None]).mean(axis=0) + ridge * w
+            slope = -np.multiply(x, (1 / (1 + np.exp(np.clip(x @ w, -30, 30))))[:, None], out=part).mean(axis=0) + ridge * w
             speed, square = 0.9 * speed + 0.1 * slope, 0.999 * square + 0.001 * slope**2
             w -= 0.05 * (speed / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
         self.weights = w
@@ -120,8 +123,8 @@ def fit(table: DataFrame, marked: DataFrame, sample: int = SAMPLE) -> Ranking |
     rows = []
     for value in (1, 0):
         chosen = table.join(marked.where(F.col("label") == value).select("doc_id"), "doc_id", "left_semi")
-        rows.append([r[0] for r in chosen.select("doc_id", "features").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(sample).select("features").collect()])
-    return Ranking(np.array(rows[0]), np.array(rows[1])) if all(rows) else None
+        rows.append(np.array([r[0] for r in chosen.select("doc_id", "features").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(sample).select("features").collect()]))
+    return Ranking(*rows) if all(map(len, rows)) else None
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
