@@ -120,6 +120,25 @@ def test_routes_are_never_cut_in_silence(spark):
     assert inspect.signature(graph.batch_routes).parameters["rounds"].default is None
 
 
+def test_routing_rounds_send_no_tables_through_the_driver(spark):
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    spark.range(1).count()
+    bus.waitUntilEmpty()
+    seen = {e.executionId() for e in _executions(store)}
+    edges = spark.createDataFrame([(i, i + 1, 10.0, None, False) for i in range(4)], "src int, dst int, metres double, ref int, service boolean")
+    trips = spark.createDataFrame([(1, 0, 4, [], 100.0)], "trip_id int, source int, target int, refs array<int>, budget double")
+    reached = graph.batch_routes(edges, trips)
+    bus.waitUntilEmpty()
+    plans = [e.physicalPlanDescription() for e in _executions(store) if e.executionId() not in seen]
+    assert len(plans) > 5 and any("SortMergeJoin" in x for x in plans) and not any("BroadcastExchange" in x for x in plans)
+    assert reached.count() == 5
+
+
+def _executions(store):
+    found = store.executionsList()
+    return [found.apply(i) for i in range(found.size())]
+
+
 def test_anchor_lies_on_the_segment_beside_the_vertex(spark):
     import math
 
