@@ -51,6 +51,22 @@ def test_intervals_of_the_larger_table_stand_once(spark):
         assert plan(rows).count("Generate explode") == 2  # sizes and bins of the smaller table
 
 
+def test_equal_intervals_meet_as_one(spark, tmp_path):
+    day = "date_add(date '2000-01-01', cast({0} as int))"
+    many = spark.range(6000).selectExpr("id as a", "id % 2 as line", f"{day.format('id * 7919 % 20 * 3')} as f", f"{day.format('id * 7919 % 20 * 3 + 20')} as l")
+    few = spark.range(2000).selectExpr("id as b", "id % 2 as line", f"{day.format('id * 31 % 100')} as f", f"{day.format('id * 31 % 100 + id % 40 * (id % 40) / 9')} as l")
+    pairs = closures.interval_pairs(many, few, ("f", "l"), ("f", "l"), ("line",))
+    assert pairs.columns == ["line", "a", "f", "l", "b", "f", "l"]
+    out = f"{tmp_path}/pairs"
+    pairs.select("a", "b").coalesce(1).write.parquet(out)
+    x, y = many.alias("x"), few.alias("y")
+    right = x.join(y, F.expr("x.line = y.line and x.f <= y.l and x.l >= y.f")).select("a", "b")
+    seen = spark.read.parquet(out)
+    assert seen.exceptAll(right).count() == right.exceptAll(seen).count() == 0
+    # Rows that repeat stand where a file's encodings find them.
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.4 * seen.count()
+
+
 def test_a_larger_stream_has_more_files_in_as_many_batches(spark):
     from trackweave.plans import streams
 
