@@ -3,7 +3,7 @@
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
-from trackweave.operators import closures, network, spatial, tracks
+from trackweave.operators import closures, graph, network, spatial, tracks
 
 SF = "/root/testdata/sf0.001"
 
@@ -98,3 +98,37 @@ def test_only_ways_that_may_go_send_their_neighbours_on(spark):
     got = {(r["line_id"], r["way_id"]): (r["points"], {h["other"] for h in r["near"]}, len(r["near"])) for r in found.collect()}
     assert {k: v[1] for k, v in got.items()} == {(1, "down"): {"up"}, (2, "down"): {"outright"}, (1, "late"): {"up", "down", "longer"}}
     assert got[1, "down"][0] == got[1, "down"][2] and got[1, "late"][0] < got[1, "late"][2]
+
+
+def test_a_long_way_is_few_rows(spark):
+    coords = [{"lon": 10.0, "lat": 52.0}, {"lon": 10.012, "lat": 52.02}, {"lon": 10.012, "lat": 52.02}, {"lon": 10.03, "lat": 52.021}]
+    shapes = spark.createDataFrame([("a", "20.0", [1], 1, False, 20.0, coords)], "way_id string, band string, lines array<int>, place int, before boolean, tolerance double, coords array<struct<lon:double,lat:double>>")
+    segments = tracks._segments(shapes).cache()
+    met = tracks._segment_cells(segments)
+    assert met.count() == met.distinct().count() <= 20
+    pieces = tracks._point_cells(segments, 1).select("x", "y", "here", F.explode("pieces").alias("c"))
+    rows = pieces.collect()
+    assert len(rows) <= 15
+    inner = [k for r in rows if r["c"]["lo"] is not None for k in range(r["c"]["lo"], r["c"]["hi"] + 1)]
+    long = segments.agg(F.max("at")).first()[0]
+    assert sorted(inner) == list(range(1, int(long / 20) + 1)) and sorted(r["c"]["i"] for r in rows if r["c"]["end"]) == [0, 1, 2, 3]
+    assert sum({(r["x"], r["y"]): r["here"] for r in rows}.values()) == len(inner) + 4
+    for r in rows:
+        c = r["c"]
+        for k in (c["lo"], c["hi"]) if c["lo"] is not None else ():
+            t = (k * 20.0 - (c["at"] - c["step"])) / c["step"]
+            assert (c["p_lon"] + (c["q_lon"] - c["p_lon"]) * t) // tracks.TRACK_CELL == r["x"] and (c["p_lat"] + (c["q_lat"] - c["p_lat"]) * t) // tracks.TRACK_CELL == r["y"]
+    segments.unpersist()
+
+
+def test_what_a_table_was_shuffled_for_goes_with_it(spark):
+    files = lambda: {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before, own = files(), spark.conf.get(graph.FREED, None)
+    counts = lambda: spark.range(5000).groupBy((F.col("id") % 7).alias("k")).count()
+    counts().collect()
+    assert files() - before
+    before = files()
+    told = graph.settled(counts())
+    assert not files() - before and spark.conf.get(graph.FREED, None) == own
+    rows = graph.Rounds(spark).settled(told.join(counts().withColumnRenamed("count", "n"), "k"))
+    assert not files() - before and rows.where("count = n").count() == 7
